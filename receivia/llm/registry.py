@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("quality_rules",)
+MODULES = ("license_scan", "language_id", "packing", "quality_rules", "topk_search")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
