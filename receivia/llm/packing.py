@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import heapq
 import math
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -26,24 +27,65 @@ from pyspark.sql import functions as F
 from receivia.llm.common import cut, in_batches, table, tokenizer
 
 SIZE, END = 2048, 1
-#: Words whose ids a worker remembers.
+#: Words, and words without marks, whose ids a worker remembers.
 REMEMBERED = 400_000
+#: Words in hand at once, at least one text.
+AT_ONCE = 100_000
+#: Latin letters, perhaps followed by ASCII marks: the tokenizer parts such a word in two at most.
+_PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]*)")
 
 
-class _WordIds(dict):
+class _WordIds:
     """Little-endian uint32 ids of words. The tokenizer never joins text across white space, so
-    the ids of a text are those of its words, one after the other."""
+    the ids of a text are those of its words, one after the other; and a run of letters or of marks
+    has the same ids wherever it stands. Unknown runs are encoded many at once."""
 
     def __init__(self, path: str):
-        super().__init__()
-        self.encode = tokenizer(path).encode
-
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        ids = self.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
-        found = self[word] = np.array(ids, "<u4").tobytes()
-        return found
+        self.tokenizer = tokenizer(path)
+        self.words: dict[bytes, bytes] = {}
+        self.runs: dict[str, bytes] = {"": b""}
+        ends = [i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]
+        self.ends = np.zeros(1 + max(self.tokenizer.get_vocab().values(), default=0), bool)
+        self.ends[ends] = True
+
+    def _alone(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn_runs(self, runs: list[str]) -> None:
+        ids = np.array(self.tokenizer.encode(" ".join(runs), add_special_tokens=False).ids, "<u4") if runs else np.zeros(0, "<u4")
+        stops = np.flatnonzero(self.ends[ids]) + 1 if len(ids) else []
+        if len(stops) == len(runs) and (not runs or stops[-1] == len(ids)):
+            data = ids.tobytes()
+            self.runs.update((r, data[4 * a : 4 * b]) for r, a, b in zip(runs, [0, *stops[:-1]], stops, strict=True))
+        else:
+            self.runs.update((r, self._alone(r)) for r in runs)
+
+    def learn(self, texts: list[list[bytes]]) -> None:
+        """The words of texts become known."""
+        if len(self.words) > REMEMBERED:
+            self.words.clear()
+        if len(self.runs) > REMEMBERED:
+            self.runs = {"": b""}
+        new = set().union(*texts).difference(self.words)
+        plain = {w: (m[1].decode().lower(), m[2].decode()) for w in new if (m := _PLAIN.fullmatch(w))}
+        self._learn_runs([r for r in {r for both in plain.values() for r in both} if r not in self.runs])
+        runs = self.runs
+        self.words.update((w, runs[a] + runs[b]) for w, (a, b) in plain.items())
+        self.words.update((w, self._alone(w.decode("utf-8", "replace"))) for w in new if w not in plain)
+
+
+def _in_hand(rows: Iterable[list]) -> Iterator[tuple[list, list[list[bytes]]]]:
+    """(ids, words of the texts), in groups of about AT_ONCE words."""
+    for ids, texts in rows:
+        own, words, held = [], [], 0
+        for i, t in zip(ids, texts, strict=True):
+            own.append(i)
+            words.append((t or b"").split())
+            held += len(words[-1])
+            if held >= AT_ONCE:
+                yield own, words
+                own, words, held = [], [], 0
+        yield own, words
 
 
 def default_tokenizer() -> str:
@@ -57,11 +99,12 @@ def pieces(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str
     end = np.array([END], "<u4").tobytes()
 
     def rows(batches: Iterable[list]) -> Iterator[pa.RecordBatch]:
-        ids_of = _WordIds(path)
-        for doc_ids, texts in batches:
+        known = _WordIds(path)
+        for doc_ids, texts in _in_hand(batches):
+            known.learn(texts)
             out: list[list] = [[], [], [], [], []]
-            for doc_id, text in zip(doc_ids, texts, strict=True):
-                data = b"".join(map(ids_of.__getitem__, (text or b"").split())) + end
+            for doc_id, words in zip(doc_ids, texts, strict=True):
+                data = b"".join(map(known.words.__getitem__, words)) + end
                 n = len(data) // 4
                 for start in range(0, n, size):
                     part = data[4 * start : 4 * (start + size)]
