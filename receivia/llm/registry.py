@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("html_extract", "jaccard_join", "license_scan", "language_id", "packing", "quality_rules", "substring_dedup", "topk_search")
+MODULES = ("html_extract", "jaccard_join", "license_scan", "language_id", "mixing", "packing", "quality_classifier", "quality_rules", "substring_dedup", "topk_search")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
