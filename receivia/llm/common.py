@@ -56,3 +56,28 @@ def tokenizer(path: str):
     found = Tokenizer.from_file(path)
     found.encode_special_tokens = True
     return found
+
+
+#: Bits of the filter that member_bits() makes: 8 MB, whatever the number of ids.
+FILTER_BITS = 1 << 26
+
+
+def member_bits(ids: DataFrame, id_col: str):
+    """A broadcast bitmap of the hashed ids, to pass over most rows of others without a shuffle. It
+    never misses an id; some others pass, so what passes is still to be joined."""
+    import numpy as np
+
+    bit = F.pmod(F.xxhash64(id_col), F.lit(FILTER_BITS))
+    words = ids.select(bit.alias("b")).groupBy(F.shiftright("b", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(b & 63 as int)))").alias("bits"))
+    found = words.toPandas()
+    bits = np.zeros(FILTER_BITS >> 6, np.uint64)
+    bits[found["w"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).view(np.uint64)
+    return ids.sparkSession.sparkContext.broadcast(bits)
+
+
+def may_be_member(bits, hashes):
+    """Which of the hashes (Spark's xxhash64 of ids) a bitmap may hold."""
+    import numpy as np
+
+    at = np.mod(hashes, FILTER_BITS)
+    return (bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) > 0

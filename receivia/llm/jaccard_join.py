@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from receivia.llm.common import cut, table
+from receivia.llm.common import cut, may_be_member, member_bits, table
 from receivia.llm.components import components
 from receivia.llm.rolling import Powers, mix, word_hashes
 
@@ -133,20 +133,24 @@ def _may_link(size: Column, pos: Column, size2: Column, pos2: Column, num: int,
 
 
 def _segments(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """doc_id, fragment, segment: the sets of wanted documents, cut at fixed places of the order."""
+    """doc_id, fragment, segment: the sets of wanted (and perhaps some other) documents, cut at
+    fixed places of the order. Texts stay where they are; a bitmap tells which to read."""
+    bits = member_bits(wanted, "doc_id")
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, bounds = Powers(), (np.arange(1, FRAGMENTS, dtype=_U) * _U(2**64 // FRAGMENTS))
         for b in batches:
             ids, fragment, parts = [], [], []
-            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
-                for f, part in enumerate(np.split(s := shingles(text.as_py() or b"", n, powers), np.searchsorted(s, bounds))):
-                    ids.append(doc_id)
+            own, texts = b.column("doc_id"), b.column("text")
+            for r in np.flatnonzero(may_be_member(bits.value, b.column("hash").to_numpy())):
+                s = shingles(texts[r].as_py() or b"", n, powers)
+                for f, part in enumerate(np.split(s, np.searchsorted(s, bounds))):
+                    ids.append(own[r].as_py())
                     fragment.append(f)
                     parts.append(part.view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(fragment, pa.int64()), pa.array(parts, pa.list_(pa.int64()))], ["doc_id", "fragment", "segment"])
 
-    return docs.join(wanted, "doc_id").mapInArrow(rows, "doc_id long, fragment long, segment array<long>").dropDuplicates(["doc_id", "fragment"])
+    return docs.withColumn("hash", F.xxhash64("doc_id")).mapInArrow(rows, "doc_id long, fragment long, segment array<long>")
 
 
 def _linked(docs: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -157,8 +161,9 @@ def _linked(docs: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -> Da
     fragments = pairs.withColumn("fragment", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(FRAGMENTS - 1).cast("long"))))
     left = fragments.join(parts.select(F.col("doc_id").alias("v"), "fragment", F.col("segment").alias("right")), ["v", "fragment"])
     met = left.join(parts.select(F.col("doc_id").alias("u"), "fragment", F.col("segment").alias("left")), ["u", "fragment"])
-    partial = met.select("u", "v", "su", "sv", F.size(F.array_intersect("left", "right")).alias("n"))
-    return partial.groupBy("u", "v", "su", "sv").agg(F.sum("n").alias("overlap")).filter(den * F.col("overlap") >= num * (F.col("su") + F.col("sv") - F.col("overlap")))
+    partial = met.select("u", "v", "su", "sv", "fragment", F.size(F.array_intersect("left", "right")).alias("n"))
+    once = partial.groupBy("u", "v", "su", "sv", "fragment").agg(F.max("n").alias("n"))  # repeated rows of a document count once
+    return once.groupBy("u", "v", "su", "sv").agg(F.sum("n").alias("overlap")).filter(den * F.col("overlap") >= num * (F.col("su") + F.col("sv") - F.col("overlap")))
 
 
 def jaccard_components(docs: DataFrame, *, n: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -178,8 +183,9 @@ def jaccard_components(docs: DataFrame, *, n: int, num: int, den: int, id_col: s
     first_of = lambda c, to: member.select(F.col("doc_id").alias(c), F.col("first").alias(to))
 
     prefixes = _prefixes(known, n, num, den, order)
-    leaders = prefixes.groupBy("key").agg(F.min(F.struct("pos", "size", "doc_id")).alias("lead"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("key", "lead")
-    met = cut(prefixes.join(leaders, "key").select("key", "pos", "size", "doc_id", F.col("lead.pos").alias("lead_pos"), F.col("lead.size").alias("lead_size"), F.col("lead.doc_id").alias("lead")))
+    place = F.shiftleft("pos", 32) + F.col("size")
+    leaders = prefixes.groupBy("key").agg(F.min_by("doc_id", place).alias("lead"), F.min(place).alias("lead_place"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    met = cut(prefixes.join(leaders, "key").select("key", "pos", "size", "doc_id", F.shiftright("lead_place", 32).alias("lead_pos"), F.col("lead_place").bitwiseAND(0xFFFFFFFF).alias("lead_size"), "lead"))
 
     def to_pairs(found: DataFrame) -> DataFrame:
         """found (x, sx, y, sy) as distinct pairs of classes."""
