@@ -17,6 +17,7 @@ import math
 import re
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -74,6 +75,12 @@ class _WordIds:
         self.words.update((w, self._alone(w.decode("utf-8", "replace"))) for w in new if w not in plain)
 
 
+@lru_cache(maxsize=2)
+def _known(path: str) -> _WordIds:
+    """One for all tasks of a Python worker."""
+    return _WordIds(path)
+
+
 def _in_hand(rows: Iterable[list]) -> Iterator[tuple[list, list[list[bytes]]]]:
     """(ids, words of the texts), in groups of about AT_ONCE words."""
     for ids, texts in rows:
@@ -99,7 +106,7 @@ def pieces(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str
     end = np.array([END], "<u4").tobytes()
 
     def rows(batches: Iterable[list]) -> Iterator[pa.RecordBatch]:
-        known = _WordIds(path)
+        known = _known(path)
         for doc_ids, texts in _in_hand(batches):
             known.learn(texts)
             out: list[list] = [[], [], [], [], []]
