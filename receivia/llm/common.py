@@ -81,3 +81,15 @@ def may_be_member(bits, hashes):
 
     at = np.mod(hashes, FILTER_BITS)
     return (bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) > 0
+
+
+def passes(bits):
+    """A condition on a column of hashes: whether the bitmap may hold them."""
+
+    @F.pandas_udf("boolean")
+    def test(hashes):
+        import pandas as pd
+
+        return pd.Series(may_be_member(bits.value, hashes.to_numpy()))
+
+    return test

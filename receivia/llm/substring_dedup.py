@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from receivia.llm.common import cut, in_batches, table
+from receivia.llm.common import cut, in_batches, member_bits, passes, table
 from receivia.llm.rolling import Powers, mix, sliding_min, word_hashes
 
 WINDOW = 50
@@ -150,14 +150,15 @@ def _settled(docs: DataFrame, marked: DataFrame, window: int) -> DataFrame:
             kind = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tag"), *(pa.array(c, kind) for c in (spans_of, hash1, hash2, starts_of))], ["doc_id", "tag", "spans", "one", "two", "starts"])
 
-    both = docs.join(marked, ["doc_id", "tag"]).select("doc_id", "tag", "text", "marks")
+    test = passes(member_bits(marked, "doc_id"))
+    both = docs.filter(test(F.xxhash64("doc_id"))).join(marked, ["doc_id", "tag"]).select("doc_id", "tag", "text", "marks")
     return both.mapInArrow(rows, "doc_id long, tag long, spans array<long>, one array<long>, two array<long>, starts array<long>")
 
 
 def repeated_spans(docs: DataFrame, *, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, tag, spans: word positions, as starts and ends in turn, that repeated windows cover."""
     keyed = _keyed(docs, id_col, text_col)
-    settled = cut(_settled(keyed, _marked(keyed, window), window))
+    settled = cut(_settled(keyed, cut(_marked(keyed, window)), window))
     loose = settled.select("doc_id", "tag", F.explode(F.arrays_zip("one", "two", "starts")).alias("w")).select("doc_id", "tag", "w.*")
     least = loose.groupBy("one", "two").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").drop("most")
     confirmed = loose.join(least, ["one", "two"]).filter("least < doc_id").select("doc_id", "tag", F.array(F.col("starts"), F.col("starts") + window).alias("spans"))
@@ -177,9 +178,13 @@ def _removed(n: int, spans: list | None) -> np.ndarray:
 
 def with_spans(docs: DataFrame, *, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row and column of docs, with _spans (null where nothing repeats)."""
-    spans = repeated_spans(docs, window=window, id_col=id_col, text_col=text_col).select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), F.col("spans").alias("_spans"))
-    keyed = docs.withColumn("_own", F.xxhash64(text_col).bitwiseAND(0x7FFFFFFF))
-    return keyed.join(spans, (F.col(id_col) == F.col("_id")) & (F.col("_own") == F.col("_tag")), "left").drop("_id", "_tag", "_own")
+    spans = cut(repeated_spans(docs, window=window, id_col=id_col, text_col=text_col).select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), F.col("spans").alias("_spans")))
+    test = passes(member_bits(spans, "_id"))
+    hash_ = F.xxhash64(F.col(id_col).cast("long"))
+    # most rows have no spans, as the bitmap tells, and are not moved
+    some = docs.filter(test(hash_)).withColumn("_own", F.xxhash64(text_col).bitwiseAND(0x7FFFFFFF))
+    met = some.join(spans, (F.col(id_col) == F.col("_id")) & (F.col("_own") == F.col("_tag")), "left").drop("_id", "_tag", "_own")
+    return met.unionByName(docs.filter(~test(hash_)).withColumn("_spans", F.lit(None).cast("array<long>")))
 
 
 def cut_text(text: bytes, spans: list | None) -> bytes:
