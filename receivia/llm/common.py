@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
@@ -22,13 +23,18 @@ def cut(df: DataFrame) -> DataFrame:
     """df written to the shared checkpoint folder, so that nothing above it runs twice.
 
     The folder is the one the cluster names in spark.checkpoint.dir; only where it is unset
-    (tests on one machine) a temporary folder is taken.
+    (tests on one machine) a temporary folder is taken. Shuffle files of steps that ended before are
+    then given back: Spark deletes them once nothing on the driver refers to them.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    del df
+    gc.collect()
+    context._jvm.System.gc()
+    return out
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

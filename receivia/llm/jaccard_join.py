@@ -36,7 +36,7 @@ from receivia.llm.components import components
 from receivia.llm.rolling import Powers, mix, word_hashes
 
 #: Frequent n-grams kept in all, and those that one task reports at most.
-HOT, HOT_OF_TASK, HOT_FROM = 200_000, 60_000, 4
+HOT, HOT_OF_TASK, HOT_FROM = 400_000, 100_000, 3
 FRAGMENTS = 8
 _U = np.uint64
 
