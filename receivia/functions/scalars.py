@@ -67,7 +67,7 @@ def name_key(c: Column) -> Column:
 
 def display_name(c: Column) -> Column:
     """Tatweel dropped, a final dotless ya dotted, blanks made single."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "\\u0640", ""), "\\u0649(?=\\s|$)", "\\u064A"), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "\\u0640", ""), "\\u0649(?=\\s|$)", "\u064A"), r"\s+", " "))
 
 
 def usable_name(c: Column) -> Column:

@@ -97,8 +97,8 @@ def fit_ses(y: np.ndarray, horizon: int) -> tuple[np.ndarray, float, int]:
 
 
 def fit_fourier(y: np.ndarray, horizon: int) -> tuple[np.ndarray, float, int]:
-    b, e = least_squares(design(np.arange(len(y), dtype=float)), y)
-    return design(np.arange(len(y), len(y) + horizon, dtype=float)) @ b, float(e @ e), 4
+    b, e = least_squares(design(np.arange(1, len(y) + 1, dtype=float)), y)
+    return design(np.arange(len(y) + 1, len(y) + horizon + 1, dtype=float)) @ b, float(e @ e), 4
 
 
 def fit_naive(y: np.ndarray, horizon: int) -> tuple[np.ndarray, float, int]:

@@ -141,7 +141,7 @@ def hierarchy(df: DataFrame, keys: tuple[str, ...] = ("customer_code", "brand",
     """Leaves with quantity, sales, price and share of all."""
     by = df.groupBy(*keys).agg(total("qty").alias("qty"), total("line_total").alias("sales"))
     whole = by.agg(F.sum("sales").alias("_all"))
-    return by.crossJoin(F.broadcast(whole)).select(*keys, "qty", "sales", F.round(ratio(F.col("sales"), F.col("qty")), 3).alias("avg_price"), F.round(ratio(F.col("sales"), F.col("_all")) * 100, 6).alias("share_pct"))
+    return by.crossJoin(F.broadcast(whole)).select(*keys, "qty", "sales", ratio(F.col("sales"), F.col("qty")).alias("avg_price"), F.round(ratio(F.col("sales"), F.col("_all")) * 100, 6).alias("share_pct"))
 
 
 def rolled_up(df: DataFrame, keys: tuple[str, ...]) -> DataFrame:
@@ -263,7 +263,7 @@ def daily_of(lines: DataFrame, items: DataFrame) -> DataFrame:
 def months_of_top_items(lines: DataFrame, k: int = 10) -> DataFrame:
     top = top_k(lines, "item_code", k)
     by = lines.join(F.broadcast(top), "item_code", "left_semi").groupBy("item_code", "month")  # k rows
-    return by.agg(total("line_total").alias("revenue"), total("qty").alias("qty"), F.round(avg_price(F.col("line_total"), F.col("qty")), 6).alias("avg_price"))
+    return by.agg(total("line_total").alias("revenue"), total("qty").alias("qty"), avg_price(F.col("line_total"), F.col("qty")).alias("avg_price"))
 
 
 def flows(lines: DataFrame, a: str, b: str, k: int = 8) -> DataFrame:
@@ -304,7 +304,7 @@ def pack_requirement(lines: DataFrame) -> DataFrame:
     """Boxes an item needs a month: quantity over the months of the data and the pack size."""
     n = F.broadcast(lines.agg(F.count_distinct("month").alias("months")))
     by = lines.groupBy("item_code").agg(total("qty").alias("qty"), F.max("pack").alias("pack"), F.round(avg_price(F.col("line_total"), F.col("qty")), 6).alias("avg_price"))
-    return by.crossJoin(n).select("item_code", "qty", "pack", "avg_price", F.round(boxes(F.col("qty"), F.col("pack")), 6).alias("boxes"), F.round(F.try_divide(boxes(F.col("qty"), F.col("pack")), F.col("months")), 4).alias("boxes_a_month"))
+    return by.crossJoin(n).select("item_code", "qty", "pack", "avg_price", F.round(boxes(F.col("qty"), F.col("pack")), 6).alias("boxes"), F.try_divide(boxes(F.col("qty"), F.col("pack")), F.col("months")).alias("boxes_a_month"))
 
 
 def spliced(actual: DataFrame, forecast: DataFrame, period: str, value: str) -> DataFrame:

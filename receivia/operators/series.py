@@ -116,7 +116,7 @@ def least_squares(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def design(t: np.ndarray, period: int = 12) -> np.ndarray:
-    """Constant, trend from 0, and the first harmonic."""
+    """Constant, trend and first harmonic of times t, which count from 1."""
     a = 2 * np.pi * t / period
     return np.column_stack([np.ones_like(t), t, np.sin(a), np.cos(a)])
 
@@ -184,6 +184,7 @@ def augmented_dickey_fuller(y: np.ndarray) -> tuple[float, int]:
         d = np.diff(y)
         rows = np.arange(drop, n - 1)
         x = np.column_stack([y[rows], *(d[rows - k] for k in range(1, lags + 1)), np.ones(len(rows))])
+        x = x / np.linalg.norm(x, axis=0)  # the statistic stays, the inverse gets safe
         b, e = least_squares(x, d[rows])
         s2 = e @ e / (len(rows) - x.shape[1])
         aic = len(rows) * (np.log(2 * np.pi) + np.log(e @ e / len(rows)) + 1) + 2 * x.shape[1]
@@ -204,7 +205,7 @@ def diagnose(y: np.ndarray) -> list[tuple[str, float]]:
     out: list[tuple[str, float]] = []
     if n < 8 or not np.ptp(y) > 0:
         return out
-    t = np.arange(n, dtype=float)
+    t = np.arange(1, n + 1, dtype=float)
     x = design(t)
     b, e = least_squares(x, y)
     r2, k = r_squared(y, e), x.shape[1]
@@ -252,6 +253,6 @@ def residuals(p: DataFrame) -> DataFrame:
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t")
-        return pdf.assign(e=least_squares(design(np.arange(len(pdf), dtype=float)), pdf["y"].to_numpy(float))[1])[["series_key", "t", "e"]]
+        return pdf.assign(e=least_squares(design(np.arange(1, len(pdf) + 1, dtype=float)), pdf["y"].to_numpy(float))[1])[["series_key", "t", "e"]]
 
     return p.select("series_key", "t", "y").groupBy("series_key").applyInPandas(one, "series_key string, t int, e double")

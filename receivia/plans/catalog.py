@@ -122,7 +122,7 @@ def top_items_per_brand(m: Sales) -> DataFrame:
 
 
 @query(""", g AS (SELECT customer_code, brand, item_code, CAST(sum(qty) AS DOUBLE) AS qty, CAST(sum(line_total) AS DOUBLE) AS sales FROM lines GROUP BY 1, 2, 3), w AS (SELECT CAST(sum(line_total) AS DOUBLE) AS whole FROM lines)
- SELECT customer_code, brand, item_code, qty, sales, CASE WHEN qty <> 0 THEN round(sales / qty, 3) END AS avg_price, round(sales / whole * 100, 6) AS share_pct FROM g, w""")
+ SELECT customer_code, brand, item_code, qty, sales, CASE WHEN qty <> 0 THEN sales / qty END AS avg_price, round(sales / whole * 100, 6) AS share_pct FROM g, w""")
 def hierarchy_leaves(m: Sales) -> DataFrame:
     return sales.hierarchy(m.lines)
 
@@ -225,7 +225,7 @@ def daily_sales_of_top_items(m: Sales) -> DataFrame:
     return sales.daily_of(m.lines, sales.top_k(m.lines, "item_code", 10))
 
 
-@query(TOP10 + " SELECT item_code, month, CAST(sum(line_total) AS DOUBLE) AS revenue, CAST(sum(qty) AS DOUBLE) AS qty, round(CAST(sum(line_total) AS DOUBLE) / CAST(sum(qty) AS DOUBLE), 6) AS avg_price FROM lines WHERE item_code IN (SELECT item_code FROM top) GROUP BY 1, 2")
+@query(TOP10 + " SELECT item_code, month, CAST(sum(line_total) AS DOUBLE) AS revenue, CAST(sum(qty) AS DOUBLE) AS qty, CAST(sum(line_total) AS DOUBLE) / CAST(sum(qty) AS DOUBLE) AS avg_price FROM lines WHERE item_code IN (SELECT item_code FROM top) GROUP BY 1, 2")
 def months_of_top_items(m: Sales) -> DataFrame:
     return sales.months_of_top_items(m.lines)
 
@@ -250,7 +250,7 @@ def revenue_bridge(m: Sales) -> DataFrame:
     return sales.bridge(sales.monthly_series(m.lines).select("month", "revenue"), "month", "revenue")
 
 
-@query(ITEM + ", n AS (SELECT count(DISTINCT month) AS months FROM lines) SELECT t.item_code, t.qty, t.pack, round(CAST(v AS DOUBLE) / t.qty, 6) AS avg_price, CASE WHEN pack > 0 THEN round(t.qty / pack, 6) END AS boxes, CASE WHEN pack > 0 THEN round(t.qty / pack / months, 4) END AS boxes_a_month FROM t, n")
+@query(ITEM + ", n AS (SELECT count(DISTINCT month) AS months FROM lines) SELECT t.item_code, t.qty, t.pack, round(CAST(v AS DOUBLE) / t.qty, 6) AS avg_price, CASE WHEN pack > 0 THEN round(t.qty / pack, 6) END AS boxes, CASE WHEN pack > 0 THEN t.qty / pack / months END AS boxes_a_month FROM t, n")
 def pack_requirement(m: Sales) -> DataFrame:
     return sales.pack_requirement(m.lines)
 
