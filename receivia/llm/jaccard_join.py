@@ -187,12 +187,22 @@ def jaccard_components(docs: DataFrame, *, n: int, num: int, den: int, id_col: s
     leaders = prefixes.groupBy("key").agg(F.min_by("doc_id", place).alias("lead"), F.min(place).alias("lead_place"), F.count("*").alias("n")).filter("n > 1").drop("n")
     met = cut(prefixes.join(leaders, "key").select("key", "pos", "size", "doc_id", F.shiftright("lead_place", 32).alias("lead_pos"), F.col("lead_place").bitwiseAND(0xFFFFFFFF).alias("lead_size"), "lead"))
 
+    keys_of = cut(met.groupBy("doc_id").agg(F.collect_list("key").alias("keys")))
+
+    def likely(pairs: DataFrame) -> DataFrame:
+        """pairs whose shared prefix n-grams allow the overlap: what is shared beyond the prefix that
+        ends first is at most the rest of that document's set."""
+        rest = lambda c: F.ceil(num * F.col(c) / F.lit(den)) - 1
+        both = pairs.join(keys_of.select(F.col("doc_id").alias("u"), F.col("keys").alias("ku")), "u").join(keys_of.select(F.col("doc_id").alias("v"), F.col("keys").alias("kv")), "v")
+        most = F.size(F.array_intersect("ku", "kv")) + F.greatest(rest("su"), rest("sv"))
+        return both.filter(most >= _need(F.col("su"), F.col("sv"), num, den)).select("u", "v", "su", "sv")
+
     def to_pairs(found: DataFrame) -> DataFrame:
-        """found (x, sx, y, sy) as distinct pairs of classes."""
+        """found (x, sx, y, sy) as distinct pairs of classes that may link."""
         classed = found.distinct().join(first_of("x", "fx"), "x").join(first_of("y", "fy"), "y").filter("fx <> fy")
         turned = F.col("fx") < F.col("fy")
         pick = lambda a, b: F.when(turned, F.col(a)).otherwise(F.col(b))
-        return classed.select(pick("fx", "fy").alias("u"), pick("fy", "fx").alias("v"), pick("sx", "sy").alias("su"), pick("sy", "sx").alias("sv")).distinct()
+        return likely(classed.select(pick("fx", "fy").alias("u"), pick("fy", "fx").alias("v"), pick("sx", "sy").alias("su"), pick("sy", "sx").alias("sv")).distinct())
 
     passing = met.filter((F.col("doc_id") != F.col("lead")) & _may_link(F.col("size"), F.col("pos"), F.col("lead_size"), F.col("lead_pos"), num, den))
     stars = to_pairs(passing.select(F.col("doc_id").alias("x"), F.col("size").alias("sx"), F.col("lead").alias("y"), F.col("lead_size").alias("sy")))
