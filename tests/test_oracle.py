@@ -1,9 +1,9 @@
 """Every registered query of the sales model against its SQL on the smallest tables."""
 
-import math
 from pathlib import Path
 
 import duckdb
+import pandas as pd
 import pytest
 
 from receivia.plans import catalog
@@ -14,7 +14,7 @@ pytestmark = pytest.mark.skipif(not Path(DATA).exists(), reason="no test tables"
 
 
 def plain(v):
-    if v is None or v is getattr(__import__("pandas"), "NaT") or (isinstance(v, float) and math.isnan(v)):
+    if v is None or pd.isna(v):
         return "~"
     try:
         return repr(float(v)) if not isinstance(v, (bool, str)) and not hasattr(v, "isoformat") else str(v).removesuffix(" 00:00:00")
