@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from receivia.llm.common import cut, in_batches, member_bits, passes, table
+from receivia.llm.common import cut, in_batches, may_be_member, member_bits, passes, table
 from receivia.llm.rolling import Powers, mix, sliding_min, word_hashes
 
 WINDOW = 50
@@ -176,15 +176,15 @@ def _removed(n: int, spans: list | None) -> np.ndarray:
     return np.cumsum(edge[:n]) > 0
 
 
-def with_spans(docs: DataFrame, *, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every row and column of docs, with _spans (null where nothing repeats)."""
+def with_spans(docs: DataFrame, *, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, object]:
+    """The rows of docs in two parts: those that may hold repeats, with _spans (null where nothing
+    repeats), and the others; and the bitmap that parts them. Most rows are others, and not moved."""
     spans = cut(repeated_spans(docs, window=window, id_col=id_col, text_col=text_col).select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), F.col("spans").alias("_spans")))
-    test = passes(member_bits(spans, "_id"))
-    hash_ = F.xxhash64(F.col(id_col).cast("long"))
-    # most rows have no spans, as the bitmap tells, and are not moved
+    bits = member_bits(spans, "_id")
+    test, hash_ = passes(bits), F.xxhash64(F.col(id_col).cast("long"))
     some = docs.filter(test(hash_)).withColumn("_own", F.xxhash64(text_col).bitwiseAND(0x7FFFFFFF))
     met = some.join(spans, (F.col(id_col) == F.col("_id")) & (F.col("_own") == F.col("_tag")), "left").drop("_id", "_tag", "_own")
-    return met.unionByName(docs.filter(~test(hash_)).withColumn("_spans", F.lit(None).cast("array<long>")))
+    return met, docs.filter(~test(hash_)), bits
 
 
 def cut_text(text: bytes, spans: list | None) -> bytes:
@@ -205,8 +205,9 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, id_col: str = "doc_
 
         return pd.Series([t if s is None else cut_text(t.encode(), s).decode() for t, s in zip(text, spans, strict=True)], dtype=object)
 
-    found = with_spans(docs, window=window, id_col=id_col, text_col=text_col).withColumn(text_col, shorten(text_col, "_spans"))
-    return found.filter(F.col("_spans").isNull() | (F.length(text_col) > 0)).select(*docs.columns)
+    met, others, _ = with_spans(docs, window=window, id_col=id_col, text_col=text_col)
+    changed = met.withColumn(text_col, shorten(text_col, "_spans"))
+    return changed.filter(F.col("_spans").isNull() | (F.length(text_col) > 0)).select(*docs.columns).unionByName(others)
 
 
 def digest(docs: DataFrame, *, window: int = WINDOW) -> DataFrame:
@@ -225,8 +226,18 @@ def digest(docs: DataFrame, *, window: int = WINDOW) -> DataFrame:
                 sha.append(hashlib.sha256(b" ".join(words)).hexdigest())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    found = with_spans(docs.select("doc_id", "text"), window=window)
-    return in_batches(found.select("doc_id", F.col("text").cast("binary"), "_spans"), rows, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
+    slim = docs.select("doc_id", "text")
+    met, _, bits = with_spans(slim, window=window)
+
+    def unmoved(batches: Iterable[list]) -> Iterator[pa.RecordBatch]:
+        """The other rows; parted here, so that a task needs one Python worker."""
+        for ids, texts, hashes in batches:
+            others = np.flatnonzero(~may_be_member(bits.value, np.array(hashes, np.int64))) if hashes else []
+            yield from rows([([ids[i] for i in others], [texts[i] for i in others], [None] * len(others))])
+
+    text = F.col("text").cast("binary")
+    return in_batches(met.select("doc_id", text, "_spans"), rows, schema).unionByName(in_batches(slim.select("doc_id", text, F.xxhash64(F.col("doc_id").cast("long"))), unmoved, schema))
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
