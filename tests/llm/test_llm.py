@@ -267,14 +267,17 @@ line</b>.<p>Second&nbsp;&lt;one&gt;<br>third<div class="ad-box ad">Buy</div><for
 <footer>&copy; me</footer></body>"""
 
 
-def test_html(spark):
+def test_html(spark, monkeypatch):
     want = "Head & tail\nFirst bold line.\nSecond <one>\nthird"
     assert html_extract.extract(HTML) == want
     assert html_extract.extract("<p>a<p>b<style>x") == "a\nb" and html_extract.extract("<<<") != None  # noqa: E711
     pages = spark.createDataFrame([(1, "http://a.b/c", HTML), (2, None, None), (3, "http://a.b/d", ""), (1, "http://a.b/c", HTML)], "page_id long, url string, html string")
     assert sorted((r["page_id"], r["text"]) for r in html_extract.extract_pages(pages).collect()) == [(1, want), (1, want), (2, ""), (3, "")]
     many = spark.createDataFrame([(i, "http://h/x", f"<body><div><p>Text number {i}</p><span>Same words on every page</span></div></body>") for i in range(30)], "page_id long, url string, html string")
-    assert {(r["page_id"], r["text"]) for r in html_extract.extract_pages(many).collect()} == {(i, f"Text number {i}") for i in range(30)}
+    texts = {(i, f"Text number {i}") for i in range(30)}
+    assert {(r["page_id"], r["text"]) for r in html_extract.extract_pages(many).collect()} == texts
+    monkeypatch.setattr(html_extract, "BROADCAST", 0)  # wrappers meet pages under salted hosts
+    assert sorted((r["page_id"], r["text"]) for r in html_extract.extract_pages(many, salts=3).collect()) == sorted(texts)
 
 
 def test_sliding_min():
