@@ -1,13 +1,19 @@
 """Operator 2: main text of web pages by wrapper induction.
 
-Every host has a reference page (its smallest page_id). A page's DOM tree, with runs of equal
-siblings folded into one node, is aligned with the reference by simple tree matching. Grouped
-aggregation over all pages of a host counts, for every node of the reference, the pages that align
-with it and how often each text stands there: nodes whose text is the same on nearly all of many
-pages are template, the others are slots. The wrapper of a host, one bounded row, goes back to its
-pages: the article element (or main, or else the slot container with most text) is taken, template
-nodes and nodes whose tag, role or class names an apparatus part (menus, footers, adverts, comments,
-...) are left out, and every block of what stays gives a line.
+Every host has a reference page (its smallest page_id). Siblings of a DOM tree with one label (tag and
+classes) are one slot. A page's tree is matched with the reference's from the root down: labels of
+sibling slots are distinct, so each finds its partner by label, however many there are and in whatever
+order, and the matching is the largest there is. Texts are counted element by element: grouped
+aggregation over all pages of a host counts, for every slot of the reference, the pages that match it
+and on how many of them each element text stands there. An element's text is that of its whole subtree,
+so parts without text neither help nor hinder. Texts that stand in a slot on nearly all pages are
+template, the others vary. The wrapper of a host, one bounded row, goes back to its pages: template
+elements and nodes whose tag, role or class names an apparatus part (menus, footers, adverts, comments,
+...) are left out, the article elements (or main, or else the slot that holds nearly all the varying
+text, with the headings before it) are taken, and every block of what stays gives a line.
+
+Elements within a line of running text are part of it and never template by themselves. Copies of one
+page count as one page. If nothing would stay, template elements are kept.
 
 Null html counts as empty: empty text. A page with null url belongs to the host "". Repeated rows
 give repeated rows. Malformed markup is read as far as it goes. An empty table gives an empty result.
@@ -16,9 +22,9 @@ give repeated rows. Malformed markup is read as far as it goes. An empty table g
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from hashlib import blake2b
 from html import unescape
 
 import pyarrow as pa
@@ -27,12 +33,13 @@ from pyspark.sql import functions as F
 
 from receivia.llm.common import cut, in_batches, table
 
-#: A node is template if at least CONSTANT of at least PAGES aligned pages have the same text there.
-PAGES, CONSTANT = 20, 0.9
+#: A text is template if it stands in a slot on at least CONSTANT of the pages with that slot: FEW
+#: pages at least, and where they are under PAGES, half of the host's pages.
+FEW, PAGES, CONSTANT = 3, 20, 0.9
+#: A slot with this share of a page's varying text is the container, where no element says so.
+MOST = 0.9
 #: Characters of all wrappers that may go to every executor, and those counted for a row besides its reference.
 BROADCAST, ROW = 16_000_000, 100
-#: Siblings compared by tree matching; longer lists of distinct siblings match by position.
-WIDE = 64
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 _ATTR = re.compile(r"([^\s=\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"']+)))?")
@@ -44,6 +51,8 @@ _BLOCK = frozenset(
 _ENDS_P = _BLOCK - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "dd", "dt", "li", "br"} | {"li", "dd", "dt"}
 _SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"tbody", "thead", "tfoot", "tr", "td", "th"}, "tfoot": {"tbody", "thead", "tfoot", "tr", "td", "th"}}
 _SCOPE = frozenset("html body div article section main aside nav header footer form table td th ul ol dl blockquote button figure".split())
+_ENDS_AT = frozenset("p li dt dd tr td th thead tbody tfoot blockquote pre h1 h2 h3 h4 h5 h6 br".split())
+_HEADING = re.compile("h[1-6]")
 _OUT_TAGS = frozenset("head script style noscript template nav footer aside form button select textarea input iframe svg canvas object dialog menu title math audio video datalist fieldset label".split())
 _OUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 _OUT_WORDS = frozenset(
@@ -113,74 +122,97 @@ def _close(stack: list[Node], tags: set[str]) -> None:
             return
 
 
-class Folded:
-    """A tree in which runs of siblings with one label are one node."""
+def _slots(nodes: list[Node]) -> dict[str, list[Node]]:
+    """The children of nodes that are not out, by label."""
+    by_label: dict[str, list[Node]] = {}
+    for n in nodes:
+        for c in n.children:
+            if isinstance(c, Node) and not c.out:
+                by_label.setdefault(c.label, []).append(c)
+    return by_label
 
-    __slots__ = ("kids", "label", "number", "own", "shape", "texts")
 
-    def __init__(self, nodes: list[Node], count: list[int]):
-        self.label, self.own, self.number = nodes[0].label, nodes, count[0]
-        count[0] += 1
-        self.texts = "\n".join(c.strip() for n in nodes for c in n.children if isinstance(c, str) and not c.isspace())
-        runs: list[list[Node]] = []
-        for n in nodes:
-            for c in n.children:
-                if isinstance(c, Node):
-                    if runs and runs[-1][0].label == c.label:
-                        runs[-1].append(c)
-                    else:
-                        runs.append([c])
-        by_label: dict[str, list[Node]] = {}
-        for r in runs:
-            by_label.setdefault(r[0].label, []).extend(r)
-        self.kids = [Folded(r, count) for r in by_label.values()]
-        self.shape = (self.label, tuple(k.shape for k in self.kids))
-
-    def all(self) -> Iterator[Folded]:
-        yield self
-        for k in self.kids:
-            yield from k.all()
-
-
-@lru_cache(maxsize=4096)
-def _matched(a: tuple, b: tuple) -> tuple[int, tuple[tuple[int, int], ...]]:
-    """Simple tree matching of two shapes: its size, and matched preorder numbers."""
-    if a[0] != b[0]:
-        return 0, ()
-    left, right = a[1][:WIDE], b[1][:WIDE]
-    best = [[0] * (len(right) + 1) for _ in range(len(left) + 1)]
-    for i, x in enumerate(left, 1):
-        for j, y in enumerate(right, 1):
-            best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + _matched(x, y)[0])
-    pairs, i, j = [], len(left), len(right)
-    starts = lambda kids: [1 + sum(_count(k) for k in kids[:n]) for n in range(len(kids))]
-    sa, sb = starts(left), starts(right)
-    while i and j:
-        size, inner = _matched(left[i - 1], right[j - 1])
-        if size and best[i][j] == best[i - 1][j - 1] + size:
-            pairs += [(sa[i - 1] + p, sb[j - 1] + q) for p, q in inner]
-            i, j = i - 1, j - 1
-        elif best[i][j] == best[i - 1][j]:
-            i -= 1
-        else:
-            j -= 1
-    return 1 + best[-1][-1], ((0, 0), *pairs)
+class Slot:
+    """A slot of a reference page: its number and the slots below it by label."""
 
+    __slots__ = ("kids", "number")
 
-@lru_cache(maxsize=8192)
-def _count(shape: tuple) -> int:
-    return 1 + sum(map(_count, shape[1]))
+    def __init__(self, number: int):
+        self.number, self.kids = number, {}
 
 
 @lru_cache(maxsize=64)
-def _reference(html: str) -> Folded:
-    return Folded([parse(html)], [0])
+def _reference(html: str) -> Slot:
+    top, number = Slot(0), 1
+    todo = [([parse(html)], top)]
+    while todo:
+        nodes, slot = todo.pop()
+        for label, own in _slots(nodes).items():
+            slot.kids[label] = kid = Slot(number)
+            number += 1
+            todo.append((own, kid))
+    return top
+
+
+def align(root: Node, reference: str) -> Iterator[tuple[int, list[Node]]]:
+    """Numbers of the reference's slots, and the nodes of a page that match them."""
+    todo = [([root], _reference(reference))]
+    while todo:
+        nodes, slot = todo.pop()
+        yield slot.number, nodes
+        todo += [(own, slot.kids[label]) for label, own in _slots(nodes).items() if label in slot.kids]
 
 
-def align(html: str, reference: str) -> tuple[Folded, dict[int, int]]:
-    """A page's folded tree, and for its node numbers those of the reference they match."""
-    own = Folded([parse(html)], [0])
-    return own, dict(_matched(own.shape, _reference(reference).shape)[1])
+def _said(root: Node, gone: set[int] = frozenset()) -> dict[int, tuple[bytes, int]]:
+    """Hash and size of the text of each node's subtree, without what is out or gone; b"" for none."""
+    found: dict[int, tuple[bytes, int]] = {}
+    todo = [(root, False)]
+    while todo:
+        node, done = todo.pop()
+        if node.out or id(node) in gone:
+            found[id(node)] = b"", 0
+        elif not done:
+            todo.append((node, True))
+            todo += [(c, False) for c in node.children if isinstance(c, Node)]
+        else:
+            parts, size = [], 0
+            for c in node.children:
+                if isinstance(c, Node):
+                    part, n = found[id(c)]
+                else:
+                    text = " ".join(unescape(c).split())
+                    part, n = (blake2b(text.encode("utf-8", "replace"), digest_size=8).digest() if text else b""), len(text)
+                if part:
+                    parts.append(part)
+                    size += n
+            found[id(node)] = (parts[0] if len(parts) == 1 else blake2b(b"".join(parts), digest_size=8).digest() if parts else b""), size
+    return found
+
+
+def _inline(root: Node) -> set[int]:
+    """Nodes that stand within a line of running text."""
+    found, todo = set(), [root]
+    while todo:
+        n = todo.pop()
+        kids = [c for c in n.children if isinstance(c, Node)]
+        if len(kids) < len(n.children) and any(isinstance(c, str) and not c.isspace() for c in n.children):
+            found.update(id(c) for c in kids if c.tag not in _BLOCK)
+        todo += kids
+    return found
+
+
+def slot_texts(root: Node, reference: str) -> Iterator[tuple[int, int, list[Node]]]:
+    """Of a page: slot, text (a hash of both) and its elements; text 0 for each slot with any text."""
+    said, inline = _said(root), _inline(root)
+    for number, nodes in align(root, reference):
+        by_text: dict[bytes, list[Node]] = {}
+        for n in nodes:
+            if (text := said[id(n)][0]) and id(n) not in inline:
+                by_text.setdefault(text, []).append(n)
+        if by_text:
+            yield number, 0, []
+        for text, own in by_text.items():
+            yield number, int.from_bytes(blake2b(number.to_bytes(4, "big") + text, digest_size=8).digest(), "big", signed=True), own
 
 
 def _blocks(node: Node, gone: set[int], inside: bool, out: list[str], buffer: list[str]) -> None:
@@ -224,13 +256,10 @@ def _find(node: Node, tags: frozenset, gone: set[int]) -> list[Node]:
 
 def extract(html: str, reference: str | None = None, constant: Iterable[int] = ()) -> str:
     """The main text of one page, given its host's wrapper."""
-    constant = set(constant)
+    root, constant = parse(html), frozenset(constant)
+    gone: set[int] = set()
     if reference is not None and constant:
-        folded, to = align(html, reference)
-        root = folded.own[0]
-        gone = {id(n) for f in folded.all() if to.get(f.number) in constant and not any(to.get(k.number) not in constant for k in f.all()) for n in f.own}
-    else:
-        root, gone = parse(html), set()
+        gone = {id(n) for _, text, own in slot_texts(root, reference) if text in constant for n in own}
     lines = _content(root, gone)
     return "\n".join(lines or (_content(root, set()) if gone else []))
 
@@ -242,9 +271,32 @@ def _content(root: Node, gone: set[int]) -> list[str]:
         return out
 
     for tags in (frozenset({"article"}), frozenset({"main"})):
-        if found := [lines(n, True) for n in _find(root, tags, gone)]:
-            return max(found, key=lambda x: sum(map(len, x)))
-    return lines(root, False)
+        if found := _find(root, tags, set()):
+            return [x for n in found for x in lines(n, True)]
+    if not gone:
+        return lines(root, False)
+    before, nodes = _container(root, gone)
+    return [x for n in [*before, *nodes] for x in lines(n, False)]
+
+
+def _container(root: Node, gone: set[int]) -> tuple[list[Node], list[Node]]:
+    """The deepest slot with at least MOST of all varying text, and the headings before it."""
+    said = _said(root, gone)
+    before, nodes, least = [], [root], MOST * said[id(root)][1]
+    while True:
+        slots = {k: own for k, own in _slots(nodes).items() if own[0].tag in _BLOCK or own[0].tag == "html"}
+        inner = next((own for own in slots.values() if (n := sum(said.get(id(c), (b"", 0))[1] for c in own)) and n >= least), None)
+        # a slot of many paragraphs is what the container holds, not the container
+        if inner is None or inner[0].tag in _ENDS_AT or (len(inner) == 1 and not any(isinstance(c, Node) and c.tag in _BLOCK for c in inner[0].children)):
+            return before, nodes
+        first = {id(c) for c in inner}
+        for n in nodes:
+            for c in n.children:
+                if isinstance(c, Node) and id(c) in first:
+                    break
+                if isinstance(c, Node) and _HEADING.fullmatch(c.tag):
+                    before.append(c)
+        nodes = inner
 
 
 def host_of(url: str = "url"):
@@ -276,24 +328,25 @@ def wrappers(pages: DataFrame, *, salts: int = 64) -> tuple[DataFrame, int]:
 
     def rows(batches: Iterable[list]) -> Iterator[pa.RecordBatch]:
         for hosts, htmls, references in batches:
-            out: list[list] = [[], [], []]
+            out: list[list] = [[], [], [], []]
             for host, html, ref in zip(hosts, htmls, references, strict=True):
                 if ref is None:
                     continue
-                folded, to = align(html, ref)
-                for f in folded.all():
-                    if f.texts and f.number in to:
-                        out[0].append(host)
-                        out[1].append(to[f.number])
-                        out[2].append(zlib.crc32(f.texts.encode("utf-8", "replace")))
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64())], ["host_id", "node", "text"])
+                page = int.from_bytes(blake2b(html.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
+                for number, text, _ in slot_texts(parse(html), ref):
+                    for column, value in zip(out, (host, number, text, page), strict=True):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)], ["host_id", "node", "text", "page"])
 
     met = _with_host(there, reference, size, salts).select("host_id", "html", "reference")
-    seen = in_batches(met, rows, "host_id long, node int, text long").groupBy("host_id", "node", "text").count()
-    nodes = seen.groupBy("host_id", "node").agg(F.sum("count").alias("pages"), F.max("count").alias("most")).filter((F.col("pages") >= PAGES) & (F.col("most") >= CONSTANT * F.col("pages")))
-    constant = nodes.groupBy("host_id").agg(F.collect_list("node").alias("constant"))
-    # a node number for each node of the reference at most, and a node is longer than its number
-    return cut(reference.join(constant, "host_id", "left")), 2 * size
+    seen = in_batches(met, rows, "host_id long, node int, text long, page long").groupBy("host_id", "node", "text").agg(F.count("*").alias("n"), F.min("page").alias("least"), F.max("page").alias("most"))
+    often = seen.filter((F.col("text") == 0) | ((F.col("n") >= FEW) & (F.col("least") != F.col("most"))))
+    slots = often.filter("text = 0").select("host_id", "node", F.col("n").alias("pages"))
+    whole = slots.filter("node = 0").select("host_id", F.col("pages").alias("whole"))
+    enough = slots.join(whole, "host_id").filter((F.col("pages") >= PAGES) | ((F.col("pages") >= FEW) & (2 * F.col("pages") >= F.col("whole"))))
+    fixed = often.filter("text <> 0").join(enough, ["host_id", "node"]).filter(F.col("n") >= CONSTANT * F.col("pages"))
+    found = cut(reference.join(fixed.groupBy("host_id").agg(F.collect_list("text").alias("constant")), "host_id", "left"))
+    return found, size + (found.agg(F.sum(8 * F.greatest(F.size("constant"), F.lit(0)))).first()[0] or 0)
 
 
 def extract_pages(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", salts: int = 64) -> DataFrame:

@@ -280,6 +280,39 @@ def test_html(spark, monkeypatch):
     assert sorted((r["page_id"], r["text"]) for r in html_extract.extract_pages(many, salts=3).collect()) == sorted(texts)
 
 
+def on_host(spark, htmls):
+    pages = spark.createDataFrame([(i, "http://h/x", h) for i, h in enumerate(htmls)], "page_id long, url string, html string")
+    return [r["text"] for r in html_extract.extract_pages(pages).orderBy("page_id").collect()]
+
+
+def test_wrappers_without_names(spark):
+    """Fixed blocks beside content of the same tag, with parts that hold no text, on 3 pages and 25."""
+    page = "<body><p>Fixed<br>notice <img src=x></p><div><a><span>Home</span></a><hr></div><div><p>Fixed line</p>{}<p>Last words</p></div><div>Foot <b>fixed</b></div></body>"
+    for n in (3, 25):
+        own = [[f"Text {i} part {k} <i>with</i> more" for k in range(1 + i % 3)] for i in range(n)]
+        got = on_host(spark, [page.format("".join(f"<p>{x}</p>" for x in part)) for part in own])
+        assert got == ["\n".join(x.replace("<i>", "").replace("</i>", "") for x in part) for part in own]
+
+
+def test_wide_lists(spark):
+    """Siblings beyond 64 kinds match too, in any order."""
+    kinds = [f"<x{k}>kind {k}</x{k}>" for k in range(90)]
+    got = on_host(spark, [f"<body><div>{''.join(kinds[i:] + kinds[:i])}<p>Text {i}</p></div></body>" for i in range(4)])
+    assert got == [f"Text {i}" for i in range(4)]
+
+
+def test_containers(spark):
+    """All articles stay; without one, the slot with the varying text and its heading."""
+    fixed = "<table><tr><td>Fixed</table>"
+    assert on_host(spark, [f"<body>{fixed}<article><p>One {i}</article><article><p>Two is longer {i}</article></body>" for i in range(3)]) == [f"One {i}\nTwo is longer {i}" for i in range(3)]
+    body = lambda i: " ".join(f"word{i}" for _ in range(60))
+    assert on_host(spark, [f"<body>{fixed}<h1>Title {i}</h1><section><p>{body(i)}</p><p>End {i}</p></section><table><tr><td>Seen {i} times</table></body>" for i in range(3)]) == [f"Title {i}\n{body(i)}\nEnd {i}" for i in range(3)]
+    # copies of one page are no template, and a page of fixed text alone keeps it
+    same = f"<body><p>{body(1)}</p></body>"
+    assert on_host(spark, [same] * 4) == [body(1)] * 4
+    assert on_host(spark, ["<body><p>Fixed</p></body>", "<body><p>Fixed</p><p>a</p></body>", "<body><p>Fixed</p><p>b</p></body>"]) == ["Fixed", "a", "b"]
+
+
 def test_sliding_min():
     x = np.random.default_rng(1).integers(0, 99, 50)
     for width in (1, 2, 3, 7, 16, 17):
