@@ -1,19 +1,21 @@
 """Operator 4: licence notices by exact set-similarity join of text blocks with templates.
 
-A block is a line. A block matches a template when it holds at least THRESHOLD of the template's
-distinct words. Words are ordered by how many documents of the corpus hold them, rarest first; a
-block can only match if it holds a word of the template's prefix in that order, has enough template
-words (length filter) and enough of them after its first prefix word (positional filter); blocks
-that pass are counted exactly, so no match is lost. The templates are a small fixed table; the
-documents are never compared with each other. Beside the matches, BASE phrases are found wherever
-their words stand consecutively.
+A block is a window of words, whatever lines they stand on: a template's blocks are all windows of its
+length and half as much again (SLACK words more at least). A block matches the template when it holds
+at least THRESHOLD of its distinct words. Words are ordered by how many documents of the corpus hold
+them, rarest first; a block can only match if it holds a word of the template's prefix in that order,
+so only stretches around such words are read; a stretch must have enough template words (length filter)
+and enough of them after its first prefix word (positional filter); the windows of stretches that pass
+are counted exactly, so no match is lost. The templates are a small fixed table; the documents are
+never compared with each other. Beside the matches, BASE phrases are found wherever their words stand
+consecutively.
 
 Null text counts as empty: no words, no labels, score 0. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, deque
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -37,9 +39,9 @@ TEMPLATES = {
     "mpl-2.0": "this source code form is subject to the terms of the mozilla public license v 2 0",
     "apache-grant": "you may not use this file except in compliance with the license you may obtain a copy of the license at",
 }
-THRESHOLD = 0.9
-#: Word bytes are 0-9, a-z and all from 128 on; others part words, and line ends stay.
-_PARTS = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 or c == 0x0A else 0x20 for c in range(256))
+THRESHOLD, SLACK = 0.9, 6
+#: Word bytes are 0-9, a-z and all from 128 on; others part words.
+_PARTS = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
 
 
 def _need(words: frozenset, threshold: float) -> int:
@@ -85,6 +87,7 @@ class Matcher:
             for i, w in enumerate(sorted(s, key=self.rank.__getitem__)[: len(s) - self.need[k] + 1]):
                 self.prefix.setdefault(w, []).append((k, i))
         self.rare = frozenset(self.prefix)
+        self.width = {k: n + max(SLACK, n // 2) for k, t in templates.items() for n in [len(t.split())]}
 
     def match(self, block: list[bytes]) -> dict[str, float]:
         known = sorted(self.rank.keys() & set(block), key=self.rank.__getitem__)
@@ -103,6 +106,62 @@ class Matcher:
                     found[k] = both / len(self.sets[k])
         return found
 
+    def windows(self, words: list[bytes]) -> tuple[dict[str, float], list[int]]:
+        """The best containment of each template in a window, and the first words of the best windows."""
+        at: dict[bytes, list[int]] = {}
+        for p, w in enumerate(words):
+            if w in self.rank:
+                at.setdefault(w, []).append(p)
+        near: dict[str, list[int]] = {}
+        for w in self.rare & at.keys():
+            for k, _ in self.prefix[w]:
+                near.setdefault(k, []).extend(at[w])
+        found: dict[str, float] = {}
+        starts = set()
+        for k, anchors in near.items():
+            own, width = self.sets[k], self.width[k]
+            if len(own & at.keys()) < self.need[k]:
+                continue
+            for low, high in _stretches(sorted(anchors), width):
+                if k not in self.match(words[max(0, low) : high]):
+                    continue
+                both, start = _fullest(words, max(0, low), min(high, len(words)), own, width)
+                if both >= self.need[k]:
+                    found[k] = max(found.get(k, 0.0), both / len(own))
+                    starts.add(start)
+        return found, sorted(starts)
+
+
+def _stretches(anchors: list[int], width: int) -> Iterator[tuple[int, int]]:
+    """The words of all windows that hold one of the (sorted) anchors, as ranges apart."""
+    low, high = anchors[0] - width + 1, anchors[0] + width
+    for p in anchors:
+        if p - width + 1 > high:
+            yield low, high
+            low = p - width + 1
+        high = p + width
+    yield low, high
+
+
+def _fullest(words: list[bytes], low: int, high: int, own: frozenset[bytes], width: int) -> tuple[int, int]:
+    """The most distinct words of own in a window of words[low:high], and where the first such starts."""
+    held: Counter = Counter()
+    inside: deque[int] = deque()
+    best, start = 0, low
+    for p in range(low, high):
+        if words[p] not in own:
+            continue
+        inside.append(p)
+        held[words[p]] += 1
+        while inside[0] <= p - width:
+            w = words[inside.popleft()]
+            held[w] -= 1
+            if not held[w]:
+                del held[w]
+        if len(held) > best:
+            best, start = len(held), inside[0]
+    return best, start
+
 
 def scan(docs: DataFrame, *, templates: dict[str, str] | None = None, phrases: dict[str, str] | None = None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: its words, base phrases, labels, best containment and matched spans."""
@@ -119,19 +178,11 @@ def scan(docs: DataFrame, *, templates: dict[str, str] | None = None, phrases: d
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [()] * len(names), kinds, strict=True)], names)
 
     def one(matcher: Matcher, wanted: list, doc_id: int, text: bytes) -> tuple:
-        parted = text.lower().translate(_PARTS)
-        words = parted.split()
+        words = text.lower().translate(_PARTS).split()
         joined = b" " + b" ".join(words) + b" "
         places = {label: at for p, label in wanted if (at := _places(joined, p))}
         every = [x for at in places.values() for x in at]
-        matched: dict[str, float] = {}
-        blocks = []
-        if not matcher.rare.isdisjoint(words):
-            for number, line in enumerate(parted.split(b"\n")):
-                if got := matcher.match(line.split()):
-                    blocks.append(number)
-                    for k, v in got.items():
-                        matched[k] = max(v, matched.get(k, 0))
+        matched, blocks = ({}, []) if matcher.rare.isdisjoint(words) else matcher.windows(words)
         score = 1.0 if every else max(matched.values(), default=0.0)
         return doc_id, len(words), len(every), min(every, default=None), max(every, default=None), ",".join(sorted(places)), ",".join(sorted({*places, *matched})), score, blocks
 

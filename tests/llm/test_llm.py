@@ -181,6 +181,27 @@ def test_license_scan(docs, empty):
         assert set(matcher.match(block)) == want
 
 
+def test_license_windows(spark):
+    rng = random.Random(8)
+    prose = lambda n: [rng.choice("lorem ipsum dolor sit amet so no".split()) for _ in range(n)]
+    mit = " * Permission is hereby granted, free of charge, to any\n * person obtaining a copy of this software and\n * associated documentation files (the "
+    bsd = "Redistribution and use in source and binary forms,\r\nwith or without modification, are permitted provided\r\n\r\nthat the following conditions are met:"
+    long_ = prose(600)
+    for at, w in zip((3, 120, 250, 380, 590), "released under the mit license".split(), strict=True):
+        long_[at] = w  # all words of a template, scattered over one line
+    late = " ".join([*prose(5000), "released under the terms of the MIT license", *prose(300)])
+    docs = spark.createDataFrame(list(enumerate([mit, bsd, " ".join(long_), late, f"{' '.join(prose(40))} {bsd} {' '.join(prose(50))}"])), "doc_id long, text string")
+    got = {r["doc_id"]: (r["labels"], r["score"], r["blocks"]) for r in license_scan.scan(docs).collect()}
+    assert {i: x[0] for i, x in got.items()} == {0: "mit-grant", 1: "bsd-grant", 2: "", 3: "mit", 4: "bsd-grant"}
+    assert got[2][1:] == (0.0, []) and got[3][1:] == (1.0, [5000]) and got[4][2] == [40]
+    # the filters lose no window: against plain counting of all
+    matcher = license_scan.Matcher(license_scan.TEMPLATES, {}, 0.6)
+    for _ in range(100):
+        block = [rng.choice([b"x", rng.choice(sorted(matcher.rank)), rng.choice(sorted(matcher.sets["mit"]))]) for _ in range(rng.randint(1, 60))]
+        best = {k: max(len(s & set(block[i : i + matcher.width[k]])) for i in range(len(block))) for k, s in matcher.sets.items()}
+        assert matcher.windows(block)[0] == {k: n / len(matcher.sets[k]) for k, n in best.items() if n >= matcher.need[k]}
+
+
 def test_mixing(docs, empty):
     totals = {"a": 9000, "b": 600, "c": 400}
     w = mixing.tempered(totals, mixing.exponent_for(totals, 10000, 0.9, 10))
