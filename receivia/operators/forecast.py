@@ -59,12 +59,45 @@ def _holt_at(y: np.ndarray, a: float, b: float) -> tuple[float, np.ndarray]:
     return float(rest @ rest), start
 
 
-def _search(loss, low: list[float], high: list[float], rounds: int = 7, points: int = 7) -> list[float]:
-    """The best point of a grid that closes in on its best cell."""
+def _without(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Columns of y less their part along those of x."""
+    size = (x * x).sum(axis=0)
+    return y - x * np.divide((x * y).sum(axis=0), size, out=np.zeros_like(size), where=size > 0)
+
+
+def _holt_losses(y: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sums of squares as _holt_at gives them, for many parameters at once."""
+    level, slope = np.zeros((3, len(a))), np.zeros((3, len(a)))
+    level[1], slope[2] = 1.0, 1.0
+    errors = np.empty((len(y), 3, len(a)))
+    for i, v in enumerate(y):
+        e = -level - slope
+        e[0] += v
+        errors[i] = e
+        level, slope = level + slope + a * e, slope + a * b * e
+    rest, by_level, by_slope = errors[:, 0], errors[:, 1], errors[:, 2]
+    by_slope = _without(by_level, by_slope)
+    rest = _without(by_slope, _without(by_level, rest))
+    return (rest * rest).sum(axis=0)
+
+
+def _ses_losses(y: np.ndarray, a: np.ndarray) -> np.ndarray:
+    e, g = np.empty((len(y), len(a))), np.empty((len(y), len(a)))
+    level, lead = np.zeros(len(a)), np.ones(len(a))
+    for i, v in enumerate(y):
+        e[i], g[i] = v - level, lead
+        level, lead = level + a * (v - level), lead * (1 - a)
+    rest = _without(g, e)
+    return (rest * rest).sum(axis=0)
+
+
+def _search(losses, low: list[float], high: list[float], rounds: int = 7, points: int = 7) -> list[float]:
+    """The best point of a grid that closes in on its best cell; losses takes columns of points."""
     low, high, best = list(low), list(high), None
     for _ in range(rounds):
         axes = [np.linspace(lo, hi, points) for lo, hi in zip(low, high, strict=True)]
-        best = min(np.stack(np.meshgrid(*axes), -1).reshape(-1, len(axes)), key=lambda x: loss(*x)).tolist()
+        grid = np.stack(np.meshgrid(*axes), -1).reshape(-1, len(axes))
+        best = grid[np.argmin(losses(*grid.T))].tolist()
         step = [(hi - lo) / (points - 1) for lo, hi in zip(low, high, strict=True)]
         low, high = [max(b - s, lo) for b, s, lo in zip(best, step, low, strict=True)], [min(b + s, hi) for b, s, hi in zip(best, step, high, strict=True)]
     return best
@@ -72,7 +105,7 @@ def _search(loss, low: list[float], high: list[float], rounds: int = 7, points:
 
 def fit_holt(y: np.ndarray, horizon: int) -> tuple[np.ndarray, float, int]:
     """Linear trend smoothing; forecast, sum of squares, parameters. The start is solved for."""
-    a, b = _search(lambda a, b: _holt_at(y, a, a * b)[0], [1e-4, 1e-4], [0.9999, 0.9999])
+    a, b = _search(lambda a, b: _holt_losses(y, a, a * b), [1e-4, 1e-4], [0.9999, 0.9999])
     b = a * b
     sse, (level, slope) = _holt_at(y, a, b)
     for v in y:
@@ -91,7 +124,7 @@ def fit_ses(y: np.ndarray, horizon: int) -> tuple[np.ndarray, float, int]:
         start, rest = least_squares(g[:, None], e)
         return float(rest @ rest), float(level + lead * start[0])
 
-    (a,) = _search(lambda a: at(a)[0], [1e-4], [0.9999])
+    (a,) = _search(lambda a: _ses_losses(y, a), [1e-4], [0.9999])
     sse, level = at(a)
     return np.full(horizon, level), sse, 2
 

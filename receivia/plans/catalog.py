@@ -597,20 +597,59 @@ def brand_decomposition(m: Sales) -> DataFrame:
     return series.decompose(_panel(m))
 
 
+@query()
+def brand_difference_ar_six_steps(m: Sales) -> DataFrame:
+    return forecast.difference_ar(_panel(m), 6).withColumn("forecast", F.round("forecast", 4))
+
+
+def _whole_and_brands(m: Sales) -> DataFrame:
+    """The brands' panel and the series of all lines."""
+    return _panel(m, None).unionByName(_panel(m))
+
+
 @query()
 def model_errors(m: Sales) -> DataFrame:
-    p = _panel(m, None)
-    return forecast.errors(forecast.rolling_origin(p, least=60))
+    return forecast.errors(forecast.rolling_origin(_whole_and_brands(m)))
 
 
 @query()
 def model_choice(m: Sales) -> DataFrame:
-    return forecast.choose(forecast.errors(forecast.rolling_origin(_panel(m, None), least=60)))
+    return forecast.choose(forecast.errors(forecast.rolling_origin(_whole_and_brands(m))))
 
 
 @query()
 def model_information(m: Sales) -> DataFrame:
-    return forecast.information(_panel(m, None))
+    return forecast.information(_whole_and_brands(m))
+
+
+@query()
+def customer_model_errors(m: Sales) -> DataFrame:
+    return forecast.errors(forecast.rolling_origin(_panel(m, "customer_code")))
+
+
+@query()
+def customer_model_choice(m: Sales) -> DataFrame:
+    return forecast.choose(forecast.errors(forecast.rolling_origin(_panel(m, "customer_code"))))
+
+
+@query()
+def customer_model_information(m: Sales) -> DataFrame:
+    return forecast.information(_panel(m, "customer_code"))
+
+
+@query()
+def item_model_errors(m: Sales) -> DataFrame:
+    return forecast.errors(forecast.rolling_origin(_panel(m, "item_code")))
+
+
+@query()
+def item_model_choice(m: Sales) -> DataFrame:
+    return forecast.choose(forecast.errors(forecast.rolling_origin(_panel(m, "item_code"))))
+
+
+@query()
+def item_model_information(m: Sales) -> DataFrame:
+    return forecast.information(_panel(m, "item_code"))
 
 
 @query()
@@ -618,6 +657,16 @@ def brand_panel_forecast(m: Sales) -> DataFrame:
     return forecast.panel_forecast(_panel(m))
 
 
+@query()
+def customer_panel_forecast(m: Sales) -> DataFrame:
+    return forecast.panel_forecast(_panel(m, "customer_code"))
+
+
+@query()
+def item_panel_forecast(m: Sales) -> DataFrame:
+    return forecast.panel_forecast(_panel(m, "item_code"))
+
+
 @query(OVERDUE + _pareto("customer_code").replace(" p AS", " pp AS").replace("FROM p)", "FROM pp)") + """, facts AS (SELECT 'top10_share' AS fact, round(round(sum(value) FILTER (rank <= 10) / sum(value) * 100, 4) / 100, 6) AS value FROM r UNION ALL SELECT 'overdue_share', round(sum(overdue) / sum(balance), 6) FROM od UNION ALL SELECT 'customers_to_80pct', CAST(count(*) FILTER (cum_value - value < 0.8 * whole) AS DOUBLE) FROM r)
  SELECT fact, value, CASE WHEN (fact = 'top10_share' AND value > 0.5) OR (fact = 'overdue_share' AND value > 0.4) THEN 'high' WHEN fact = 'overdue_share' AND value > 0.1 THEN 'medium' ELSE 'info' END AS priority FROM facts""")
 def insight_facts(m: Sales) -> DataFrame:

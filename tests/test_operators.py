@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from receivia.functions import scalars as S
 from receivia.operators import attribution, forecast, quality, receivables, sales, series
+from receivia.plans import catalog, view
 from receivia.sources import readers, sinks
 
 D = dt.date
@@ -156,6 +157,27 @@ def test_published_forecasts(spark):
     assert {r["method"] for r in forecast.panel_forecast(short).collect()} == {"naive_fallback"}
 
 
+def test_whole_panels(spark):
+    """Every origin of every series from 10 months on, for the whole and every brand; 6 steps ahead."""
+    data = "/root/testdata/sf0.001"
+    found = catalog.QUERIES["model_errors"](spark, data).collect()
+    brands = {r["series_key"] for r in catalog.QUERIES["brand_naive_forecast"](spark, data).collect()}
+    months = view.Sales(spark, data).lines.select("month").distinct().count()
+    assert {r["series_key"] for r in found} == brands | {"all"} and {r["folds"] for r in found} == {months - 10}
+    ahead = catalog.QUERIES["brand_difference_ar_six_steps"](spark, data).collect()
+    assert {(r["series_key"], r["step"]) for r in ahead} == {(b, k) for b in brands for k in range(1, 7)}
+    for of, column in (("customer", "customer_code"), ("item", "item_code")):
+        keys = view.Sales(spark, data).lines.select(column).distinct().count()
+        assert catalog.QUERIES[f"{of}_panel_forecast"](spark, data).count() == 6 * keys
+        assert {f"{of}_model_errors", f"{of}_model_choice", f"{of}_model_information"} <= catalog.QUERIES.keys()
+
+
+def test_searched_losses():
+    y = np.random.default_rng(4).normal(50, 9, 30)
+    a, b = np.array([0.1, 0.5, 0.9]), np.array([0.05, 0.2, 0.8])
+    assert np.allclose(forecast._holt_losses(y, a, b), [forecast._holt_at(y, *x)[0] for x in zip(a, b, strict=True)])
+
+
 def test_errors(spark):
     folds = spark.createDataFrame([("s", "m", 100.0, 110.0), ("s", "m", 0.0, 5.0), ("s", "m", 200.0, 180.0)], "series_key string, model string, actual double, forecast double")
     r = one(forecast.errors(folds))
