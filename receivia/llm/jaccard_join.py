@@ -225,11 +225,17 @@ def jaccard_components(docs: DataFrame, *, n: int, num: int, den: int, id_col: s
 
 
 def keep_one(docs: DataFrame, *, n: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose document is the first of its component; columns as they are. Of
-    repeated rows one stays."""
-    first = jaccard_components(docs, n=n, num=num, den=den, id_col=id_col, text_col=text_col).filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_first")).distinct()
-    kept = docs.join(first, F.col(id_col) == F.col("_first")).drop("_first")
-    return kept.dropDuplicates([id_col])
+    """One row of each component of linked documents, the one with the smallest id; columns as they are.
+    Rows with one id are copies, of which one stays, only if their sets are equal too; with other
+    texts they are documents of their own. Rows with null id link with nothing, and all stay."""
+    # wordless texts have equal sets
+    words = F.when(F.col(text_col).cast("string").rlike(r"[^\x20\x09-\x0D]"), F.col(text_col))
+    keyed = docs.filter(F.col(id_col).isNotNull()).withColumn("_key", F.xxhash64(F.col(id_col), words))
+    found = jaccard_components(keyed.select("_key", text_col), n=n, num=num, den=den, id_col="_key", text_col=text_col).select(F.col("doc_id").alias("_key"), "component_id").distinct()
+    ids = keyed.select("_key", F.col(id_col).cast("long").alias("_id")).distinct()
+    first = found.join(ids, "_key").groupBy("component_id").agg(F.min(F.struct("_id", "_key"))["_key"].alias("_key")).select("_key")
+    kept = keyed.join(first, "_key").dropDuplicates([id_col, "_key"])
+    return kept.drop("_key").unionByName(docs.filter(F.col(id_col).isNull()))
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -347,3 +347,41 @@ def test_pipeline(spark, docs, empty):
             before, at = at, corpus_pipeline.cut(stage(spark, at, ""))
             assert name == "packing" or at.columns == table.columns
             assert at.count() <= 3 * before.count() or name == "packing"
+
+
+def test_pipeline_by_brute_force(spark):
+    """Near copies and repeats as counted by hand, over null ids, ids with several texts and copies."""
+    rng = random.Random(6)
+    text = lambda n: " ".join(f"w{rng.randrange(400)}" for _ in range(n))
+    a, b, c, passage = text(120), text(90), text(80), text(60)
+    near = " ".join(a.split()[:-2])
+    rows = [(None, a), (None, a), (None, None), (1, a), (1, a), (1, b), (2, near), (0, near + " end"), (3, c), (3, c.upper()), (3, f"{passage} {text(30)}"), (4, b), (5, ""), (5, " \n"), (5, None), (6, "x"), (7, f"{text(20)} {passage} {text(20)}"), (8, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long, k int")
+
+    def grams(t):
+        w = words((t or "").lower())
+        return frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
+
+    every = [(i, grams(t)) for i, t in rows if i is not None]
+    group = {x: {x} for x in every}
+    for x in every:
+        for y in every:
+            if x[1] and y[1] and 10 * len(x[1] & y[1]) >= 8 * len(x[1] | y[1]) and group[x] is not group[y]:
+                both = group[x] | group[y]
+                group.update(dict.fromkeys(both, both))
+    want = collections.Counter(min(g, key=lambda x: x[0]) for g in {id(g): g for g in group.values()}.values())
+    want.update((i, grams(t)) for i, t in rows if i is None)
+    kept = corpus_pipeline.cut(corpus_pipeline.near_duplicates(spark, docs, ""))
+    got = kept.collect()
+    assert kept.columns == docs.columns and all(rows[r["k"]] == (r["doc_id"], r["text"]) for r in got)
+    assert collections.Counter((r["doc_id"], grams(r["text"])) for r in got) == want
+    # the passage of 60 words stays in the document with the smaller id alone
+    shorter = {r["k"]: r["text"] for r in corpus_pipeline.substrings(spark, kept.filter("doc_id >= 3"), "").collect()}
+    held = {k: passage in " ".join(words(t)) for k, t in shorter.items()}
+    assert held[10] and not held[16] and len(words(shorter[16])) == 40
+    # packing: every row's words and end mark, in full
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(packing.default_tokenizer())
+    packed = corpus_pipeline.pack(spark, kept.coalesce(1), "").agg(F.sum("length")).first()[0]
+    assert packed == sum(len(t.encode(r["text"] or "", add_special_tokens=False).ids) + 1 for r in got)
