@@ -3,7 +3,7 @@
 Training counts hashed byte trigrams (letters in lower case, other ASCII as blanks) per language in
 grouped aggregation over all training rows; the model is one row of BUCKETS log probabilities per
 language. A document is read as runs of RUN trigrams. Expectation maximisation estimates the share
-of each language among its runs, for the one, two, ... most likely languages, and the set with the
+of each language among its runs, for the one, two, ... most likely languages up to all learned ones, and the set with the
 highest likelihood, less a penalty per language as in the Bayesian information criterion, is taken.
 The prediction is the language with the largest share, the score that share.
 
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from receivia.llm.common import in_batches, table
 
-BUCKETS, RUN, ROUNDS, MOST = 1 << 16, 32, 12, 4
+BUCKETS, RUN, ROUNDS = 1 << 16, 32, 12
 #: Bytes that a worker takes in hand at once; one longer text is taken alone.
 AT_ONCE = 1 << 20
 _KEPT = bytes(c if c >= 0x61 and c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
@@ -98,7 +98,7 @@ def shares(likelihood: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.
     wins = np.add.reduceat((p >= 1).astype(np.float64), starts, axis=0)
     wins[np.arange(len(sizes)), order[:, 0]] = np.inf
     order = np.argsort(-wins, axis=1, kind="stable")
-    for k in range(1, min(MOST, langs) + 1):
+    for k in range(1, langs + 1):
         pi = np.zeros((len(sizes), langs))
         np.put_along_axis(pi, order[:, :k], 1.0 / k, axis=1)
         for _ in range(ROUNDS if k > 1 else 0):

@@ -244,6 +244,19 @@ def test_language_id(spark, docs, empty):
     assert {r["lang_pred"] for r in language_id.predict(docs, language_id.train(empty)).collect()} == {"und"}
 
 
+def test_six_languages():
+    """A document's set may hold all learned languages."""
+    own = ["abcd", "efgh", "ijkl", "mnop", "qrst", "uvwx", "yzab"]
+    rng = random.Random(9)
+    text = lambda k, n: " ".join("".join(rng.choice(own[k]) for _ in range(5)) for _ in range(n)).encode()
+    n = np.stack([np.bincount(language_id._grams(text(k, 3000)), minlength=language_id.BUCKETS) + 0.2 for k in range(7)])
+    logs = np.log(n / n.sum(axis=1, keepdims=True))
+    grams = language_id._grams(b" ".join(text(k, 400) for k in range(6)))
+    cuts = np.arange(0, len(grams), language_id.RUN)
+    (pi,) = language_id.shares(np.add.reduceat(logs.T[grams], cuts, axis=0), np.array([0]), np.array([len(cuts)]))
+    assert np.allclose(pi, [1 / 6] * 6 + [0], atol=0.01)
+
+
 def test_quality_rules(docs, empty):
     by = {r["doc_id"]: r for r in quality_rules.judge(docs).collect()}
     for i, t, *_ in ROWS:
