@@ -9,17 +9,21 @@ ones by frequency. Frequencies come from a pass over all documents that keeps th
 n-grams; the order decides only how much work there is, not what is found. Linked documents share
 an n-gram of their prefixes in that order at which the positional bound still allows the overlap.
 
-Documents with equal sets are one class. Within the documents of a prefix n-gram no pairs are
-emitted: every document meets the leader of the n-gram (least position, then smallest), pairs that
-pass the bound are counted, and components are formed. Then only documents that are not in their
-leader's component meet the others of the n-gram that are in other components, so every pair of
-different components is tested or excluded by its bound, and the components are exact.
+Documents with equal sets are one class, and only classes meet: a task gives out the prefix of a
+class once, however many copies it holds. Within the classes of a prefix n-gram no pairs are emitted:
+every class meets the leader of the n-gram (least position, then smallest), pairs that pass the bound
+are counted, and components are formed. Then only classes that are not in their leader's component
+meet those of the n-gram that are in other components, so every pair of different components is
+tested or excluded by its bound, and the components are exact.
 
 The overlap of a pair is counted vertically: the global hash order is cut into fragments, sets are
-cut at the same places, partial overlaps are counted per fragment, and summed per pair.
+cut at the same places, partial overlaps are counted per fragment, and summed per pair. N-grams and
+classes are known by 64-bit hashes.
 
 Null text and text without words link with nothing. Rows with null doc_id link with nothing and have
-component null. Repeated rows are one document, returned once per row. Empty tables give empty results.
+component null. Repeated rows are one document, returned once per row; rows that share a doc_id with
+other texts are judged each by its own text, and a component is named by its smallest doc_id. Empty
+tables give empty results.
 """
 
 from __future__ import annotations
@@ -31,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from receivia.llm.common import cut, may_be_member, member_bits, table
+from receivia.llm.common import cut, held, in_arrow, may_be_member, member_bits, quoted, table
 from receivia.llm.components import components
 from receivia.llm.rolling import Powers, mix, word_hashes
 
@@ -51,75 +55,86 @@ def shingles(text: bytes, n: int, powers: Powers) -> np.ndarray:
     return np.unique(mix(powers.spans(sums, starts, starts + width) + _U(width)))
 
 
-def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+def _class_of(s: np.ndarray) -> tuple[int, int]:
+    """Two sums over a set, of which class_ids makes the id of its class."""
+    return int(s.sum(dtype=_U)), int(mix(s ^ _U(0x5851F42D4C957F2D)).sum(dtype=_U))
+
+
+def _class_ids(sums: list[tuple[int, int]], sizes: list[int]) -> np.ndarray:
+    one, two = np.array(sums, _U).reshape(-1, 2).T
+    return mix(one ^ mix(two + np.array(sizes, _U))).view(np.int64)
 
 
 def summary(docs: DataFrame, n: int) -> DataFrame:
-    """Per document doc_id, size and fingerprint of its set; and, with size -1, frequent n-grams."""
+    """Per row of docs (doc_id, tag, text) its doc_id, tag, size and class; and, with size -1, frequent
+    n-grams (as class) and how often they were seen (as tag)."""
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, seen, held = Powers(), [], 0
+        powers, seen, held_ = Powers(), [], 0
         hot, times = np.zeros(0, _U), np.zeros(0, np.int64)
 
         def merge() -> tuple[np.ndarray, np.ndarray]:
             keys, inverse = np.unique(np.concatenate([hot, *seen]), return_inverse=True)
-            count = np.bincount(inverse, np.concatenate([times, np.ones(held)]), len(keys)).astype(np.int64)
+            count = np.bincount(inverse, np.concatenate([times, np.ones(held_)]), len(keys)).astype(np.int64)
             best = np.flatnonzero(count > 1)
             best = best[np.argsort(-count[best], kind="stable")[:HOT_OF_TASK]]
             return keys[best], count[best]
 
         for b in batches:
-            size, one, two = [], [], []
+            sizes, sums = [], []
             for text in b.column("text"):
                 s = shingles(text.as_py() or b"", n, powers)
-                size.append(len(s))
-                one.append(int(s.sum(dtype=_U)))
-                two.append(int(mix(s ^ _U(0x5851F42D4C957F2D)).sum(dtype=_U)))
+                sizes.append(len(s))
+                sums.append(_class_of(s))
                 seen.append(s)
-                held += len(s)
-                if held > 1_500_000:
+                held_ += len(s)
+                if held_ > 1_000_000:
                     hot, times = merge()
-                    seen, held = [], 0
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(size, pa.int64()), pa.array(np.array(one, _U).view(np.int64)), pa.array(np.array(two, _U).view(np.int64))], names)
+                    seen, held_ = [], 0
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tag"), pa.array(sizes, pa.int64()), pa.array(_class_ids(sums, sizes))], names)
         if seen:
             hot, times = merge()
         keep = times >= 2
-        yield pa.RecordBatch.from_arrays([pa.nulls(int(keep.sum()), pa.int64()), pa.array(np.full(int(keep.sum()), -1)), pa.array(hot[keep].view(np.int64)), pa.array(times[keep])], names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(int(keep.sum()), pa.int64()), pa.array(times[keep]), pa.array(np.full(int(keep.sum()), -1)), pa.array(hot[keep].view(np.int64))], names)
 
-    names = ["doc_id", "size", "one", "two"]
-    return docs.mapInArrow(rows, "doc_id long, size long, one long, two long")
+    names = ["doc_id", "tag", "size", "class"]
+    return in_arrow(docs, rows, "doc_id long, tag long, size long, class long")
 
 
 def _prefixes(docs: DataFrame, n: int, num: int, den: int, order) -> DataFrame:
-    """key, pos, size, doc_id: the n-grams of every document's prefix in the global order."""
+    """key, place, class: the n-grams of every class's prefix in the global order, once per task at
+    least. The place holds the position and the size of the set."""
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = Powers()
+        powers, met = Powers(), set()
         hot, rank = order.value
         for b in batches:
             out: list[tuple] = []
-            held = 0
-            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
+            held_ = 0
+            for text in b.column("text"):
                 s = shingles(text.as_py() or b"", n, powers)
-                if doc_id is None or not len(s):
+                if not len(s):
+                    continue
+                own = int(_class_ids([_class_of(s)], [len(s)])[0])
+                if own in met:
                     continue
+                met.add(own)
                 width = len(s) - -(-num * len(s) // den) + 1
+                size = len(s)
                 if len(hot):
                     at = np.minimum(np.searchsorted(hot, s), len(hot) - 1)
                     frequent = hot[at] == s
                     s = np.concatenate([s[~frequent], s[frequent][np.argsort(rank[at[frequent]], kind="stable")]])
-                k = mix(s[:width]).view(np.int64)
-                out.append((k, np.arange(width), np.full(width, len(s)), np.full(width, doc_id)))
-                held += width
-                if held > 100_000:
+                out.append((mix(s[:width]).view(np.int64), (np.arange(width) << 32) + size, np.full(width, own)))
+                held_ += width
+                if held_ > 50_000:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names)
-                    out, held = [], 0
+                    out, held_ = [], 0
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names)
 
-    names = ["key", "pos", "size", "doc_id"]
-    return docs.mapInArrow(rows, "key long, pos long, size long, doc_id long")
+    names = ["key", "place", "class"]
+    return in_arrow(docs.select("text"), rows, "key long, place long, class long")
 
 
 def _need(a: Column, b: Column, num: int, den: int) -> Column:
@@ -127,115 +142,124 @@ def _need(a: Column, b: Column, num: int, den: int) -> Column:
     return F.floor((num * (a + b) + (num + den - 1)) / (num + den))
 
 
-def _may_link(size: Column, pos: Column, size2: Column, pos2: Column, num: int, den: int) -> Column:
+def _may_link(place: Column, place2: Column, num: int, den: int) -> Column:
     """Length and positional bound at a shared n-gram."""
+    pos, pos2 = F.shiftright(place, 32), F.shiftright(place2, 32)
+    size, size2 = place.bitwiseAND(0xFFFFFFFF), place2.bitwiseAND(0xFFFFFFFF)
     return (den * F.least(size, size2) >= num * F.greatest(size, size2)) & (1 + F.least(size - pos - 1, size2 - pos2 - 1) >= _need(size, size2, num, den))
 
 
 def _segments(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """doc_id, fragment, segment: the sets of wanted (and perhaps some other) documents, cut at
+    """class, fragment, segment: the sets of the wanted (and perhaps some other) documents, cut at
     fixed places of the order. Texts stay where they are; a bitmap tells which to read."""
-    bits = member_bits(wanted, "doc_id")
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, bounds = Powers(), (np.arange(1, FRAGMENTS, dtype=_U) * _U(2**64 // FRAGMENTS))
         for b in batches:
-            ids, fragment, parts = [], [], []
-            own, texts = b.column("doc_id"), b.column("text")
-            for r in np.flatnonzero(may_be_member(bits.value, b.column("hash").to_numpy())):
-                s = shingles(texts[r].as_py() or b"", n, powers)
-                for f, part in enumerate(np.split(s, np.searchsorted(s, bounds))):
-                    ids.append(own[r].as_py())
-                    fragment.append(f)
-                    parts.append(part.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(fragment, pa.int64()), pa.array(parts, pa.list_(pa.int64()))], ["doc_id", "fragment", "segment"])
+            sets = [s for t in b.column("text") if len(s := shingles(t.as_py() or b"", n, powers))]
+            if sets:
+                ids = np.repeat(_class_ids([_class_of(s) for s in sets], [len(s) for s in sets]), FRAGMENTS)
+                parts = [x.view(np.int64) for s in sets for x in np.split(s, np.searchsorted(s, bounds))]
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.tile(np.arange(FRAGMENTS), len(sets))), pa.array(parts, pa.list_(pa.int64()))], ["class", "fragment", "segment"])
 
-    return docs.withColumn("hash", F.xxhash64("doc_id")).mapInArrow(rows, "doc_id long, fragment long, segment array<long>")
+    some = may_be_member(docs, F.xxhash64("doc_id"), member_bits(wanted, "doc_id"))
+    return in_arrow(some.select("text"), rows, "class long, fragment long, segment array<long>")
 
 
-def _linked(docs: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Those of pairs (u, v, su, sv: documents and their set sizes) that link, with the overlap."""
+def _linked(docs: DataFrame, pairs: DataFrame, classes: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """Those of pairs (u, v, su, sv: classes and their set sizes) that link; classes has the first document of each."""
     pairs = cut(pairs)
-    wanted = pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct()
+    wanted = pairs.select(F.col("u").alias("class")).union(pairs.select("v")).distinct().join(classes, "class").select(F.col("first").alias("doc_id"))
     parts = cut(_segments(docs, wanted, n))
     fragments = pairs.withColumn("fragment", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(FRAGMENTS - 1).cast("long"))))
-    left = fragments.join(parts.select(F.col("doc_id").alias("v"), "fragment", F.col("segment").alias("right")), ["v", "fragment"])
-    met = left.join(parts.select(F.col("doc_id").alias("u"), "fragment", F.col("segment").alias("left")), ["u", "fragment"])
+    left = fragments.join(parts.select(F.col("class").alias("v"), "fragment", F.col("segment").alias("right")), ["v", "fragment"])
+    met = left.join(parts.select(F.col("class").alias("u"), "fragment", F.col("segment").alias("left")), ["u", "fragment"])
     partial = met.select("u", "v", "su", "sv", "fragment", F.size(F.array_intersect("left", "right")).alias("n"))
-    once = partial.groupBy("u", "v", "su", "sv", "fragment").agg(F.max("n").alias("n"))  # repeated rows of a document count once
-    return once.groupBy("u", "v", "su", "sv").agg(F.sum("n").alias("overlap")).filter(den * F.col("overlap") >= num * (F.col("su") + F.col("sv") - F.col("overlap")))
+    once = partial.groupBy("u", "v", "su", "sv", "fragment").agg(F.max("n").alias("n"))  # a class read from several rows counts once
+    overlap = once.groupBy("u", "v", "su", "sv").agg(F.sum("n").alias("overlap"))
+    return overlap.filter(den * F.col("overlap") >= num * (F.col("su") + F.col("sv") - F.col("overlap"))).select("u", "v")
 
 
-def jaccard_components(docs: DataFrame, *, n: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of docs."""
-    spark = docs.sparkSession
-    texts = _texts(docs, id_col, text_col)
+def classes_and_links(texts: DataFrame, *, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of texts (doc_id, tag, text): own (doc_id, tag, size and class of every row), classes (class, first
+    and n: its smallest doc_id and its rows) and linked (class, component) of the classes that link with others."""
+    spark = texts.sparkSession
     known = texts.filter(F.col("doc_id").isNotNull())
     seen = cut(summary(texts, n))
     own = seen.filter("size >= 0")
-    frequent = seen.filter("size = -1").groupBy(F.col("one").alias("gram")).agg(F.sum("two").alias("times")).filter(F.col("times") >= HOT_FROM).orderBy(F.desc("times"), "gram").limit(HOT).toPandas()
+    frequent = seen.filter("size = -1").groupBy(F.col("class").alias("gram")).agg(F.sum("tag").alias("times")).filter(F.col("times") >= HOT_FROM).orderBy(F.desc("times"), "gram").limit(HOT).toPandas()
     hot = frequent["gram"].to_numpy(np.int64).view(_U)
     by = np.argsort(hot)
     order = spark.sparkContext.broadcast((hot[by], frequent["times"].to_numpy(np.int64)[by]))
-
-    classes = own.filter("size > 0 AND doc_id IS NOT NULL").groupBy("size", "one", "two").agg(F.min("doc_id").alias("first"))
-    member = cut(own.filter("size > 0 AND doc_id IS NOT NULL").join(classes, ["size", "one", "two"]).select("doc_id", "first").distinct())
-    first_of = lambda c, to: member.select(F.col("doc_id").alias(c), F.col("first").alias(to))
+    classes = cut(own.filter("size > 0 AND doc_id IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
 
     prefixes = _prefixes(known, n, num, den, order)
-    place = F.shiftleft("pos", 32) + F.col("size")
-    leaders = prefixes.groupBy("key").agg(F.min_by("doc_id", place).alias("lead"), F.min(place).alias("lead_place"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    met = cut(prefixes.join(leaders, "key").select("key", "pos", "size", "doc_id", F.shiftright("lead_place", 32).alias("lead_pos"), F.col("lead_place").bitwiseAND(0xFFFFFFFF).alias("lead_size"), "lead"))
-
-    keys_of = cut(met.groupBy("doc_id").agg(F.collect_list("key").alias("keys")))
+    leaders = cut(prefixes.groupBy("key").agg(F.min_by("class", F.struct("place", "class")).alias("lead"), F.min("place").alias("lead_place"), F.min("class").alias("a"), F.max("class").alias("b")).filter("a < b").drop("a", "b"))
+    met = cut(prefixes.join(leaders, "key"), 4 * leaders.count())
+    keys_of = cut(met.groupBy("class").agg(F.collect_set("key").alias("keys")), met.count())
 
-    def likely(pairs: DataFrame) -> DataFrame:
-        """pairs whose shared prefix n-grams allow the overlap: what is shared beyond the prefix that
-        ends first is at most the rest of that document's set."""
+    def to_pairs(found: DataFrame) -> DataFrame:
+        """found (x, px, y, py) as distinct pairs whose shared prefix n-grams allow the overlap: what is
+        shared beyond the prefix that ends first is at most the rest of that class's set."""
+        turned = F.col("x") < F.col("y")
+        pick = lambda a, b: F.when(turned, F.col(a)).otherwise(F.col(b))
+        size = lambda a, b: pick(a, b).bitwiseAND(0xFFFFFFFF)
+        pairs = found.select(pick("x", "y").alias("u"), pick("y", "x").alias("v"), size("px", "py").alias("su"), size("py", "px").alias("sv")).distinct()
         rest = lambda c: F.ceil(num * F.col(c) / F.lit(den)) - 1
-        both = pairs.join(keys_of.select(F.col("doc_id").alias("u"), F.col("keys").alias("ku")), "u").join(keys_of.select(F.col("doc_id").alias("v"), F.col("keys").alias("kv")), "v")
+        both = pairs.join(keys_of.select(F.col("class").alias("u"), F.col("keys").alias("ku")), "u").join(keys_of.select(F.col("class").alias("v"), F.col("keys").alias("kv")), "v")
         most = F.size(F.array_intersect("ku", "kv")) + F.greatest(rest("su"), rest("sv"))
         return both.filter(most >= _need(F.col("su"), F.col("sv"), num, den)).select("u", "v", "su", "sv")
 
-    def to_pairs(found: DataFrame) -> DataFrame:
-        """found (x, sx, y, sy) as distinct pairs of classes that may link."""
-        classed = found.distinct().join(first_of("x", "fx"), "x").join(first_of("y", "fy"), "y").filter("fx <> fy")
-        turned = F.col("fx") < F.col("fy")
-        pick = lambda a, b: F.when(turned, F.col(a)).otherwise(F.col(b))
-        return likely(classed.select(pick("fx", "fy").alias("u"), pick("fy", "fx").alias("v"), pick("sx", "sy").alias("su"), pick("sy", "sx").alias("sv")).distinct())
-
-    passing = met.filter((F.col("doc_id") != F.col("lead")) & _may_link(F.col("size"), F.col("pos"), F.col("lead_size"), F.col("lead_pos"), num, den))
-    stars = to_pairs(passing.select(F.col("doc_id").alias("x"), F.col("size").alias("sx"), F.col("lead").alias("y"), F.col("lead_size").alias("sy")))
-    links = cut(_linked(known, stars, n, num, den).select("u", "v"))
+    passing = met.filter((F.col("class") != F.col("lead")) & _may_link(F.col("place"), F.col("lead_place"), num, den))
+    stars = to_pairs(passing.select(F.col("class").alias("x"), F.col("place").alias("px"), F.col("lead").alias("y"), F.col("lead_place").alias("py")))
+    links = cut(_linked(known, stars, classes, n, num, den))
     found = components(links)
 
-    # documents outside their leader's component meet those of other components
-    label = member.join(found.withColumnRenamed("node", "first"), "first", "left").select("doc_id", F.coalesce("component", "first").alias("label"))
-    label_of = lambda c, to: label.select(F.col("doc_id").alias(c), F.col("label").alias(to))
-    labelled = met.join(label_of("doc_id", "label"), "doc_id").join(label_of("lead", "lead_label"), "lead")
-    apart = labelled.filter("label <> lead_label").select("key", F.col("doc_id").alias("x"), F.col("size").alias("sx"), F.col("pos").alias("px"), F.col("label").alias("lx"))
-    others = labelled.select("key", F.col("doc_id").alias("y"), F.col("size").alias("sy"), F.col("pos").alias("py"), F.col("label").alias("ly"))
-    crossed = apart.join(others, "key").filter((F.col("lx") != F.col("ly")) & _may_link(F.col("sx"), F.col("px"), F.col("sy"), F.col("py"), num, den))
-    more = _linked(known, to_pairs(crossed.select("x", "sx", "y", "sy")), n, num, den).select("u", "v")
+    # classes outside their leader's component meet those of other components
+    label_of = lambda c, to: found.select(F.col("node").alias(c), F.col("component").alias(to))
+    labelled = met.join(label_of("class", "label"), "class", "left").join(label_of("lead", "lead_label"), "lead", "left").withColumns({"label": F.coalesce("label", "class"), "lead_label": F.coalesce("lead_label", "lead")})
+    apart = labelled.filter("label <> lead_label").select("key", F.col("class").alias("x"), F.col("place").alias("px"), F.col("label").alias("lx")).distinct()
+    others = labelled.select("key", F.col("class").alias("y"), F.col("place").alias("py"), F.col("label").alias("ly")).distinct()
+    crossed = apart.join(others, "key").filter((F.col("lx") != F.col("ly")) & _may_link(F.col("px"), F.col("py"), num, den))
+    more = _linked(known, to_pairs(crossed.select("x", "px", "y", "py")), classes, n, num, den)
     final = components(links.unionByName(more))
+    return own, classes, final.select(F.col("node").alias("class"), "component")
+
 
-    by_class = classes.join(final.withColumnRenamed("node", "first"), "first", "left").select("size", "one", "two", F.coalesce("component", "first").alias("component"))
-    joined = own.join(by_class, ["size", "one", "two"], "left")
+def jaccard_components(docs: DataFrame, *, n: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of docs."""
+    texts = docs.select(quoted(id_col).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("tag"), quoted(text_col).cast("binary").alias("text"))
+    own, classes, linked = classes_and_links(texts, n=n, num=num, den=den)
+    met = linked.join(classes, "class")
+    least = met.groupBy("component").agg(F.min("first").alias("least"))
+    named = met.join(least, "component").select("class", "least")
+    shared = cut(classes.join(named, "class", "left").filter("n > 1 OR least IS NOT NULL").select("class", F.coalesce("least", "first").alias("component")))
+    joined = own.join(shared, "class", "left")
     return joined.select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, *, n: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component of linked documents, the one with the smallest id; columns as they are.
     Rows with one id are copies, of which one stays, only if their sets are equal too; with other
-    texts they are documents of their own. Rows with null id link with nothing, and all stay."""
+    texts they are documents of their own. Rows with null id link with nothing, and all stay. Texts
+    are moved only of rows that may go."""
     # wordless texts have equal sets
-    words = F.when(F.col(text_col).cast("string").rlike(r"[^\x20\x09-\x0D]"), F.col(text_col))
-    keyed = docs.filter(F.col(id_col).isNotNull()).withColumn("_key", F.xxhash64(F.col(id_col), words))
-    found = jaccard_components(keyed.select("_key", text_col), n=n, num=num, den=den, id_col="_key", text_col=text_col).select(F.col("doc_id").alias("_key"), "component_id").distinct()
-    ids = keyed.select("_key", F.col(id_col).cast("long").alias("_id")).distinct()
-    first = found.join(ids, "_key").groupBy("component_id").agg(F.min(F.struct("_id", "_key"))["_key"].alias("_key")).select("_key")
-    kept = keyed.join(first, "_key").dropDuplicates([id_col, "_key"])
-    return kept.drop("_key").unionByName(docs.filter(F.col(id_col).isNull()))
+    text = quoted(text_col)
+    tag = F.xxhash64(F.when(text.cast("string").rlike(r"[^\x20\x09-\x0D]"), text))
+    rows = held(docs, id=quoted(id_col).cast("long"), tag=tag)
+    known = rows.filter(F.col("id").isNotNull())
+    texts = docs.select(quoted(id_col).cast("long").alias("doc_id"), tag.alias("tag"), text.cast("binary").alias("text")).filter(F.col("doc_id").isNotNull())
+    own, _, linked = classes_and_links(texts, n=n, num=num, den=den)
+    placed = own.join(cut(linked), "class", "left").select("doc_id", "tag", "size", F.coalesce("component", "class").alias("component"))
+    counted = placed.groupBy("doc_id", "tag", "size", "component").agg(F.count("*").alias("n"))
+    least = cut(counted.filter("size > 0").groupBy("component").agg(F.min(F.struct("doc_id", "tag")).alias("least"), F.count("*").alias("rows")).filter("rows > 1"))
+    judged = counted.join(least, "component", "left").select("doc_id", "tag", "n", F.coalesce((F.col("size") > 0) & (F.struct("doc_id", "tag") != F.col("least")), F.lit(False)).alias("goes"))
+    moved = cut(judged.filter("goes OR n > 1"))
+    bitmap = member_bits(moved.select(F.xxhash64("doc_id", "tag").alias("key")), "key")
+    key = F.xxhash64(F.xxhash64("id", "tag"))
+    stay = may_be_member(known, key, bitmap, others=True).select("row.*")
+    asked = may_be_member(known, key, bitmap).join(moved.filter("goes").select(F.col("doc_id").alias("id"), "tag"), ["id", "tag"], "left_anti")
+    return stay.unionByName(asked.dropDuplicates(["id", "tag"]).select("row.*")).unionByName(rows.filter(F.col("id").isNull()).select("row.*"))
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,16 +1,19 @@
 """Operator 6: mixing sources to target weights by temperature.
 
-Source token shares are raised to an exponent and normalised. The exponent is found by bisection:
-the largest (nearest to the natural shares) whose weights reach the target entropy, as a share of
-the greatest possible, and not below the one at which no source is repeated more often than
-max_repeat. Weights are realised by block permutations: a source's documents are dealt by a seeded
-hash into blocks; its token budget is spent on whole passes over all blocks and then on blocks in
-order, the last of them as far as documents (by hash) still fit. What a document contributes
-follows from its hash and one small row per source, so documents are never sorted or moved.
-
-Only per-source totals reach the driver, MOST_SOURCES at most; more raise an error. A null source
-is a source of its own (""). Null text counts as no tokens. Repeated rows are dealt alike. If the
-corpus has no tokens, or the table is empty, every document is used once.
+Source token shares are raised to an exponent and normalised. The exponent is found by bisection (in
+PARTS parts at once, each pass one aggregation over the sources): the largest (nearest to the natural
+shares) whose weights reach the target entropy, as a share of the greatest possible, and not below the
+one at which no source is repeated more often than max_repeat. Weights are realised by block
+permutations: a source's documents are dealt by a seeded hash into blocks, and every pass over the
+source takes its blocks in an order of its own. The token budget is spent on whole passes and then on
+blocks of a last pass in its order, the last of them as far as documents (by hash) still fit. A used
+copy of a document has its pass, its block and its position in the mixture, between 0 and 1: how much of
+its source's budget was spent before its block. In order of position the sources alternate by weight,
+and copies of one document stand a pass apart.
+
+A null source is a source of its own (""). Null text counts as no tokens; a source without tokens is
+used once. Repeated rows are dealt alike, ties in position stand in the order of the documents' hashes.
+If the corpus has no tokens, or the table is empty, every document is used once.
 """
 
 from __future__ import annotations
@@ -21,96 +24,120 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from receivia.llm.common import SPACE, cut, table
+from receivia.llm.common import SPACE, cut, held, quoted, table
 
-MOST_SOURCES = 100_000
-PLAN = "_source string, weight double, passes long, rest double, blocks long"
+#: Sources whose plan goes to every executor; the plan of more meets the documents in a shuffle.
+BROADCAST_SOURCES = 100_000
+PARTS, PASSES = 32, 8
 
 
-def words(text: str = "text") -> Column:
+def words(text: Column) -> Column:
     return F.coalesce(F.size(F.filter(F.split(text, SPACE), lambda w: w != "")), F.lit(0)).cast("long")
 
 
-def tempered(totals: dict[str, int], exponent: float) -> dict[str, float]:
-    raised = {k: n**exponent for k, n in totals.items() if n > 0}
-    whole = sum(raised.values())
-    return {k: raised.get(k, 0.0) / whole for k in totals} if whole else dict.fromkeys(totals, 0.0)
+def _moments(totals: DataFrame, exponents: list[float]) -> dict[float, tuple[float, float]]:
+    """For each exponent a: the sums over sources of n ** a and of n ** a * ln n."""
+    n = F.col("n").cast("double")
+    raised = totals.select(n.alias("n"), F.explode(F.array(*map(F.lit, exponents))).alias("a")).withColumn("p", F.pow("n", "a"))
+    return {r["a"]: (r["s"], r["t"]) for r in raised.groupBy("a").agg(F.sum("p").alias("s"), F.sum(F.col("p") * F.log("n")).alias("t")).collect()}
 
 
-def entropy(weights: dict[str, float]) -> float:
-    return -sum(w * math.log(w) for w in weights.values() if w > 0)
-
+def exponent_for(totals: DataFrame, budget: float, target: float, max_repeat: float) -> float:
+    """The exponent in [0, 1] for totals (n, the tokens of each source); the repetition limit goes before
+    the entropy."""
+    used = totals.filter("n > 0")
+    count, whole, least = used.agg(F.count("*"), F.sum("n"), F.min("n")).first()
+    if count < 2:
+        return 1.0
+    if budget > max_repeat * whole:
+        raise ValueError("the budget repeats every source more often than max_repeat")
 
-def _bisect(holds, low: float, high: float) -> float:
-    """The end of [low, high] that bounds where holds turns true; it holds at high."""
-    for _ in range(60):
-        middle = (low + high) / 2
-        low, high = (low, middle) if holds(middle) else (middle, high)
-    return high
+    def reached(a: float, s: float, t: float) -> bool:
+        return math.log(s) - a * t / s >= target * math.log(count) - 1e-12
 
+    def within(a: float, s: float, t: float) -> bool:
+        return budget * least ** (a - 1) / s <= max_repeat * (1 + 1e-12)  # the smallest source is repeated most
 
-def exponent_for(totals: dict[str, int], budget: float, target: float, max_repeat: float) -> float:
-    """The exponent in [0, 1]; the repetition limit goes before the entropy."""
-    used = [n for n in totals.values() if n > 0]
-    if len(used) < 2:
-        return 1.0
-    if budget > max_repeat * sum(used):
-        raise ValueError("the budget repeats every source more often than max_repeat")
-    reached = lambda a: entropy(tempered(totals, a)) >= target * math.log(len(used)) - 1e-12
-    within = lambda a: all(w * budget <= max_repeat * totals[k] * (1 + 1e-12) for k, w in tempered(totals, a).items())
-    by_entropy = 1.0 if reached(1.0) else 1 - _bisect(lambda x: reached(1 - x), 0.0, 1.0)
-    by_repeat = 0.0 if within(0.0) else _bisect(within, 0.0, 1.0)
-    return max(by_entropy, by_repeat)
+    # entropy falls with the exponent, and so do repetitions: [a, b] holds the end of each
+    entropy, repeat = (0.0, 1.0), (0.0, 1.0)
+    for _ in range(PASSES):
+        steps = lambda x: [x[0] + (x[1] - x[0]) * k / PARTS for k in range(PARTS + 1)]
+        seen = _moments(used, sorted({*steps(entropy), *steps(repeat)}))
+        good = max((a for a in steps(entropy) if reached(a, *seen[a])), default=entropy[0])
+        entropy = (good, min((a for a in steps(entropy) if a > good), default=good))
+        good = min((a for a in steps(repeat) if within(a, *seen[a])), default=repeat[1])
+        repeat = (max((a for a in steps(repeat) if a < good), default=good), good)
+    return max(entropy[0], repeat[1])
 
 
-def _hash(id_col: str, seed: int) -> Column:
-    return F.xxhash64(F.lit(seed), F.col(id_col))
+def _hash(seed: int, *of) -> Column:
+    return F.xxhash64(F.lit(seed), *of)
 
 
 def shares(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", target: float = 0.95, max_repeat: float = 4.0, budget: int | None = None, seed: int = 7) -> tuple[DataFrame, DataFrame]:
-    """One row per source (_source, weight, passes, block, cutoff), and the sized documents."""
-    spark = docs.sparkSession
-    sized = cut(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(source_col), F.lit("")).alias("_source"), words(text_col).alias("n_tokens"), _hash(id_col, seed).alias("_h")))
-    rows = sized.groupBy("_source").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("docs")).limit(MOST_SOURCES + 1).collect()
-    if len(rows) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    totals = {r["_source"]: r["n"] for r in rows}
-    whole = sum(totals.values())
+    """One row per source (source, n, weight, passes, rest, blocks, last and cutoff: the last block of the
+    last pass and the last hash in it), and the documents (doc_id, source, n_tokens, h)."""
+    sized = cut(docs.select(quoted(id_col).alias("doc_id"), F.coalesce(quoted(source_col), F.lit("")).alias("source"), words(quoted(text_col)).alias("n_tokens"), _hash(seed, quoted(id_col)).alias("h")))
+    totals = cut(sized.groupBy("source").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("docs")))
+    whole = totals.agg(F.sum("n")).first()[0] or 0
     spend = float(whole if budget is None else budget)
-    weights = tempered(totals, exponent_for(totals, spend, target, max_repeat))
-    plan = []
-    for r in rows:
-        n, w = r["n"], weights[r["_source"]]
-        passes = int(w * spend / n + 1e-9) if n and whole else 1
-        plan.append((r["_source"], w, passes, max(0.0, w * spend - passes * n) if n else 0.0, max(1, math.isqrt(r["docs"]))))
-    small = F.broadcast(spark.createDataFrame(plan, PLAN))  # at most MOST_SOURCES rows
-    dealt = sized.join(small, "_source").withColumn("_block", F.pmod("_h", "blocks"))
-    by_block = dealt.groupBy("_source", "_block", "rest").agg(F.sum("n_tokens").alias("n")).withColumn("through", F.sum("n").over(W.partitionBy("_source").orderBy("_block")))
-    last = by_block.filter("through > rest").groupBy("_source").agg(F.min(F.struct("_block", (F.col("through") - F.col("n")).alias("before"))).alias("b")).select("_source", F.col("b._block").alias("block"), F.col("b.before").alias("before"))
-    inside = dealt.join(last, "_source").filter("_block = block").withColumn("sum", F.col("before") + F.sum("n_tokens").over(W.partitionBy("_source").orderBy("_h")))
-    ends = inside.filter("sum <= rest").groupBy("_source").agg(F.max("_h").alias("cutoff"))
-    found = small.join(last.select("_source", "block"), "_source", "left").join(ends, "_source", "left")
-    return cut(found), sized
-
-
-def copies(of: Column) -> Column:
+    exponent = exponent_for(totals, spend, target, max_repeat)
+    scale = _moments(totals.filter("n > 0"), [exponent]).get(exponent, (1.0, 0.0))[0]
+    weight = F.when(F.col("n") > 0, F.pow(F.col("n").cast("double"), F.lit(exponent)) / scale).otherwise(0.0)
+    whole_passes = F.when(F.col("n") > 0, F.floor(F.col("weight") * spend / F.col("n") + 1e-9)).otherwise(1)
+    plan = totals.withColumn("weight", weight).withColumn("passes", whole_passes.cast("long")).select(
+        "source", "n", "weight", "passes", F.when(F.col("n") > 0, F.greatest(F.lit(0.0), F.col("weight") * spend - F.col("passes") * F.col("n"))).otherwise(0.0).alias("rest"), F.greatest(F.lit(1), F.floor(F.sqrt("docs"))).cast("long").alias("blocks"),
+    )
+    dealt = sized.join(_small(plan), "source").withColumn("turn", turn(F.col("passes"), block(), seed))
+    by_block = dealt.groupBy("source", "turn", "rest").agg(F.sum("n_tokens").alias("n")).withColumn("through", F.sum("n").over(W.partitionBy("source").orderBy("turn").rowsBetween(W.unboundedPreceding, 0)))
+    last = cut(by_block.filter("through > rest").groupBy("source").agg(F.min(F.struct("turn", (F.col("through") - F.col("n")).alias("before"))).alias("b")).select("source", F.col("b.turn").alias("last"), F.col("b.before").alias("before")))
+    inside = dealt.join(_small(last), "source").filter("turn = last").groupBy("source", "h", "before", "rest").agg(F.sum("n_tokens").alias("n")).withColumn("sum", F.col("before") + F.sum("n").over(W.partitionBy("source").orderBy("h")))
+    ends = inside.filter("sum <= rest").groupBy("source").agg(F.max("h").alias("cutoff"))
+    return cut(plan.join(last.select("source", "last"), "source", "left").join(ends, "source", "left")), sized
+
+
+def _small(by_source: DataFrame) -> DataFrame:
+    """A table of checked size, for every executor; a larger one stays as it is."""
+    return F.broadcast(by_source) if by_source.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES else by_source
+
+
+def block() -> Column:
+    """A document's block, from its hash h and its source's row."""
+    return F.pmod("h", "blocks")
+
+
+def turn(pass_: Column, block_: Column, seed: int) -> Column:
+    """Where a block stands in the permutation of a pass: a hash, with the block for ties."""
+    return F.struct(_hash(seed + 1, pass_, block_, F.col("source")).alias("hash"), block_.alias("block"))
+
+
+def copies(seed: int = 7) -> Column:
     """How often a document is used, from its hash and its source's row."""
-    block = F.pmod(of, F.col("blocks"))
-    extra = F.when(F.col("block").isNull(), F.col("rest") > 0).otherwise((block < F.col("block")) | ((block == F.col("block")) & F.coalesce(of <= F.col("cutoff"), F.lit(False))))
+    own = turn(F.col("passes"), block(), seed)
+    extra = F.when(F.col("last").isNull(), F.col("rest") > 0).otherwise((own < F.col("last")) | ((own == F.col("last")) & F.coalesce(F.col("h") <= F.col("cutoff"), F.lit(False))))
     return F.col("passes") + extra.cast("long")
 
 
+def used(rows: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
+    """rows (with source and h) and plan, once for each used copy, with pass, block and position."""
+    met = rows.join(_small(plan), "source").withColumn("copies", copies(seed)).filter("copies > 0")
+    each = met.withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))).withColumn("block", block())
+    spent = F.col("pass") + _hash(seed + 1, F.col("pass"), F.col("block"), F.col("source")) / F.lit(2.0**64) + 0.5
+    return each.withColumn("position", F.least(F.lit(1.0), spent / F.greatest(F.col("passes") + F.coalesce(F.try_divide("rest", "n"), F.lit(0.0)), F.lit(1e-9))))
+
+
 def mixed(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = 7, **how) -> DataFrame:
-    """The rows of docs as often as their source's budget uses them; columns as they are."""
+    """The rows of docs as often as their source's budget uses them, in order of their position in the
+    mixture; columns as they are, whatever their names."""
     plan, _ = shares(docs, id_col=id_col, source_col=source_col, text_col=text_col, seed=seed, **how)
-    joined = docs.withColumn("_source", F.coalesce(F.col(source_col), F.lit(""))).join(F.broadcast(plan), "_source")  # at most MOST_SOURCES rows
-    used = joined.withColumn("_n", copies(_hash(id_col, seed))).filter("_n > 0")
-    return used.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), "_n"))).select(*docs.columns)
+    rows = held(docs, source=F.coalesce(quoted(source_col), F.lit("")), h=_hash(seed, quoted(id_col)))
+    return used(rows, plan, seed).select("row", "position", "h").repartitionByRange("position", "h").sortWithinPartitions("position", "h").select("row.*")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every used copy of every document."""
     plan, sized = shares(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    return sized.join(F.broadcast(plan), "_source").select("doc_id", F.col("_source").alias("source"), "n_tokens", F.round("weight", 9).alias("weight"), copies(F.col("_h")).alias("copies"))
+    return used(sized, plan, 7).select("doc_id", "source", "n_tokens", F.round("weight", 9).alias("weight"), "pass", "block", F.round("position", 9).alias("position"))
 
 
 QUERIES = {"op6_mixing": op6_mixing}

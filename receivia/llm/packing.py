@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import heapq
 import math
-import re
+import struct
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -25,54 +25,67 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from receivia.llm.common import cut, in_batches, table, tokenizer
+from receivia.llm.common import cut, in_arrow, table, tokenizer
 
 SIZE, END = 2048, 1
-#: Words, and words without marks, whose ids a worker remembers.
-REMEMBERED = 400_000
-#: Words in hand at once, at least one text.
-AT_ONCE = 100_000
-#: Latin letters, perhaps followed by ASCII marks: the tokenizer parts such a word in two at most.
-_PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]*)")
+#: Pieces in a batch of results.
+AT_ONCE = 2048
+#: Words, and runs of letters or of marks, whose ids a worker remembers at most.
+WORDS, RUNS = 400_000, 250_000
+#: ASCII marks that the tokenizer parts from letters before them, as one run.
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
-class _WordIds:
-    """Little-endian uint32 ids of words. The tokenizer never joins text across white space, so
-    the ids of a text are those of its words, one after the other; and a run of letters or of marks
-    has the same ids wherever it stands. Unknown runs are encoded many at once."""
+class _Remembered(dict):
+    """Little-endian uint32 ids by text; what was not asked for lately is forgotten."""
+
+    def __init__(self, most: int):
+        self.most, self.older = most, {}
+
+    def __missing__(self, key):
+        ids = self.older.get(key)
+        if ids is None:
+            ids = self.ids(key)
+        if len(self) >= self.most // 2:
+            self.older = dict(self)
+            self.clear()
+        self[key] = ids
+        return ids
+
+
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+class _Runs(_Remembered):
+    """Of runs: lower-case letters up to U+00FF, or ASCII marks. Such a run has the same ids wherever
+    it stands, and they come from the tokenizer's model alone."""
+
+    def __init__(self, path: str):
+        from tokenizers import pre_tokenizers
+
+        super().__init__(RUNS)
+        self.model, self.to_bytes = tokenizer(path).model, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+
+    def ids(self, run: str) -> bytes:
+        seen = run if run.isascii() else self.to_bytes.pre_tokenize_str(run)[0][0]
+        return _packed([t.id for t in self.model.tokenize(seen)]) if run else b""
+
+
+class _WordIds(_Remembered):
+    """Of words. The tokenizer never joins text across white space, so the ids of a text are those of
+    its words, one after the other."""
 
     def __init__(self, path: str):
-        self.tokenizer = tokenizer(path)
-        self.words: dict[bytes, bytes] = {}
-        self.runs: dict[str, bytes] = {"": b""}
-        ends = [i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]
-        self.ends = np.zeros(1 + max(self.tokenizer.get_vocab().values(), default=0), bool)
-        self.ends[ends] = True
-
-    def _alone(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _learn_runs(self, runs: list[str]) -> None:
-        ids = np.array(self.tokenizer.encode(" ".join(runs), add_special_tokens=False).ids, "<u4") if runs else np.zeros(0, "<u4")
-        stops = np.flatnonzero(self.ends[ids]) + 1 if len(ids) else []
-        if len(stops) == len(runs) and (not runs or stops[-1] == len(ids)):
-            data = ids.tobytes()
-            self.runs.update((r, data[4 * a : 4 * b]) for r, a, b in zip(runs, [0, *stops[:-1]], stops, strict=True))
-        else:
-            self.runs.update((r, self._alone(r)) for r in runs)
-
-    def learn(self, texts: list[list[bytes]]) -> None:
-        """The words of texts become known."""
-        if len(self.words) > REMEMBERED:
-            self.words.clear()
-        if len(self.runs) > REMEMBERED:
-            self.runs = {"": b""}
-        new = set().union(*texts).difference(self.words)
-        plain = {w: (m[1].decode().lower(), m[2].decode()) for w in new if (m := _PLAIN.fullmatch(w))}
-        self._learn_runs([r for r in {r for both in plain.values() for r in both} if r not in self.runs])
-        runs = self.runs
-        self.words.update((w, runs[a] + runs[b]) for w, (a, b) in plain.items())
-        self.words.update((w, self._alone(w.decode("utf-8", "replace"))) for w in new if w not in plain)
+        super().__init__(WORDS)
+        self.tokenizer, self.runs = tokenizer(path), _Runs(path)
+
+    def ids(self, word: bytes) -> bytes:
+        text = word.decode("utf-8", "replace")
+        letters = text.rstrip(_MARKS)
+        if letters.isalpha() and (letters.isascii() or max(letters) <= "\xff"):
+            return self.runs[letters.lower()] + self.runs[text[len(letters) :]]
+        return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
 
 @lru_cache(maxsize=2)
@@ -81,20 +94,6 @@ def _known(path: str) -> _WordIds:
     return _WordIds(path)
 
 
-def _in_hand(rows: Iterable[list]) -> Iterator[tuple[list, list[list[bytes]]]]:
-    """(ids, words of the texts), in groups of about AT_ONCE words."""
-    for ids, texts in rows:
-        own, words, held = [], [], 0
-        for i, t in zip(ids, texts, strict=True):
-            own.append(i)
-            words.append((t or b"").split())
-            held += len(words[-1])
-            if held >= AT_ONCE:
-                yield own, words
-                own, words, held = [], [], 0
-        yield own, words
-
-
 def default_tokenizer() -> str:
     import public_tokenizers
 
@@ -105,22 +104,21 @@ def pieces(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str
     """doc_id, start, length, doc_tokens and either ids (array) or ids_crc32, a row per piece."""
     end = np.array([END], "<u4").tobytes()
 
-    def rows(batches: Iterable[list]) -> Iterator[pa.RecordBatch]:
-        known = _known(path)
-        for doc_ids, texts in _in_hand(batches):
-            known.learn(texts)
-            out: list[list] = [[], [], [], [], []]
-            for doc_id, words in zip(doc_ids, texts, strict=True):
-                data = b"".join(map(known.words.__getitem__, words)) + end
+    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids_of = _known(path).__getitem__
+        out: list[list] = [[], [], [], [], []]
+        for b in batches:
+            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
+                data = b"".join(map(ids_of, (text.as_py() or b"").split())) + end
                 n = len(data) // 4
                 for start in range(0, n, size):
                     part = data[4 * start : 4 * (start + size)]
                     for column, value in zip(out, (doc_id, start, len(part) // 4, n, np.frombuffer(part, "<u4").astype(np.int32) if carry == "ids" else zlib.crc32(part)), strict=True):
                         column.append(value)
-                if len(out[0]) >= 4096:
+                if len(out[0]) >= AT_ONCE:
                     yield batch(out)
                     out = [[], [], [], [], []]
-            yield batch(out)
+        yield batch(out)
 
     def batch(out: list[list]) -> pa.RecordBatch:
         last = pa.array(out[4], pa.list_(pa.int32())) if carry == "ids" else pa.array(out[4], pa.int64())
@@ -129,7 +127,7 @@ def pieces(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str
     last = "ids array<int>" if carry == "ids" else "ids_crc32 long"
     names = ["doc_id", "start", "length", "doc_tokens", last.split()[0]]
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    return in_batches(slim, rows, f"doc_id long, start long, length long, doc_tokens long, {last}")
+    return in_arrow(slim, rows, f"doc_id long, start long, length long, doc_tokens long, {last}")
 
 
 def patterns(histogram: dict[int, int], size: int = SIZE) -> list[tuple[int, tuple[int, ...]]]:
@@ -195,7 +193,7 @@ def place(found: DataFrame, size: int = SIZE) -> DataFrame:
 
     ranked = _ranked(found, sum(histogram.values()))
     kept = [f"`{n}` {t}" for n, t in ranked.dtypes if n != "rank"]
-    return ranked.mapInArrow(assign, ", ".join([*kept, "sequence_id long", "offset long"]))
+    return in_arrow(ranked, assign, ", ".join([*kept, "sequence_id long", "offset long"]))
 
 
 def pack(docs: DataFrame, path: str | None = None, *, size: int = SIZE, carry: str = "ids") -> DataFrame:

@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from receivia.llm.common import SPACE, cut, let, table
+from receivia.llm.common import SPACE, cut, held, let, may_be_member, member_bits, quoted, table
 
 GRAM = 5
 
@@ -64,7 +64,7 @@ def _repeated_words(grams: Column) -> Column:
 
 def features(text: str = "text") -> Column:
     """A struct of the counts that the base rules and the votes use, over the whole text."""
-    whole = F.coalesce(F.col(text), F.lit(""))
+    whole = F.coalesce(quoted(text), F.lit(""))
     words = F.filter(F.split(whole, SPACE), lambda w: w != "")
 
     def of_words(ws: Column) -> Column:
@@ -161,17 +161,23 @@ def posterior(f: Column, model: tuple[float, list[dict[int, float]]]) -> Column:
 
 def judge(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFrame:
     """docs without their text, plus _f, p_good, base_failed and kept."""
-    slim = cut(with_features(docs.select(*[c for c in docs.columns if c != text], F.col(text).alias("_text")), "_text").drop("_text"))
+    slim = cut(with_features(docs.select(*[quoted(c) for c in docs.columns if c != text], quoted(text).alias("_text")), "_text").drop("_text"))
     model = learn(slim)
     p = posterior(F.col("_f"), model)
     return slim.withColumns({"p_good": p, "base_failed": base_failed(F.col("_f"))}).withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= threshold))
 
 
 def keep_good(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows of docs that judge() keeps, with their columns as they are."""
-    featured = with_features(docs, text)
-    model = learn(featured)
-    return featured.filter(~base_failed(F.col("_f")) & (posterior(F.col("_f"), model) >= threshold)).drop("_f")
+    """The rows of docs that judge() keeps, with their columns as they are, whatever their names. A row is
+    known by the hashes of its text, so that a text is measured once; rows of one text have one verdict."""
+    row = held(docs, one=F.xxhash64(quoted(text)), two=F.xxhash64(F.lit(1), quoted(text)))
+    measured = cut(docs.select(F.xxhash64(quoted(text)).alias("one"), F.xxhash64(F.lit(1), quoted(text)).alias("two"), F.explode(F.array(features(text))).alias("_f")))
+    gone = measured.filter(~(~base_failed(F.col("_f")) & (posterior(F.col("_f"), learn(measured)) >= threshold)))
+    rejected = cut(gone.select("one", "two").distinct())
+    bitmap = member_bits(rejected, "one")
+    hashed = F.xxhash64("one")
+    asked = may_be_member(row, hashed, bitmap).join(rejected, ["one", "two"], "left_anti")
+    return may_be_member(row, hashed, bitmap, others=True).select("row.*").unionByName(asked.select("row.*"))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ every edge, the smallest and largest document that holds it, and for edges in tw
 more, whether all places of the edge go on to one same edge and come from one same edge. Runs of
 edges without a branch are compacted into paths: all places of an edge of a path hold the whole
 path, so a window inside a path repeats exactly if the smallest document of the path is smaller.
+Edges are the same text if two hashes of their words, 128 bits, are the same.
 The few windows that reach over the end of a path, but whose edges are all repeated, are verified
 at their source coordinates by a 128-bit hash of their words. No pairs of documents are formed.
 
@@ -26,11 +27,11 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from receivia.llm.common import cut, in_batches, may_be_member, member_bits, passes, table
+from receivia.llm.common import cut, held, in_arrow, in_batches, may_be_member, member_bits, quoted, table
 from receivia.llm.rolling import Powers, mix, sliding_min, word_hashes
 
 WINDOW = 50
@@ -58,10 +59,12 @@ class _Graph:
         least = sliding_min(small, self.gap + 1)
         self.nodes = np.flatnonzero((small[: len(least)] == least) | (small[self.gap : self.gap + len(least)] == least))
 
-    def edges(self) -> np.ndarray:
+    def edges(self) -> tuple[np.ndarray, np.ndarray]:
+        """Two hashes of the words of each edge."""
         if len(self.nodes) < 2:
-            return np.zeros(0, np.int64)
-        return mix(self.one.spans(self.sums, self.nodes[:-1], self.nodes[1:] + self.k)).view(np.int64)
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        a, b = self.nodes[:-1], self.nodes[1:] + self.k
+        return mix(self.one.spans(self.sums, a, b)).view(np.int64), mix(self.two.spans(self.two.prefix(mix(self.h)), a, b)).view(np.int64)
 
     def windows(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         sums = self.two.prefix(mix(self.h))
@@ -90,44 +93,52 @@ class _Graph:
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, text as bytes, and a tag that tells apart rows which share a doc_id."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"), F.xxhash64(text_col).bitwiseAND(0x7FFFFFFF).alias("tag"))
+    return docs.select(quoted(id_col).cast("long").alias("doc_id"), quoted(text_col).cast("binary").alias("text"), _tag(quoted(text_col)).alias("tag"))
+
+
+def _tag(text: Column) -> Column:
+    return F.xxhash64(text).bitwiseAND(0x7FFFFFFF)
 
 
 def _edges(docs: DataFrame, window: int) -> DataFrame:
-    """edge, doc_id, tag, number: every edge of every document."""
+    """edge and two (its hashes), doc_id, at (tag and number): every edge of every document."""
 
-    def rows(batches: Iterable[list]) -> Iterator[pa.RecordBatch]:
+    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         graph = _Graph(window)
-        for ids, texts, tags in batches:
+        for b in batches:
             out: list[tuple] = []
-            held = 0
-            for i, t, tag in zip(ids, texts, tags, strict=True):
-                graph.read(t or b"")
-                e = graph.edges()
-                if len(e):
-                    out.append((e, np.full(len(e), i), (tag << 32) + np.arange(len(e))))
-                    held += len(e)
-                if held > 100_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["edge", "doc_id", "at"])
-                    out, held = [], 0
+            held_ = 0
+            for i, t, tag in zip(b.column("doc_id").to_pylist(), b.column("text"), b.column("tag").to_pylist(), strict=True):
+                graph.read(t.as_py() or b"")
+                one, two = graph.edges()
+                if len(one):
+                    out.append((one, two, np.full(len(one), i), (tag << 32) + np.arange(len(one))))
+                    held_ += len(one)
+                if held_ > 50_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names)
+                    out, held_ = [], 0
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["edge", "doc_id", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names)
 
-    return in_batches(docs.filter(F.col("doc_id").isNotNull()), rows, "edge long, doc_id long, at long")
+    names = ["edge", "two", "doc_id", "at"]
+    return in_arrow(docs.filter(F.col("doc_id").isNotNull()), rows, "edge long, two long, doc_id long, at long")
 
 
 def _marked(docs: DataFrame, window: int) -> DataFrame:
-    """doc_id, tag, marks: the repeated edges of every document that has some."""
+    """doc_id, tag, marks: the repeated edges of every document that has some. What is counted per edge
+    is written before it meets the places again, so that Spark can split the join at a very common edge."""
     seen = _edges(docs, window)
-    repeated = seen.groupBy("edge").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").drop("most")
-    places = cut(seen.join(repeated, "edge"))
+    repeated = cut(seen.groupBy("edge", "two").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").drop("most"))
+    n = repeated.count()
+    places = cut(seen.join(repeated, ["edge", "two"]), 4 * n)
     along = W.partitionBy("doc_id").orderBy("at")
     beside = lambda f, step: F.when(f("at").over(along) == F.col("at") + step, f("edge").over(along))
-    places = places.withColumns({"next": beside(F.lead, 1), "prev": beside(F.lag, -1)})
     single = lambda c: (F.min(c) == F.max(c)) & (F.count(c) == F.count("*"))
-    turns = places.groupBy("edge").agg(F.coalesce(single("next"), F.lit(False)).alias("after"), F.coalesce(single("prev"), F.lit(False)).alias("before"))
+    turned = places.withColumns({"next": beside(F.lead, 1), "prev": beside(F.lag, -1)})
+    turns = cut(turned.groupBy("edge", "two").agg(F.coalesce(single("next"), F.lit(False)).alias("after"), F.coalesce(single("prev"), F.lit(False)).alias("before")), n)
     mark = F.struct((F.col("at").bitwiseAND(0xFFFFFFFF)).alias("number"), "least", F.col("after").cast("long").alias("after"), F.col("before").cast("long").alias("before"))
-    return places.drop("next", "prev").join(turns, "edge").groupBy("doc_id", F.shiftright("at", 32).alias("tag")).agg(F.collect_list(mark).alias("marks"))
+    marked = places.join(turns, ["edge", "two"]).select("doc_id", F.shiftright("at", 32).alias("tag"), mark.alias("mark"))
+    return marked.groupBy("doc_id", "tag").agg(F.collect_list("mark").alias("marks"))
 
 
 def _settled(docs: DataFrame, marked: DataFrame, window: int) -> DataFrame:
@@ -150,9 +161,9 @@ def _settled(docs: DataFrame, marked: DataFrame, window: int) -> DataFrame:
             kind = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tag"), *(pa.array(c, kind) for c in (spans_of, hash1, hash2, starts_of))], ["doc_id", "tag", "spans", "one", "two", "starts"])
 
-    test = passes(member_bits(marked, "doc_id"))
-    both = docs.filter(test(F.xxhash64("doc_id"))).join(marked, ["doc_id", "tag"]).select("doc_id", "tag", "text", "marks")
-    return both.mapInArrow(rows, "doc_id long, tag long, spans array<long>, one array<long>, two array<long>, starts array<long>")
+    some = may_be_member(docs, F.xxhash64("doc_id"), member_bits(marked, "doc_id"))
+    both = some.join(marked, ["doc_id", "tag"]).select("doc_id", "tag", "text", "marks")
+    return in_arrow(both, rows, "doc_id long, tag long, spans array<long>, one array<long>, two array<long>, starts array<long>")
 
 
 def repeated_spans(docs: DataFrame, *, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -176,15 +187,15 @@ def _removed(n: int, spans: list | None) -> np.ndarray:
     return np.cumsum(edge[:n]) > 0
 
 
-def with_spans(docs: DataFrame, *, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, object]:
-    """The rows of docs in two parts: those that may hold repeats, with _spans (null where nothing
-    repeats), and the others; and the bitmap that parts them. Most rows are others, and not moved."""
-    spans = cut(repeated_spans(docs, window=window, id_col=id_col, text_col=text_col).select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), F.col("spans").alias("_spans")))
-    bits = member_bits(spans, "_id")
-    test, hash_ = passes(bits), F.xxhash64(F.col(id_col).cast("long"))
-    some = docs.filter(test(hash_)).withColumn("_own", F.xxhash64(text_col).bitwiseAND(0x7FFFFFFF))
-    met = some.join(spans, (F.col(id_col) == F.col("_id")) & (F.col("_own") == F.col("_tag")), "left").drop("_id", "_tag", "_own")
-    return met, docs.filter(~test(hash_)), bits
+def with_spans(docs: DataFrame, *, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The rows of docs (as a struct, row) in two parts: those that may hold repeats, with spans (null
+    where nothing repeats), and the others, which are most rows and not moved."""
+    spans = cut(repeated_spans(docs, window=window, id_col=id_col, text_col=text_col))
+    bitmap = member_bits(spans, "doc_id")
+    rows = held(docs, doc_id=quoted(id_col).cast("long"), tag=_tag(quoted(text_col)))
+    hashed = F.xxhash64("doc_id")
+    met = may_be_member(rows, hashed, bitmap).join(spans, ["doc_id", "tag"], "left")
+    return met.select("row", "spans"), may_be_member(rows, hashed, bitmap, others=True).select("row")
 
 
 def cut_text(text: bytes, spans: list | None) -> bytes:
@@ -197,17 +208,20 @@ def cut_text(text: bytes, spans: list | None) -> bytes:
 
 def remove_repeats(docs: DataFrame, *, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with repeated windows cut out of the text; texts of which no word stays are dropped, and
-    rows without repeats are unchanged. Other columns pass through."""
+    rows without repeats are unchanged. Other columns pass through, whatever their names."""
 
     @F.pandas_udf("string")
-    def shorten(text, spans):
+    def each(text, spans):
         import pandas as pd
 
         return pd.Series([t if s is None else cut_text(t.encode(), s).decode() for t, s in zip(text, spans, strict=True)], dtype=object)
 
-    met, others, _ = with_spans(docs, window=window, id_col=id_col, text_col=text_col)
-    changed = met.withColumn(text_col, shorten(text_col, "_spans"))
-    return changed.filter(F.col("_spans").isNull() | (F.length(text_col) > 0)).select(*docs.columns).unionByName(others)
+    shorten = each.asNondeterministic()  # so that the filter below doesn't run it a second time
+
+    met, others = with_spans(docs, window=window, id_col=id_col, text_col=text_col)
+    text = F.col("row")[text_col]
+    changed = met.select("row", "spans", shorten(text, "spans").alias("text")).filter(F.col("spans").isNull() | (F.length("text") > 0))
+    return changed.select(*[(F.col("text") if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns]).unionByName(others.select("row.*"))
 
 
 def digest(docs: DataFrame, *, window: int = WINDOW) -> DataFrame:
@@ -227,17 +241,9 @@ def digest(docs: DataFrame, *, window: int = WINDOW) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
-    slim = docs.select("doc_id", "text")
-    met, _, bits = with_spans(slim, window=window)
-
-    def unmoved(batches: Iterable[list]) -> Iterator[pa.RecordBatch]:
-        """The other rows; parted here, so that a task needs one Python worker."""
-        for ids, texts, hashes in batches:
-            others = np.flatnonzero(~may_be_member(bits.value, np.array(hashes, np.int64))) if hashes else []
-            yield from rows([([ids[i] for i in others], [texts[i] for i in others], [None] * len(others))])
-
-    text = F.col("text").cast("binary")
-    return in_batches(met.select("doc_id", text, "_spans"), rows, schema).unionByName(in_batches(slim.select("doc_id", text, F.xxhash64(F.col("doc_id").cast("long"))), unmoved, schema))
+    met, others = with_spans(docs.select("doc_id", "text"), window=window)
+    row = (F.col("row.doc_id"), F.col("row.text").cast("binary").alias("text"))
+    return in_batches(met.select(*row, "spans"), rows, schema).unionByName(in_batches(others.select(*row, F.lit(None).cast("array<long>").alias("spans")), rows, schema))
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -156,9 +156,7 @@ def test_word_ids(word):
     t.encode_special_tokens = True
     text = f"so {word} {word}. End"
     known = packing._WordIds(path)
-    pieces = text.encode().split()
-    known.learn([pieces])
-    assert b"".join(known.words[p] for p in pieces) == np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert b"".join(known[p] for p in text.encode().split()) == np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 def test_license_scan(docs, empty):
@@ -202,17 +200,85 @@ def test_license_windows(spark):
         assert matcher.windows(block)[0] == {k: n / len(matcher.sets[k]) for k, n in best.items() if n >= matcher.need[k]}
 
 
-def test_mixing(docs, empty):
+def tempered(totals, exponent):
+    raised = {k: n**exponent for k, n in totals.items()}
+    return {k: x / sum(raised.values()) for k, x in raised.items()}
+
+
+def test_exponent(spark):
     totals = {"a": 9000, "b": 600, "c": 400}
-    w = mixing.tempered(totals, mixing.exponent_for(totals, 10000, 0.9, 10))
-    assert abs(mixing.entropy(w) - 0.9 * np.log(3)) < 1e-6
-    w = mixing.tempered(totals, mixing.exponent_for(totals, 10000, 1.0, 2.0))
-    assert max(w[k] * 10000 / n for k, n in totals.items()) <= 2.0001
-    plan, sized = mixing.shares(docs, target=0.99)
-    used = sized.join(plan, "_source").withColumn("k", mixing.copies(F.col("_h"))).groupBy("_source", "weight").agg(F.sum(F.col("k") * F.col("n_tokens")).alias("used"), F.max("n_tokens").alias("most")).collect()
-    whole = sized.agg(F.sum("n_tokens")).first()[0]
-    assert all(r["weight"] * whole - 2 * r["most"] <= r["used"] <= r["weight"] * whole + 1e-6 for r in used)
-    assert mixing.mixed(docs).columns == docs.columns and mixing.mixed(empty).count() == 0
+    frame = spark.createDataFrame([*totals.items(), ("none", 0)], "source string, n long")
+    w = tempered(totals, mixing.exponent_for(frame, 10000, 0.9, 10))
+    assert abs(-sum(x * np.log(x) for x in w.values()) - 0.9 * np.log(3)) < 1e-6
+    w = tempered(totals, mixing.exponent_for(frame, 10000, 1.0, 2.0))
+    assert abs(max(w[k] * 10000 / n for k, n in totals.items()) - 2.0) < 1e-6
+    assert mixing.exponent_for(frame, 10000, 0.1, 10) == 1.0 and mixing.exponent_for(frame, 10000, 1.0, 1e9) < 1e-5  # entropy is flat there
+    assert mixing.exponent_for(frame.limit(0), 0, 0.9, 2) == mixing.exponent_for(frame.filter("n = 600"), 600, 0.9, 2) == 1.0
+    with pytest.raises(ValueError, match="max_repeat"):
+        mixing.exponent_for(frame, 10000, 0.9, 0.5)
+
+
+@pytest.mark.parametrize("bound", [100_000, 0])
+def test_mixing(docs, empty, monkeypatch, bound):
+    """Budgets, passes and permutations as counted by hand; with plans for every executor and shuffled ones."""
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", bound)
+    plan, sized = mixing.shares(docs, target=0.999, max_repeat=3.0)
+    plans, every = {r["source"]: r for r in plan.collect()}, sized.collect()
+    totals = collections.Counter()
+    for r in every:
+        totals[r["source"]] += r["n_tokens"]
+    assert totals == {k: r["n"] for k, r in plans.items()} and sum(totals.values()) == sum(len(words(r[1])) for r in ROWS)
+    got = mixing.used(sized, plan, 7).collect()
+    whole = sum(totals.values())
+    for source, p in plans.items():
+        own = [r for r in every if r["source"] == source]
+        drawn = [r for r in got if r["source"] == source]
+        assert sum(r["n_tokens"] for r in drawn) <= p["weight"] * whole + 1e-6
+        passes = collections.defaultdict(collections.Counter)
+        for r in drawn:
+            passes[r["pass"]][r["doc_id"], r["h"]] += 1
+        for k in range(p["passes"]):
+            assert passes[k] == collections.Counter((r["doc_id"], r["h"]) for r in own)
+        # the last pass: blocks in its order, until the budget ends, and documents by hash in the last one
+        blocks = collections.defaultdict(list)
+        for r in own:
+            blocks[r["h"] % p["blocks"]].append(r)
+        order = {b: o for b, o in ((r["block"], r["position"]) for r in mixing.used(sized, plan.withColumn("passes", F.col("passes") + 1).withColumn("last", F.lit(None)).withColumn("rest", F.lit(0.0)), 7).filter(F.col("source") == source).filter(F.col("pass") == p["passes"]).collect())}
+        left, want = p["rest"], collections.Counter()
+        for b in sorted(blocks, key=order.__getitem__):
+            size = sum(r["n_tokens"] for r in blocks[b])
+            if size <= left:
+                want.update((r["doc_id"], r["h"]) for r in blocks[b])
+                left -= size
+                continue
+            for h in sorted({r["h"] for r in blocks[b]}):
+                same = [r for r in blocks[b] if r["h"] == h]
+                left -= sum(r["n_tokens"] for r in same)
+                if left < 0:
+                    break
+                want.update((r["doc_id"], r["h"]) for r in same)
+            break
+        assert passes[p["passes"]] == want
+    assert all(0 <= r["position"] <= 1 for r in got)
+    twice = mixing.used(sized, plan.withColumn("passes", F.lit(2).cast("long")), 7).filter("source = 'src1'").collect()
+    first, second = (list(dict.fromkeys(r["block"] for r in sorted(twice, key=lambda r: r["position"]) if r["pass"] == k)) for k in (0, 1))
+    assert sorted(first) == sorted(second) and first != second
+    out = mixing.mixed(docs, target=0.999, max_repeat=3.0)
+    assert out.columns == docs.columns and out.count() == len(got) and mixing.mixed(empty).count() == 0
+
+
+CLASHING = ["weight", "block", "_f", "_first", "_source", "_spans", "a.b", "row", "tag", "h", "position", "doc_id_", "least", "spans", "text_", "one", "word", "bits"]
+
+
+def test_clashing_names(spark):
+    """Stages that pass rows through do so whatever other columns are named."""
+    rows = [(i, t, "en", "s", *[f"{k}{i}" for k, _ in enumerate(CLASHING)]) for i, t, *_ in ROWS[:20]]
+    docs = spark.createDataFrame(rows, ", ".join(["doc_id long, text string, lang string, source string", *(f"`{c}` string" for c in CLASHING)]))
+    by = {r[0]: tuple(r)[4:] for r in rows}
+    for stage in (quality_rules.keep_good, jaccard_join.keep_one, substring_dedup.remove_repeats, mixing.mixed):
+        got = stage(docs)
+        assert got.columns == docs.columns
+        assert all(tuple(r)[4:] == by[r[0]] for r in got.collect())
 
 
 def test_topk(spark):
