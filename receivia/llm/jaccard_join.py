@@ -194,7 +194,7 @@ def classes_and_links(texts: DataFrame, *, n: int, num: int, den: int) -> tuple[
     classes = cut(own.filter("size > 0 AND doc_id IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
 
     prefixes = _prefixes(known, n, num, den, order)
-    leaders = cut(prefixes.groupBy("key").agg(F.min_by("class", F.struct("place", "class")).alias("lead"), F.min("place").alias("lead_place"), F.min("class").alias("a"), F.max("class").alias("b")).filter("a < b").drop("a", "b"))
+    leaders = cut(prefixes.groupBy("key").agg(F.min_by("class", "place").alias("lead"), F.min("place").alias("lead_place"), F.min("class").alias("a"), F.max("class").alias("b")).filter("a < b").drop("a", "b"))
     met = cut(prefixes.join(leaders, "key"), 4 * leaders.count())
     keys_of = cut(met.groupBy("class").agg(F.collect_set("key").alias("keys")), met.count())
 

@@ -2,15 +2,18 @@
 
 The index holds, for every vector, its distances to PIVOTS pivots. By the triangle inequality the
 largest |d(q, p) - d(x, p)| over the pivots is a lower bound of d(q, x), hence
-(|q|^2 + |x|^2 - bound^2) / 2 is an upper bound of their inner product. Queries and vectors meet in
-blocks of bounded size; within a block a query evaluates vectors in the order of their bounds and
-stops once the next bound is below its k-th best score, so nothing that could enter is skipped.
-The best of each block are merged per query.
-
-Pivots are fitted on a bounded sample (SAMPLE vectors, those with the smallest hash of their id);
-they change only how early a search stops. Components become floor(64 * x); vectors that are null,
-or hold a null or non-finite component, or have a null id, take no part. Shorter vectors count as
-ending in zeros. Ties go to the smaller id. An empty table gives an empty result.
+(|q|^2 + |x|^2 - bound^2) / 2 is an upper bound of their inner product. A first round gives every query
+the k-th best of its scores with SCOUTS vectors, a bounded sample that goes to all executors: no worse
+score can be among its k best. Then queries and vectors meet in blocks of bounded size; within a block a
+query evaluates the vectors with the highest bounds first, and of the others those whose bounds reach
+the k-th best score known by then, so nothing that could enter is skipped. Only scores that reach it
+leave the block, about k * n / SCOUTS of n for a query, and are merged per query.
+
+Pivots and scouts are those with the smallest hash of their id; they change only how early a search
+stops. Components become floor(64 * x); vectors that are null, or hold a null or non-finite component,
+or have a null id, take no part. Shorter vectors count as ending in zeros. Ties go to the smaller id.
+Rows that share a vec_id are vectors of their own: none meets its own id, and what their queries find is
+ranked together. Scores are exact while they stay below 2 ** 53. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,18 +27,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from receivia.llm.common import cut, table
+from receivia.llm.common import cut, in_arrow, quoted, table
 
-K, SCALE, PIVOTS, SAMPLE, QUERY_BLOCK, BLOCK = 20, 64, 16, 512, 512, 2048
+K, SCALE, PIVOTS, SAMPLE, SCOUTS, QUERY_BLOCK, BLOCK = 20, 64, 16, 512, 32_768, 4096, 4096
+#: Queries that a task holds against a block at once.
+TILE = 256
 #: Room for rounding in the bounds; scores are whole numbers.
 SLACK = 0.25
 
 
 def quantised(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """vec_id and v, whole numbers as doubles, of the vectors that take part."""
-    v = F.col(vector_col)
-    fine = v.isNotNull() & F.col(id_col).isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
-    return vectors.filter(F.coalesce(fine, F.lit(False))).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(v, lambda x: F.floor(x.cast("double") * SCALE).cast("double")).alias("v"))
+    v = quoted(vector_col)
+    fine = v.isNotNull() & quoted(id_col).isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
+    return vectors.filter(F.coalesce(fine, F.lit(False))).select(quoted(id_col).cast("long").alias("vec_id"), F.transform(v, lambda x: F.floor(x.cast("double") * SCALE).cast("double")).alias("v"))
 
 
 def _matrix(rows: list, width: int) -> np.ndarray:
@@ -45,9 +50,14 @@ def _matrix(rows: list, width: int) -> np.ndarray:
     return out
 
 
-def choose_pivots(vectors: DataFrame, width: int) -> np.ndarray:
+def _first(vectors: DataFrame, n: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors of the n rows with the smallest hash of their id."""
+    rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(n).toArrow()
+    return rows.column("vec_id").to_numpy(), _matrix(rows.column("v").to_pylist(), width)
+
+
+def choose_pivots(sample: np.ndarray) -> np.ndarray:
     """Pivots far from each other, out of a bounded sample."""
-    sample = _matrix([r["v"] for r in vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()], width)
     if not len(sample):
         return sample
     chosen, far = [0], np.linalg.norm(sample - sample[0], axis=1)
@@ -57,62 +67,93 @@ def choose_pivots(vectors: DataFrame, width: int) -> np.ndarray:
     return sample[chosen]
 
 
-def index(vectors: DataFrame, pivots: np.ndarray, width: int) -> DataFrame:
+def index(vectors: DataFrame, pivots: np.ndarray, width: int, kind: type) -> DataFrame:
     """vec_id, the vector and its pivot distances, both as bytes."""
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             m = _matrix(b.column("v").to_pylist(), width)
             d = np.sqrt(np.maximum(0, (m * m).sum(1)[:, None] + (pivots * pivots).sum(1)[None, :] - 2 * m @ pivots.T))
-            yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array([x.tobytes() for x in m], pa.binary()), pa.array([x.tobytes() for x in d], pa.binary())], ["vec_id", "v", "d"])
+            yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array([x.tobytes() for x in m.astype(kind)], pa.binary()), pa.array([x.tobytes() for x in d.astype(kind)], pa.binary())], ["vec_id", "v", "d"])
+
+    return in_arrow(vectors, rows, "vec_id long, v binary, d binary")
+
 
-    return vectors.mapInArrow(rows, "vec_id long, v binary, d binary")
+def _vectors(column: Iterable[bytes], n: int, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(column), kind).reshape(n, -1)
 
 
-def _best(q: np.ndarray, q_ids: np.ndarray, qd: np.ndarray, x: np.ndarray, x_ids: np.ndarray, xd: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """The k best of one block for each query of the block; x_ids must rise."""
-    low = np.zeros((len(q), len(x)))
+def with_least(queries: DataFrame, scouts, k: int, kind: type) -> DataFrame:
+    """Indexed queries with least, the k-th best of their scores with the (broadcast) scouts."""
+
+    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, x = scouts.value
+        for b in batches:
+            own = b.column("vec_id").to_numpy()
+            q = _vectors(b.column("v").to_pylist(), len(own), kind)
+            least = np.full(len(own), -np.inf)
+            for at in range(0, len(own), TILE):
+                score = (q[at : at + TILE] @ x.T).astype(np.float64)
+                score[own[at : at + TILE, None] == ids[None, :]] = -np.inf
+                if len(ids) > k:
+                    least[at : at + TILE] = np.partition(score, len(ids) - k, axis=1)[:, len(ids) - k]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(least)], [*b.schema.names, "least"])
+
+    return in_arrow(queries, rows, "vec_id long, v binary, d binary, least double")
+
+
+def _best(q: np.ndarray, q_ids: np.ndarray, qd: np.ndarray, least: np.ndarray, x: np.ndarray, x_ids: np.ndarray, xd: np.ndarray, k: int) -> list[np.ndarray]:
+    """Query ids, vector ids and scores: the k best of one block for each query, of those that reach least."""
+    low, gap = np.zeros((len(q), len(x)), q.dtype), np.empty((len(q), len(x)), q.dtype)
     for p in range(qd.shape[1]):
-        np.maximum(low, np.abs(qd[:, p][:, None] - xd[:, p][None, :]), out=low)
-    high = ((q * q).sum(1)[:, None] + (x * x).sum(1)[None, :] - low * low) / 2 + SLACK
+        np.subtract.outer(qd[:, p], xd[:, p], out=gap)
+        np.maximum(low, np.abs(gap, out=gap), out=low)
+    high = ((q * q).sum(1)[:, None] + (x * x).sum(1)[None, :] - low * low) / 2
+    high += SLACK + np.abs(high) * 1e-5
     high[q_ids[:, None] == x_ids[None, :]] = -np.inf
-    out = []
-    for i in range(len(q)):
-        order = np.argsort(-high[i], kind="stable")
-        bounds = high[i][order]
-        scores = np.empty(0)
-        at, step = 0, 4 * k
-        while at < len(order) and bounds[at] > -np.inf:
-            if at >= k and bounds[at] < np.partition(scores, len(scores) - k)[len(scores) - k]:
-                break
-            scores = np.concatenate([scores, x[order[at : at + step]] @ q[i]])
-            at, step = at + step, 2 * step
-        seen = order[: len(scores)]
-        real = np.isfinite(bounds[: len(scores)])
-        seen, scores = seen[real], scores[real]
-        for j in np.lexsort((x_ids[seen], -scores))[:k]:
-            out.append((int(q_ids[i]), int(x_ids[seen[j]]), int(scores[j])))
-    return out
+    if len(x) > 2 * k:
+        # the highest bounds first; their k-th best score is known then
+        first = np.argpartition(high, len(x) - 2 * k, axis=1)[:, -2 * k :]
+        score = np.where(np.take_along_axis(high, first, axis=1) > -np.inf, np.einsum("qkd,qd->qk", x[first], q), -np.inf)
+        least = np.maximum(least, np.partition(score, k, axis=1)[:, k])
+    asked = (high >= least[:, None]) & (high > -np.inf)
+    if asked.mean() > 1 / 16:
+        score = np.where(asked, q @ x.T, -np.inf)
+        i, j = np.nonzero((score >= least[:, None]) & asked)
+        score = score[i, j]
+    else:
+        i, j = np.nonzero(asked)
+        score = np.einsum("nd,nd->n", q[i], x[j])
+        reach = score >= least[i]
+        i, j, score = i[reach], j[reach], score[reach]
+    by = np.lexsort((x_ids[j], -score, i))
+    i, j, score = i[by], j[by], score[by]
+    kept = np.arange(len(i)) - np.searchsorted(i, i) < k
+    return [q_ids[i[kept]], x_ids[j[kept]], score[kept].astype(np.int64)]
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """query_id, rank, vec_id, score: the k best of vectors (vec_id, v) for each of queries."""
     vectors = cut(vectors)
-    n, width = vectors.agg(F.count("*"), F.max(F.size("v"))).first()
+    n, width, most = vectors.agg(F.count("*"), F.max(F.size("v")), F.max(F.array_max(F.transform("v", F.abs)))).first()
     width = width or 1
-    pivots = choose_pivots(vectors, width)
-    indexed, asked = index(vectors, pivots, width), index(queries, pivots, width)
+    kind = np.float32 if width * (most or 0) ** 2 < 1 << 23 else np.float64  # whole numbers that are exact
+    ids, scouts = _first(vectors, SCOUTS, width)
+    pivots = choose_pivots(scouts[:SAMPLE])
+    known = vectors.sparkSession.sparkContext.broadcast((ids, scouts.astype(kind)))
+    indexed, asked = index(vectors, pivots, width, kind), with_least(cut(index(queries, pivots, width, kind)), known, k, kind)
     m = queries.count()
     blocks, parts = max(1, -(-n // BLOCK)), max(1, -(-m // QUERY_BLOCK))
     dealt = lambda df, own, count, other, times: df.withColumn(own, F.pmod(F.xxhash64("vec_id"), F.lit(count)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
 
     def meet(qs: pd.DataFrame, xs: pd.DataFrame) -> pd.DataFrame:
-        found: list = []
+        found: list = [[np.zeros(0, np.int64)] * 3]
         if len(qs) and len(xs):
-            xs = xs.sort_values("vec_id")
-            part = lambda df, c: np.frombuffer(b"".join(df[c]), np.float64).reshape(len(df), -1)
-            found = _best(part(qs, "v"), qs["vec_id"].to_numpy(), part(qs, "d"), part(xs, "v"), xs["vec_id"].to_numpy(), part(xs, "d"), k)
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"], dtype="int64")
+            x, xd, x_ids = _vectors(xs["v"], len(xs), kind), _vectors(xs["d"], len(xs), kind), xs["vec_id"].to_numpy()
+            for at in range(0, len(qs), TILE):
+                own = qs.iloc[at : at + TILE]
+                found.append(_best(_vectors(own["v"], len(own), kind), own["vec_id"].to_numpy(), _vectors(own["d"], len(own), kind), own["least"].to_numpy(), x, x_ids, xd, k))
+        return pd.DataFrame({c: np.concatenate(v) for c, v in zip(["query_id", "vec_id", "score"], zip(*found, strict=True), strict=True)})
 
     left, right = dealt(asked, "qb", parts, "xb", blocks), dealt(indexed, "xb", blocks, "qb", parts)
     local = left.groupBy("qb", "xb").cogroup(right.groupBy("qb", "xb")).applyInPandas(meet, "query_id long, vec_id long, score long")
