@@ -54,14 +54,18 @@ def ratio(a: Column, b: Column, default: float | None = None) -> Column:
     return found if default is None else F.coalesce(found, F.lit(default))
 
 
+#: Letter variants and the letters that stand for them.
+VARIANTS, LETTERS = "أإآىة", "ااايه"
+
+
 def match_key(c: Column) -> Column:
     """For matching names: Arabic letter variants made one, all but letters and digits dropped."""
-    return F.lower(F.regexp_replace(F.translate(c, "أإآىة", "اااي" + "ه"), r"[^\p{L}\p{N}_]", ""))
+    return F.lower(F.regexp_replace(F.translate(c, VARIANTS, LETTERS), r"[^\p{L}\p{N}_]", ""))
 
 
 def name_key(c: Column) -> Column:
     """For attributing names: also without tatweel and vowel marks, blanks made single."""
-    plain = F.translate(F.regexp_replace(c, "[\\u064B-\\u0652\\u0640]", ""), "أإآىة", "ااايه")
+    plain = F.translate(F.regexp_replace(c, "[\\u064B-\\u0652\\u0640]", ""), VARIANTS, LETTERS)
     return F.lower(F.trim(F.regexp_replace(plain, r"\s+", " ")))
 
 
@@ -119,6 +123,11 @@ def incentive(rate: Column, tiers: Sequence[tuple] = TIERS) -> Column:
     return F.coalesce(out, F.lit(0.0))
 
 
+def rate_class(rate: Column) -> Column:
+    """Classes of a collection rate."""
+    return F.when(rate >= 0.9, "good").when(rate >= 0.7, "fair").otherwise("poor")
+
+
 def first_rule(c: Column, rules: Sequence[tuple[str, str]], default: str) -> Column:
     """The label of the first (pattern, label) that matches."""
     out = None

@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from receivia.functions.scalars import ratio
+from receivia.functions.scalars import clip, ratio
 from receivia.operators.sales import concentration, total
 
 
@@ -60,15 +59,23 @@ def debtor_concentration(balances: DataFrame, k: int = 10) -> DataFrame:
     """The k largest debtors over all positive rows, and the index of debts without credits."""
     pos = F.greatest(F.col("net"), F.lit(0)).cast("double")
     by = balances.groupBy("customer_code").agg(F.sum(pos).alias("v"))
-    ranked = by.select("v", F.row_number().over(W.orderBy(F.desc("v"), "customer_code")).alias("rank"), F.sum("v").over(W.partitionBy()).alias("_all"))
-    return ranked.agg(F.round(ratio(F.sum(F.when(F.col("rank") <= k, F.col("v"))), F.max("_all")) * 100, 4).alias("top_pct"), F.round(F.sum(F.pow(F.col("v") / F.col("_all"), 2)) * 10000, 4).alias("hhi"))
+    whole = by.agg(F.sum("v").alias("_all"), F.sum(F.col("v") * F.col("v")).alias("_q"))
+    top = by.orderBy(F.desc("v"), "customer_code").limit(k).agg(F.sum("v").alias("_top"))
+    return whole.crossJoin(top).select(F.round(ratio(F.col("_top"), F.col("_all")) * 100, 4).alias("top_pct"), F.round(F.try_divide("_q", F.col("_all") * F.col("_all")) * 10000, 4).alias("hhi"))
+
+
+def portfolio_collection(headers: DataFrame, aged: DataFrame, receipts: DataFrame) -> DataFrame:
+    """Sales, overdue and open amounts, receipts, and the collection rate with what it is based on."""
+    met = headers.agg(total("reported_total").alias("sales")).crossJoin(aged.agg(F.round(F.sum("overdue"), 2).alias("overdue"), F.round(F.sum("balance"), 2).alias("balance"))).crossJoin(receipts.agg(total("amount").alias("received")))
+    actual = F.col("received").isNotNull()
+    rate = F.when(actual, ratio(F.col("received"), F.col("sales"))).otherwise(ratio(F.col("sales") - F.col("balance"), F.col("sales")))
+    return met.withColumns({"collection_rate": F.round(clip(rate), 6), "basis": F.when(actual, "actual").otherwise("proxy")})
 
 
 def insight_facts(lines: DataFrame, aged: DataFrame) -> DataFrame:
     """Numbers behind a commentary, each with a priority. aged has customer_code, overdue, balance."""
-    top = concentration(lines, "customer_code").select(F.lit("top10_share").alias("fact"), F.round(F.col("top10_pct") / 100, 6).alias("value"))
     late = aged.agg(F.round(ratio(F.sum("overdue"), F.sum("balance")), 6).alias("value")).select(F.lit("overdue_share").alias("fact"), "value")
-    n80 = concentration(lines, "customer_code").select(F.lit("customers_to_80pct").alias("fact"), F.col("n80").cast("double").alias("value"))
-    rows = top.unionByName(late).unionByName(n80)
+    facts = F.array(F.struct(F.lit("top10_share").alias("fact"), F.round(F.col("top10_pct") / 100, 6).alias("value")), F.struct(F.lit("customers_to_80pct").alias("fact"), F.col("n80").cast("double").alias("value")))
+    rows = concentration(lines, "customer_code").select(F.inline(facts)).unionByName(late)
     high = ((F.col("fact") == "top10_share") & (F.col("value") > 0.5)) | ((F.col("fact") == "overdue_share") & (F.col("value") > 0.4))
     return rows.withColumn("priority", F.when(high, "high").when((F.col("fact") == "overdue_share") & (F.col("value") > 0.1), "medium").otherwise("info"))

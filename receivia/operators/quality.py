@@ -86,6 +86,12 @@ def abnormal(lines: DataFrame, price: float = 5000, qty: float = 5000) -> DataFr
     return lines.agg(F.count_if(F.col("unit_price") > price).alias("n_price"), F.count_if(F.col("qty") > qty).alias("n_qty"), F.count_if((F.col("unit_price") < 0) | (F.col("qty") < 0)).alias("n_negative"))
 
 
+def bonus_counts(lines: DataFrame) -> DataFrame:
+    """Lines marked free and without a price; and those of them with a quantity."""
+    free = F.col("is_bonus") & (F.col("unit_price") == 0)
+    return lines.agg(F.count_if(free & (F.col("qty") > 0)).alias("n_with_qty"), F.count_if(free).alias("n_free"), F.coalesce(F.sum(F.when(free, F.col("qty"))).cast("double"), F.lit(0.0)).alias("free_qty"))
+
+
 def zero_invoices(headers: DataFrame, nulls_too: bool = True) -> DataFrame:
     zero = F.col("reported_total") == 0
     return headers.filter(F.coalesce(zero, F.lit(nulls_too)))

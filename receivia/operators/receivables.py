@@ -125,3 +125,14 @@ def tier_counts(rates: DataFrame, tiers: DataFrame) -> DataFrame:
 def customer_360(sales: DataFrame, debts: DataFrame) -> DataFrame:
     """Every customer of either side, what is absent as 0."""
     return sales.join(debts, "customer_code", "full").fillna(0.0, [c for c in ("sales", "debt", "arrears_amount") if c in {*sales.columns, *debts.columns}])
+
+
+def customer_360_table(headers: DataFrame, lines: DataFrame, customers: DataFrame, debts: DataFrame) -> DataFrame:
+    """Every customer with invoices or balances: name, representative, sales, invoices, units, free units and
+    their share, and the parts of the balance. Each side is summed before they meet; what is absent is 0."""
+    sold = headers.groupBy("customer_code").agg(total("reported_total").alias("sales"), F.count_distinct("invoice_no").alias("n_invoices"))
+    units = lines.groupBy("customer_code").agg(total("qty").alias("qty"), F.coalesce(total(F.when(F.col("is_bonus"), F.col("qty"))), F.lit(0.0)).alias("bonus_qty"))
+    owed = debts.select("customer_code", "debt", "credit_balance", "current_amount", "arrears_amount")
+    numbers = ["sales", "n_invoices", "qty", "bonus_qty", "debt", "credit_balance", "current_amount", "arrears_amount"]
+    met = sold.join(units, "customer_code", "left").join(owed, "customer_code", "full").fillna(0, numbers)
+    return met.join(customers.select("customer_code", "customer_name", "rep"), "customer_code", "left").select("customer_code", "customer_name", "rep", *numbers, F.round(ratio(F.col("bonus_qty"), F.col("qty")) * 100, 6).alias("bonus_pct"))

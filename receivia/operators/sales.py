@@ -3,7 +3,7 @@
 Lines have invoice_no, invoice_date, month, customer_code, customer_name, rep, item_code, item_name,
 brand, pack, qty, gross, disc, tax, unit_price, line_total, is_bonus; headers have invoice_no,
 invoice_date, month, customer_code, reported_total, paid, remaining. Money is decimal; results are
-double. Windows without a key only ever see aggregated rows (months, customers, items).
+double. Windows without a key only ever see months, brands, representatives or classes of values.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from receivia.functions.scalars import boxes, ratio
 
 
 def everything() -> WindowSpec:
-    """All rows; only ever over aggregated ones."""
+    """All rows; only ever over months, brands, representatives, classes or k rows."""
     return W.partitionBy()
 
 
@@ -39,22 +39,36 @@ def weighted_mean(df: DataFrame, value: str, weight: str, floor: float = 0.0, ke
     return df.groupBy(*keys).agg(F.round(ratio(F.sum(F.col(value).cast("double") * w), F.sum(w)), 6).alias("weighted_mean"))
 
 
+def ranked(by: DataFrame, key: str, value: str = "v") -> DataFrame:
+    """by (a row per key) with rank and cum, the place and the running sum of value by falling value, ties by
+    key, and _all and _n, sum and number of all. Keys are dealt by the size of their value, 64 classes to a
+    power of two, and places within a class are shifted by what the classes above it hold, so that no task
+    sees all keys; only the classes, some thousands at most, meet in one window."""
+    v = F.col(value).cast("double")
+    size = lambda x: F.floor(F.log2(x) * 64) + 100_000
+    classed = by.withColumn("_c", F.when(v > 0, size(v)).when(v < 0, -size(-v)).otherwise(F.lit(0)).cast("long"))
+    above = W.orderBy(F.desc("_c")).rowsBetween(W.unboundedPreceding, -1)
+    held = classed.groupBy("_c").agg(F.sum(value).alias("_s"), F.count("*").alias("_k"))
+    shift = held.select("_c", F.sum("_s").over(above).alias("_v"), F.coalesce(F.sum("_k").over(above), F.lit(0)).alias("_r"), F.sum("_s").over(everything()).alias("_all"), F.sum("_k").over(everything()).alias("_n"))
+    order = W.partitionBy("_c").orderBy(F.desc(value), key)
+    cum = F.sum(value).over(order.rowsBetween(W.unboundedPreceding, 0))
+    met = classed.withColumns({"_i": F.row_number().over(order), "_j": cum}).join(F.broadcast(shift), "_c")
+    return met.withColumn("rank", (F.col("_i") + F.col("_r")).cast("int")).withColumn("cum", F.col("_j") + F.coalesce(F.col("_v"), F.lit(0))).drop("_c", "_i", "_j", "_v", "_r")
+
+
 def pareto_abc(df: DataFrame, key: str, value: str = "line_total", a: float = 80.0, b: float = 95.0) -> DataFrame:
     """Per key its value, rank, rank share, cumulative share and class; ties by key."""
-    by = df.groupBy(key).agg(F.sum(value).alias("v"))
-    order = W.orderBy(F.desc("v"), key)
-    ranked = by.select(key, F.col("v").cast("double").alias("value"), F.row_number().over(order).alias("rank"), F.sum("v").over(order.rowsBetween(W.unboundedPreceding, 0)).cast("double").alias("cum_value"), F.sum("v").over(everything()).cast("double").alias("_all"), F.count("*").over(everything()).alias("_n"))
-    cum = F.try_divide(F.col("cum_value"), F.col("_all")) * 100
-    return ranked.select(key, "value", "rank", F.round(F.col("rank") / F.col("_n") * 100, 6).alias("rank_pct"), "cum_value", F.round(cum, 6).alias("cum_pct"), F.when(cum <= a, "A").when(cum <= b, "B").otherwise("C").alias("abc"))
+    found = ranked(df.groupBy(key).agg(F.sum(value).alias("v")), key)
+    cum = ratio(F.col("cum"), F.col("_all")) * 100
+    return found.select(key, F.col("v").cast("double").alias("value"), "rank", F.round(F.col("rank") / F.col("_n") * 100, 6).alias("rank_pct"), F.col("cum").cast("double").alias("cum_value"), F.round(cum, 6).alias("cum_pct"), F.when(cum <= a, "A").when(cum <= b, "B").otherwise("C").alias("abc"))
 
 
 def concentration(df: DataFrame, key: str, value: str = "line_total", tops: tuple[int, ...] = (5, 10, 20)) -> DataFrame:
     """Herfindahl index (of 10,000), shares of the largest keys, keys that reach 80 %."""
-    ranked = pareto_abc(df, key, value)
-    share = ratio(F.col("value"), F.sum("value").over(everything()))
-    rows = ranked.withColumn("share", share).withColumn("before", F.col("cum_value") - F.col("value")).withColumn("_all", F.sum("value").over(everything()))
+    found = ranked(df.groupBy(key).agg(F.sum(value).alias("v")), key).withColumns({"value": F.col("v").cast("double"), "_all": F.col("_all").cast("double"), "before": F.col("cum").cast("double") - F.col("v").cast("double")})
+    share = ratio(F.col("value"), F.col("_all"))
     top = [F.round(ratio(F.sum(F.when(F.col("rank") <= k, F.col("value"))), F.sum("value")) * 100, 4).alias(f"top{k}_pct") for k in tops]
-    return rows.agg(F.round(F.sum(F.col("share") * F.col("share")) * 10000, 4).alias("hhi"), *top, F.count_if(F.col("before") < 0.8 * F.col("_all")).alias("n80"), F.count("*").alias("n_keys"))
+    return found.agg(F.round(F.sum(share * share) * 10000, 4).alias("hhi"), *top, F.count_if(F.col("before") < 0.8 * F.col("_all")).alias("n80"), F.count("*").alias("n_keys"))
 
 
 def concentration_bands(df: DataFrame, key: str, value: str = "line_total") -> DataFrame:
@@ -170,9 +184,9 @@ def item_table(lines: DataFrame) -> DataFrame:
         F.min("item_name").alias("item_name"), F.min("brand").alias("brand"), F.sum("line_total").alias("v"), total("qty").alias("qty"), F.max("pack").alias("pack"), F.count_distinct("customer_code").alias("n_customers"), F.count("*").alias("n_lines"),
         F.round(avg_price(F.col("line_total"), F.col("qty"), priced), 6).alias("avg_price"), F.round(F.min(F.when(priced, F.col("unit_price"))), 6).alias("min_price"), F.round(F.max(F.when(priced, F.col("unit_price"))), 6).alias("max_price"),
     )
-    return by.select(
+    return ranked(by, "item_code").select(
         "item_code", "item_name", "brand", F.col("v").cast("double").alias("sales"), "qty", F.round(boxes(F.col("qty"), F.col("pack")), 6).alias("boxes"), "n_customers", "n_lines", "avg_price", "min_price", "max_price",
-        F.round(ratio(F.col("v"), F.sum("v").over(everything())) * 100, 6).alias("share_pct"), F.row_number().over(W.orderBy(F.desc("v"), "item_code")).alias("rank"),
+        F.round(ratio(F.col("v"), F.col("_all")) * 100, 6).alias("share_pct"), "rank",
     )
 
 
@@ -200,8 +214,8 @@ def customer_table(headers: DataFrame, lines: DataFrame) -> DataFrame:
     lines are summed before they meet."""
     head = headers.groupBy("customer_code").agg(F.sum("reported_total").alias("v"), total("paid").alias("paid"), F.count_distinct("invoice_no").alias("n_invoices"))
     line = lines.groupBy("customer_code").agg(F.count_distinct("item_code").alias("n_items"), total("qty").alias("units"), F.sum(boxes(F.col("qty"), F.col("pack"))).alias("boxes"))
-    met = head.join(line, "customer_code", "left")
-    return met.select("customer_code", F.col("v").cast("double").alias("sales"), "paid", "n_invoices", F.coalesce("n_items", F.lit(0)).alias("n_items"), F.coalesce("units", F.lit(0.0)).alias("units"), F.round(F.coalesce("boxes", F.lit(0.0)), 4).alias("boxes"), F.round(ratio(F.col("v"), F.col("n_invoices")), 6).alias("avg_invoice"), F.row_number().over(W.orderBy(F.desc("v"), "customer_code")).alias("rank"))
+    met = ranked(head.join(line, "customer_code", "left"), "customer_code")
+    return met.select("customer_code", F.col("v").cast("double").alias("sales"), "paid", "n_invoices", F.coalesce("n_items", F.lit(0)).alias("n_items"), F.coalesce("units", F.lit(0.0)).alias("units"), F.round(F.coalesce("boxes", F.lit(0.0)), 4).alias("boxes"), F.round(ratio(F.col("v"), F.col("n_invoices")), 6).alias("avg_invoice"), "rank")
 
 
 def customer_summary(headers: DataFrame, names: DataFrame) -> DataFrame:
@@ -225,10 +239,13 @@ def profile(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def five_numbers(df: DataFrame, key: str, value: str, least: int = 3, first: int = 10) -> DataFrame:
-    """Floor-index quantiles of value per key, of the first keys with at least least values."""
-    by = df.groupBy(key).agg(F.sort_array(F.collect_list(F.col(value).cast("double"))).alias("a")).filter(F.size("a") >= least)
-    at = lambda q: F.element_at("a", (F.floor((F.size("a") - 1) * q) + 1).cast("int"))
-    return by.orderBy(key).limit(first).select(key, *[F.round(at(q), 6).alias(n) for n, q in (("low", 0.0), ("q1", 0.25), ("median", 0.5), ("q3", 0.75), ("high", 1.0))])
+    """Floor-index quantiles of value per key, of the first keys with at least least values. Keys are
+    chosen by count alone; then equal values are counted, so that no key's values meet in an array."""
+    chosen = df.groupBy(key).agg(F.count(value).alias("n")).filter(F.col("n") >= least).orderBy(key).limit(first)
+    counted = df.join(F.broadcast(chosen), key).groupBy(key, "n", F.col(value).cast("double").alias("x")).agg(F.count(value).alias("c")).filter("c > 0")
+    through = counted.withColumn("cum", F.sum("c").over(W.partitionBy(key).orderBy("x").rowsBetween(W.unboundedPreceding, 0)))
+    at = lambda q: F.min(F.when(F.col("cum") > F.floor((F.col("n") - 1) * q), F.col("x")))
+    return through.groupBy(key).agg(*[F.round(at(q), 6).alias(n) for n, q in (("low", 0.0), ("q1", 0.25), ("median", 0.5), ("q3", 0.75), ("high", 1.0))])
 
 
 def per_active_month(lines: DataFrame) -> DataFrame:
@@ -313,6 +330,23 @@ def spliced(actual: DataFrame, forecast: DataFrame, period: str, value: str) ->
     return actual.select(period, value, F.lit("actual").alias("kind")).unionByName(joint.unionByName(forecast.select(period, value)).select(period, value, F.lit("forecast").alias("kind")))
 
 
+def rank_against_variation(by_rank: DataFrame, variation_: DataFrame, key: str) -> DataFrame:
+    """Points of a chart: a key's place by revenue, its variation of demand, and the root of its share."""
+    return by_rank.join(variation_, key).select(key, "rank", "cv", F.round(F.sqrt(F.greatest(F.col("share_pct"), F.lit(0.0))), 6).alias("size"))
+
+
+def bonus_summary(summary: DataFrame, lines: DataFrame) -> DataFrame:
+    """A customer summary with units, free units and their share."""
+    by = lines.groupBy("customer_code").agg(total("qty").alias("qty"), F.coalesce(total(F.when(F.col("is_bonus"), F.col("qty"))), F.lit(0.0)).alias("bonus_qty"))
+    return summary.join(by, "customer_code", "left").fillna(0.0, ["qty", "bonus_qty"]).withColumn("bonus_pct", F.round(ratio(F.col("bonus_qty"), F.col("qty")) * 100, 6))
+
+
+def in_period(lines: DataFrame, headers: DataFrame, start: str, end: str) -> tuple[DataFrame, DataFrame]:
+    """Headers from start to end, both included, and the lines of those invoices."""
+    kept = headers.filter(F.col("invoice_date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+    return lines.join(kept.select("invoice_no").distinct(), "invoice_no", "left_semi"), kept
+
+
 def search(df: DataFrame, text: str, columns: list[str]) -> DataFrame:
     """Rows of which the joined columns hold text, whatever the case."""
     return df.filter(F.lower(F.concat_ws(" ", *columns)).contains(text.lower()))

@@ -33,7 +33,7 @@ MONTHLY = """, m AS (SELECT month, CAST(sum(line_total) AS DOUBLE) AS revenue, C
 @query(MONTHLY + """ SELECT month, revenue, qty, n_invoices, n_customers, round(revenue / n_invoices, 6) AS revenue_per_invoice, round(revenue / qty, 6) AS avg_price,
   round((revenue - lag(revenue, 1) OVER w) / lag(revenue, 1) OVER w * 100, 6) AS mom_pct, round((revenue - lag(revenue, 12) OVER w) / lag(revenue, 12) OVER w * 100, 6) AS yoy_pct FROM m WINDOW w AS (ORDER BY month)""")
 def monthly_series(m: Sales) -> DataFrame:
-    return sales.monthly_series(m.lines)
+    return sales.monthly_series(m.sold)
 
 
 def _pareto(key: str) -> str:
@@ -42,22 +42,22 @@ def _pareto(key: str) -> str:
 
 @query(_pareto("customer_code") + """ SELECT customer_code, value, rank, round(rank / n * 100, 6) AS rank_pct, cum_value, round(cum_value / whole * 100, 6) AS cum_pct, CASE WHEN cum_value / whole * 100 <= 80 THEN 'A' WHEN cum_value / whole * 100 <= 95 THEN 'B' ELSE 'C' END AS abc FROM r""")
 def pareto_abc_customers(m: Sales) -> DataFrame:
-    return sales.pareto_abc(m.lines, "customer_code")
+    return sales.pareto_abc(m.sold, "customer_code")
 
 
 @query(_pareto("item_code") + """ SELECT CASE WHEN cum_value / whole * 100 <= 80 THEN 'A' WHEN cum_value / whole * 100 <= 95 THEN 'B' ELSE 'C' END AS abc, count(*) AS n FROM r GROUP BY 1""")
 def abc_counts_items(m: Sales) -> DataFrame:
-    return sales.class_counts(sales.pareto_abc(m.lines, "item_code"), "abc")
+    return sales.class_counts(sales.pareto_abc(m.rows, "item_code"), "abc")
 
 
 @query(_pareto("customer_code") + """ SELECT round(sum((value / whole) * (value / whole)) * 10000, 4) AS hhi, round(sum(value) FILTER (rank <= 5) / sum(value) * 100, 4) AS top5_pct, round(sum(value) FILTER (rank <= 10) / sum(value) * 100, 4) AS top10_pct, round(sum(value) FILTER (rank <= 20) / sum(value) * 100, 4) AS top20_pct, count(*) FILTER (cum_value - value < 0.8 * whole) AS n80, count(*) AS n_keys FROM r""")
 def concentration_customers(m: Sales) -> DataFrame:
-    return sales.concentration(m.lines, "customer_code")
+    return sales.concentration(m.sold, "customer_code")
 
 
 @query(_pareto("customer_code") + """ SELECT CASE WHEN rank <= 5 THEN '01-05' WHEN rank <= 10 THEN '06-10' WHEN rank <= 20 THEN '11-20' ELSE 'rest' END AS band, round(sum(value), 4) AS value, count(*) AS n FROM r GROUP BY 1""")
 def concentration_bands(m: Sales) -> DataFrame:
-    return sales.concentration_bands(m.lines, "customer_code")
+    return sales.concentration_bands(m.sold, "customer_code")
 
 
 XYZ = """, g AS (SELECT item_code, month, CAST(sum(qty) AS DOUBLE) AS v FROM lines GROUP BY 1, 2), grid AS (SELECT i.item_code, mm.month, coalesce(v, 0) AS v FROM (SELECT DISTINCT item_code FROM g) i CROSS JOIN (SELECT DISTINCT month FROM lines) mm LEFT JOIN g ON g.item_code = i.item_code AND g.month = mm.month),
@@ -66,35 +66,35 @@ XYZ = """, g AS (SELECT item_code, month, CAST(sum(qty) AS DOUBLE) AS v FROM lin
 
 @query(XYZ + " SELECT item_code, mean, cv, xyz FROM z")
 def xyz_items(m: Sales) -> DataFrame:
-    return sales.xyz(m.lines, "item_code")
+    return sales.xyz(m.sold, "item_code")
 
 
 @query(XYZ + _pareto("item_code") + """, k AS (SELECT item_code, CASE WHEN cum_value / whole * 100 <= 80 THEN 'A' WHEN cum_value / whole * 100 <= 95 THEN 'B' ELSE 'C' END AS abc FROM r)
  SELECT abc, count(*) FILTER (xyz = 'X') AS X, count(*) FILTER (xyz = 'Y') AS Y, count(*) FILTER (xyz = 'Z') AS Z FROM k JOIN z USING (item_code) GROUP BY abc""")
 def abc_xyz_matrix(m: Sales) -> DataFrame:
-    return sales.class_matrix(sales.pareto_abc(m.lines, "item_code"), sales.xyz(m.lines, "item_code"), "item_code")
+    return sales.class_matrix(sales.pareto_abc(m.sold, "item_code"), sales.xyz(m.sold, "item_code"), "item_code")
 
 
 @query(""", b AS (SELECT month, dense_rank() OVER (ORDER BY month DESC) AS back FROM (SELECT DISTINCT month FROM lines)), g AS (SELECT customer_code, coalesce(CAST(sum(line_total) FILTER (back BETWEEN 1 AND 3) AS DOUBLE), 0) AS last, coalesce(CAST(sum(line_total) FILTER (back BETWEEN 4 AND 6) AS DOUBLE), 0) AS prior FROM lines JOIN b USING (month) GROUP BY 1)
  SELECT customer_code, last, prior, CASE WHEN prior <> 0 THEN round((last - prior) / prior * 100, 4) END AS growth_pct FROM g""")
 def growth_last_quarter(m: Sales) -> DataFrame:
-    return sales.growth_of_last_periods(m.lines, "customer_code")
+    return sales.growth_of_last_periods(m.sold, "customer_code")
 
 
 @query(""", y AS (SELECT left(month, 4) AS year, right(month, 2) AS mon, CAST(sum(line_total) AS DOUBLE) AS v FROM lines GROUP BY 1, 2), s AS (SELECT mon, avg(v) AS mean, count(*) AS years FROM y GROUP BY mon), i AS (SELECT mon, years, round(mean / avg(mean) OVER () * 100, 1) AS idx FROM s)
  SELECT mon, years, idx, CASE WHEN idx >= 110 THEN 'peak' WHEN idx <= 90 THEN 'trough' ELSE 'normal' END AS level, years < 2 AS thin FROM i""")
 def seasonality_index(m: Sales) -> DataFrame:
-    return sales.seasonality(m.lines)
+    return sales.seasonality(m.sold)
 
 
 @query(""", b AS (SELECT brand, CAST(sum(line_total) AS DOUBLE) AS revenue, CAST(sum(qty) AS DOUBLE) AS qty, count(DISTINCT customer_code) AS n_customers FROM lines GROUP BY 1) SELECT *, round(revenue / sum(revenue) OVER () * 100, 4) AS share_pct FROM b""")
 def brand_shares(m: Sales) -> DataFrame:
-    return sales.share_table(m.lines, "brand")
+    return sales.share_table(m.goods, "brand")
 
 
 @query(" SELECT month, brand, CAST(sum(line_total) AS DOUBLE) AS value FROM lines GROUP BY 1, 2")
 def month_brand_matrix(m: Sales) -> DataFrame:
-    return sales.matrix(m.lines, "month", "brand")
+    return sales.matrix(m.goods, "month", "brand")
 
 
 @query(""", g AS (SELECT rep, brand, sum(line_total) AS v FROM lines GROUP BY 1, 2) SELECT r.rep, b.brand, CAST(coalesce(v, 0) AS DOUBLE) AS value FROM (SELECT DISTINCT rep FROM lines) r CROSS JOIN (SELECT DISTINCT brand FROM lines) b LEFT JOIN g ON g.rep = r.rep AND g.brand = b.brand""")
@@ -108,23 +108,23 @@ def _top(order: str, k: int, least: int = 1) -> str:
 
 @query(_top("DESC", 10))
 def top_items(m: Sales) -> DataFrame:
-    return sales.top_k(m.lines, "item_code", 10)
+    return sales.top_k(m.rows, "item_code", 10)
 
 
 @query(_top("ASC", 15, 5))
 def bottom_items(m: Sales) -> DataFrame:
-    return sales.top_k(m.lines, "item_code", 15, least_rows=5, lowest=True)
+    return sales.top_k(m.rows, "item_code", 15, least_rows=5, lowest=True)
 
 
 @query(""", g AS (SELECT brand, item_code, sum(line_total) AS v FROM lines GROUP BY 1, 2), r AS (SELECT brand, item_code, CAST(v AS DOUBLE) AS value, row_number() OVER (PARTITION BY brand ORDER BY v DESC, item_code) AS rank FROM g) SELECT * FROM r WHERE rank <= 8""")
 def top_items_per_brand(m: Sales) -> DataFrame:
-    return sales.top_k_per_group(m.lines, "brand", "item_code", 8)
+    return sales.top_k_per_group(m.goods, "brand", "item_code", 8)
 
 
 @query(""", g AS (SELECT customer_code, brand, item_code, CAST(sum(qty) AS DOUBLE) AS qty, CAST(sum(line_total) AS DOUBLE) AS sales FROM lines GROUP BY 1, 2, 3), w AS (SELECT CAST(sum(line_total) AS DOUBLE) AS whole FROM lines)
  SELECT customer_code, brand, item_code, qty, sales, CASE WHEN qty <> 0 THEN sales / qty END AS avg_price, round(sales / whole * 100, 6) AS share_pct FROM g, w""")
 def hierarchy_leaves(m: Sales) -> DataFrame:
-    return sales.hierarchy(m.lines)
+    return sales.hierarchy(m.goods)
 
 
 @query(" SELECT rep, brand, CAST(sum(line_total) AS DOUBLE) AS sales, CAST(sum(qty) AS DOUBLE) AS qty, CAST(grouping(rep, brand) AS INTEGER) AS gid FROM lines GROUP BY ROLLUP (rep, brand)")
@@ -143,20 +143,20 @@ ITEM = """, t AS (SELECT item_code, min(item_name) AS item_name, min(brand) AS b
 
 @query(ITEM + """ SELECT item_code, item_name, brand, CAST(v AS DOUBLE) AS sales, qty, CASE WHEN pack > 0 THEN round(qty / pack, 6) END AS boxes, n_customers, n_lines, round(price, 6) AS avg_price, round(lo, 6) AS min_price, round(hi, 6) AS max_price, round(CAST(v AS DOUBLE) / CAST(sum(v) OVER () AS DOUBLE) * 100, 6) AS share_pct, CAST(row_number() OVER (ORDER BY v DESC, item_code) AS INTEGER) AS rank FROM t""")
 def item_table(m: Sales) -> DataFrame:
-    return sales.item_table(m.lines)
+    return sales.item_table(m.goods)
 
 
 @query(""", n AS (SELECT item_code, item_name, count(*) AS c FROM lines GROUP BY 1, 2), nm AS (SELECT item_code, item_name FROM n QUALIFY row_number() OVER (PARTITION BY item_code ORDER BY c DESC, item_name) = 1)
  SELECT item_code, qty, paid_qty, paid_value, n_lines, item_name, round(paid_value / nullif(paid_qty, 0), 6) AS avg_price FROM (SELECT item_code, CAST(sum(qty) AS DOUBLE) AS qty, coalesce(CAST(sum(qty) FILTER (line_total > 0) AS DOUBLE), 0) AS paid_qty, coalesce(CAST(sum(line_total) FILTER (line_total > 0) AS DOUBLE), 0) AS paid_value, count(*) AS n_lines FROM lines WHERE month >= '2000-01' GROUP BY 1) JOIN nm USING (item_code)""")
 def item_summary_of_period(m: Sales) -> DataFrame:
-    lines = m.lines
+    lines = m.goods
     return sales.item_summary(lines.filter(F.col("month") >= "2000-01"), lines)
 
 
 @query(""", h AS (SELECT customer_code, sum(reported_total) AS v, CAST(sum(paid) AS DOUBLE) AS paid, count(DISTINCT invoice_no) AS n_invoices FROM headers GROUP BY 1), l AS (SELECT customer_code, count(DISTINCT item_code) AS n_items, CAST(sum(qty) AS DOUBLE) AS units, sum(CASE WHEN pack > 0 THEN CAST(qty AS DOUBLE) / pack END) AS boxes FROM lines GROUP BY 1)
  SELECT customer_code, CAST(v AS DOUBLE) AS sales, paid, n_invoices, coalesce(n_items, 0) AS n_items, coalesce(units, 0) AS units, round(coalesce(boxes, 0), 4) AS boxes, round(CAST(v AS DOUBLE) / n_invoices, 6) AS avg_invoice, CAST(row_number() OVER (ORDER BY v DESC, customer_code) AS INTEGER) AS rank FROM h LEFT JOIN l USING (customer_code)""")
 def customer_table(m: Sales) -> DataFrame:
-    return sales.customer_table(m.headers, m.lines)
+    return sales.customer_table(m.headers, m.goods)
 
 
 @query(""" SELECT h.customer_code, coalesce(CAST(sum(reported_total) FILTER (reported_total <> 0) AS DOUBLE), 0) AS sales, count(*) AS n_invoices, count(*) FILTER (coalesce(reported_total, 0) = 0) AS n_zero, any_value(customer_name) AS customer_name, round(count(*) FILTER (coalesce(reported_total, 0) = 0) / count(*) * 100, 6) AS zero_pct FROM headers h LEFT JOIN customers c ON h.customer_code = c.customer_code GROUP BY 1""")
@@ -169,12 +169,12 @@ KPI = """, h AS (SELECT CAST(sum(reported_total) AS DOUBLE) AS sales, CAST(sum(p
 
 @query(KPI + " SELECT h.*, l.*, round(sales / n_invoices, 6) AS avg_invoice, round(paid / sales, 6) AS paid_rate FROM h, l")
 def portfolio_kpis(m: Sales) -> DataFrame:
-    return sales.kpis(m.headers, m.lines)
+    return sales.kpis(m.headers, m.goods)
 
 
 @query(KPI + " SELECT sales, qty, n_invoices, n_customers, n_zero, round(n_zero / n_invoices * 100, 6) AS zero_pct FROM h, l")
 def grand_totals(m: Sales) -> DataFrame:
-    return sales.grand_totals(m.headers, m.lines)
+    return sales.grand_totals(m.headers, m.goods)
 
 
 def _profile(c: str) -> str:
@@ -183,28 +183,28 @@ def _profile(c: str) -> str:
 
 @query(" " + " UNION ALL ".join(map(_profile, ("qty", "gross", "unit_price"))))
 def numeric_profile(m: Sales) -> DataFrame:
-    return sales.profile(m.lines, ["qty", "gross", "unit_price"])
+    return sales.profile(m.rows, ["qty", "gross", "unit_price"])
 
 
 @query(""", a AS (SELECT item_code, list_sort(list(unit_price)) AS a FROM lines WHERE unit_price > 0 GROUP BY 1 HAVING count(*) >= 3 ORDER BY item_code LIMIT 10)
  SELECT item_code, round(a[1], 6) AS low, round(a[CAST(floor((len(a) - 1) * 0.25) AS INTEGER) + 1], 6) AS q1, round(a[CAST(floor((len(a) - 1) * 0.5) AS INTEGER) + 1], 6) AS median, round(a[CAST(floor((len(a) - 1) * 0.75) AS INTEGER) + 1], 6) AS q3, round(a[len(a)], 6) AS high FROM a""")
 def price_five_numbers(m: Sales) -> DataFrame:
-    return sales.five_numbers(m.lines.filter("unit_price > 0"), "item_code", "unit_price")
+    return sales.five_numbers(m.rows.filter("unit_price > 0"), "item_code", "unit_price")
 
 
 @query(""", g AS (SELECT customer_code, CAST(sum(line_total) AS DOUBLE) / count(DISTINCT month) AS x FROM lines GROUP BY 1) SELECT round(avg(x), 4) AS mean, round(median(x), 4) AS median, count(*) AS n FROM g""")
 def revenue_per_active_month(m: Sales) -> DataFrame:
-    return sales.per_active_month(m.lines)
+    return sales.per_active_month(m.sold)
 
 
 @query(MONTHLY + " SELECT round(avg(revenue), 4) AS mean, round(stddev_samp(revenue), 4) AS std, round(stddev_samp(revenue) / avg(revenue), 6) AS cv FROM m")
 def revenue_variation(m: Sales) -> DataFrame:
-    return sales.variation(sales.monthly_series(m.lines), "revenue")
+    return sales.variation(sales.monthly_series(m.sold), "revenue")
 
 
 @query(MONTHLY + " SELECT round(avg(round(revenue / n_invoices, 6)), 4) AS mean_revenue_per_invoice FROM m")
 def mean_of_monthly_ratios(m: Sales) -> DataFrame:
-    return sales.mean_of_ratios(sales.monthly_series(m.lines))
+    return sales.mean_of_ratios(sales.monthly_series(m.sold))
 
 
 @query(""", x AS (SELECT CAST(reported_total AS DOUBLE) AS x FROM headers WHERE reported_total > 0), s AS (SELECT min(x) AS lo, max(x) AS hi FROM x) SELECT CAST(least(29, floor((x - lo) / ((hi - lo) / 30))) AS INTEGER) AS bin, count(*) AS n FROM x, s GROUP BY 1""")
@@ -222,37 +222,37 @@ TOP10 = ", top AS (SELECT item_code FROM lines GROUP BY 1 ORDER BY sum(line_tota
 
 @query(TOP10 + " SELECT item_code, invoice_date AS day, CAST(sum(line_total) AS DOUBLE) AS sales, CAST(sum(qty) AS DOUBLE) AS qty FROM lines WHERE item_code IN (SELECT item_code FROM top) GROUP BY 1, 2")
 def daily_sales_of_top_items(m: Sales) -> DataFrame:
-    return sales.daily_of(m.lines, sales.top_k(m.lines, "item_code", 10))
+    return sales.daily_of(m.sold, sales.top_k(m.sold, "item_code", 10))
 
 
 @query(TOP10 + " SELECT item_code, month, CAST(sum(line_total) AS DOUBLE) AS revenue, CAST(sum(qty) AS DOUBLE) AS qty, CAST(sum(line_total) AS DOUBLE) / CAST(sum(qty) AS DOUBLE) AS avg_price FROM lines WHERE item_code IN (SELECT item_code FROM top) GROUP BY 1, 2")
 def months_of_top_items(m: Sales) -> DataFrame:
-    return sales.months_of_top_items(m.lines)
+    return sales.months_of_top_items(m.sold)
 
 
 @query(""", a AS (SELECT customer_code FROM lines GROUP BY 1 ORDER BY sum(line_total) DESC, 1 LIMIT 8), b AS (SELECT brand FROM lines GROUP BY 1 ORDER BY sum(line_total) DESC, 1 LIMIT 8) SELECT customer_code, brand, CAST(sum(line_total) AS DOUBLE) AS value FROM lines WHERE customer_code IN (SELECT * FROM a) AND brand IN (SELECT * FROM b) GROUP BY 1, 2""")
 def customer_brand_flows(m: Sales) -> DataFrame:
-    return sales.flows(m.lines, "customer_code", "brand")
+    return sales.flows(m.goods, "customer_code", "brand")
 
 
 @query()
 def customer_radar(m: Sales) -> DataFrame:
-    return sales.radar(sales.customer_table(m.headers, m.lines), ["sales", "paid", "n_invoices", "n_items", "units"])
+    return sales.radar(sales.customer_table(m.headers, m.goods), ["sales", "paid", "n_invoices", "n_items", "units"])
 
 
 @query(" SELECT h.customer_code, CAST(sum(reported_total) AS DOUBLE) AS sales, any_value(CAST(net AS DOUBLE)) AS balance FROM headers h JOIN customers c ON h.customer_code = c.customer_code WHERE net IS NOT NULL GROUP BY 1")
 def sales_against_balance(m: Sales) -> DataFrame:
-    return sales.scatter(sales.customer_table(m.headers, m.lines), m.customers)
+    return sales.scatter(sales.customer_table(m.headers, m.goods), m.customers)
 
 
 @query(MONTHLY + """ SELECT month, revenue, round(coalesce(sum(revenue) OVER (ORDER BY month ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 4) AS bar_start, round(coalesce(sum(revenue) OVER (ORDER BY month ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + revenue, 4) AS bar_end, round(coalesce(revenue - lag(revenue) OVER (ORDER BY month), 0), 4) AS change FROM m""")
 def revenue_bridge(m: Sales) -> DataFrame:
-    return sales.bridge(sales.monthly_series(m.lines).select("month", "revenue"), "month", "revenue")
+    return sales.bridge(sales.monthly_series(m.sold).select("month", "revenue"), "month", "revenue")
 
 
 @query(ITEM + ", n AS (SELECT count(DISTINCT month) AS months FROM lines) SELECT t.item_code, t.qty, t.pack, round(CAST(v AS DOUBLE) / t.qty, 6) AS avg_price, CASE WHEN pack > 0 THEN round(t.qty / pack, 6) END AS boxes, CASE WHEN pack > 0 THEN t.qty / pack / months END AS boxes_a_month FROM t, n")
 def pack_requirement(m: Sales) -> DataFrame:
-    return sales.pack_requirement(m.lines)
+    return sales.pack_requirement(m.goods)
 
 
 @query(" SELECT customer_code, customer_name, rep FROM customers WHERE contains(lower(customer_name || ' ' || rep), 'china')")
@@ -270,7 +270,7 @@ def cross_filtered(m: Sales) -> DataFrame:
 
 @query(""", h AS (SELECT coalesce(month, 'all') AS month, CAST(sum(reported_total) AS DOUBLE) AS sales, CAST(sum(paid) AS DOUBLE) AS paid, count(*) AS n_invoices FROM headers GROUP BY ROLLUP (month)), l AS (SELECT coalesce(month, 'all') AS month, CAST(sum(line_total) AS DOUBLE) AS net_sales, CAST(sum(qty) AS DOUBLE) AS qty, count(*) AS n_lines FROM lines GROUP BY ROLLUP (month)) SELECT * FROM h FULL JOIN l USING (month)""")
 def monthly_bundle(m: Sales) -> DataFrame:
-    return sales.monthly_bundle(m.headers, m.lines)
+    return sales.monthly_bundle(m.headers, m.sold)
 
 
 @query(""", s AS (SELECT invoice_date AS date, 'invoice' AS kind, CAST(invoice_no AS VARCHAR) AS ref, reported_total AS amount FROM headers WHERE customer_code = '7' UNION ALL SELECT date, 'receipt', CAST(doc_ref AS VARCHAR), -amount FROM receipts WHERE customer_code = '7')
@@ -284,7 +284,7 @@ def customer_statement(m: Sales) -> DataFrame:
 
 @query(""", d AS (SELECT CAST(sum(gross) AS DOUBLE) AS gross, CAST(sum(line_total) AS DOUBLE) AS net FROM lines WHERE NOT is_bonus) SELECT gross, net, round(gross - net, 4) AS deduction, round((gross - net) / gross * 100, 6) AS deduction_pct FROM d""")
 def deductions(m: Sales) -> DataFrame:
-    return finance.deductions(m.lines)
+    return finance.deductions(m.rows)
 
 
 PRICE = """, price AS (SELECT item_code, CAST(sum(line_total) FILTER (line_total > 0) AS DOUBLE) / CAST(sum(qty) FILTER (line_total > 0) AS DOUBLE) AS price FROM lines GROUP BY 1)"""
@@ -292,13 +292,13 @@ PRICE = """, price AS (SELECT item_code, CAST(sum(line_total) FILTER (line_total
 
 @query(PRICE + """, f AS (SELECT item_code, CAST(sum(qty) AS DOUBLE) AS q FROM lines WHERE is_bonus GROUP BY 1), v AS (SELECT sum(q) AS free_qty, round(sum(q * coalesce(price, 0)), 2) AS free_value FROM f LEFT JOIN price USING (item_code)), r AS (SELECT CAST(sum(line_total) AS DOUBLE) AS revenue FROM lines) SELECT free_qty, free_value, revenue, round(free_value / revenue * 100, 4) AS free_pct FROM v, r""")
 def free_goods(m: Sales) -> DataFrame:
-    return finance.free_goods(m.lines)
+    return finance.free_goods(m.sold)
 
 
 @query(PRICE + """, f AS (SELECT customer_code, CAST(sum(qty) AS DOUBLE) AS free_qty, round(sum(CAST(qty AS DOUBLE) * coalesce(price, 0)), 4) AS free_value FROM lines LEFT JOIN price USING (item_code) WHERE is_bonus GROUP BY 1), w AS (SELECT customer_code, CAST(sum(qty) AS DOUBLE) AS q, CAST(sum(line_total) AS DOUBLE) AS v FROM lines GROUP BY 1)
  SELECT customer_code, free_qty, free_value, round(free_qty / q * 100, 4) AS free_qty_pct, round(free_value / nullif(v, 0) * 100, 4) AS free_value_pct FROM f JOIN w USING (customer_code)""")
 def free_goods_by_customer(m: Sales) -> DataFrame:
-    return finance.free_goods_by_customer(m.lines)
+    return finance.free_goods_by_customer(m.sold)
 
 
 DSO = """, t AS (SELECT CAST(sum(line_total) AS DOUBLE) AS trailing_revenue FROM lines WHERE month IN (SELECT DISTINCT month FROM lines ORDER BY month DESC LIMIT 12)), a AS (SELECT CAST(sum(net) AS DOUBLE) AS net_ar FROM customers)"""
@@ -306,12 +306,12 @@ DSO = """, t AS (SELECT CAST(sum(line_total) AS DOUBLE) AS trailing_revenue FROM
 
 @query(DSO + " SELECT net_ar, trailing_revenue, round(net_ar / (trailing_revenue / 365), 6) AS dso FROM a, t")
 def days_outstanding(m: Sales) -> DataFrame:
-    return finance.days_outstanding(m.lines, m.customers)
+    return finance.days_outstanding(m.sold, m.customers)
 
 
 @query()
 def executive_summary(m: Sales) -> DataFrame:
-    return finance.executive_summary(m.lines, m.customers)
+    return finance.executive_summary(m.sold, m.customers)
 
 
 @query(""", d AS (SELECT customer_code, CAST(greatest(net, 0) AS DOUBLE) AS v FROM customers), r AS (SELECT v, row_number() OVER (ORDER BY v DESC, customer_code) AS rank, sum(v) OVER () AS whole FROM d) SELECT round(sum(v) FILTER (rank <= 10) / max(whole) * 100, 4) AS top_pct, round(sum((v / whole) * (v / whole)) * 10000, 4) AS hhi FROM r""")
@@ -324,7 +324,7 @@ def debtor_concentration(m: Sales) -> DataFrame:
 
 @query(" " + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) FILTER ({c} IS NULL OR trim(CAST({c} AS VARCHAR)) = '') AS n_missing, round(count(*) FILTER ({c} IS NULL OR trim(CAST({c} AS VARCHAR)) = '') / count(*) * 100, 6) AS missing_pct FROM lines" for c in ("invoice_no", "item_name", "customer_code", "qty")))
 def missing_profile(m: Sales) -> DataFrame:
-    return quality.missing_profile(m.lines, ["invoice_no", "item_name", "customer_code", "qty"])
+    return quality.missing_profile(m.goods, ["invoice_no", "item_name", "customer_code", "qty"])
 
 
 @query(" SELECT l_orderkey, l_linenumber, count(*) AS n_rows FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
@@ -334,34 +334,34 @@ def repeated_line_keys(m: Sales) -> DataFrame:
 
 @query(" SELECT item_name, count(DISTINCT item_code) AS n_values FROM lines GROUP BY 1 HAVING count(DISTINCT item_code) > 1")
 def names_of_many_items(m: Sales) -> DataFrame:
-    return quality.many_values(m.lines, "item_name", "item_code")
+    return quality.many_values(m.goods, "item_name", "item_code")
 
 
 @query(""", s AS (SELECT h.invoice_no, CAST(h.reported_total AS DOUBLE) AS reported_total, coalesce(CAST(sum(line_total) AS DOUBLE), 0) AS line_sum FROM headers h LEFT JOIN lines l ON h.invoice_no = l.invoice_no GROUP BY 1, 2)
  SELECT invoice_no, reported_total, line_sum, abs(round(reported_total - line_sum, 6)) AS diff, abs(round(reported_total - line_sum, 6)) <= greatest(1.0, abs(reported_total) * 0.01) AS passes FROM s""")
 def reconciliation(m: Sales) -> DataFrame:
-    return quality.reconcile(m.lines, m.headers)
+    return quality.reconcile(m.rows, m.headers)
 
 
 @query(""", r AS (SELECT abs(CAST(line_total AS DOUBLE) - CAST(qty AS DOUBLE) * unit_price * (1 - CAST(disc AS DOUBLE)) * (1 - CAST(tax AS DOUBLE))) AS r FROM lines) SELECT round(avg(r), 6) AS mean_abs, round(max(r), 6) AS max_abs, round(count(*) FILTER (r <= 1) / count(*) * 100, 6) AS within_1_pct FROM r""")
 def formula_check(m: Sales) -> DataFrame:
-    return quality.formula_check(m.lines)
+    return quality.formula_check(m.rows)
 
 
 @query(""", q AS (SELECT item_code, count(*) AS n, quantile_cont(unit_price, 0.25) AS q1, quantile_cont(unit_price, 0.75) AS q3 FROM lines WHERE NOT is_bonus AND unit_price > 0 GROUP BY 1 HAVING count(*) >= 8), f AS (SELECT item_code, n, round(q1 - 3 * (q3 - q1), 3) AS low, round(q3 + 3 * (q3 - q1), 3) AS high FROM q)
  SELECT item_code, n, low, high, count(*) FILTER (unit_price < low OR unit_price > high) AS n_outliers FROM f JOIN lines USING (item_code) WHERE NOT is_bonus AND unit_price > 0 GROUP BY 1, 2, 3, 4""")
 def price_outliers(m: Sales) -> DataFrame:
-    return quality.outliers(m.lines)
+    return quality.outliers(m.rows)
 
 
 @query(""" SELECT count(*) AS n_lines, count(*) FILTER (qty < 0) AS n_negative_qty, count(*) FILTER (line_total = 0) AS n_zero, count(*) FILTER (is_bonus) AS n_free, round(count(*) FILTER (is_bonus) / count(*) * 100, 6) AS free_pct, """ + ", ".join(f"CAST({f}({c}) AS DOUBLE) AS {f}_{c}" for c in ("qty", "line_total", "disc", "tax") for f in ("min", "max")) + " FROM lines")
 def line_counters(m: Sales) -> DataFrame:
-    return quality.counters(m.lines)
+    return quality.counters(m.rows)
 
 
 @query(" SELECT count(*) FILTER (unit_price > 1500) AS n_price, count(*) FILTER (qty > 49) AS n_qty, count(*) FILTER (unit_price < 0 OR qty < 0) AS n_negative FROM lines")
 def abnormal_lines(m: Sales) -> DataFrame:
-    return quality.abnormal(m.lines, 1500, 49)
+    return quality.abnormal(m.rows, 1500, 49)
 
 
 @query(" SELECT month AS key, count(*) AS stated, count(*) FILTER (status <> 'P') AS found FROM headers GROUP BY 1 HAVING count(*) <> count(*) FILTER (status <> 'P')")
@@ -377,7 +377,7 @@ def invoice_statuses(m: Sales) -> DataFrame:
 
 @query(" SELECT 'invoices have dates' AS name, count(*) FILTER (invoice_date IS NULL) = 0 AS passed, count(*) FILTER (invoice_date IS NULL) AS n_failed FROM headers UNION ALL SELECT 'totals are not negative', bool_and(reported_total >= 0), count(*) FILTER (NOT reported_total >= 0) FROM headers UNION ALL SELECT 'rates are at most 1', bool_and(disc <= 1), count(*) FILTER (NOT disc <= 1) FROM lines")
 def validation_gate(m: Sales) -> DataFrame:
-    return quality.checks([("invoices have dates", m.headers, F.col("invoice_date").isNotNull()), ("totals are not negative", m.headers, F.col("reported_total") >= 0), ("rates are at most 1", m.lines, F.col("disc") <= 1)])
+    return quality.checks([("invoices have dates", m.headers, F.col("invoice_date").isNotNull()), ("totals are not negative", m.headers, F.col("reported_total") >= 0), ("rates are at most 1", m.sold, F.col("disc") <= 1)])
 
 
 # Receivables
@@ -516,9 +516,9 @@ def customer_dimension(m: Sales) -> DataFrame:
 
 @query()
 def item_dimension(m: Sales) -> DataFrame:
-    names = m.lines.select(F.regexp_extract("item_name", r"^(\S+)", 1).alias("w")).distinct().orderBy("w").limit(8)  # a reference table out of the data's own words
+    names = m.goods.select(F.regexp_extract("item_name", r"^(\S+)", 1).alias("w")).distinct().orderBy("w").limit(8)  # a reference table out of the data's own words
     master = names.select(F.concat("w", F.lit(" ware")).alias("name"), F.upper("w").alias("brand"), F.lit("12 a box").alias("carton_capacity"))
-    return attribution.item_dimension(m.lines, master, [("(?i)a", "with a"), ("(?i)e", "with e")])
+    return attribution.item_dimension(m.goods, master, [("(?i)a", "with a"), ("(?i)e", "with e")])
 
 
 # Sets
@@ -543,7 +543,7 @@ ACF = PANEL + """, d AS (SELECT series_key, t, y - avg(y) OVER (PARTITION BY ser
 
 
 def _panel(m: Sales, key: str | None = "brand") -> DataFrame:
-    return series.panel(m.lines, key, "month", "line_total")
+    return series.panel(m.goods if key == "brand" else m.sold, key, "month", "line_total")
 
 
 @query(ACF + " SELECT series_key, lag, n, round(r, 6) AS acf, round(1.96 / sqrt(n), 6) AS ci FROM acf")
@@ -670,7 +670,7 @@ def item_panel_forecast(m: Sales) -> DataFrame:
 @query(OVERDUE + _pareto("customer_code").replace(" p AS", " pp AS").replace("FROM p)", "FROM pp)") + """, facts AS (SELECT 'top10_share' AS fact, round(round(sum(value) FILTER (rank <= 10) / sum(value) * 100, 4) / 100, 6) AS value FROM r UNION ALL SELECT 'overdue_share', round(sum(overdue) / sum(balance), 6) FROM od UNION ALL SELECT 'customers_to_80pct', CAST(count(*) FILTER (cum_value - value < 0.8 * whole) AS DOUBLE) FROM r)
  SELECT fact, value, CASE WHEN (fact = 'top10_share' AND value > 0.5) OR (fact = 'overdue_share' AND value > 0.4) THEN 'high' WHEN fact = 'overdue_share' AND value > 0.1 THEN 'medium' ELSE 'info' END AS priority FROM facts""")
 def insight_facts(m: Sales) -> DataFrame:
-    return finance.insight_facts(m.lines, receivables.overdue(_fifo(m), AS_OF))
+    return finance.insight_facts(m.sold, receivables.overdue(_fifo(m), AS_OF))
 
 
 @query(" SELECT customer_code, round(greatest(0, least(1, CAST(sum(paid) AS DOUBLE) / CAST(sum(reported_total) AS DOUBLE))), 6) AS paid_rate FROM headers GROUP BY 1")

@@ -40,19 +40,31 @@ class Sales:
         )
 
     @property
-    def lines(self) -> DataFrame:
+    def rows(self) -> DataFrame:
+        """Lines as they stand, without a join: what knows neither date nor customer needs no more."""
         d, t = F.col("l_discount").cast("decimal(4,2)"), F.col("l_tax").cast("decimal(4,2)")
         gross, qty = F.col("l_extendedprice").cast("decimal(12,2)"), F.col("l_quantity").cast("decimal(12,2)")
         free = (d == F.lit("0.10").cast("decimal(4,2)")) & (F.col("l_returnflag") == "R")
         rest = lambda x: (F.lit(1) - x).cast("decimal(5,2)")
-        own = self.table("lineitem").select(
-            F.col("l_orderkey").alias("invoice_no"), F.col("l_linenumber").alias("seq"), F.col("l_partkey"), qty.alias("qty"), gross.alias("gross"), d.alias("disc"), t.alias("tax"), free.alias("is_bonus"),
+        return self.table("lineitem").select(
+            F.col("l_orderkey").alias("invoice_no"), F.col("l_linenumber").alias("seq"), F.col("l_partkey").cast("string").alias("item_code"), qty.alias("qty"), gross.alias("gross"), d.alias("disc"), t.alias("tax"), free.alias("is_bonus"),
             F.when(free, F.lit(0)).otherwise(gross * rest(d) * rest(t)).cast("decimal(20,6)").alias("line_total"), F.when(free, F.lit(0.0)).otherwise(gross.cast("double") / qty.cast("double")).alias("unit_price"),
         )
-        head = self.headers.select("invoice_no", "invoice_date", "month", "customer_code")
-        item = self.table("part").select("p_partkey", F.col("p_partkey").cast("string").alias("item_code"), F.col("p_name").alias("item_name"), F.col("p_brand").alias("brand"), F.col("p_size").alias("pack"))
-        who = self.customers.select("customer_code", "customer_name", "rep", "city")
-        return own.join(head, "invoice_no").join(item, F.col("l_partkey") == F.col("p_partkey")).join(who, "customer_code").drop("l_partkey", "p_partkey")
+
+    @property
+    def sold(self) -> DataFrame:
+        """Lines with their invoice's date and customer."""
+        return self.rows.join(self.headers.select("invoice_no", "invoice_date", "month", "customer_code"), "invoice_no")
+
+    @property
+    def goods(self) -> DataFrame:
+        """Lines with their invoice and item."""
+        return self.sold.join(self.table("part").select(F.col("p_partkey").cast("string").alias("item_code"), F.col("p_name").alias("item_name"), F.col("p_brand").alias("brand"), F.col("p_size").alias("pack")), "item_code")
+
+    @property
+    def lines(self) -> DataFrame:
+        """Lines with all that is known of them."""
+        return self.goods.join(self.customers.select("customer_code", "customer_name", "rep", "city"), "customer_code")
 
     def _events(self, kind: str) -> DataFrame:
         return self.table("events").filter(F.col("event_type") == kind).select(
