@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from receivia.functions.scalars import clip, invoice_status, ratio
+from receivia.functions.scalars import clip, display_name, invoice_status, month_label, parse_date, parse_number, parse_number_or_zero, rate_class, ratio, to_numbers, usable_name
 from receivia.operators import attribution, finance, forecast, quality, receivables, sales, series
 from receivia.plans.view import AS_OF, CUTOFF, Sales, sql
 
@@ -235,9 +235,13 @@ def customer_brand_flows(m: Sales) -> DataFrame:
     return sales.flows(m.goods, "customer_code", "brand")
 
 
-@query()
+RADAR = ("sales", "paid", "n_invoices", "n_items", "units")
+
+
+@query(""", h AS (SELECT customer_code, sum(reported_total) AS v, CAST(sum(paid) AS DOUBLE) AS paid, count(DISTINCT invoice_no) AS n_invoices FROM headers GROUP BY 1), l AS (SELECT customer_code, count(DISTINCT item_code) AS n_items, CAST(sum(qty) AS DOUBLE) AS units FROM lines GROUP BY 1),
+ t AS (SELECT customer_code, CAST(v AS DOUBLE) AS sales, paid, n_invoices, coalesce(n_items, 0) AS n_items, coalesce(units, 0) AS units FROM h LEFT JOIN l USING (customer_code) ORDER BY v DESC, customer_code LIMIT 5) SELECT customer_code, """ + ", ".join(f"round(CAST({c} AS DOUBLE) / max({c}) OVER (), 6) AS {c}" for c in RADAR) + " FROM t")
 def customer_radar(m: Sales) -> DataFrame:
-    return sales.radar(sales.customer_table(m.headers, m.goods), ["sales", "paid", "n_invoices", "n_items", "units"])
+    return sales.radar(sales.customer_table(m.headers, m.goods), list(RADAR))
 
 
 @query(" SELECT h.customer_code, CAST(sum(reported_total) AS DOUBLE) AS sales, any_value(CAST(net AS DOUBLE)) AS balance FROM headers h JOIN customers c ON h.customer_code = c.customer_code WHERE net IS NOT NULL GROUP BY 1")
@@ -309,7 +313,8 @@ def days_outstanding(m: Sales) -> DataFrame:
     return finance.days_outstanding(m.sold, m.customers)
 
 
-@query()
+@query(DSO + _pareto("customer_code").replace("r AS", "rk AS") + """, c AS (SELECT round(sum((value / whole) * (value / whole)) * 10000, 4) AS hhi_customers, round(sum(value) FILTER (rank <= 10) / sum(value) * 100, 4) AS top10_pct FROM rk), b AS (SELECT CAST(sum(line_total) AS DOUBLE) AS revenue, min(month) AS first_month, max(month) AS last_month, count(DISTINCT month) AS n_months FROM lines),
+ d AS (SELECT CAST(sum(gross) AS DOUBLE) AS gross, CAST(sum(line_total) AS DOUBLE) AS net FROM lines WHERE NOT is_bonus) SELECT b.*, c.*, net_ar, trailing_revenue, round(net_ar / (trailing_revenue / 365), 6) AS dso, round((gross - net) / gross * 100, 6) AS deduction_pct FROM b, c, a, t, d""")
 def executive_summary(m: Sales) -> DataFrame:
     return finance.executive_summary(m.sold, m.customers)
 
@@ -592,12 +597,14 @@ def brand_residual_checks(m: Sales) -> DataFrame:
     return series.residual_checks(series.residuals(_panel(m)))
 
 
-@query()
+@query(PANEL + """, w AS (SELECT series_key, t, y, count(*) OVER f AS c, sum(y) OVER f AS a, sum(y) OVER i AS b, count(*) OVER (PARTITION BY series_key) AS n FROM panel WINDOW f AS (PARTITION BY series_key ORDER BY t ROWS BETWEEN 6 PRECEDING AND 6 FOLLOWING), i AS (PARTITION BY series_key ORDER BY t ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING)), tr AS (SELECT series_key, t, y, t % 12 AS m, CASE WHEN c = 13 THEN ((a - b) / 2 + b) / 12 END AS trend FROM w WHERE n >= 24),
+ s AS (SELECT *, avg(y - trend) OVER (PARTITION BY series_key, m) AS s FROM tr), mm AS (SELECT series_key, avg(x) AS a FROM (SELECT series_key, m, any_value(s) AS x FROM s GROUP BY 1, 2) GROUP BY 1) SELECT s.series_key, CAST(t AS INTEGER) AS t, y, round(trend, 4) AS trend, round(s.s - mm.a, 4) AS seasonal, round(y - trend - s.s + mm.a, 4) AS resid FROM s JOIN mm USING (series_key)""")
 def brand_decomposition(m: Sales) -> DataFrame:
     return series.decompose(_panel(m))
 
 
-@query()
+@query(PANEL + """, d AS (SELECT series_key, t, y, y - lag(y) OVER (PARTITION BY series_key ORDER BY t) AS d FROM panel), l AS (SELECT *, lag(d) OVER (PARTITION BY series_key ORDER BY t) AS l FROM d), f AS (SELECT series_key, sum(d * l) / sum(l * l) FILTER (d IS NOT NULL) AS phi, arg_max(y, t) AS b, arg_max(d, t) AS last FROM l GROUP BY 1)
+ SELECT series_key, step, 'difference_ar' AS model, round(b + last * list_sum(list_transform(range(1, step + 1), lambda k: phi ** k)), 4) AS forecast FROM f CROSS JOIN (SELECT CAST(unnest(range(1, 7)) AS INTEGER) AS step)""")
 def brand_difference_ar_six_steps(m: Sales) -> DataFrame:
     return forecast.difference_ar(_panel(m), 6).withColumn("forecast", F.round("forecast", 4))
 
@@ -676,3 +683,152 @@ def insight_facts(m: Sales) -> DataFrame:
 @query(" SELECT customer_code, round(greatest(0, least(1, CAST(sum(paid) AS DOUBLE) / CAST(sum(reported_total) AS DOUBLE))), 6) AS paid_rate FROM headers GROUP BY 1")
 def paid_rates(m: Sales) -> DataFrame:
     return m.headers.groupBy("customer_code").agg(F.round(clip(ratio(F.sum("paid"), F.sum("reported_total"))), 6).alias("paid_rate"))
+
+
+# Operators of names, codes and lookups, and totals by further keys
+
+
+@query(" SELECT item_code, round(sum(unit_price * greatest(CAST(qty AS DOUBLE), 0.01)) / sum(greatest(CAST(qty AS DOUBLE), 0.01)), 6) AS weighted_mean FROM lines GROUP BY 1")
+def weighted_prices(m: Sales) -> DataFrame:
+    return sales.weighted_mean(m.rows, "unit_price", "qty", 0.01, ("item_code",))
+
+
+@query(""", n AS (SELECT brand, item_name, sum(line_total) AS s FROM lines GROUP BY 1, 2) SELECT brand, item_name FROM n QUALIFY row_number() OVER (PARTITION BY brand ORDER BY length(item_name), s DESC, item_name) = 1""")
+def shortest_names(m: Sales) -> DataFrame:
+    return sales.shortest_name(m.goods, "brand", "item_name")
+
+
+@query(" SELECT rep, CAST(sum(net) AS DOUBLE) AS balance, arg_min(customer_name, customer_code) AS name FROM customers GROUP BY 1")
+def merged_balances(m: Sales) -> DataFrame:
+    found = receivables.merged_balances(m.customers.select("rep", "customer_code", F.col("net").alias("balance"), F.col("customer_name").alias("name")), "rep", "customer_code")
+    return found.select("rep", F.col("balance").cast("double").alias("balance"), "name")
+
+
+@query(" SELECT DISTINCT h.customer_code FROM headers h JOIN customers c ON h.customer_code = c.customer_code WHERE rep = 'CHINA'")
+def customers_without_rep(m: Sales) -> DataFrame:
+    return attribution.without_rep(m.headers, m.customers.withColumn("rep", F.when(F.col("rep") != "CHINA", F.col("rep"))))
+
+
+@query(" SELECT customer_code, CASE WHEN city = 'ASIA' THEN rep ELSE 'elsewhere' END AS rep FROM customers")
+def looked_up_reps(m: Sales) -> DataFrame:
+    return attribution.lookup(m.customers.select("customer_code"), "customer_code", m.customers.filter("city = 'ASIA'"), "rep", "elsewhere")
+
+
+@query(" SELECT customer_code, CASE WHEN net > 0 THEN rep ELSE city END AS rep FROM customers WHERE net > 0 OR net < -100000")
+def reps_by_priority(m: Sales) -> DataFrame:
+    return attribution.by_priority([m.customers.filter("net > 0").select("customer_code", "rep"), m.customers.filter("net > 0 OR net < -100000").select("customer_code", F.col("city").alias("rep"))], "customer_code", "rep")
+
+
+@query(" SELECT CASE CAST(n_nationkey AS VARCHAR) WHEN '3' THEN 'three' WHEN '1' THEN '2' ELSE CAST(n_nationkey AS VARCHAR) END AS code, n_name FROM nation")
+def canonical_codes(m: Sales) -> DataFrame:
+    messy = m.table("nation").select(F.concat(F.lit(" "), F.col("n_nationkey").cast("string"), F.lit(",")).alias("code"), "n_name")
+    aliases = m.table("nation").filter("n_nationkey IN (1, 3)").select(F.col("n_nationkey").cast("string").alias("alias"), F.when(F.col("n_nationkey") == 3, "three").otherwise("2").alias("code"))
+    return attribution.canonical_codes(messy, "code", aliases)
+
+
+@query(" SELECT item_code, CASE WHEN brand = 'Brand#11' THEN 'house brand' ELSE brand END AS brand, count(*) AS n FROM lines GROUP BY 1, 2")
+def overridden_brands(m: Sales) -> DataFrame:
+    known = m.table("part").filter("p_brand = 'Brand#11'").select(F.col("p_brand").alias("key"), F.lit("house brand").alias("value")).distinct()
+    return attribution.overridden(m.goods, "brand", "brand", known).groupBy("item_code", "brand").agg(F.count("*").alias("n"))
+
+
+@query(" SELECT invoice_no, CAST(remaining AS DOUBLE) AS remaining FROM headers WHERE remaining = 0")
+def zero_invoices(m: Sales) -> DataFrame:
+    return quality.zero_invoices(m.headers.withColumn("reported_total", F.col("remaining"))).select("invoice_no", F.col("remaining").cast("double").alias("remaining"))
+
+
+@query(MONTHLY + " SELECT month, revenue, CAST(row_number() OVER (ORDER BY revenue DESC, month) AS INTEGER) AS place FROM m")
+def months_by_revenue(m: Sales) -> DataFrame:
+    ordered = sales.sorted_by(sales.monthly_series(m.sold).select("month", "revenue"), "revenue", tie="month")
+    return ordered.agg(F.collect_list(F.struct("month", "revenue")).alias("a")).select(F.posexplode("a").alias("place", "r")).select("r.month", "r.revenue", (F.col("place") + 1).cast("int").alias("place"))
+
+
+@query(MONTHLY + " SELECT month, revenue, 'actual' AS kind FROM m UNION ALL SELECT month, revenue, 'forecast' FROM m WHERE month = (SELECT max(month) FROM m) UNION ALL SELECT 'next', (SELECT revenue FROM m ORDER BY month DESC LIMIT 1), 'forecast'")
+def spliced_forecast(m: Sales) -> DataFrame:
+    actual = sales.monthly_series(m.sold).select("month", "revenue")
+    ahead = forecast.naive(_panel(m, None), 1).select(F.lit("next").alias("month"), F.col("forecast").alias("revenue"))
+    return sales.spliced(actual, ahead, "month", "revenue")
+
+
+@query(PANEL + """, s AS (SELECT series_key, stddev_pop(y) AS sigma, arg_max(y, t) AS f FROM panel GROUP BY 1) SELECT series_key, step, f AS base, round(greatest(0, f - 1.96 * sigma * sqrt(step)), 4) AS lower, round(f + 1.96 * sigma * sqrt(step), 4) AS upper FROM s CROSS JOIN (SELECT CAST(unnest(range(1, 7)) AS INTEGER) AS step)""")
+def brand_scenarios(m: Sales) -> DataFrame:
+    sigma = _panel(m).groupBy("series_key").agg(F.stddev_pop("y").alias("sigma"))
+    return forecast.scenarios(forecast.naive(_panel(m), 6), sigma).select("series_key", "step", "base", F.round("lower", 4).alias("lower"), F.round("upper", 4).alias("upper"))
+
+
+@query(" SELECT invoice_no, CAST(reported_total AS DOUBLE) AS lenient, -CAST(reported_total AS DOUBLE) AS negated, CAST(NULL AS DOUBLE) AS none, CAST(0 AS DOUBLE) AS zero, invoice_date AS slashed, invoice_date AS turned FROM headers")
+def parsed_texts(m: Sales) -> DataFrame:
+    money, day = F.format_number(F.col("reported_total").cast("double"), 2), F.col("invoice_date")
+    return m.headers.withColumn("text", F.lit("no number")).select(
+        "invoice_no", parse_number(F.concat(F.lit(" "), money)).cast("double").alias("lenient"), parse_number_or_zero(F.concat(money, F.lit("-"))).cast("double").alias("negated"), parse_number(F.lit("n/a")).cast("double").alias("none"), to_numbers(["text"])["text"].alias("zero"),
+        parse_date(F.date_format(day, "yyyy/M/d")).alias("slashed"), parse_date(F.date_format(day, "d/M/yyyy")).alias("turned"),
+    )
+
+
+MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
+
+
+@query(" SELECT strftime(min(invoice_date), '%b %Y') AS label, count(*) AS n FROM headers GROUP BY month")
+def labelled_months(m: Sales) -> DataFrame:
+    return m.headers.groupBy(month_label(F.col("month"), MONTHS).alias("label")).agg(F.count("*").alias("n"))
+
+
+@query(" SELECT customer_code, customer_name AS shown, customer_name <> '' AS usable, false AS digits_usable FROM customers")
+def shown_names(m: Sales) -> DataFrame:
+    return m.customers.select("customer_code", display_name(F.concat(F.lit("  "), "customer_name", F.lit(" "))).alias("shown"), usable_name(F.col("customer_name")).alias("usable"), usable_name(F.concat("customer_code", F.lit(" 12"))).alias("digits_usable"))
+
+
+@query(""" SELECT event_type AS method, strftime(ts, '%Y-%m') AS month, CAST(sum(CAST(value AS DECIMAL(14,2))) AS DOUBLE) AS amount, count(*) AS n FROM events WHERE event_type IN ('purchase', 'error') GROUP BY ALL""")
+def receipts_by_method(m: Sales) -> DataFrame:
+    both = m.receipts.unionByName(m.returns.drop("value"))
+    return both.groupBy("method", "month").agg(sales.total("amount").alias("amount"), F.count("*").alias("n"))
+
+
+@query(ATTR + " SELECT customer_code, CAST(sum(amount) AS DOUBLE) AS amount, count(*) AS n FROM att GROUP BY 1")
+def receipts_by_customer(m: Sales) -> DataFrame:
+    return attribution.summed(_attributed(m), "customer_code")
+
+
+@query(ATTR + " SELECT month, CAST(sum(amount) AS DOUBLE) AS amount, count(*) AS n FROM att GROUP BY 1")
+def receipts_by_month(m: Sales) -> DataFrame:
+    return attribution.summed(_attributed(m), "month")
+
+
+@query(RATES + " SELECT CASE WHEN rate >= 0.9 THEN 'good' WHEN rate >= 0.7 THEN 'fair' ELSE 'poor' END AS class, count(*) AS n FROM rates GROUP BY 1")
+def rate_classes(m: Sales) -> DataFrame:
+    return _rates(m).groupBy(rate_class(F.col("rate")).alias("class")).agg(F.count("*").alias("n"))
+
+
+@query(XYZ + _pareto("item_code") + " SELECT item_code, CAST(rank AS INTEGER) AS rank, cv, round(sqrt(greatest(round(value / whole * 100, 6), 0)), 6) AS size FROM r JOIN z USING (item_code)")
+def rank_against_variation(m: Sales) -> DataFrame:
+    return sales.rank_against_variation(sales.item_table(m.goods), sales.xyz(m.sold, "item_code"), "item_code")
+
+
+@query(""" SELECT h.customer_code, coalesce(CAST(sum(reported_total) FILTER (reported_total <> 0) AS DOUBLE), 0) AS sales, count(*) AS n_invoices, count(*) FILTER (coalesce(reported_total, 0) = 0) AS n_zero, any_value(customer_name) AS customer_name, round(count(*) FILTER (coalesce(reported_total, 0) = 0) / count(*) * 100, 6) AS zero_pct,
+ coalesce(any_value(b.qty), 0) AS qty, coalesce(any_value(b.free), 0) AS bonus_qty, round(any_value(b.free) / nullif(any_value(b.qty), 0) * 100, 6) AS bonus_pct FROM headers h JOIN customers c ON h.customer_code = c.customer_code LEFT JOIN (SELECT customer_code, CAST(sum(qty) AS DOUBLE) AS qty, coalesce(CAST(sum(qty) FILTER (is_bonus) AS DOUBLE), 0) AS free FROM lines GROUP BY 1) b ON b.customer_code = h.customer_code GROUP BY 1""")
+def customer_summary_with_bonus(m: Sales) -> DataFrame:
+    return sales.bonus_summary(sales.customer_summary(m.headers, m.customers), m.sold)
+
+
+@query(" SELECT count(*) FILTER (is_bonus AND unit_price = 0 AND qty > 0) AS n_with_qty, count(*) FILTER (is_bonus AND unit_price = 0) AS n_free, coalesce(CAST(sum(qty) FILTER (is_bonus AND unit_price = 0) AS DOUBLE), 0) AS free_qty FROM lines")
+def bonus_counts(m: Sales) -> DataFrame:
+    return quality.bonus_counts(m.rows)
+
+
+@query(" SELECT (SELECT count(*) FROM lines WHERE invoice_date BETWEEN DATE '1998-03-15' AND DATE '1998-06-20') AS n_lines, count(*) AS n_invoices, CAST(sum(reported_total) AS DOUBLE) AS sales, (SELECT CAST(sum(net) AS DOUBLE) FROM customers) AS balance FROM headers WHERE invoice_date BETWEEN DATE '1998-03-15' AND DATE '1998-06-20'")
+def period_totals(m: Sales) -> DataFrame:
+    """Of a period, with balances as they are: those are of one day."""
+    lines, headers = sales.in_period(m.rows, m.headers, "1998-03-15", "1998-06-20")
+    return lines.agg(F.count("*").alias("n_lines")).crossJoin(headers.agg(F.count("*").alias("n_invoices"), sales.total("reported_total").alias("sales"))).crossJoin(m.customers.agg(sales.total("net").alias("balance")))
+
+
+@query(OVERDUE + """, k AS (SELECT (SELECT CAST(sum(reported_total) AS DOUBLE) FROM headers) AS sales, (SELECT CAST(sum(amount) AS DOUBLE) FROM receipts) AS received, round(sum(overdue), 2) AS overdue, round(sum(balance), 2) AS balance FROM od) SELECT sales, overdue, balance, received, round(greatest(0, least(1, received / sales)), 6) AS collection_rate, 'actual' AS basis FROM k""")
+def portfolio_collection(m: Sales) -> DataFrame:
+    return finance.portfolio_collection(m.headers, receivables.overdue(_fifo(m), AS_OF), m.receipts)
+
+
+@query(ARREARS + """, s AS (SELECT customer_code, CAST(sum(reported_total) AS DOUBLE) AS sales, count(DISTINCT invoice_no) AS n_invoices FROM headers GROUP BY 1), u AS (SELECT customer_code, CAST(sum(qty) AS DOUBLE) AS qty, coalesce(CAST(sum(qty) FILTER (is_bonus) AS DOUBLE), 0) AS bonus_qty FROM lines GROUP BY 1)
+ SELECT customer_code, customer_name, c.rep, coalesce(sales, 0) AS sales, coalesce(n_invoices, 0) AS n_invoices, coalesce(qty, 0) AS qty, coalesce(bonus_qty, 0) AS bonus_qty, coalesce(debt, 0) AS debt, coalesce(credit_balance, 0) AS credit_balance, coalesce(current_amount, 0) AS current_amount, coalesce(arrears_amount, 0) AS arrears_amount, round(bonus_qty / nullif(qty, 0) * 100, 6) AS bonus_pct
+ FROM s LEFT JOIN u USING (customer_code) FULL JOIN arrears USING (customer_code) LEFT JOIN customers c USING (customer_code)""")
+def customer_360_table(m: Sales) -> DataFrame:
+    return receivables.customer_360_table(m.headers, m.sold, m.customers, receivables.arrears(m.customers, m.headers, AS_OF))
