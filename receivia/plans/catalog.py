@@ -704,9 +704,9 @@ def merged_balances(m: Sales) -> DataFrame:
     return found.select("rep", F.col("balance").cast("double").alias("balance"), "name")
 
 
-@query(" SELECT DISTINCT h.customer_code FROM headers h JOIN customers c ON h.customer_code = c.customer_code WHERE rep = 'CHINA'")
+@query(" SELECT DISTINCT h.customer_code FROM headers h JOIN customers c ON h.customer_code = c.customer_code WHERE rep = 'NATION_3'")
 def customers_without_rep(m: Sales) -> DataFrame:
-    return attribution.without_rep(m.headers, m.customers.withColumn("rep", F.when(F.col("rep") != "CHINA", F.col("rep"))))
+    return attribution.without_rep(m.headers, m.customers.withColumn("rep", F.when(F.col("rep") != "NATION_3", F.col("rep"))))
 
 
 @query(" SELECT customer_code, CASE WHEN city = 'ASIA' THEN rep ELSE 'elsewhere' END AS rep FROM customers")
