@@ -15,13 +15,15 @@ text, with the headings before it) are taken, and every block of what stays give
 Elements within a line of running text are part of it and never template by themselves. Copies of one
 page count as one page. If nothing would stay, template elements are kept.
 
-Null html counts as empty: empty text. A page with null url belongs to the host "". Repeated rows
+Pages are read in time that grows with their length, however deep, long or broken: tags without an
+end are text, and trees are walked without recursion. Null html counts as empty: empty text. A page with null url belongs to the host "". Repeated rows
 give repeated rows. Malformed markup is read as far as it goes. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from hashlib import blake2b
@@ -41,7 +43,10 @@ MOST = 0.9
 #: Characters of all wrappers that may go to every executor, and those counted for a row besides its reference.
 BROADCAST, ROW = 16_000_000, 100
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+_OPEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+_QUOTED = re.compile(r"((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+#: Tags of a page whose quotes may stay open; after so many, quotes count for nothing on that page.
+OPEN_QUOTES = 64
 _ATTR = re.compile(r"([^\s=\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"']+)))?")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes svg math".split())
@@ -75,51 +80,83 @@ def _judged(tag: str, attrs: str) -> tuple[str, bool]:
     names = f"{found.get('class', '')} {found.get('id', '')}".lower()
     words = set(re.split(r"[^a-z]+", names))
     out = tag in _OUT_TAGS or found.get("role", "").lower() in _OUT_ROLES or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
-    return f"{tag}.{'.'.join(sorted(found.get('class', '').lower().split())[:3])}", out or bool(tag not in ("html", "body", "article", "main") and words & _OUT_WORDS)
+    return f"{tag}.{'.'.join(sorted(found.get('class', '').lower().split()))}", out or bool(tag not in ("html", "body", "article", "main") and words & _OUT_WORDS)
+
+
+def _tags(html: str) -> Iterator[tuple[int, int, str, str, bool]]:
+    """Start, end, name, attributes and whether it closes, of every tag, in time that grows with the
+    page; comments and declarations have no name. A tag sent a position goes on there."""
+    at, failed = 0, 0
+    while (start := html.find("<", at)) >= 0:
+        if html.startswith("<!--", start):
+            end = html.find("-->", start + 4)
+            at = (yield start, len(html) if end < 0 else end + 3, "", "", False) or (len(html) if end < 0 else end + 3)
+            continue
+        m = _OPEN.match(html, start)
+        if not m and html[start + 1 : start + 2] not in ("!", "?"):
+            at = start + 1
+            continue
+        name = m[2].lower() if m else ""
+        quoted = _QUOTED.match(html, m.end()) if m and failed < OPEN_QUOTES else None
+        if quoted:
+            attrs, end = quoted[1], quoted.end()
+        else:
+            failed += 1 if m else 0
+            end = html.find(">", start) + 1
+            if not end:  # no tag ends from here on
+                return
+            attrs = html[m.end() : end - 1] if m else ""
+        at = (yield start, end, name, attrs, bool(m and m[1])) or end
 
 
 def parse(html: str) -> Node:
     """A lenient DOM tree: nodes and strings."""
     root = Node("#root")
-    stack, at, end = [root], 0, len(html)
-    while at < end:
-        m = _TAG.search(html, at)
-        text = html[at : m.start() if m else end]
-        if text:
-            stack[-1].children.append(text)
-        if not m:
-            break
-        at = m.end()
-        tag = (m[2] or m[5] or "").lower()
-        if not tag:
-            continue
-        if m[1] or m[4]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
-            continue
-        if tag in _ENDS_P:
-            _close(stack, {"p"})
-        if tag in _SAME:
-            _close(stack, _SAME[tag])
-        node = Node(tag, m[3] or m[6] or "")
-        stack[-1].children.append(node)
-        if tag in _RAW:
-            close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(html, at)
-            at = close.end() if close else end
-        elif tag not in _VOID:
-            stack.append(node)
-    return root
+    stack, at, tags = [root], 0, _tags(html)
+    opened: Counter = Counter()  # how often each tag is on the stack
+    last = html.rfind(">") + 1
 
+    def drop(k: int) -> None:
+        opened.subtract(n.tag for n in stack[k:])
+        del stack[k:]
 
-def _close(stack: list[Node], tags: set[str]) -> None:
-    for k in range(len(stack) - 1, 0, -1):
-        if stack[k].tag in tags:
-            del stack[k:]
-            return
-        if stack[k].tag in _SCOPE:
-            return
+    def close(names: set[str]) -> None:
+        if any(opened[n] for n in names):
+            for k in range(len(stack) - 1, 0, -1):
+                if stack[k].tag in names:
+                    return drop(k)
+                if stack[k].tag in _SCOPE:
+                    return None
+
+    found = next(tags, None)
+    while found:
+        start, end, tag, attrs, closes = found
+        if start > at:
+            stack[-1].children.append(html[at:start])
+        at = end
+        if closes:
+            if opened[tag]:
+                drop(next(k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag))
+        elif tag:
+            if tag in _ENDS_P:
+                close({"p"})
+            if tag in _SAME:
+                close(_SAME[tag])
+            node = Node(tag, attrs)
+            stack[-1].children.append(node)
+            if tag in _RAW:
+                ends = re.compile(rf"</{tag}(?=[\s/>])[^>]*+>", re.I).search(html, at, last)
+                at = ends.end() if ends else len(html)
+            elif tag not in _VOID:
+                stack.append(node)
+                opened[tag] += 1
+        try:
+            found = tags.send(at)
+        except StopIteration:
+            found = None
+    if at < len(html):
+        stack[-1].children.append(html[at:])
+    return root
 
 
 def _slots(nodes: list[Node]) -> dict[str, list[Node]]:

@@ -2,13 +2,14 @@
 
 Training counts hashed byte trigrams (letters in lower case, other ASCII as blanks) per language in
 grouped aggregation over all training rows; the model is one row of BUCKETS log probabilities per
-language. A document is read as runs of RUN trigrams. Expectation maximisation estimates the share
+language, of fewer buckets where there are over 256 languages, so that it never exceeds MODEL numbers.
+A document is read as runs of RUN trigrams. Expectation maximisation estimates the share
 of each language among its runs, for the one, two, ... most likely languages up to all learned ones, and the set with the
 highest likelihood, less a penalty per language as in the Bayesian information criterion, is taken.
 The prediction is the language with the largest share, the score that share.
 
 Null text, text without a letter and an empty training table give "und" with score 0. Whole texts
-are read. Repeated rows are judged each for itself.
+are read. Repeated rows are judged each for itself; of equally likely languages the first by name wins.
 """
 
 from __future__ import annotations
@@ -21,9 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from receivia.llm.common import in_batches, table
+from receivia.llm.common import cut, in_batches, quoted, table
 
 BUCKETS, RUN, ROUNDS = 1 << 16, 32, 12
+#: Numbers of a model at most; it goes to every executor.
+MODEL = 1 << 24
 #: Bytes that a worker takes in hand at once; one longer text is taken alone.
 AT_ONCE = 1 << 20
 _KEPT = bytes(c if c >= 0x61 and c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
@@ -68,18 +71,21 @@ def count_grams(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n[at].astype(np.int64))], ["lang", "bucket", "n"])
 
-    known = docs.filter(F.col(lang_col).isNotNull()).select(F.col(text_col), F.col(lang_col))
+    known = docs.filter(quoted(lang_col).isNotNull()).select(quoted(text_col), quoted(lang_col))
     return in_batches(known, rows, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
-    """Languages and their log probabilities. What reaches the driver is at most BUCKETS counts per
-    language."""
-    counted = count_grams(docs, text_col, lang_col).toPandas()
-    langs = sorted(counted["lang"].unique())
-    n = np.full((len(langs), BUCKETS), 0.2)
+    """Languages and their log probabilities, MODEL numbers at most, and so are the counts that reach the driver."""
+    counted = cut(count_grams(docs, text_col, lang_col))
+    langs = sorted(r["lang"] for r in counted.select("lang").distinct().collect())
+    width = BUCKETS
+    while width > 1 and width * len(langs) > MODEL:
+        width //= 2
+    found = counted.groupBy("lang", F.pmod("bucket", F.lit(width)).alias("bucket")).agg(F.sum("n").alias("n")).toPandas()
+    n = np.full((len(langs), width), 0.2)
     for i, lang in enumerate(langs):
-        own = counted[counted["lang"] == lang]
+        own = found[found["lang"] == lang]
         n[i, own["bucket"].to_numpy()] += own["n"].to_numpy()
     return langs, np.log(n / n.sum(axis=1, keepdims=True)).astype(np.float32)
 
@@ -127,7 +133,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], *, id_col: str
                     continue
                 runs, sizes = [], []
                 for i in own:
-                    grams = _grams(parted[i])
+                    grams = _grams(parted[i]) % table_.value.shape[0]
                     cuts = np.arange(0, len(grams), RUN)
                     runs.append(np.add.reduceat(table_.value[grams], cuts, axis=0))
                     sizes.append(len(cuts))
@@ -138,7 +144,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], *, id_col: str
                     preds[i], scores[i], sets[i] = langs[by[0]], float(min(1.0, share[by[0]])), [langs[k] for k in by if share[k] > 0.02]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(preds, pa.string()), pa.array(scores, pa.float64()), pa.array(sets, pa.list_(pa.string()))], ["doc_id", "lang_pred", "score", "languages"])
 
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    slim = docs.select(quoted(id_col).cast("long").alias("doc_id"), quoted(text_col).alias("text"))
     return in_batches(slim, rows, "doc_id long, lang_pred string, score double, languages array<string>")
 
 

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -360,6 +361,49 @@ def test_quality_classifier(spark, docs, empty):
     assert quality_classifier.score(docs, labels.limit(0)).count() == len(ROWS)
 
 
+def test_shrinkage(spark):
+    """Strengths and posteriors as counted by hand; sparse sites stay near what is above them."""
+    rng = random.Random(4)
+    rows, k = [], 0
+    for h in range(12):
+        base = rng.random()
+        for p in range(4):
+            good = min(1.0, max(0.0, base + rng.uniform(-0.2, 0.2)))
+            for _ in range(rng.choice([1, 2, 40])):
+                rows.append((k, f"h{h}", f"p{p}", " ".join(["word"] * (60 if rng.random() < good else 4)) + " !" * rng.randrange(3)))
+                k += 1
+    docs = spark.createDataFrame(rows, "doc_id long, source string, lang string, text string")
+    labels = spark.createDataFrame([(i, int(len(t) > 60)) for i, _, _, t in rows if i % 2], "doc_id long, quality int")
+    got = {r["doc_id"]: r for r in quality_classifier.score(docs, labels).collect()}
+    x = {i: got[i]["p_document"] for i, *_ in rows}
+    by = lambda key: {g: [x[r[0]] for r in rows if key(r) == g] for g in {key(r) for r in rows}}
+    hosts, paths = by(lambda r: r[1]), by(lambda r: r[1:3])
+    mean, n = np.mean(list(x.values())), len(rows)
+
+    def strength(groups, centre, above, crowd):
+        inner = sum(((np.array(v) - np.mean(v)) ** 2).sum() for v in groups.values()) / (n - len(groups))
+        outer = (sum(len(v) * (np.mean(v) - centre(g)) ** 2 for g, v in groups.items()) - (len(groups) - above) * inner) / (n - crowd)
+        return min(1e6, max(1.0, inner / outer)) if outer > 0 else 1e6
+
+    host_weight = strength(hosts, lambda g: mean, 1, sum(len(v) ** 2 for v in hosts.values()) / n)
+    path_weight = strength(paths, lambda g: np.mean(hosts[g[0]]), len(hosts), sum(len(v) ** 2 / len(hosts[g[0]]) for g, v in paths.items()))
+    for i, h, p, _ in rows:
+        host = (sum(hosts[h]) + host_weight * mean) / (len(hosts[h]) + host_weight)
+        path = (sum(paths[h, p]) + path_weight * host) / (len(paths[h, p]) + path_weight)
+        assert abs(got[i]["p_host"] - host) < 1e-9 and abs(got[i]["p_path"] - path) < 1e-9
+    right = [(got[i]["p_quality"] >= 0.5) == (len(t) > 60) for i, _, _, t in rows if i % 2 == 0]
+    assert sum(right) > 0.95 * len(right)  # half of the labels are held out
+
+
+@pytest.mark.parametrize("page", ["<font>" * 60_000 + "deep" + "</b>" * 60_000, "<a" * 300_000, "<a href='" * 30_000 + ">" * 10, "<script>" + "</script" * 60_000, "<!--" * 100_000, "<p class='a\">x" * 30_000])
+def test_broken_pages(page):
+    """Deep, long and unclosed markup takes seconds, and nothing fails."""
+    began = time.time()
+    text = html_extract.extract(page, page, [1])
+    list(html_extract.slot_texts(html_extract.parse(page), page))
+    assert time.time() - began < 20 and isinstance(text, str)
+
+
 HTML = """<!doctype html><html><head><title>T</title><script>if (a<b) document.write("</p>")</script></head><body>
 <header>Site</header><nav><a href=x>Menu</a></nav><aside class=sidebar>More</aside>
 <article><h1>Head &amp; tail</h1><p>First   <b>bold
