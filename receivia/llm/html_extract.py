@@ -23,7 +23,6 @@ give repeated rows. Malformed markup is read as far as it goes. An empty table g
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from hashlib import blake2b
@@ -44,7 +43,7 @@ MOST = 0.9
 BROADCAST, ROW = 16_000_000, 100
 
 _OPEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
-_QUOTED = re.compile(r"((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
 #: Tags of a page whose quotes may stay open; after so many, quotes count for nothing on that page.
 OPEN_QUOTES = 64
 _ATTR = re.compile(r"([^\s=\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"']+)))?")
@@ -57,6 +56,7 @@ _ENDS_P = _BLOCK - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot",
 _SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"tbody", "thead", "tfoot", "tr", "td", "th"}, "tfoot": {"tbody", "thead", "tfoot", "tr", "td", "th"}}
 _SCOPE = frozenset("html body div article section main aside nav header footer form table td th ul ol dl blockquote button figure".split())
 _ENDS_AT = frozenset("p li dt dd tr td th thead tbody tfoot blockquote pre h1 h2 h3 h4 h5 h6 br".split())
+_P = frozenset({"p"})
 _HEADING = re.compile("h[1-6]")
 _OUT_TAGS = frozenset("head script style noscript template nav footer aside form button select textarea input iframe svg canvas object dialog menu title math audio video datalist fieldset label".split())
 _OUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
@@ -83,77 +83,78 @@ def _judged(tag: str, attrs: str) -> tuple[str, bool]:
     return f"{tag}.{'.'.join(sorted(found.get('class', '').lower().split()))}", out or bool(tag not in ("html", "body", "article", "main") and words & _OUT_WORDS)
 
 
-def _tags(html: str) -> Iterator[tuple[int, int, str, str, bool]]:
-    """Start, end, name, attributes and whether it closes, of every tag, in time that grows with the
-    page; comments and declarations have no name. A tag sent a position goes on there."""
-    at, failed = 0, 0
+def _next_tag(html: str, at: int, open_quotes: int) -> tuple[int, int, str, str, str, int] | None:
+    """Start, end, slash, name and attributes of the next tag, and how many tags had open quotes by then;
+    comments and declarations have no name. None if no tag ends from here on."""
     while (start := html.find("<", at)) >= 0:
+        m = _TAG.match(html, start) if open_quotes < OPEN_QUOTES else None
+        if m:
+            return start, m.end(), m[1], m[2].lower(), m[3], open_quotes
         if html.startswith("<!--", start):
             end = html.find("-->", start + 4)
-            at = (yield start, len(html) if end < 0 else end + 3, "", "", False) or (len(html) if end < 0 else end + 3)
-            continue
+            return start, len(html) if end < 0 else end + 3, "", "", "", open_quotes
         m = _OPEN.match(html, start)
         if not m and html[start + 1 : start + 2] not in ("!", "?"):
             at = start + 1
             continue
-        name = m[2].lower() if m else ""
-        quoted = _QUOTED.match(html, m.end()) if m and failed < OPEN_QUOTES else None
-        if quoted:
-            attrs, end = quoted[1], quoted.end()
-        else:
-            failed += 1 if m else 0
-            end = html.find(">", start) + 1
-            if not end:  # no tag ends from here on
-                return
-            attrs = html[m.end() : end - 1] if m else ""
-        at = (yield start, end, name, attrs, bool(m and m[1])) or end
+        end = html.find(">", start) + 1
+        if not end:
+            return None
+        return (start, end, m[1], m[2].lower(), html[m.end() : end - 1], open_quotes + 1) if m else (start, end, "", "", "", open_quotes)
+    return None
 
 
 def parse(html: str) -> Node:
     """A lenient DOM tree: nodes and strings."""
     root = Node("#root")
-    stack, at, tags = [root], 0, _tags(html)
-    opened: Counter = Counter()  # how often each tag is on the stack
+    stack, at, open_quotes = [root], 0, 0
+    opened: dict[str, int] = {}  # how often each tag is on the stack
     last = html.rfind(">") + 1
 
     def drop(k: int) -> None:
-        opened.subtract(n.tag for n in stack[k:])
+        for n in stack[k:]:
+            opened[n.tag] -= 1
         del stack[k:]
 
-    def close(names: set[str]) -> None:
-        if any(opened[n] for n in names):
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in names:
-                    return drop(k)
-                if stack[k].tag in _SCOPE:
-                    return None
-
-    found = next(tags, None)
-    while found:
-        start, end, tag, attrs, closes = found
+    def close(names: set[str] | frozenset[str]) -> None:
+        for n in names:
+            if opened.get(n):
+                break
+        else:
+            return
+        for k in range(len(stack) - 1, 0, -1):
+            if stack[k].tag in names:
+                drop(k)
+                return
+            if stack[k].tag in _SCOPE:
+                return
+
+    while found := _next_tag(html, at, open_quotes):
+        start, end, slash, tag, attrs, open_quotes = found
         if start > at:
             stack[-1].children.append(html[at:start])
         at = end
-        if closes:
-            if opened[tag]:
-                drop(next(k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag))
-        elif tag:
-            if tag in _ENDS_P:
-                close({"p"})
-            if tag in _SAME:
-                close(_SAME[tag])
-            node = Node(tag, attrs)
-            stack[-1].children.append(node)
-            if tag in _RAW:
-                ends = re.compile(rf"</{tag}(?=[\s/>])[^>]*+>", re.I).search(html, at, last)
-                at = ends.end() if ends else len(html)
-            elif tag not in _VOID:
-                stack.append(node)
-                opened[tag] += 1
-        try:
-            found = tags.send(at)
-        except StopIteration:
-            found = None
+        if not tag:
+            continue
+        if slash:
+            if opened.get(tag):
+                k = len(stack) - 1
+                while stack[k].tag != tag:
+                    k -= 1
+                drop(k)
+            continue
+        if tag in _ENDS_P:
+            close(_P)
+        if tag in _SAME:
+            close(_SAME[tag])
+        node = Node(tag, attrs)
+        stack[-1].children.append(node)
+        if tag in _RAW:
+            ends = re.compile(rf"</{tag}(?=[\s/>])[^>]*+>", re.I).search(html, at, last)
+            at = ends.end() if ends else len(html)
+        elif tag not in _VOID:
+            stack.append(node)
+            opened[tag] = opened.get(tag, 0) + 1
     if at < len(html):
         stack[-1].children.append(html[at:])
     return root

@@ -171,7 +171,7 @@ def repeated_spans(docs: DataFrame, *, window: int = WINDOW, id_col: str = "doc_
     keyed = _keyed(docs, id_col, text_col)
     settled = cut(_settled(keyed, cut(_marked(keyed, window)), window))
     loose = settled.select("doc_id", "tag", F.explode(F.arrays_zip("one", "two", "starts")).alias("w")).select("doc_id", "tag", "w.*")
-    least = loose.groupBy("one", "two").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").drop("most")
+    least = cut(loose.groupBy("one", "two").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").drop("most"))
     confirmed = loose.join(least, ["one", "two"]).filter("least < doc_id").select("doc_id", "tag", F.array(F.col("starts"), F.col("starts") + window).alias("spans"))
     found = settled.filter(F.size("spans") > 0).select("doc_id", "tag", "spans").unionByName(confirmed)
     # rows that share doc_id and text are settled twice, with equal spans
