@@ -1,6 +1,6 @@
 """Diagnostics over many series at once; panels have series_key, t (from 1 without gaps) and y.
 
-The window and aggregate forms stay in SQL functions; regressions run in one grouped call per series.
+Windows, aggregates and the regression stay in SQL functions; unit-root and White tests run in one grouped call per series.
 Series too short for a statistic give null.
 """
 
@@ -14,6 +14,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
+
+#: Published upper points of the KPSS statistic of a level, with their probabilities.
+KPSS_POINTS = ((0.347, 0.10), (0.463, 0.05), (0.574, 0.025), (0.739, 0.01))
+#: Published response surfaces of the unit-root statistic with a constant, in powers of 1 / n.
+UNIT_ROOT_POINTS = {
+    "1pct": (-3.43035, -6.5393, -16.786, -79.433),
+    "5pct": (-2.86154, -2.8903, -4.234, -40.040),
+    "10pct": (-2.56677, -1.5384, -2.809),
+}
+#: Its published probabilities, as normal scores in powers of the statistic below and above a border.
+UNIT_ROOT_BORDER, UNIT_ROOT_ENDS = -1.61, (-18.83, 2.74)
+UNIT_ROOT_BELOW = (2.1659, 1.4412, 0.038269)
+UNIT_ROOT_ABOVE = (1.7339, 0.93202, -0.12745, -0.010368)
 
 
 def of_series() -> WindowSpec:
@@ -71,6 +85,38 @@ def kpss(p: DataFrame, lags: int = 1) -> DataFrame:
     return by.select("series_key", F.round(F.try_divide(F.col("ss") / (F.col("n") * F.col("n")), var), 6).alias("stat"))
 
 
+def automatic_kpss(p: DataFrame) -> DataFrame:
+    """series_key, lags, stat, p: the lag comes from each series' own autocovariances; p is interpolated
+    between the published points, 0.10 and 0.01 beyond them. Series of one value give null."""
+    c = p.withColumn("e", F.col("y") - F.avg("y").over(of_series()))
+    c = c.withColumn("s", F.sum("e").over(in_order().rowsBetween(W.unboundedPreceding, 0)))
+    rows = F.array_sort(F.collect_list(F.struct("t", "e")))  # one number per month
+    by = c.groupBy("series_key").agg(F.count("*").cast("int").alias("n"), F.sum(F.col("s") * F.col("s")).alias("ss"), F.sum(F.col("e") * F.col("e")).alias("ee"), F.transform(rows, lambda r: r["e"]).alias("e"))
+
+    def up_to(last):
+        return F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+
+    def product(k):
+        """Sum of e times e, k months apart."""
+        return F.aggregate(F.sequence(k + 1, F.col("n")), F.lit(0.0), lambda a, i: a + F.get("e", i - 1) * F.get("e", i - 1 - k))
+
+    def total(of, term):
+        return F.aggregate(of, F.lit(0.0), lambda a, k: a + term(k))
+
+    first = F.least(F.floor(F.pow("n", F.lit(2 / 9))).cast("int"), F.col("n") - 1)
+    by = by.filter("n > 1").withColumn("first", F.transform(up_to(first), lambda k: F.struct(k.alias("k"), (product(k) * 2 / F.col("n")).alias("v"))))
+    by = by.withColumn("s1", total(F.col("first"), lambda r: r["k"] * r["v"])).withColumn("s0", F.col("ee") / F.col("n") + total(F.col("first"), lambda r: r["v"]))
+    width = 1.1447 * F.pow(F.pow(F.try_divide("s1", "s0"), F.lit(2.0)), F.lit(1 / 3)) * F.pow("n", F.lit(1 / 3))
+    by = by.withColumn("lags", F.least(F.floor(width).cast("int"), F.col("n") - 1))
+    var = (F.col("ee") + total(up_to(F.col("lags")), lambda k: 2 * (1 - k / (F.col("lags") + 1)) * product(k))) / F.col("n")
+    by = by.withColumn("x", F.try_divide(F.col("ss") / (F.col("n") * F.col("n")), var))
+    tail = F.when(F.col("x") <= KPSS_POINTS[0][0], F.lit(KPSS_POINTS[0][1]))
+    for (a, pa), (b, pb) in zip(KPSS_POINTS, KPSS_POINTS[1:]):
+        tail = tail.when(F.col("x") <= b, pa + (F.col("x") - a) / (b - a) * (pb - pa))
+    tail = tail.when(F.col("x").isNotNull(), F.lit(KPSS_POINTS[-1][1]))
+    return by.select("series_key", "lags", F.round("x", 6).alias("stat"), F.round(tail, 6).alias("p"))
+
+
 def decompose(p: DataFrame, period: int = 12) -> DataFrame:
     """Additive trend, season and rest; series under two periods are refused and left out."""
     half = period // 2
@@ -99,6 +145,100 @@ def chow(p: DataFrame, split: int) -> DataFrame:
     return by.select("series_key", F.when((F.col("n1") >= 3) & (F.col("n2") >= 3) & (F.col("n") > 4), F.round(stat, 6)).alias("stat"))
 
 
+# Regression on constant, trend and first harmonic, as grouped sums; x1 to x3 are trend, sin and cos.
+
+PAIRS = ((1, 1), (1, 2), (1, 3), (2, 2), (2, 3), (3, 3))
+
+
+def harmonic(p: DataFrame, period: int = 12) -> DataFrame:
+    """series_key, t, y, n, the regressors x1 to x3 and, as z1 to z3 and zy, their distances from the series' means."""
+    a = 2 * math.pi * F.col("t") / period
+    d = p.select("series_key", "t", "y", F.col("t").cast("double").alias("x1"), F.sin(a).alias("x2"), F.cos(a).alias("x3"), F.count("*").over(of_series()).alias("n"))
+    return d.withColumns({z: F.col(x) - F.avg(x).over(of_series()) for x, z in (("x1", "z1"), ("x2", "z2"), ("x3", "z3"), ("y", "zy"))})
+
+
+def _products(a: str, out: str) -> list:
+    return [F.sum(F.col(f"{a}{i}") * F.col(f"{a}{j}")).alias(f"{out}{i}{j}") for i, j in PAIRS]
+
+
+def _inverse(by: DataFrame, a: str, out: str) -> DataFrame:
+    """Adds the inverse of the symmetric matrix a11 to a33; null where there is none."""
+    a11, a12, a13, a22, a23, a33 = (F.col(f"{a}{i}{j}") for i, j in PAIRS)
+    minors = (a22 * a33 - a23 * a23, a13 * a23 - a12 * a33, a12 * a23 - a13 * a22, a11 * a33 - a13 * a13, a12 * a13 - a11 * a23, a11 * a22 - a12 * a12)
+    names = [f"{out}{i}{j}" for i, j in PAIRS]
+    by = by.withColumns(dict(zip(names, minors, strict=True)))
+    by = by.withColumn("_det", a11 * F.col(names[0]) + a12 * F.col(names[1]) + a13 * F.col(names[2]))
+    return by.withColumns({c: F.try_divide(c, "_det") for c in names}).drop("_det")
+
+
+def _form(inv: str, u: str, v: str):
+    """u' inverse v of two vectors of three columns."""
+    return sum((F.col(f"{inv}{min(i, j)}{max(i, j)}") * F.col(f"{u}{i}") * F.col(f"{v}{j}") for i in (1, 2, 3) for j in (1, 2, 3)), F.lit(0.0))
+
+
+def fits(d: DataFrame) -> DataFrame:
+    """Per series of harmonic(): n, coefficients b0 to b3, sums of squares and the inverse i11 to i33; series under five months are left out."""
+    by = d.filter("n > 4").groupBy("series_key", "n").agg(*_products("z", "a"), *_products("x", "m"), *[F.sum(F.col(f"z{i}") * F.col("zy")).alias(f"c{i}") for i in (1, 2, 3)], *[F.avg(f"x{i}").alias(f"u{i}") for i in (1, 2, 3)], F.avg("y").alias("mean"), F.sum(F.col("zy") * F.col("zy")).alias("yy"))
+    by = _inverse(_inverse(by, "a", "i"), "m", "j")
+    by = by.withColumns({f"b{i}": sum((F.col(f"i{min(i, j)}{max(i, j)}") * F.col(f"c{j}") for j in (1, 2, 3)), F.lit(0.0)) for i in (1, 2, 3)})
+    return by.withColumn("b0", F.col("mean") - F.col("b1") * F.col("u1") - F.col("b2") * F.col("u2") - F.col("b3") * F.col("u3"))
+
+
+def _with_residuals(d: DataFrame, f: DataFrame) -> DataFrame:
+    inside = F.col("b1") * F.col("z1") + F.col("b2") * F.col("z2") + F.col("b3") * F.col("z3")
+    return d.drop("n").join(f, "series_key").withColumn("h", inside).withColumn("e", F.col("zy") - F.col("h"))
+
+
+def residuals(p: DataFrame) -> DataFrame:
+    """series_key, t, e: residuals of trend and first harmonic; series under five months are left out."""
+    d = harmonic(p)
+    return _with_residuals(d, fits(d)).select("series_key", "t", "e")
+
+
+def regression(p: DataFrame) -> DataFrame:
+    """One row per series of eight months or more that is not constant: coefficients with their t values, R2, F,
+    Breusch-Pagan, the F of the squared fit (RESET) and the variance inflation of each regressor (no constant)."""
+    d = harmonic(p)
+    f = fits(d).filter("n >= 8 AND yy > 0")
+    r = _with_residuals(d, f)
+    # Squared residuals (q) and squared fits (w) about their means, regressed through the same inverse.
+    q, w = F.col("e") * F.col("e"), F.col("h") * F.col("h")
+    r = r.withColumns({"q": q - F.avg(q).over(of_series()), "w": w - F.avg(w).over(of_series())})
+    again = r.groupBy("series_key").agg(F.sum(F.col("e") * F.col("e")).alias("ee"), F.sum(F.col("e") * F.col("w")).alias("ew"), F.sum(F.col("q") * F.col("q")).alias("qq"), F.sum(F.col("w") * F.col("w")).alias("ww"), *[F.sum(F.col(f"z{i}") * F.col(v)).alias(f"{v}{i}") for v in "qw" for i in (1, 2, 3)])
+    by = f.join(again, "series_key")
+    s2 = F.col("ee") / (F.col("n") - 4)
+    drop = F.try_divide(F.col("ew") * F.col("ew"), F.col("ww") - _form("i", "w", "w"))  # what the squared fit takes from ee
+    r2 = 1 - F.col("ee") / F.col("yy")
+    ts = {"const_t": F.try_divide("b0", F.sqrt(s2 * (1 / F.col("n") + _form("i", "u", "u"))))} | {f"{x}_t": F.try_divide(f"b{i}", F.sqrt(s2 * F.col(f"i{i}{i}"))) for i, x in ((1, "trend"), (2, "sin"), (3, "cos"))}
+    return by.select(
+        "series_key", "n", F.col("b0").alias("const"), F.col("b1").alias("trend"), F.col("b2").alias("sin"), F.col("b3").alias("cos"), *[v.alias(k) for k, v in ts.items()],
+        r2.alias("r2"), (1 - (1 - r2) * (F.col("n") - 1) / (F.col("n") - 4)).alias("adj_r2"), F.try_divide((F.col("yy") - F.col("ee")) / 3, s2).alias("f"),
+        (F.col("n") * F.try_divide(_form("i", "q", "q"), F.col("qq"))).alias("breusch_pagan"), F.try_divide(drop, (F.col("ee") - drop) / (F.col("n") - 5)).alias("reset_f"),
+        *[(F.col(f"m{i}{i}") * F.col(f"j{i}{i}")).alias(f"vif_{x}") for i, x in ((1, "trend"), (2, "sin"), (3, "cos"))],
+    )
+
+
+def _less(v: str):
+    return lambda a, b: a - F.col(v) * b
+
+
+def partial_autocorrelation(p: DataFrame, lags: int = 8) -> DataFrame:
+    """series_key, lag, pacf for lags 0 to the least of lags and n / 2 - 1: Durbin-Levinson on autocovariances scaled by n - lag.
+    Series under eight months or of one value are left out."""
+    a = autocorrelation(p, lags).filter(f"n >= 8 AND lag <= least({lags}, n div 2 - 1)")
+    by = a.groupBy("series_key").agg(*[F.max(F.when(F.col("lag") == k, F.col("_raw") * F.col("n") / (F.col("n") - k))).alias(f"r{k}") for k in range(lags + 1)], F.max("lag").alias("most"))
+    by = by.filter("r0 IS NOT NULL").withColumns({"v0": F.lit(1.0), "v1": F.col("r1"), "phi": F.array("r1")})
+    for k in range(2, lags + 1):
+        back, ahead = (F.array(*[F.col(f"r{j}") for j in order]) for order in (range(k - 1, 0, -1), range(1, k)))
+
+        def dot(x):
+            return F.aggregate(F.zip_with("phi", x, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+
+        by = by.withColumn(f"v{k}", F.try_divide(F.col(f"r{k}") - dot(back), 1 - dot(ahead)))
+        by = by.withColumn("phi", F.concat(F.zip_with("phi", F.reverse("phi"), _less(f"v{k}")), F.array(f"v{k}")))
+    return by.select("series_key", "most", F.posexplode(F.array(*[F.col(f"v{k}") for k in range(lags + 1)])).alias("lag", "pacf")).filter("lag <= most").drop("most")
+
+
 def residual_checks(resid: DataFrame) -> DataFrame:
     """Durbin-Watson and Jarque-Bera of residuals (series_key, t, e)."""
     d = resid.withColumn("_d", F.col("e") - F.lag("e").over(in_order()))
@@ -107,7 +247,7 @@ def residual_checks(resid: DataFrame) -> DataFrame:
     return by.select("series_key", F.round(F.try_divide("dd", "ee"), 6).alias("durbin_watson"), F.round(jb, 6).alias("jarque_bera"), F.round(F.exp(-jb / 2), 6).alias("jb_p"), F.round("s", 6).alias("skew"), F.round(F.col("k") + 3, 6).alias("kurtosis"))
 
 
-# Regressions of one series, as small numpy helpers under a grouped call.
+# What needs a search or a wide design, as small numpy helpers on one series.
 
 
 def least_squares(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -162,18 +302,16 @@ def chi2_tail(q: float, df: int) -> float:
     return out
 
 
-def partial_autocorrelation(y: np.ndarray, lags: int = 8) -> list[float]:
-    """Durbin-Levinson on autocovariances scaled by n - k."""
-    n, d = len(y), y - y.mean()
-    r = np.array([(d[k:] @ d[: n - k]) / (n - k) for k in range(lags + 1)])
-    if r[0] == 0:
-        return [1.0] + [math.nan] * lags
-    r, phi, out = r / r[0], np.zeros(0), [1.0]
-    for k in range(1, lags + 1):
-        last = (r[k] - phi @ r[1:k][::-1]) / (1 - phi @ r[1:k]) if k > 1 else r[1]
-        phi = np.append(phi - last * phi[::-1], last)
-        out.append(float(last))
-    return out
+@F.pandas_udf(DoubleType())
+def chi2_three(q: pd.Series) -> pd.Series:
+    """Upper tail of chi-squared with three degrees of freedom, for one aggregated row per series."""
+    return pd.Series([math.nan if math.isnan(a) else chi2_tail(max(a, 0.0), 3) for a in q])
+
+
+@F.pandas_udf(DoubleType())
+def f_tail(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
+    """Upper tail of F, for one aggregated row per series."""
+    return pd.Series([math.nan if math.isnan(a) else beta_tail(a, b, c) for a, b, c in zip(f, d1, d2, strict=True)])
 
 
 def augmented_dickey_fuller(y: np.ndarray) -> tuple[float, int]:
@@ -194,46 +332,36 @@ def augmented_dickey_fuller(y: np.ndarray) -> tuple[float, int]:
     return float(run(best, best)[0]), best
 
 
+def unit_root_tail(stat: float) -> float:
+    """Probability of a unit-root statistic with constant, by its published surfaces."""
+    if not UNIT_ROOT_ENDS[0] <= stat <= UNIT_ROOT_ENDS[1]:
+        return float(stat > UNIT_ROOT_ENDS[1])
+    powers = UNIT_ROOT_BELOW if stat <= UNIT_ROOT_BORDER else UNIT_ROOT_ABOVE
+    return math.erfc(-sum(c * stat**k for k, c in enumerate(powers)) / math.sqrt(2)) / 2
+
+
 def _white_design(x: np.ndarray) -> np.ndarray:
     k = x.shape[1]
     return np.column_stack([x[:, i] * x[:, j] for i in range(k) for j in range(i, k)])
 
 
-def diagnose(y: np.ndarray) -> list[tuple[str, float]]:
-    """Named statistics of one series on trend and first harmonic."""
+def searched(y: np.ndarray) -> list[tuple[str, float]]:
+    """White's test and the unit-root tests of one series of ten months or more with unlike values."""
     n = len(y)
     out: list[tuple[str, float]] = []
-    if n < 8 or not np.ptp(y) > 0:
-        return out
-    t = np.arange(1, n + 1, dtype=float)
-    x = design(t)
-    b, e = least_squares(x, y)
-    r2, k = r_squared(y, e), x.shape[1]
-    out += list(zip(("ols_const", "ols_trend", "ols_sin", "ols_cos"), map(float, b), strict=True)) + [("ols_r2", r2), ("ols_adj_r2", 1 - (1 - r2) * (n - 1) / (n - k))]
-    f = (r2 / (k - 1)) / max((1 - r2) / (n - k), 1e-300)
-    out += [("ols_f", f), ("ols_f_p", beta_tail(f, k - 1, n - k))]
-    e2 = e * e
-    lm = n * r_squared(e2, least_squares(x, e2)[1])
-    out += [("breusch_pagan", lm), ("breusch_pagan_p", chi2_tail(lm, k - 1))]
+    x = design(np.arange(1, n + 1, dtype=float))
+    e2 = least_squares(x, y)[1] ** 2
     wx = _white_design(x)
     rank = int(np.linalg.matrix_rank(wx))
     if n > rank:
         white = n * r_squared(e2, least_squares(wx, e2)[1])
         out += [("white", white), ("white_p", chi2_tail(white, rank - 1))]
-    fit = x @ b
-    z = (fit - fit.mean()) / fit.std() if fit.std() > 0 else fit
-    e3 = least_squares(np.column_stack([x, z * z]), y)[1]
-    reset = (e @ e - e3 @ e3) / (e3 @ e3 / (n - k - 1))
-    out += [("reset_f", float(reset)), ("reset_p", beta_tail(float(reset), 1, n - k - 1))]
-    for i, name in ((1, "vif_trend"), (2, "vif_sin"), (3, "vif_cos")):
-        target, others = x[:, i], np.delete(x[:, 1:], i - 1, axis=1)
-        rest = least_squares(others, target)[1]
-        out.append((name, float((target @ target) / max(rest @ rest, 1e-300))))
     for name, s in (("adf_level", y), ("adf_diff", np.diff(y))):
         if len(s) >= 10 and np.ptp(s) > 0:
             stat, lags = augmented_dickey_fuller(s)
-            out += [(name, stat), (f"{name}_lags", float(lags))]
-    out += [(f"pacf_{i}", v) for i, v in enumerate(partial_autocorrelation(y, min(8, n // 2 - 1)))]
+            out += [(name, stat), (f"{name}_lags", float(lags)), (f"{name}_p", unit_root_tail(stat))]
+            used = len(s) - 1 - lags
+            out += [(f"{name}_{at}", sum(c / used**k for k, c in enumerate(powers))) for at, powers in UNIT_ROOT_POINTS.items()]
     return [(a, float(v)) for a, v in out]
 
 
@@ -242,17 +370,18 @@ def diagnostics(p: DataFrame) -> DataFrame:
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t")
-        rows = diagnose(pdf["y"].to_numpy(float))
+        rows = searched(pdf["y"].to_numpy(float))
         return pd.DataFrame({"series_key": [pdf["series_key"].iloc[0]] * len(rows), "stat": [r[0] for r in rows], "value": [r[1] for r in rows]}, columns=["series_key", "stat", "value"])
 
-    return p.select("series_key", "t", "y").groupBy("series_key").applyInPandas(one, "series_key string, stat string, value double")
-
-
-def residuals(p: DataFrame) -> DataFrame:
-    """series_key, t, e: residuals of trend and first harmonic."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t")
-        return pdf.assign(e=least_squares(design(np.arange(1, len(pdf) + 1, dtype=float)), pdf["y"].to_numpy(float))[1])[["series_key", "t", "e"]]
-
-    return p.select("series_key", "t", "y").groupBy("series_key").applyInPandas(one, "series_key string, t int, e double")
+    r, rest = regression(p), F.col("n") - 4
+    t = ("const", "trend", "sin", "cos")
+    tails = {f"ols_{x}_p": f_tail(F.col(f"{x}_t") * F.col(f"{x}_t"), F.lit(1), rest) for x in t} | {"ols_f_p": f_tail("f", F.lit(3), rest), "reset_p": f_tail("reset_f", F.lit(1), rest - 1)}
+    values = {f"ols_{x}": F.col(x) for x in (*t, "r2", "adj_r2", "f")} | {x: F.col(x) for x in ("breusch_pagan", "reset_f", "vif_trend", "vif_sin", "vif_cos")}
+    values["breusch_pagan_p"] = chi2_three("breusch_pagan")
+    wide = r.select("series_key", *[v.alias(k) for k, v in (values | tails).items()])
+    names = [*values, *tails]
+    fitted = wide.select("series_key", F.explode(F.array(*[F.struct(F.lit(k).alias("stat"), F.col(k).alias("value")) for k in names])).alias("r")).select("series_key", "r.stat", "r.value")
+    partial = partial_autocorrelation(p).select("series_key", F.concat(F.lit("pacf_"), "lag").alias("stat"), F.col("pacf").alias("value"))
+    long = p.select("series_key", "t", "y", (F.count("*").over(of_series()) >= 10).alias("_long"), (F.max("y").over(of_series()) > F.min("y").over(of_series())).alias("_unlike"))
+    tests = long.filter("_long AND _unlike").select("series_key", "t", "y").groupBy("series_key").applyInPandas(one, "series_key string, stat string, value double")
+    return sum_union([fitted, partial, tests])

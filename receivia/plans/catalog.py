@@ -587,12 +587,48 @@ def brand_difference_ar_forecast(m: Sales) -> DataFrame:
     return forecast.difference_ar(_panel(m), 1).withColumn("forecast", F.round("forecast", 4))
 
 
+KPSS = PANEL + """, e AS (SELECT series_key, t, y - avg(y) OVER (PARTITION BY series_key) AS e, CAST(count(*) OVER (PARTITION BY series_key) AS DOUBLE) AS n FROM panel), v AS (SELECT a.series_key, a.t - b.t AS k, any_value(a.n) AS n, sum(a.e * b.e) AS v FROM e a JOIN e b ON a.series_key = b.series_key AND a.t >= b.t GROUP BY 1, 2),
+ f AS (SELECT series_key, any_value(n) AS n, sum(v) FILTER (k = 0) AS ee, sum(v) FILTER (k = 0) / any_value(n) + coalesce(sum(2 * v / n) FILTER (k BETWEEN 1 AND floor(n ** (2.0 / 9))), 0) AS s0, coalesce(sum(k * 2 * v / n) FILTER (k BETWEEN 1 AND floor(n ** (2.0 / 9))), 0) AS s1 FROM v GROUP BY 1),
+ l AS (SELECT series_key, n, ee, CAST(least(floor(1.1447 * ((s1 / s0) * (s1 / s0)) ** (1.0 / 3) * n ** (1.0 / 3)), n - 1) AS INTEGER) AS lags FROM f), w AS (SELECT l.series_key, any_value(l.lags) AS lags, any_value(l.n) AS n, (any_value(ee) + coalesce(sum(2 * (1 - k / (lags + 1.0)) * v) FILTER (k BETWEEN 1 AND lags), 0)) / any_value(l.n) AS var FROM l JOIN v USING (series_key) GROUP BY 1),
+ c AS (SELECT series_key, sum(s * s) AS ss FROM (SELECT series_key, sum(e) OVER (PARTITION BY series_key ORDER BY t ROWS UNBOUNDED PRECEDING) AS s FROM e) GROUP BY 1), x AS (SELECT series_key, lags, ss / (n * n) / var AS x FROM w JOIN c USING (series_key))
+ SELECT series_key, lags, round(x, 6) AS stat, round(CASE WHEN x <= 0.347 THEN 0.1 WHEN x <= 0.463 THEN 0.1 - (x - 0.347) / 0.116 * 0.05 WHEN x <= 0.574 THEN 0.05 - (x - 0.463) / 0.111 * 0.025 WHEN x <= 0.739 THEN 0.025 - (x - 0.574) / 0.165 * 0.015 ELSE 0.01 END, 6) AS p FROM x"""
+
+
+@query(KPSS)
+def brand_kpss_automatic(m: Sales) -> DataFrame:
+    return series.automatic_kpss(_panel(m))
+
+
+HARMONIC = PANEL + """, h AS (SELECT series_key, t, y, CAST(t AS DOUBLE) AS x1, sin(2 * pi() * t / 12) AS x2, cos(2 * pi() * t / 12) AS x3 FROM panel), z AS (SELECT *, count(*) OVER k AS n, x1 - avg(x1) OVER k AS z1, x2 - avg(x2) OVER k AS z2, x3 - avg(x3) OVER k AS z3, y - avg(y) OVER k AS zy FROM h WINDOW k AS (PARTITION BY series_key)),
+ s AS (SELECT series_key, any_value(n) AS n, PRODUCTS, sum(z1 * zy) AS c1, sum(z2 * zy) AS c2, sum(z3 * zy) AS c3, avg(x1) AS u1, avg(x2) AS u2, avg(x3) AS u3, avg(y) AS mean, sum(zy * zy) AS yy FROM z GROUP BY 1), d AS (SELECT *, a11 * (a22 * a33 - a23 * a23) + a12 * (a13 * a23 - a12 * a33) + a13 * (a12 * a23 - a13 * a22) AS det, m11 * (m22 * m33 - m23 * m23) + m12 * (m13 * m23 - m12 * m33) + m13 * (m12 * m23 - m13 * m22) AS mdet FROM s),
+ i AS (SELECT *, INVERSE FROM d), b AS (SELECT *, i11 * c1 + i12 * c2 + i13 * c3 AS b1, i12 * c1 + i22 * c2 + i23 * c3 AS b2, i13 * c1 + i23 * c2 + i33 * c3 AS b3 FROM i), r AS (SELECT z.*, b1 * z1 + b2 * z2 + b3 * z3 AS h, zy - (b1 * z1 + b2 * z2 + b3 * z3) AS e FROM z JOIN b USING (series_key))""".replace(
+    "PRODUCTS", ", ".join(f"sum({x}{i} * {x}{j}) AS {a}{i}{j}" for x, a in (("z", "a"), ("x", "m")) for i, j in series.PAIRS)
+).replace(
+    "INVERSE", "(a22 * a33 - a23 * a23) / det AS i11, (a13 * a23 - a12 * a33) / det AS i12, (a12 * a23 - a13 * a22) / det AS i13, (a11 * a33 - a13 * a13) / det AS i22, (a12 * a13 - a11 * a23) / det AS i23, (a11 * a22 - a12 * a12) / det AS i33"
+)
+
+
+@query(HARMONIC + """, sq AS (SELECT *, e * e - avg(e * e) OVER (PARTITION BY series_key) AS q, h * h - avg(h * h) OVER (PARTITION BY series_key) AS w FROM r),
+ k AS (SELECT series_key, sum(e * e) AS ee, sum(e * w) AS ew, sum(q * q) AS qq, sum(w * w) AS ww, sum(z1 * q) AS q1, sum(z2 * q) AS q2, sum(z3 * q) AS q3, sum(z1 * w) AS w1, sum(z2 * w) AS w2, sum(z3 * w) AS w3 FROM sq GROUP BY 1),
+ o AS (SELECT b.*, k.* EXCLUDE (series_key), i11 * q1 * q1 + i22 * q2 * q2 + i33 * q3 * q3 + 2 * (i12 * q1 * q2 + i13 * q1 * q3 + i23 * q2 * q3) AS fq, ew * ew / (ww - (i11 * w1 * w1 + i22 * w2 * w2 + i33 * w3 * w3 + 2 * (i12 * w1 * w2 + i13 * w1 * w3 + i23 * w2 * w3))) AS dropped FROM b JOIN k USING (series_key) WHERE n >= 8 AND yy > 0)
+ SELECT series_key, n, round(mean - b1 * u1 - b2 * u2 - b3 * u3, 2) AS const, round(b1, 2) AS trend, round(b2, 2) AS sin, round(b3, 2) AS cos, round(b1 / sqrt(ee / (n - 4) * i11), 6) AS trend_t, round(1 - ee / yy, 6) AS r2, round(1 - ee / yy * (n - 1) / (n - 4), 6) AS adj_r2, round((yy - ee) / 3 / (ee / (n - 4)), 6) AS f, round(n * fq / qq, 6) AS breusch_pagan, round(dropped / ((ee - dropped) / (n - 5)), 6) AS reset_f,
+ round(m11 * (m22 * m33 - m23 * m23) / mdet, 6) AS vif_trend, round(m22 * (m11 * m33 - m13 * m13) / mdet, 6) AS vif_sin, round(m33 * (m11 * m22 - m12 * m12) / mdet, 6) AS vif_cos FROM o""")
+def brand_regression(m: Sales) -> DataFrame:
+    r = series.regression(_panel(m)).drop("const_t", "sin_t", "cos_t")
+    return r.select("series_key", "n", *[F.round(c, 2 if c in ("const", "trend", "sin", "cos") else 6).alias(c) for c in r.columns[2:]])
+
+
+# Residuals' moments as the population's; kurtosis counts 3 for a normal.
+RESIDUAL_CHECKS = HARMONIC + """, f AS (SELECT series_key, e, e - lag(e) OVER (PARTITION BY series_key ORDER BY t) AS d, e - avg(e) OVER (PARTITION BY series_key) AS c FROM r), k AS (SELECT series_key, count(*) AS n, sum(d * d) / sum(e * e) AS dw, avg(c * c * c) / avg(c * c) ** 1.5 AS s, avg(c * c * c * c) / avg(c * c) ** 2 - 3 AS k FROM f GROUP BY 1), j AS (SELECT *, n / 6.0 * (s * s + k * k / 4) AS jb FROM k)
+ SELECT series_key, round(dw, 6) AS durbin_watson, round(jb, 6) AS jarque_bera, round(exp(-jb / 2), 6) AS jb_p, round(s, 6) AS skew, round(k + 3, 6) AS kurtosis FROM j"""
+
+
 @query()
 def brand_diagnostics(m: Sales) -> DataFrame:
     return series.diagnostics(_panel(m))
 
 
-@query()
+@query(RESIDUAL_CHECKS)
 def brand_residual_checks(m: Sales) -> DataFrame:
     return series.residual_checks(series.residuals(_panel(m)))
 

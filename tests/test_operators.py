@@ -143,12 +143,36 @@ def test_published_diagnostics(spark):
     assert math.isclose(one(series.chow(p, 13))["stat"], 1.186361, rel_tol=1e-4) and math.isclose(one(series.chow(p, 10))["stat"], 0.182334, rel_tol=1e-4)
     d = {r["stat"]: r["value"] for r in series.diagnostics(p).collect()}
     want = {"ols_r2": 0.4512096, "breusch_pagan": 0.635293, "white": 2.313578, "white_p": 0.969858, "reset_f": 1.52158, "vif_trend": 1.079585, "vif_sin": 1.064168, "vif_cos": 1.015418, "adf_level": -1.045082, "adf_diff": -6.599071, "pacf_2": 0.2525747}
+    want |= {"ols_const": 2430328.3212, "ols_trend": 81573.8721, "ols_sin": -43329.17443, "ols_cos": -57026.92948, "ols_const_p": 3.306033e-07, "ols_trend_p": 0.00516234, "ols_sin_p": 0.8211956, "ols_cos_p": 0.7578432, "ols_adj_r2": 0.3336116, "ols_f_p": 0.03390749}
+    want |= {"adf_level_p": 0.7364686, "adf_level_lags": 7, "adf_level_1pct": -4.331573, "adf_level_5pct": -3.23295, "adf_level_10pct": -2.7487, "adf_diff_p": 6.807868e-09, "adf_diff_lags": 5}
+    want |= {"breusch_pagan_p": 0.8883074, "reset_p": 0.2392191, "pacf_0": 1, "pacf_1": 0.4161173, "pacf_3": -0.5252069, "pacf_8": -0.4398976}
     assert {k: True for k in want} == {k: math.isclose(d[k], v, rel_tol=2e-4) for k, v in want.items()}
+    k = one(series.automatic_kpss(p))
+    assert k["lags"] == 1 and math.isclose(k["stat"], 0.598775, abs_tol=1e-5) and math.isclose(k["p"], 0.0227477, abs_tol=1e-6)
     r = one(series.residual_checks(series.residuals(p)))
     assert math.isclose(r["durbin_watson"], 2.068883, abs_tol=1e-5) and math.isclose(r["jarque_bera"], 0.793274, abs_tol=1e-5)
     assert series.decompose(p).count() == 0  # under two periods
 
 
+def test_short_and_flat_series(spark):
+    """Flat series and those too short for a statistic give no row or null; the automatic lag is that of a plain loop."""
+    rows = [("flat", t, 5.0) for t in range(1, 21)] + [("one", 1, 3.0)] + [("three", t, float(t * t)) for t in (1, 2, 3)]
+    walk = np.random.default_rng(7).normal(0, 1, 60).cumsum()
+    p = spark.createDataFrame(rows + [("walk", t + 1, float(y)) for t, y in enumerate(walk)], "series_key string, t int, y double")
+    assert {r["series_key"] for r in series.regression(p).collect()} == {"walk"} and {r["series_key"] for r in series.diagnostics(p).collect()} == {"walk"}
+    kpss = {r["series_key"]: r for r in series.automatic_kpss(p).collect()}
+    assert kpss.keys() == {"flat", "three", "walk"} and kpss["flat"]["stat"] is None and kpss["flat"]["p"] is None
+    n, e = len(walk), walk - walk.mean()
+    v = [(e[k:] @ e[: n - k]) / (n / 2) for k in range(n)]
+    first = int(n ** (2 / 9))
+    lags = min(n - 1, int(1.1447 * ((sum(k * v[k] for k in range(1, first + 1)) / (e @ e / n + sum(v[1 : first + 1]))) ** 2) ** (1 / 3) * n ** (1 / 3)))
+    stat = (e.cumsum() @ e.cumsum()) / n**2 / (e @ e / n + sum((1 - k / (lags + 1)) * v[k] for k in range(1, lags + 1)))
+    assert lags > 1 and kpss["walk"]["lags"] == lags and math.isclose(kpss["walk"]["stat"], stat, abs_tol=1e-6)
+    e = {r["t"]: r["e"] for r in series.residuals(p.filter("series_key = 'walk'")).collect()}
+    want = series.least_squares(series.design(np.arange(1, 61, dtype=float)), walk)[1]
+    assert np.allclose([e[t] for t in range(1, 61)], want, atol=1e-9)
+
+
 def test_published_forecasts(spark):
     e = {r["model"]: r["rmse"] for r in forecast.errors(forecast.rolling_origin(golden(spark))).collect()}
     assert math.isclose(e["naive"], 607964.52, rel_tol=1e-4) and math.isclose(e["drift"], 634149.42, rel_tol=1e-4) and math.isclose(e["fourier"], 797781.77, rel_tol=1e-4)
