@@ -12,9 +12,10 @@ an n-gram of their prefixes in that order at which the positional bound still al
 Documents with equal sets are one class, and only classes meet: a task gives out the prefix of a
 class once, however many copies it holds. Within the classes of a prefix n-gram no pairs are emitted:
 every class meets the leader of the n-gram (least position, then smallest), pairs that pass the bound
-are counted, and components are formed. Then only classes that are not in their leader's component
-meet those of the n-gram that are in other components, so every pair of different components is
-tested or excluded by its bound, and the components are exact.
+are counted, and components are formed. N-grams whose classes are still in several components get
+other leaders, at most STARS - 1 times, while their classes would make more than FEW pairs a row across
+components. Then the classes of such an n-gram that are in different components meet, so every pair of
+different components is tested or excluded by its bound, and the components are exact.
 
 The overlap of a pair is counted vertically: the global hash order is cut into fragments, sets are
 cut at the same places, partial overlaps are counted per fragment, and summed per pair. N-grams and
@@ -28,7 +29,7 @@ tables give empty results.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,9 @@ from receivia.llm.rolling import Powers, mix, word_hashes
 #: Frequent n-grams kept in all, and those that one task reports at most.
 HOT, HOT_OF_TASK, HOT_FROM = 400_000, 100_000, 3
 FRAGMENTS = 8
+#: Stars at most before classes of different components meet each other at their keys, and pairs of these for
+#: each class at a key that are few enough for that.
+STARS, FEW = 4, 8
 _U = np.uint64
 
 
@@ -55,12 +59,12 @@ def shingles(text: bytes, n: int, powers: Powers) -> np.ndarray:
     return np.unique(mix(powers.spans(sums, starts, starts + width) + _U(width)))
 
 
-def _class_of(s: np.ndarray) -> tuple[int, int]:
+def class_of(s: np.ndarray) -> tuple[int, int]:
     """Two sums over a set, of which class_ids makes the id of its class."""
     return int(s.sum(dtype=_U)), int(mix(s ^ _U(0x5851F42D4C957F2D)).sum(dtype=_U))
 
 
-def _class_ids(sums: list[tuple[int, int]], sizes: list[int]) -> np.ndarray:
+def class_ids(sums: list[tuple[int, int]], sizes: list[int]) -> np.ndarray:
     one, two = np.array(sums, _U).reshape(-1, 2).T
     return mix(one ^ mix(two + np.array(sizes, _U))).view(np.int64)
 
@@ -85,13 +89,13 @@ def summary(docs: DataFrame, n: int) -> DataFrame:
             for text in b.column("text"):
                 s = shingles(text.as_py() or b"", n, powers)
                 sizes.append(len(s))
-                sums.append(_class_of(s))
+                sums.append(class_of(s))
                 seen.append(s)
                 held_ += len(s)
                 if held_ > 1_000_000:
                     hot, times = merge()
                     seen, held_ = [], 0
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tag"), pa.array(sizes, pa.int64()), pa.array(_class_ids(sums, sizes))], names)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tag"), pa.array(sizes, pa.int64()), pa.array(class_ids(sums, sizes))], names)
         if seen:
             hot, times = merge()
         keep = times >= 2
@@ -115,7 +119,7 @@ def _prefixes(docs: DataFrame, n: int, num: int, den: int, order) -> DataFrame:
                 s = shingles(text.as_py() or b"", n, powers)
                 if not len(s):
                     continue
-                own = int(_class_ids([_class_of(s)], [len(s)])[0])
+                own = int(class_ids([class_of(s)], [len(s)])[0])
                 if own in met:
                     continue
                 met.add(own)
@@ -158,7 +162,7 @@ def _segments(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
         for b in batches:
             sets = [s for t in b.column("text") if len(s := shingles(t.as_py() or b"", n, powers))]
             if sets:
-                ids = np.repeat(_class_ids([_class_of(s) for s in sets], [len(s) for s in sets]), FRAGMENTS)
+                ids = np.repeat(class_ids([class_of(s) for s in sets], [len(s) for s in sets]), FRAGMENTS)
                 parts = [x.view(np.int64) for s in sets for x in np.split(s, np.searchsorted(s, bounds))]
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.tile(np.arange(FRAGMENTS), len(sets))), pa.array(parts, pa.list_(pa.int64()))], ["class", "fragment", "segment"])
 
@@ -180,6 +184,53 @@ def _linked(docs: DataFrame, pairs: DataFrame, classes: DataFrame, n: int, num:
     return overlap.filter(den * F.col("overlap") >= num * (F.col("su") + F.col("sv") - F.col("overlap"))).select("u", "v")
 
 
+def linked_classes(known: DataFrame, places: DataFrame, classes: DataFrame, *, n: int, num: int, den: int, lead_by: Column, pruned: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
+    """class, component of the classes that link with others, out of places (key, place, class): classes
+    that link share a key at which their places allow it. lead_by orders the classes of a key, of which
+    the first leads; pruned(pairs, met) may leave out pairs that can't link."""
+    leaders = cut(places.groupBy("key").agg(F.min_by(F.struct("class", "place"), lead_by).alias("lead"), F.min("class").alias("a"), F.max("class").alias("b")).filter("a < b").select("key", "lead.class", "lead.place").toDF("key", "lead", "lead_place"))
+    met = cut(places.join(leaders, "key"))  # as many files as the join has tasks: nothing bounds its rows
+    rows = met.count()
+
+    def to_links(found: DataFrame) -> DataFrame:
+        """The links among found (x, px, y, py)."""
+        turned = F.col("x") < F.col("y")
+        pick = lambda a, b: F.when(turned, F.col(a)).otherwise(F.col(b))
+        size = lambda a, b: pick(a, b).bitwiseAND(0xFFFFFFFF)
+        pairs = found.select(pick("x", "y").alias("u"), pick("y", "x").alias("v"), size("px", "py").alias("su"), size("py", "px").alias("sv")).distinct()
+        return cut(_linked(known, pruned(pairs, met) if pruned else pairs, classes, n, num, den))
+
+    def star(of: DataFrame) -> DataFrame:
+        passing = of.filter((F.col("class") != F.col("lead")) & _may_link(F.col("place"), F.col("lead_place"), num, den))
+        return to_links(passing.select(F.col("class").alias("x"), F.col("place").alias("px"), F.col("lead").alias("y"), F.col("lead_place").alias("py")))
+
+    def label_of(c: str, to: str) -> DataFrame:
+        return found.select(F.col("node").alias(c), F.col("component").alias(to))
+
+    links = star(met)
+    found = components(links)
+    both = met.join(label_of("class", "label"), "class", "left").join(label_of("lead", "lead_label"), "lead", "left")
+    keys = cut(both.filter(F.coalesce("label", "class") != F.coalesce("lead_label", "lead")).select("key").distinct())
+    mixed = met.select("key", "class", "place").join(keys, "key").distinct()
+    for turn in range(STARS):
+        # the places at keys whose classes are in several components, with top, the largest of these
+        labelled = cut(mixed.join(label_of("class", "label"), "class", "left").select("key", "class", "place", F.coalesce("label", "class").alias("label")))
+        by_key = labelled.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("top"), F.max("n").alias("most"), F.sum("n").alias("n")).filter("most < n")
+        by_key = cut(by_key)
+        pairs = by_key.agg(F.sum((F.col("n") - F.col("most")) * F.col("n").cast("decimal(38,0)"))).first()[0] or 0
+        if pairs <= FEW * rows or turn == STARS - 1:
+            break
+        mixed = labelled.join(by_key.select("key"), "key").drop("label")
+        others = labelled.groupBy("key").agg(F.min_by(F.struct("class", "place", "label"), F.xxhash64(F.lit(turn), "key", "class")).alias("to")).select("key", F.col("to.class").alias("lead"), F.col("to.place").alias("lead_place"), F.col("to.label").alias("lead_label"))
+        links = cut(links.unionByName(star(labelled.join(others, "key").filter("label <> lead_label"))))
+        found = components(links)
+    x = labelled.join(by_key.select("key", "top"), "key").filter("label <> top").select("key", F.col("class").alias("x"), F.col("place").alias("px"), F.col("label").alias("lx"))
+    y = labelled.select("key", F.col("class").alias("y"), F.col("place").alias("py"), F.col("label").alias("ly"))
+    crossed = x.join(y, "key").filter((F.col("lx") != F.col("ly")) & _may_link(F.col("px"), F.col("py"), num, den))
+    more = to_links(crossed.select("x", "px", "y", "py"))
+    return components(links.unionByName(more)).select(F.col("node").alias("class"), "component")
+
+
 def classes_and_links(texts: DataFrame, *, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Of texts (doc_id, tag, text): own (doc_id, tag, size and class of every row), classes (class, first
     and n: its smallest doc_id and its rows) and linked (class, component) of the classes that link with others."""
@@ -192,52 +243,39 @@ def classes_and_links(texts: DataFrame, *, n: int, num: int, den: int) -> tuple[
     by = np.argsort(hot)
     order = spark.sparkContext.broadcast((hot[by], frequent["times"].to_numpy(np.int64)[by]))
     classes = cut(own.filter("size > 0 AND doc_id IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
+    kept: list[DataFrame] = []
 
-    prefixes = _prefixes(known, n, num, den, order)
-    leaders = cut(prefixes.groupBy("key").agg(F.min_by("class", "place").alias("lead"), F.min("place").alias("lead_place"), F.min("class").alias("a"), F.max("class").alias("b")).filter("a < b").drop("a", "b"))
-    met = cut(prefixes.join(leaders, "key"), 4 * leaders.count())
-    keys_of = cut(met.groupBy("class").agg(F.collect_set("key").alias("keys")), met.count())
-
-    def to_pairs(found: DataFrame) -> DataFrame:
-        """found (x, px, y, py) as distinct pairs whose shared prefix n-grams allow the overlap: what is
-        shared beyond the prefix that ends first is at most the rest of that class's set."""
-        turned = F.col("x") < F.col("y")
-        pick = lambda a, b: F.when(turned, F.col(a)).otherwise(F.col(b))
-        size = lambda a, b: pick(a, b).bitwiseAND(0xFFFFFFFF)
-        pairs = found.select(pick("x", "y").alias("u"), pick("y", "x").alias("v"), size("px", "py").alias("su"), size("py", "px").alias("sv")).distinct()
+    def pruned(pairs: DataFrame, met: DataFrame) -> DataFrame:
+        """Pairs whose shared prefix n-grams allow the overlap: what is shared beyond the prefix that ends
+        first is at most the rest of that class's set."""
+        if not kept:
+            kept.append(cut(met.groupBy("class").agg(F.collect_set("key").alias("keys"))))
         rest = lambda c: F.ceil(num * F.col(c) / F.lit(den)) - 1
-        both = pairs.join(keys_of.select(F.col("class").alias("u"), F.col("keys").alias("ku")), "u").join(keys_of.select(F.col("class").alias("v"), F.col("keys").alias("kv")), "v")
+        keys = lambda c, to: kept[0].select(F.col("class").alias(c), F.col("keys").alias(to))
+        both = pairs.join(keys("u", "ku"), "u").join(keys("v", "kv"), "v")
         most = F.size(F.array_intersect("ku", "kv")) + F.greatest(rest("su"), rest("sv"))
         return both.filter(most >= _need(F.col("su"), F.col("sv"), num, den)).select("u", "v", "su", "sv")
 
-    passing = met.filter((F.col("class") != F.col("lead")) & _may_link(F.col("place"), F.col("lead_place"), num, den))
-    stars = to_pairs(passing.select(F.col("class").alias("x"), F.col("place").alias("px"), F.col("lead").alias("y"), F.col("lead_place").alias("py")))
-    links = cut(_linked(known, stars, classes, n, num, den))
-    found = components(links)
-
-    # classes outside their leader's component meet those of other components
-    label_of = lambda c, to: found.select(F.col("node").alias(c), F.col("component").alias(to))
-    labelled = met.join(label_of("class", "label"), "class", "left").join(label_of("lead", "lead_label"), "lead", "left").withColumns({"label": F.coalesce("label", "class"), "lead_label": F.coalesce("lead_label", "lead")})
-    apart = labelled.filter("label <> lead_label").select("key", F.col("class").alias("x"), F.col("place").alias("px"), F.col("label").alias("lx")).distinct()
-    others = labelled.select("key", F.col("class").alias("y"), F.col("place").alias("py"), F.col("label").alias("ly")).distinct()
-    crossed = apart.join(others, "key").filter((F.col("lx") != F.col("ly")) & _may_link(F.col("px"), F.col("py"), num, den))
-    more = _linked(known, to_pairs(crossed.select("x", "px", "y", "py")), classes, n, num, den)
-    final = components(links.unionByName(more))
-    return own, classes, final.select(F.col("node").alias("class"), "component")
+    linked = linked_classes(known, _prefixes(known, n, num, den, order), classes, n=n, num=num, den=den, lead_by=F.struct("place", "class"), pruned=pruned)
+    return own, classes, linked
 
 
-def jaccard_components(docs: DataFrame, *, n: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of docs."""
-    texts = docs.select(quoted(id_col).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("tag"), quoted(text_col).cast("binary").alias("text"))
-    own, classes, linked = classes_and_links(texts, n=n, num=num, den=den)
+def named(own: DataFrame, classes: DataFrame, linked: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id of own's rows: a component is named by its smallest doc_id."""
     met = linked.join(classes, "class")
     least = met.groupBy("component").agg(F.min("first").alias("least"))
-    named = met.join(least, "component").select("class", "least")
-    shared = cut(classes.join(named, "class", "left").filter("n > 1 OR least IS NOT NULL").select("class", F.coalesce("least", "first").alias("component")))
+    by_class = met.join(least, "component").select("class", "least")
+    shared = cut(classes.join(by_class, "class", "left").filter("n > 1 OR least IS NOT NULL").select("class", F.coalesce("least", "first").alias("component")))
     joined = own.join(shared, "class", "left")
     return joined.select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 
 
+def jaccard_components(docs: DataFrame, *, n: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of docs."""
+    texts = docs.select(quoted(id_col).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("tag"), quoted(text_col).cast("binary").alias("text"))
+    return named(*classes_and_links(texts, n=n, num=num, den=den))
+
+
 def keep_one(docs: DataFrame, *, n: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component of linked documents, the one with the smallest id; columns as they are.
     Rows with one id are copies, of which one stays, only if their sets are equal too; with other
@@ -266,5 +304,23 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), n=3, num=9, den=10)
 
 
+def shingle_oracle(n: int, num: int, den: int) -> str:
+    """SQL of jaccard_components: counted overlaps of all sets that share an n-gram, and reachability."""
+    return rf"""WITH RECURSIVE worded AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), grams AS MATERIALIZED (
+  SELECT DISTINCT r, doc_id, array_to_string(w[i : i + least(len(w), {n}) - 1], ' ') AS g
+  FROM (SELECT r, doc_id, w, unnest(range(1, greatest(len(w) - {n} + 1, 1) + 1)) AS i FROM worded WHERE len(w) > 0)
+), sized AS MATERIALIZED (SELECT r, doc_id, count(*) AS n FROM grams GROUP BY r, doc_id
+), links AS MATERIALIZED (
+  SELECT DISTINCT a.doc_id AS u, b.doc_id AS v FROM (
+    SELECT x.r AS a, y.r AS b, count(*) AS n FROM grams x JOIN grams y ON x.g = y.g AND x.r <> y.r WHERE x.doc_id IS NOT NULL AND y.doc_id IS NOT NULL GROUP BY x.r, y.r
+  ) o JOIN sized a ON a.r = o.a JOIN sized b ON b.r = o.b WHERE {den} * o.n >= {num} * (a.n + b.n - o.n)
+), reach AS (SELECT u, u AS v FROM links UNION SELECT reach.u, links.v FROM reach JOIN links ON reach.v = links.u
+), least AS (SELECT u, min(v) AS c FROM reach GROUP BY u)
+SELECT w.doc_id, CAST(coalesce(s.n, 0) AS BIGINT) AS n_shingles, coalesce(CASE WHEN s.n > 0 THEN l.c END, w.doc_id) AS component_id
+FROM worded w LEFT JOIN sized s ON s.r = w.r LEFT JOIN least l ON l.u = w.doc_id"""
+
+
 QUERIES = {"op5_jaccard_join": op5_jaccard_join}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op5_jaccard_join": shingle_oracle(3, 90, 100)}

@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("html_extract", "jaccard_join", "license_scan", "language_id", "mixing", "packing", "quality_classifier", "quality_rules", "substring_dedup", "token_alignment", "topk_search", "vector_codes")
+MODULES = ("html_extract", "jaccard_join", "license_scan", "language_id", "minhash_dedup", "mixing", "packing", "quality_classifier", "quality_rules", "substring_dedup", "token_alignment", "topk_search", "vector_codes")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
