@@ -130,7 +130,7 @@ def _marked(docs: DataFrame, window: int) -> DataFrame:
     seen = _edges(docs, window)
     repeated = cut(seen.groupBy("edge", "two").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").drop("most"))
     n = repeated.count()
-    places = cut(seen.join(repeated, ["edge", "two"]), 4 * n)
+    places = cut(seen.join(repeated, ["edge", "two"]))  # as many files as the join has tasks: nothing bounds its rows
     along = W.partitionBy("doc_id").orderBy("at")
     beside = lambda f, step: F.when(f("at").over(along) == F.col("at") + step, f("edge").over(along))
     single = lambda c: (F.min(c) == F.max(c)) & (F.count(c) == F.count("*"))
