@@ -12,7 +12,10 @@ its source's budget was spent before its block. In order of position the sources
 and copies of one document stand a pass apart.
 
 A null source is a source of its own (""). Null text counts as no tokens; a source without tokens is
-used once. Repeated rows are dealt alike, ties in position stand in the order of the documents' hashes.
+used once. Null and shared ids are no matter, each row is a document of its own; of rows that share id
+and text, which ones a partial pass takes depends on their place in the input. Ties in position stand in
+the order of the documents' hashes. Very long texts are counted whole; a document longer than what is left
+of a budget ends it.
 If the corpus has no tokens, or the table is empty, every document is used once.
 """
 
@@ -74,10 +77,22 @@ def _hash(seed: int, *of) -> Column:
     return F.xxhash64(F.lit(seed), *of)
 
 
-def shares(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", target: float = 0.95, max_repeat: float = 4.0, budget: int | None = None, seed: int = 7) -> tuple[DataFrame, DataFrame]:
+def sized_rows(docs: DataFrame, id_col: str, source_col: str, text_col: str, seed: int, carry: bool) -> DataFrame:
+    """doc_id, source, n_tokens and h of every row of docs, and the row itself if carry. Documents are dealt
+    by a hash of id and text; rows that share both are told apart by their place in the input, which is
+    written with them, so that no two rows go in or out together. Most hashes are of one row."""
+    own = {"doc_id": quoted(id_col), "source": F.coalesce(quoted(source_col), F.lit("")), "n_tokens": words(quoted(text_col)), "hash": _hash(seed, quoted(id_col), quoted(text_col))}
+    rows = held(docs, **own)
+    shared = cut(rows.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("hash").alias("again")))
+    told = rows.withColumn("place", F.monotonically_increasing_id()).join(_small(shared), F.col("hash") == F.col("again"), "left")
+    h = F.when(F.col("again").isNull(), F.col("hash")).otherwise(F.xxhash64("hash", "place"))
+    return cut(told.select(*(["row"] if carry else []), "doc_id", "source", "n_tokens", h.alias("h")))
+
+
+def shares(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", target: float = 0.95, max_repeat: float = 4.0, budget: int | None = None, seed: int = 7, carry: bool = False) -> tuple[DataFrame, DataFrame]:
     """One row per source (source, n, weight, passes, rest, blocks, last and cutoff: the last block of the
-    last pass and the last hash in it), and the documents (doc_id, source, n_tokens, h)."""
-    sized = cut(docs.select(quoted(id_col).alias("doc_id"), F.coalesce(quoted(source_col), F.lit("")).alias("source"), words(quoted(text_col)).alias("n_tokens"), _hash(seed, quoted(id_col)).alias("h")))
+    last pass and the last hash in it), and the documents (doc_id, source, n_tokens, h; and row if carry)."""
+    sized = sized_rows(docs, id_col, source_col, text_col, seed, carry)
     totals = cut(sized.groupBy("source").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("docs")))
     whole = totals.agg(F.sum("n")).first()[0] or 0
     spend = float(whole if budget is None else budget)
@@ -129,9 +144,8 @@ def used(rows: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
 def mixed(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = 7, **how) -> DataFrame:
     """The rows of docs as often as their source's budget uses them, in order of their position in the
     mixture; columns as they are, whatever their names."""
-    plan, _ = shares(docs, id_col=id_col, source_col=source_col, text_col=text_col, seed=seed, **how)
-    rows = held(docs, source=F.coalesce(quoted(source_col), F.lit("")), h=_hash(seed, quoted(id_col)))
-    return used(rows, plan, seed).select("row", "position", "h").repartitionByRange("position", "h").sortWithinPartitions("position", "h").select("row.*")
+    plan, rows = shares(docs, id_col=id_col, source_col=source_col, text_col=text_col, seed=seed, carry=True, **how)
+    return used(rows.select("row", "source", "h"), plan, seed).select("row", "position", "h").repartitionByRange("position", "h").sortWithinPartitions("position", "h").select("row.*")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
