@@ -83,15 +83,15 @@ def in_batches(df: DataFrame, rows: Callable[..., Iterator[pa.RecordBatch]], sch
 
 
 @lru_cache(maxsize=4)
-def tokenizer(path: str):
-    """One tokenizer per Python worker."""
+def tokenizer(path: str, special_as_text: bool = True):
+    """One tokenizer per Python worker; strings of special tokens in texts are plain text or those tokens."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     found = Tokenizer.from_file(path)
-    found.encode_special_tokens = True
+    found.encode_special_tokens = special_as_text
     return found
 
 

@@ -6,13 +6,16 @@ entry per length) reaches the driver, which places lengths longest first into th
 with most room left and updates how often each pattern is used. Patterns are joined back to pieces
 by rank: a piece's rank among those of its length names its slot.
 
-Null or empty text is the end token alone. Rows are packed each for itself, so repeated rows are
+Any tokenizer file of the tokenizers library will do. Strings of special tokens in a text become those
+tokens, as the tokenizer's encode does by itself. A text is encoded whole, however long. Null or empty
+text is the end token alone. Rows are packed each for itself, so repeated rows are
 packed repeatedly. An empty table gives an empty result. Other columns are not carried.
 """
 
 from __future__ import annotations
 
 import heapq
+import json
 import math
 import struct
 import zlib
@@ -25,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from receivia.llm.common import cut, in_arrow, table, tokenizer
+from receivia.llm.common import cut, in_arrow, quoted, table, tokenizer
 
 SIZE, END = 2048, 1
 #: Pieces in a batch of results.
@@ -65,20 +68,45 @@ class _Runs(_Remembered):
         from tokenizers import pre_tokenizers
 
         super().__init__(RUNS)
-        self.model, self.to_bytes = tokenizer(path).model, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.model, self.to_bytes = tokenizer(path, False).model, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
 
     def ids(self, run: str) -> bytes:
         seen = run if run.isascii() else self.to_bytes.pre_tokenize_str(run)[0][0]
         return _packed([t.id for t in self.model.tokenize(seen)]) if run else b""
 
 
+#: How a tokenizer file normalises and splits texts whose words can be encoded one by one (fixed values).
+_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def by_words(path: str) -> bool:
+    """Whether the tokenizer drops white space, never joins text across it, and reads a word alike wherever
+    it stands; as its file says."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    before = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}, {}]
+    split, to_bytes = before[0], before[-1]
+    dropped = split.get("pattern") == {"Regex": _SPLIT} and split.get("behavior") == "Removed" and split.get("invert") is True
+    plain = len(before) == 2 and to_bytes.get("type") == "ByteLevel" and not to_bytes.get("add_prefix_space") and not to_bytes.get("use_regex", True)
+    tight = all(not any(c.isspace() for c in t["content"]) and not (t["lstrip"] or t["rstrip"] or t["normalized"] or t["single_word"]) for t in spec.get("added_tokens", []))
+    return dropped and plain and tight and (spec.get("normalizer") or {}).get("normalizers") == _NORMALIZERS and spec.get("post_processor") is None and not spec["model"].get("dropout")
+
+
 class _WordIds(_Remembered):
-    """Of words. The tokenizer never joins text across white space, so the ids of a text are those of
-    its words, one after the other."""
+    """Of words: where by_words() holds, the ids of a text are those of its words, one after the other.
+    Texts for any other tokenizer are encoded whole."""
 
     def __init__(self, path: str):
         super().__init__(WORDS)
-        self.tokenizer, self.runs = tokenizer(path), _Runs(path)
+        self.tokenizer, self.by_words = tokenizer(path, False), by_words(path)
+        self.runs = _Runs(path) if self.by_words else None
+
+    def text(self, data: bytes) -> bytes:
+        """Ids of a text."""
+        if self.by_words:
+            return b"".join(map(self.__getitem__, data.split()))
+        return _packed(self.tokenizer.encode(data.decode("utf-8", "replace"), add_special_tokens=False).ids)
 
     def ids(self, word: bytes) -> bytes:
         text = word.decode("utf-8", "replace")
@@ -105,11 +133,11 @@ def pieces(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str
     end = np.array([END], "<u4").tobytes()
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = _known(path).__getitem__
+        ids_of = _known(path).text
         out: list[list] = [[], [], [], [], []]
         for b in batches:
             for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
-                data = b"".join(map(ids_of, (text.as_py() or b"").split())) + end
+                data = ids_of(text.as_py() or b"") + end
                 n = len(data) // 4
                 for start in range(0, n, size):
                     part = data[4 * start : 4 * (start + size)]
@@ -126,7 +154,7 @@ def pieces(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str
 
     last = "ids array<int>" if carry == "ids" else "ids_crc32 long"
     names = ["doc_id", "start", "length", "doc_tokens", last.split()[0]]
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    slim = docs.select(quoted(id_col).cast("long").alias("doc_id"), quoted(text_col).cast("binary").alias("text"))
     return in_arrow(slim, rows, f"doc_id long, start long, length long, doc_tokens long, {last}")
 
 

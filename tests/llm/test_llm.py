@@ -115,7 +115,6 @@ def test_packing(docs, empty):
 
     path = packing.default_tokenizer()
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     got = packing.pack(docs, carry="crc32").collect()
     by_doc, by_sequence = collections.defaultdict(list), collections.defaultdict(list)
     for r in got:
@@ -148,13 +147,23 @@ def test_patterns():
     assert used == histogram
 
 
-@pytest.mark.parametrize("word", ["don't", "A1b2", "<|endoftext|>", "é!!", "naïve-...", "日本語テキスト", "İ", "áb", "x\x1cy", "ǅ", "3.14%"])
+def test_packing_with_another_tokenizer(docs):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert not packing.by_words(path) and packing.by_words(packing.default_tokenizer())
+    t = Tokenizer.from_file(path)
+    got = {r["doc_id"]: r["ids"] for r in packing.pack(docs.filter("doc_id IN (5, 11, 12)").distinct(), path).collect()}
+    assert got == {i: [*t.encode(ROWS[i][1], add_special_tokens=False).ids, 1] for i in (5, 11, 12)}
+
+
+@pytest.mark.parametrize("word", ["don't", "ab<|endoftext|>c", "<|startoftext|>!", "A1b2", "<|endoftext|>", "é!!", "naïve-...", "日本語テキスト", "İ", "áb", "x\x1cy", "ǅ", "3.14%"])
 def test_word_ids(word):
     from tokenizers import Tokenizer
 
     path = packing.default_tokenizer()
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     text = f"so {word} {word}. End"
     known = packing._WordIds(path)
     assert b"".join(known[p] for p in text.encode().split()) == np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -268,6 +277,26 @@ def test_mixing(docs, empty, monkeypatch, bound):
     assert out.columns == docs.columns and out.count() == len(got) and mixing.mixed(empty).count() == 0
 
 
+@pytest.mark.parametrize("bound", [100_000, 0])
+def test_mixing_without_ids(spark, monkeypatch, bound):
+    """Rows with null or shared ids meet their source's budget, each by itself."""
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", bound)
+    rows = [(None, "w " * 90, "s")] * 50 + [(7, f"a{i} " * 10, "t") for i in range(40)] + [(i, "same words here", "u") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    plan, sized = mixing.shares(docs, target=0.9)
+    assert sized.select("h").distinct().count() == len(rows)
+    got = collections.Counter()
+    for r in mixing.used(sized, plan, 7).collect():
+        got[r["source"]] += r["n_tokens"]
+    for r in plan.collect():
+        budget = r["weight"] * sum(len(t.split()) for _, t, _ in rows)
+        assert budget - 180 <= got[r["source"]] <= budget + 1e-6, r
+    mixed = collections.Counter()
+    for r in mixing.mixed(docs, target=0.9).collect():
+        mixed[r["source"]] += len(r["text"].split())
+    assert all(abs(mixed[k] - got[k]) <= 90 for k in "stu") and mixed["s"] > 2000
+
+
 CLASHING = ["weight", "block", "_f", "_first", "_source", "_spans", "a.b", "row", "tag", "h", "position", "doc_id_", "least", "spans", "text_", "one", "word", "bits"]
 
 
