@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from receivia.llm.common import cut, in_batches, table
+from receivia.llm.common import cut, in_batches, quoted, table
 
 #: A text is template if it stands in a slot on at least CONSTANT of the pages with that slot: FEW
 #: pages at least, and where they are under PAGES, half of the host's pages.
@@ -338,7 +338,7 @@ def _container(root: Node, gone: set[int]) -> tuple[list[Node], list[Node]]:
 
 
 def host_of(url: str = "url"):
-    return F.lower(F.coalesce(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.\-]*://([^/?#]*)", 1), F.lit("")))
+    return F.lower(F.coalesce(F.regexp_extract(quoted(url), r"^[a-zA-Z][a-zA-Z0-9+.\-]*://([^/?#]*)", 1), F.lit("")))
 
 
 def _with_host(pages: DataFrame, by_host: DataFrame, size: int, salts: int) -> DataFrame:
@@ -389,7 +389,7 @@ def wrappers(pages: DataFrame, *, salts: int = 64) -> tuple[DataFrame, int]:
 
 def extract_pages(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", salts: int = 64) -> DataFrame:
     """page_id, url, text of every row of pages."""
-    slim = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), F.xxhash64(host_of(url_col)).alias("host_id"))
+    slim = pages.select(quoted(id_col).cast("long").alias("page_id"), quoted(url_col).alias("url"), quoted(html_col).alias("html"), F.xxhash64(host_of(url_col)).alias("host_id"))
 
     def rows(batches: Iterable[list]) -> Iterator[pa.RecordBatch]:
         for ids, urls, htmls, references, constants in batches:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from receivia.llm.common import in_batches, table
+from receivia.llm.common import in_batches, quoted, table
 
 #: Phrases and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -60,7 +60,7 @@ def document_frequencies(docs: DataFrame, vocabulary: frozenset[bytes], text_col
                 seen.update(vocabulary.intersection((text or b"").lower().translate(_PARTS).split()))
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
 
-    counted = in_batches(docs.select(F.col(text_col).cast("binary")), rows, "word binary, n long")
+    counted = in_batches(docs.select(quoted(text_col).cast("binary").alias("text")), rows, "word binary, n long")
     return {bytes(r["word"]): r["n"] for r in counted.groupBy("word").agg(F.sum("n").alias("n")).collect()}
 
 
@@ -186,7 +186,7 @@ def scan(docs: DataFrame, *, templates: dict[str, str] | None = None, phrases: d
         score = 1.0 if every else max(matched.values(), default=0.0)
         return doc_id, len(words), len(every), min(every, default=None), max(every, default=None), ",".join(sorted(places)), ",".join(sorted({*places, *matched})), score, blocks
 
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    slim = docs.select(quoted(id_col).cast("long").alias("doc_id"), quoted(text_col).cast("binary").alias("text"))
     return in_batches(slim, rows, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, blocks array<long>")
 
 

@@ -160,8 +160,10 @@ def posterior(f: Column, model: tuple[float, list[dict[int, float]]]) -> Column:
 
 
 def judge(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """docs without their text, plus _f, p_good, base_failed and kept."""
-    slim = cut(with_features(docs.select(*[quoted(c) for c in docs.columns if c != text], quoted(text).alias("_text")), "_text").drop("_text"))
+    """docs without their text, plus _f, p_good, base_failed and kept (docs has no columns of these names).
+    Texts at the threshold are kept."""
+    free = "text_" + "_" * max(map(len, docs.columns))  # no column of docs is as long
+    slim = cut(with_features(docs.select(*[quoted(c) for c in docs.columns if c != text], quoted(text).alias(free)), free).drop(free))
     model = learn(slim)
     p = posterior(F.col("_f"), model)
     return slim.withColumns({"p_good": p, "base_failed": base_failed(F.col("_f"))}).withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= threshold))

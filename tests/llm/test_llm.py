@@ -537,3 +537,13 @@ def test_pipeline_by_brute_force(spark):
     t = Tokenizer.from_file(packing.default_tokenizer())
     packed = corpus_pipeline.pack(spark, kept.coalesce(1), "").agg(F.sum("length")).first()[0]
     assert packed == sum(len(t.encode(r["text"] or "", add_special_tokens=False).ids) + 1 for r in got)
+
+
+def test_dotted_and_taken_names(spark):
+    rows = [(1, "Some words that are here for reading, and more of them than ten. " * 3, "x"), (2, None, "y")]
+    docs = spark.createDataFrame(rows, "`a.id` long, `a.text` string, _text string")
+    assert packing.place(packing.pieces(docs, packing.default_tokenizer(), id_col="a.id", text_col="a.text")).count() == 2
+    assert license_scan.scan(docs, id_col="a.id", text_col="a.text").count() == 2
+    assert quality_rules.judge(docs.withColumnRenamed("a.text", "text").withColumnRenamed("a.id", "doc_id")).count() == 2
+    pages = spark.createDataFrame([(1, "http://a.b/c", "<p>text</p>")], "`a.id` long, `a.url` string, `a.html` string")
+    assert html_extract.extract_pages(pages, id_col="a.id", url_col="a.url", html_col="a.html").count() == 1
