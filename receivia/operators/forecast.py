@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from receivia.operators.series import design, least_squares
+from receivia.operators.series import PAIRS, design, form, inverse, least_squares
 
 STEPS = "series_key string, step int, model string, forecast double"
 
@@ -184,31 +186,119 @@ def information(p: DataFrame) -> DataFrame:
     return _grouped(p.select("series_key", "t", "y"), one, "series_key string, model string, aic double, bic double")
 
 
-def rolling_origin(p: DataFrame, least: int = 10, models: tuple[str, ...] = tuple(MODELS)) -> DataFrame:
-    """One-step forecasts from every origin with at least least points; a fit that fails is left out.
-    Every fold of every series is a group of its own."""
-    folds = p.select("series_key", F.col("t").alias("fold"), F.col("y").alias("actual")).filter(F.col("fold") > least)
-    cases = p.select("series_key", "t", "y").join(folds, "series_key").filter("t < fold")
+FOLDS = "series_key string, fold int, model string, actual double, forecast double"
+
+
+def expanding(p: DataFrame, least: int = 10, period: int = 12) -> DataFrame:
+    """One-step forecasts of the closed models (naive, drift, difference_ar, fourier) from every origin with at
+    least least points. Each origin's fit is made from running sums up to it: one window over a series, whose
+    months are never copied."""
+    a = 2 * math.pi * F.col("t") / period
+    xs = {"x1": F.col("t").cast("double"), "x2": F.sin(a), "x3": F.cos(a)}
+    o = W.partitionBy("series_key").orderBy("t")
+    before = o.rowsBetween(W.unboundedPreceding, -1)
+    d = p.select("series_key", "t", "y", *[x.alias(k) for k, x in xs.items()], (F.col("y") - F.lag("y").over(o)).alias("d"))
+    d = d.withColumn("l", F.lag("d").over(o))
+    sums = {f"s{i}": F.sum(f"x{i}").over(before) for i in (1, 2, 3)} | {"sy": F.sum("y").over(before)}
+    sums |= {f"p{i}{j}": F.sum(F.col(f"x{i}") * F.col(f"x{j}")).over(before) for i, j in PAIRS} | {f"q{i}": F.sum(F.col(f"x{i}") * F.col("y")).over(before) for i in (1, 2, 3)}
+    sums |= {"dl": F.sum(F.col("d") * F.col("l")).over(before), "ll": F.sum(F.when(F.col("d").isNotNull(), F.col("l") * F.col("l"))).over(before), "y0": F.first("y").over(o.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)), "y1": F.lag("y").over(o)}
+    r = d.withColumns(sums).filter(F.col("t") > least).withColumn("n", F.col("t") - 1)
+    r = r.withColumns({f"a{i}{j}": F.col(f"p{i}{j}") - F.col(f"s{i}") * F.col(f"s{j}") / F.col("n") for i, j in PAIRS} | {f"c{i}": F.col(f"q{i}") - F.col(f"s{i}") * F.col("sy") / F.col("n") for i in (1, 2, 3)} | {f"z{i}": F.col(f"x{i}") - F.col(f"s{i}") / F.col("n") for i in (1, 2, 3)})
+    r = inverse(r, "a", "i")
+    phi = F.when(F.col("ll") > 0, F.col("dl") / F.col("ll")).otherwise(0.0)
+    models = {"naive": F.col("y1"), "drift": F.col("y1") + F.coalesce(F.try_divide(F.col("y1") - F.col("y0"), F.col("n") - 1), F.lit(0.0)), "difference_ar": F.col("y1") + phi * F.col("l"), "fourier": F.col("sy") / F.col("n") + form("i", "z", "c")}
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("model"), f.alias("forecast")) for k, f in models.items()]))
+    return r.select("series_key", F.col("t").cast("int").alias("fold"), F.col("y").alias("actual"), each.alias("m")).select("series_key", "fold", "m.model", "actual", "m.forecast").filter("forecast IS NOT NULL")
+
+
+class _Smoothing:
+    """Trend smoothing (or, without a slope, simple smoothing) of one series from all origins at once. Errors
+    depend linearly on the start; what they give for each column of the start is added up over the months of
+    each origin, so that its best start and loss follow from those sums. Arrays are (origin, point)."""
+
+    def __init__(self, y: np.ndarray, least: int, trend: bool):
+        self.middle = float(y.mean())  # a level's start is free, so that a shift of all values changes no more than it
+        self.y, self.least, self.starts = y - self.middle, least, 2 if trend else 1
+        self.ends = np.arange(least, len(y))
+
+    def run(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Products of the error columns (as 1 + starts by 1 + starts), and each origin's last level and slope by column."""
+        k = 1 + self.starts
+        level, slope = np.zeros((2, k, *a.shape))
+        level[1] = 1.0
+        if k > 2:
+            slope[2] = 1.0
+        products, last = np.zeros((k, k, *a.shape)), [np.zeros((k, *a.shape)) for _ in range(2)]
+        for i, v in enumerate(self.y[:-1]):
+            lo = max(0, i - self.least + 1)  # origins that end later
+            own = np.s_[..., lo:, :]
+            e = -level[own] - slope[own]
+            e[0] += v
+            for m in range(k):
+                products[m, m:][own] += e[m] * e[m:]
+            level[own] += slope[own] + a[lo:] * e
+            slope[own] += (a * b)[lo:] * e
+            ended = i + 1 - self.least
+            if ended >= 0:
+                last[0][:, ended], last[1][:, ended] = level[:, ended], slope[:, ended]
+        return products, last
+
+    @staticmethod
+    def solved(p: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Loss and best start of each origin and point, from the products."""
+        safe = lambda x, over, least: np.divide(x, over, out=np.zeros_like(x), where=over > 1e-12 * least)
+        if len(p) == 2:
+            first = safe(-p[0, 1], p[1, 1], 1.0)
+            return p[0, 0] + p[0, 1] * first, [first]
+        cross = safe(p[1, 2], p[1, 1], 1.0)
+        rest, size = p[0, 2] - cross * p[0, 1], p[2, 2] - cross * p[1, 2]
+        second = safe(-rest, size, p[2, 2])
+        first = safe(-p[0, 1], p[1, 1], 1.0) - cross * second
+        return p[0, 0] - safe(p[0, 1] ** 2, p[1, 1], 1.0) + rest * second, [first, second]
+
+    def forecasts(self, rounds: int = 7, points: int = 7) -> np.ndarray:
+        """One-step forecasts; the parameters of each origin come from a grid that closes in on its best cell."""
+        axes, n = self.starts, len(self.ends)
+        low, high = np.full((axes, n, 1), 1e-4), np.full((axes, n, 1), 0.9999)
+        steps = np.stack(np.meshgrid(*[np.linspace(0, 1, points)] * axes, indexing="ij")).reshape(axes, 1, -1)
+        for _ in range(rounds):
+            grid = low + (high - low) * steps
+            a, b = grid[0], grid[1] if axes > 1 else np.zeros_like(grid[0])
+            at = self.solved(self.run(a, b)[0])[0].argmin(axis=1)
+            best = np.take_along_axis(grid, np.broadcast_to(at[None, :, None], (axes, n, 1)), axis=2)
+            step = (high - low) / (points - 1)
+            low, high = np.maximum(best - step, low), np.minimum(best + step, high)
+        products, (level, slope) = self.run(best[0], best[1] if axes > 1 else np.zeros_like(best[0]))
+        start = self.solved(products)[1]
+        ahead = level + slope
+        return (self.middle + ahead[0] + sum(s * ahead[k + 1] for k, s in enumerate(start)))[:, 0]
+
+
+def smoothed_folds(p: DataFrame, least: int = 10) -> DataFrame:
+    """One-step forecasts of ses and holt from every origin with at least least points: one group a series."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t")
-        rows = []
-        for name in models:
-            try:
-                f = float(MODELS[name](pdf["y"].to_numpy(float), 1)[0][0])
-            except (np.linalg.LinAlgError, ValueError, FloatingPointError):
-                continue
-            rows.append((pdf["series_key"].iloc[0], int(pdf["fold"].iloc[0]), name, float(pdf["actual"].iloc[0]), f))
-        return pd.DataFrame(rows, columns=["series_key", "fold", "model", "actual", "forecast"])
+        y = pdf.sort_values("t")["y"].to_numpy(float)
+        out = []
+        for name, trend in (("ses", False), ("holt", True)) if len(y) > least else ():
+            f = _Smoothing(y, least, trend).forecasts()
+            out.append(pd.DataFrame({"series_key": pdf["series_key"].iloc[0], "fold": np.arange(least + 1, len(y) + 1, dtype=np.int32), "model": name, "actual": y[least:], "forecast": f}))
+        return pd.concat(out) if out else pd.DataFrame(columns=["series_key", "fold", "model", "actual", "forecast"])
+
+    return _grouped(p.select("series_key", "t", "y"), one, FOLDS)
+
 
-    return _grouped(cases, one, "series_key string, fold int, model string, actual double, forecast double", ("series_key", "fold"))
+def rolling_origin(p: DataFrame, least: int = 10) -> DataFrame:
+    """series_key, fold, model, actual, forecast: one-step forecasts of all models of MODELS from every origin
+    with at least least points."""
+    return expanding(p, least).unionByName(smoothed_folds(p, least))
 
 
-def errors(folds: DataFrame) -> DataFrame:
+def errors(folds: DataFrame, digits: int = 6) -> DataFrame:
     """RMSE, MAE, MAPE over actuals other than 0, SMAPE and number of folds per series and model."""
     e, a, f = F.col("actual") - F.col("forecast"), F.abs("actual"), F.abs("forecast")
     smape = F.when(a + f > 0, 2 * F.abs(e) / (a + f)).otherwise(0.0)
-    return folds.groupBy("series_key", "model").agg(F.round(F.sqrt(F.avg(e * e)), 6).alias("rmse"), F.round(F.avg(F.abs(e)), 6).alias("mae"), F.round(F.avg(F.when(a > 0, F.abs(e) / a)) * 100, 6).alias("mape"), F.round(F.avg(smape) * 100, 6).alias("smape"), F.count("*").alias("folds"))
+    return folds.groupBy("series_key", "model").agg(F.round(F.sqrt(F.avg(e * e)), digits).alias("rmse"), F.round(F.avg(F.abs(e)), digits).alias("mae"), F.round(F.avg(F.when(a > 0, F.abs(e) / a)) * 100, digits).alias("mape"), F.round(F.avg(smape) * 100, digits).alias("smape"), F.count("*").alias("folds"))
 
 
 def choose(scores: DataFrame) -> DataFrame:

@@ -161,7 +161,7 @@ def _products(a: str, out: str) -> list:
     return [F.sum(F.col(f"{a}{i}") * F.col(f"{a}{j}")).alias(f"{out}{i}{j}") for i, j in PAIRS]
 
 
-def _inverse(by: DataFrame, a: str, out: str) -> DataFrame:
+def inverse(by: DataFrame, a: str, out: str) -> DataFrame:
     """Adds the inverse of the symmetric matrix a11 to a33; null where there is none."""
     a11, a12, a13, a22, a23, a33 = (F.col(f"{a}{i}{j}") for i, j in PAIRS)
     minors = (a22 * a33 - a23 * a23, a13 * a23 - a12 * a33, a12 * a23 - a13 * a22, a11 * a33 - a13 * a13, a12 * a13 - a11 * a23, a11 * a22 - a12 * a12)
@@ -171,7 +171,7 @@ def _inverse(by: DataFrame, a: str, out: str) -> DataFrame:
     return by.withColumns({c: F.try_divide(c, "_det") for c in names}).drop("_det")
 
 
-def _form(inv: str, u: str, v: str):
+def form(inv: str, u: str, v: str):
     """u' inverse v of two vectors of three columns."""
     return sum((F.col(f"{inv}{min(i, j)}{max(i, j)}") * F.col(f"{u}{i}") * F.col(f"{v}{j}") for i in (1, 2, 3) for j in (1, 2, 3)), F.lit(0.0))
 
@@ -179,7 +179,7 @@ def _form(inv: str, u: str, v: str):
 def fits(d: DataFrame) -> DataFrame:
     """Per series of harmonic(): n, coefficients b0 to b3, sums of squares and the inverse i11 to i33; series under five months are left out."""
     by = d.filter("n > 4").groupBy("series_key", "n").agg(*_products("z", "a"), *_products("x", "m"), *[F.sum(F.col(f"z{i}") * F.col("zy")).alias(f"c{i}") for i in (1, 2, 3)], *[F.avg(f"x{i}").alias(f"u{i}") for i in (1, 2, 3)], F.avg("y").alias("mean"), F.sum(F.col("zy") * F.col("zy")).alias("yy"))
-    by = _inverse(_inverse(by, "a", "i"), "m", "j")
+    by = inverse(inverse(by, "a", "i"), "m", "j")
     by = by.withColumns({f"b{i}": sum((F.col(f"i{min(i, j)}{max(i, j)}") * F.col(f"c{j}") for j in (1, 2, 3)), F.lit(0.0)) for i in (1, 2, 3)})
     return by.withColumn("b0", F.col("mean") - F.col("b1") * F.col("u1") - F.col("b2") * F.col("u2") - F.col("b3") * F.col("u3"))
 
@@ -207,13 +207,13 @@ def regression(p: DataFrame) -> DataFrame:
     again = r.groupBy("series_key").agg(F.sum(F.col("e") * F.col("e")).alias("ee"), F.sum(F.col("e") * F.col("w")).alias("ew"), F.sum(F.col("q") * F.col("q")).alias("qq"), F.sum(F.col("w") * F.col("w")).alias("ww"), *[F.sum(F.col(f"z{i}") * F.col(v)).alias(f"{v}{i}") for v in "qw" for i in (1, 2, 3)])
     by = f.join(again, "series_key")
     s2 = F.col("ee") / (F.col("n") - 4)
-    drop = F.try_divide(F.col("ew") * F.col("ew"), F.col("ww") - _form("i", "w", "w"))  # what the squared fit takes from ee
+    drop = F.try_divide(F.col("ew") * F.col("ew"), F.col("ww") - form("i", "w", "w"))  # what the squared fit takes from ee
     r2 = 1 - F.col("ee") / F.col("yy")
-    ts = {"const_t": F.try_divide("b0", F.sqrt(s2 * (1 / F.col("n") + _form("i", "u", "u"))))} | {f"{x}_t": F.try_divide(f"b{i}", F.sqrt(s2 * F.col(f"i{i}{i}"))) for i, x in ((1, "trend"), (2, "sin"), (3, "cos"))}
+    ts = {"const_t": F.try_divide("b0", F.sqrt(s2 * (1 / F.col("n") + form("i", "u", "u"))))} | {f"{x}_t": F.try_divide(f"b{i}", F.sqrt(s2 * F.col(f"i{i}{i}"))) for i, x in ((1, "trend"), (2, "sin"), (3, "cos"))}
     return by.select(
         "series_key", "n", F.col("b0").alias("const"), F.col("b1").alias("trend"), F.col("b2").alias("sin"), F.col("b3").alias("cos"), *[v.alias(k) for k, v in ts.items()],
         r2.alias("r2"), (1 - (1 - r2) * (F.col("n") - 1) / (F.col("n") - 4)).alias("adj_r2"), F.try_divide((F.col("yy") - F.col("ee")) / 3, s2).alias("f"),
-        (F.col("n") * F.try_divide(_form("i", "q", "q"), F.col("qq"))).alias("breusch_pagan"), F.try_divide(drop, (F.col("ee") - drop) / (F.col("n") - 5)).alias("reset_f"),
+        (F.col("n") * F.try_divide(form("i", "q", "q"), F.col("qq"))).alias("breusch_pagan"), F.try_divide(drop, (F.col("ee") - drop) / (F.col("n") - 5)).alias("reset_f"),
         *[(F.col(f"m{i}{i}") * F.col(f"j{i}{i}")).alias(f"vif_{x}") for i, x in ((1, "trend"), (2, "sin"), (3, "cos"))],
     )
 

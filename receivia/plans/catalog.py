@@ -650,6 +650,58 @@ def _whole_and_brands(m: Sales) -> DataFrame:
     return _panel(m, None).unionByName(_panel(m))
 
 
+def _panel_sql(key: str) -> str:
+    return PANEL.replace("brand", key)
+
+
+def _expanding_sql(key: str) -> str:
+    """Every origin's fit of its own months, joined to them: naive, drift, differences' autoregression, trend and harmonic."""
+    pairs = series.PAIRS
+    names = {i: f"x{i}" for i in (1, 2, 3)}
+    return _panel_sql(key) + f""", h AS (SELECT series_key, t, y, CAST(t AS DOUBLE) AS x1, sin(2 * pi() * t / 12) AS x2, cos(2 * pi() * t / 12) AS x3, y - lag(y) OVER k AS d, lag(y) OVER k AS y1, first(y) OVER k AS y0 FROM panel WINDOW k AS (PARTITION BY series_key ORDER BY t)), gd AS (SELECT *, lag(d) OVER (PARTITION BY series_key ORDER BY t) AS l FROM h),
+ o AS (SELECT f.series_key, f.t, any_value(f.y) AS actual, any_value(f.y1) AS y1, any_value(f.y0) AS y0, any_value(f.l) AS l, count(*) AS n, avg(g.y) AS my, {", ".join(f"any_value(f.{x}) - avg(g.{x}) AS z{i}" for i, x in names.items())}, {", ".join(f"covar_pop(g.{names[i]}, g.{names[j]}) AS a{i}{j}" for i, j in pairs)}, {", ".join(f"covar_pop(g.{x}, g.y) AS c{i}" for i, x in names.items())}, sum(g.d * g.l) AS dl, sum(g.l * g.l) FILTER (g.d IS NOT NULL) AS ll FROM gd f JOIN gd g ON g.series_key = f.series_key AND g.t < f.t WHERE f.t > 10 GROUP BY 1, 2),
+ v AS (SELECT *, a11 * (a22 * a33 - a23 * a23) + a12 * (a13 * a23 - a12 * a33) + a13 * (a12 * a23 - a13 * a22) AS det FROM o), w AS (SELECT *, (a22 * a33 - a23 * a23) / det AS i11, (a13 * a23 - a12 * a33) / det AS i12, (a12 * a23 - a13 * a22) / det AS i13, (a11 * a33 - a13 * a13) / det AS i22, (a12 * a13 - a11 * a23) / det AS i23, (a11 * a22 - a12 * a12) / det AS i33 FROM v),
+ fc AS (SELECT series_key, t, actual, unnest([{{'m': 'naive', 'f': y1}}, {{'m': 'drift', 'f': y1 + (y1 - y0) / (n - 1)}}, {{'m': 'difference_ar', 'f': y1 + CASE WHEN ll > 0 THEN dl / ll ELSE 0 END * l}}, {{'m': 'fourier', 'f': my + c1 * (i11 * z1 + i12 * z2 + i13 * z3) + c2 * (i12 * z1 + i22 * z2 + i23 * z3) + c3 * (i13 * z1 + i23 * z2 + i33 * z3)}}]) AS r FROM w),
+ e AS (SELECT series_key, r.m AS model, actual AS a, r.f AS f FROM fc), er AS (SELECT series_key, model, round(sqrt(avg((a - f) * (a - f))), 3) AS rmse, round(avg(abs(a - f)), 3) AS mae, round(avg(CASE WHEN a <> 0 THEN abs(a - f) / abs(a) END) * 100, 3) AS mape, round(avg(CASE WHEN abs(a) + abs(f) > 0 THEN 2 * abs(a - f) / (abs(a) + abs(f)) ELSE 0 END) * 100, 3) AS smape, count(*) AS folds FROM e GROUP BY 1, 2)"""
+
+
+def _expanding_errors(m: Sales, key: str) -> DataFrame:
+    return forecast.errors(forecast.expanding(_panel(m, key)), 3)
+
+
+_CHOICE = " SELECT series_key, arg_min(model, {'r': rmse, 'm': model}) AS winner, arg_min(model, {'r': rmse, 'm': model}) AS model FROM er GROUP BY 1"
+
+
+@query(_expanding_sql("brand") + " SELECT * FROM er")
+def brand_expanding_errors(m: Sales) -> DataFrame:
+    return _expanding_errors(m, "brand")
+
+
+@query(_expanding_sql("brand") + _CHOICE)
+def brand_expanding_choice(m: Sales) -> DataFrame:
+    return forecast.choose(_expanding_errors(m, "brand"))
+
+
+@query(_expanding_sql("customer_code") + " SELECT * FROM er")
+def customer_expanding_errors(m: Sales) -> DataFrame:
+    return _expanding_errors(m, "customer_code")
+
+
+@query(_expanding_sql("customer_code") + _CHOICE)
+def customer_expanding_choice(m: Sales) -> DataFrame:
+    return forecast.choose(_expanding_errors(m, "customer_code"))
+
+
+@query(_expanding_sql("item_code") + " SELECT * FROM er")
+def item_expanding_errors(m: Sales) -> DataFrame:
+    return _expanding_errors(m, "item_code")
+
+
+@query(_expanding_sql("item_code") + _CHOICE)
+def item_expanding_choice(m: Sales) -> DataFrame:
+    return forecast.choose(_expanding_errors(m, "item_code"))
+
+
 @query()
 def model_errors(m: Sales) -> DataFrame:
     return forecast.errors(forecast.rolling_origin(_whole_and_brands(m)))
