@@ -32,6 +32,10 @@ def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
     would write to disks of their own. Shuffle files of steps that ended before are then given back:
     Spark deletes them once nothing on the driver refers to them, and checkpoints likewise where
     spark.cleaner.referenceTracking.cleanCheckpoints is set.
+
+    A checkpoint keeps the size that Spark estimated for the plan above it, and a join multiplies those of
+    its sides: over the rounds of an iteration estimates become numbers of millions of digits, which fill the
+    driver. The result is therefore a table of unknown size, which Spark plans by what it measures at run time.
     """
     spark = df.sparkSession
     context = spark.sparkContext
@@ -40,8 +44,9 @@ def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
         if not folder and not (context.master == "local" or context.master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
-    out = (df if rows is None else df.coalesce(max(1, -(-rows // ROWS_OF_FILE)))).checkpoint(eager=True)
-    del df
+    written = (df if rows is None else df.coalesce(max(1, -(-rows // ROWS_OF_FILE)))).checkpoint(eager=True)
+    out = DataFrame(spark._jsparkSession.internalCreateDataFrame(written._jdf.queryExecution().toRdd(), written._jdf.schema(), False), spark)
+    del df, written
     gc.collect()
     context._jvm.System.gc()
     return out

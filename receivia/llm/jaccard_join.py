@@ -170,7 +170,7 @@ def _segments(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     return in_arrow(some.select("text"), rows, "class long, fragment long, segment array<long>")
 
 
-def _linked(docs: DataFrame, pairs: DataFrame, classes: DataFrame, n: int, num: int, den: int) -> DataFrame:
+def linked_pairs(docs: DataFrame, pairs: DataFrame, classes: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """Those of pairs (u, v, su, sv: classes and their set sizes) that link; classes has the first document of each."""
     pairs = cut(pairs)
     wanted = pairs.select(F.col("u").alias("class")).union(pairs.select("v")).distinct().join(classes, "class").select(F.col("first").alias("doc_id"))
@@ -184,11 +184,11 @@ def _linked(docs: DataFrame, pairs: DataFrame, classes: DataFrame, n: int, num:
     return overlap.filter(den * F.col("overlap") >= num * (F.col("su") + F.col("sv") - F.col("overlap"))).select("u", "v")
 
 
-def linked_classes(known: DataFrame, places: DataFrame, classes: DataFrame, *, n: int, num: int, den: int, lead_by: Column, pruned: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
+def linked_classes(known: DataFrame, places: DataFrame, classes: DataFrame, *, n: int, num: int, den: int, pruned: Callable[[DataFrame, DataFrame], DataFrame], links: DataFrame | None = None) -> DataFrame:
     """class, component of the classes that link with others, out of places (key, place, class): classes
-    that link share a key at which their places allow it. lead_by orders the classes of a key, of which
-    the first leads; pruned(pairs, met) may leave out pairs that can't link."""
-    leaders = cut(places.groupBy("key").agg(F.min_by(F.struct("class", "place"), lead_by).alias("lead"), F.min("class").alias("a"), F.max("class").alias("b")).filter("a < b").select("key", "lead.class", "lead.place").toDF("key", "lead", "lead_place"))
+    that link share a key at which their places allow it. The class of a key with the least place leads;
+    pruned(pairs, met) may leave out pairs that can't link; links (u, v) are known already."""
+    leaders = cut(places.groupBy("key").agg(F.min_by(F.struct("class", "place"), F.struct("place", "class")).alias("lead"), F.min("class").alias("a"), F.max("class").alias("b")).filter("a < b").select("key", "lead.class", "lead.place").toDF("key", "lead", "lead_place"))
     met = cut(places.join(leaders, "key"))  # as many files as the join has tasks: nothing bounds its rows
     rows = met.count()
 
@@ -198,7 +198,7 @@ def linked_classes(known: DataFrame, places: DataFrame, classes: DataFrame, *, n
         pick = lambda a, b: F.when(turned, F.col(a)).otherwise(F.col(b))
         size = lambda a, b: pick(a, b).bitwiseAND(0xFFFFFFFF)
         pairs = found.select(pick("x", "y").alias("u"), pick("y", "x").alias("v"), size("px", "py").alias("su"), size("py", "px").alias("sv")).distinct()
-        return cut(_linked(known, pruned(pairs, met) if pruned else pairs, classes, n, num, den))
+        return cut(linked_pairs(known, pruned(pairs, met), classes, n, num, den))
 
     def star(of: DataFrame) -> DataFrame:
         passing = of.filter((F.col("class") != F.col("lead")) & _may_link(F.col("place"), F.col("lead_place"), num, den))
@@ -207,7 +207,7 @@ def linked_classes(known: DataFrame, places: DataFrame, classes: DataFrame, *, n
     def label_of(c: str, to: str) -> DataFrame:
         return found.select(F.col("node").alias(c), F.col("component").alias(to))
 
-    links = star(met)
+    links = star(met) if links is None else cut(links.unionByName(star(met)))
     found = components(links)
     both = met.join(label_of("class", "label"), "class", "left").join(label_of("lead", "lead_label"), "lead", "left")
     keys = cut(both.filter(F.coalesce("label", "class") != F.coalesce("lead_label", "lead")).select("key").distinct())
@@ -228,21 +228,27 @@ def linked_classes(known: DataFrame, places: DataFrame, classes: DataFrame, *, n
     y = labelled.select("key", F.col("class").alias("y"), F.col("place").alias("py"), F.col("label").alias("ly"))
     crossed = x.join(y, "key").filter((F.col("lx") != F.col("ly")) & _may_link(F.col("px"), F.col("py"), num, den))
     more = to_links(crossed.select("x", "px", "y", "py"))
-    return components(links.unionByName(more)).select(F.col("node").alias("class"), "component")
+    known_stars = found.filter("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
+    return components(known_stars.unionByName(more)).select(F.col("node").alias("class"), "component")
 
 
 def classes_and_links(texts: DataFrame, *, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Of texts (doc_id, tag, text): own (doc_id, tag, size and class of every row), classes (class, first
     and n: its smallest doc_id and its rows) and linked (class, component) of the classes that link with others."""
-    spark = texts.sparkSession
     known = texts.filter(F.col("doc_id").isNotNull())
     seen = cut(summary(texts, n))
     own = seen.filter("size >= 0")
+    classes = cut(own.filter("size > 0 AND doc_id IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
+    return own, classes, prefix_links(known, seen, classes, n=n, num=num, den=den)
+
+
+def prefix_links(known: DataFrame, seen: DataFrame, classes: DataFrame, *, n: int, num: int, den: int, links: DataFrame | None = None) -> DataFrame:
+    """class, component of the classes of known that link with others; seen is a summary() of these, whose
+    frequent n-grams stand last in the global order."""
     frequent = seen.filter("size = -1").groupBy(F.col("class").alias("gram")).agg(F.sum("tag").alias("times")).filter(F.col("times") >= HOT_FROM).orderBy(F.desc("times"), "gram").limit(HOT).toPandas()
     hot = frequent["gram"].to_numpy(np.int64).view(_U)
     by = np.argsort(hot)
-    order = spark.sparkContext.broadcast((hot[by], frequent["times"].to_numpy(np.int64)[by]))
-    classes = cut(own.filter("size > 0 AND doc_id IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
+    order = known.sparkSession.sparkContext.broadcast((hot[by], frequent["times"].to_numpy(np.int64)[by]))
     kept: list[DataFrame] = []
 
     def pruned(pairs: DataFrame, met: DataFrame) -> DataFrame:
@@ -256,8 +262,7 @@ def classes_and_links(texts: DataFrame, *, n: int, num: int, den: int) -> tuple[
         most = F.size(F.array_intersect("ku", "kv")) + F.greatest(rest("su"), rest("sv"))
         return both.filter(most >= _need(F.col("su"), F.col("sv"), num, den)).select("u", "v", "su", "sv")
 
-    linked = linked_classes(known, _prefixes(known, n, num, den, order), classes, n=n, num=num, den=den, lead_by=F.struct("place", "class"), pruned=pruned)
-    return own, classes, linked
+    return linked_classes(known, _prefixes(known, n, num, den, order), classes, n=n, num=num, den=den, pruned=pruned, links=links)
 
 
 def named(own: DataFrame, classes: DataFrame, linked: DataFrame) -> DataFrame:

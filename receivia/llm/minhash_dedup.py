@@ -10,9 +10,10 @@ At the similarities asked for (0.85), a pair shares none of the buckets with a c
 Documents with equal sets are one class, and only classes meet: a task gives out the buckets of a class
 once, however many copies it holds. Within a bucket candidates are a star: every class meets the one that
 leads, by a hash of bucket and class, so that a class has another leader in each of its buckets. Candidates
-are confirmed on the full sets, and components are formed. Buckets whose classes are still in several
-components get other leaders, and what is then left meets across components, so that every pair of a
-bucket is confirmed or already in one component (linked_classes of operator 5, which says how that is bounded).
+are confirmed on the full sets. A star is exact where all its classes link with the leader. Of two classes
+that link and share a bucket, one at least doesn't link with the leader if the star leaves them apart; so
+the classes of buckets with such a class, and only these, also meet by the prefixes of operator 5, which lose
+no link. Components are formed of all links.
 
 Two documents link when the size of the intersection is at least num/den of the size of the union.
 N-grams and classes are known by 64-bit hashes.
@@ -33,8 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from receivia.llm.common import cut, in_arrow, quoted, table
-from receivia.llm.jaccard_join import class_ids, class_of, linked_classes, named, shingle_oracle, shingles
+from receivia.llm.common import cut, in_arrow, may_be_member, member_bits, quoted, table
+from receivia.llm.jaccard_join import class_ids, class_of, linked_pairs, named, prefix_links, shingle_oracle, shingles, summary
 from receivia.llm.rolling import Powers, mix
 
 BANDS, ROWS_OF_BAND = 40, 6
@@ -94,10 +95,21 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, num: int = 17, den: int = 20
     """doc_id, n_shingles, component_id and kept (the document names its component) for every row of docs."""
     known = docs.select(quoted(id_col).cast("long").alias("doc_id"), quoted(text_col).cast("binary").alias("text"))
     seen = cut(sketches(known, n))
+    known = known.filter("doc_id IS NOT NULL")
     own = seen.select("doc_id", "size", "class")
     classes = cut(own.filter("size > 0 AND doc_id IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
-    places = seen.filter("buckets IS NOT NULL").select(F.explode("buckets").alias("key"), F.col("size").alias("place"), "class")
-    linked = linked_classes(known.filter("doc_id IS NOT NULL"), places, classes, n=n, num=num, den=den, lead_by=F.xxhash64("key", "class"))
+    places = seen.filter("buckets IS NOT NULL").select(F.explode("buckets").alias("key"), "size", "class")
+    leaders = cut(places.groupBy("key").agg(F.min_by(F.struct("class", "size"), F.xxhash64("key", "class")).alias("lead"), F.min("class").alias("a"), F.max("class").alias("b")).filter("a < b").select("key", F.col("lead.class").alias("lead"), F.col("lead.size").alias("lead_size")))
+    met = cut(places.join(leaders, "key").filter("class <> lead").select("key", F.least("class", "lead").alias("u"), F.greatest("class", "lead").alias("v"), "class", "size", "lead_size"))
+    near = met.filter(den * F.least("size", "lead_size") >= num * F.greatest("size", "lead_size"))
+    first = F.col("class") == F.col("u")
+    pairs = near.select("u", "v", F.when(first, F.col("size")).otherwise(F.col("lead_size")).alias("su"), F.when(first, F.col("lead_size")).otherwise(F.col("size")).alias("sv")).distinct()
+    links = cut(linked_pairs(known, pairs, classes, n, num, den))
+    # buckets with a class that doesn't link with the leader: all their classes, leaders included
+    open_ = cut(met.join(links, ["u", "v"], "left_anti").select("key").distinct())
+    rest = met.join(open_, "key").select(F.explode(F.array("u", "v")).alias("class")).distinct().join(classes, "class").select(F.col("first").alias("doc_id"))
+    some = may_be_member(known, F.xxhash64("doc_id"), member_bits(cut(rest), "doc_id")).select("doc_id", F.lit(0).cast("long").alias("tag"), "text")
+    linked = prefix_links(some, summary(some, n), classes, n=n, num=num, den=den, links=links)
     return named(own, classes, linked).withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 

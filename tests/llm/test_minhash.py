@@ -57,7 +57,7 @@ def family(seed, copies, changed, length=160):
 
 @pytest.mark.parametrize("few", [0, 8])
 def test_near_duplicates(spark, monkeypatch, few):
-    monkeypatch.setattr(jaccard_join, "FEW", few)  # 0: leaders change as often as they may
+    monkeypatch.setattr(jaccard_join, "FEW", few)  # 0: keys get other leaders as often as they may
     texts = [(r[0], r[1]) for r in ROWS] + [(1000 + i, t) for i, t in enumerate(family(1, 40, 4) + family(2, 30, 2) + family(3, 20, 1, 60))]
     texts += [(None, texts[8][1]), (8, "another text of this id"), (2000, "Ä Ö"), (2001, "ä ö"), (2002, "a b c d e"), (2003, "A B C D E")]
     docs = spark.createDataFrame([(i, t, "x", 1, 2) for i, t in texts], "doc_id long, text string, kept string, `a.b` int, key int").repartition(4)
