@@ -1,16 +1,17 @@
 """Diagnostics over many series at once; panels have series_key, t (from 1 without gaps) and y.
 
-Windows, aggregates and the regression stay in SQL functions; unit-root and White tests run in one grouped call per series.
+All of it is windows, aggregates and array functions; only the tails of a few distributions are looked up in Python, a row a series.
 Series too short for a statistic give null.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
@@ -314,65 +315,157 @@ def f_tail(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     return pd.Series([math.nan if math.isnan(a) else beta_tail(a, b, c) for a, b, c in zip(f, d1, d2, strict=True)])
 
 
-def augmented_dickey_fuller(y: np.ndarray) -> tuple[float, int]:
-    """Statistic with constant, and the number of lags with the least AIC."""
-    n, most = len(y), min(int(np.ceil(12 * (len(y) / 100) ** 0.25)), len(y) // 2 - 2)
-
-    def run(lags: int, drop: int) -> tuple[float, float]:
-        d = np.diff(y)
-        rows = np.arange(drop, n - 1)
-        x = np.column_stack([y[rows], *(d[rows - k] for k in range(1, lags + 1)), np.ones(len(rows))])
-        x = x / np.linalg.norm(x, axis=0)  # the statistic stays, the inverse gets safe
-        b, e = least_squares(x, d[rows])
-        s2 = e @ e / (len(rows) - x.shape[1])
-        aic = len(rows) * (np.log(2 * np.pi) + np.log(e @ e / len(rows)) + 1) + 2 * x.shape[1]
-        return b[0] / math.sqrt(s2 * np.linalg.pinv(x.T @ x)[0, 0]), aic
-
-    best = min(range(most + 1), key=lambda k: run(k, most)[1])
-    return float(run(best, best)[0]), best
-
-
-def unit_root_tail(stat: float) -> float:
-    """Probability of a unit-root statistic with constant, by its published surfaces."""
-    if not UNIT_ROOT_ENDS[0] <= stat <= UNIT_ROOT_ENDS[1]:
-        return float(stat > UNIT_ROOT_ENDS[1])
-    powers = UNIT_ROOT_BELOW if stat <= UNIT_ROOT_BORDER else UNIT_ROOT_ABOVE
-    return math.erfc(-sum(c * stat**k for k, c in enumerate(powers)) / math.sqrt(2)) / 2
-
-
-def _white_design(x: np.ndarray) -> np.ndarray:
-    k = x.shape[1]
-    return np.column_stack([x[:, i] * x[:, j] for i in range(k) for j in range(i, k)])
-
-
-def searched(y: np.ndarray) -> list[tuple[str, float]]:
-    """White's test and the unit-root tests of one series of ten months or more with unlike values."""
-    n = len(y)
-    out: list[tuple[str, float]] = []
-    x = design(np.arange(1, n + 1, dtype=float))
-    e2 = least_squares(x, y)[1] ** 2
-    wx = _white_design(x)
-    rank = int(np.linalg.matrix_rank(wx))
-    if n > rank:
-        white = n * r_squared(e2, least_squares(wx, e2)[1])
-        out += [("white", white), ("white_p", chi2_tail(white, rank - 1))]
-    for name, s in (("adf_level", y), ("adf_diff", np.diff(y))):
-        if len(s) >= 10 and np.ptp(s) > 0:
-            stat, lags = augmented_dickey_fuller(s)
-            out += [(name, stat), (f"{name}_lags", float(lags)), (f"{name}_p", unit_root_tail(stat))]
-            used = len(s) - 1 - lags
-            out += [(f"{name}_{at}", sum(c / used**k for k, c in enumerate(powers))) for at, powers in UNIT_ROOT_POINTS.items()]
-    return [(a, float(v)) for a, v in out]
+# Nested designs from one matrix of products per series, in array functions. A design is an array of columns, of
+# which the last is what is explained; Gaussian elimination of its products, in the order of its columns,
+# gives the sum of squares that is left after each of them.
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def up_to(last: Column) -> Column:
+    """Whole numbers from 0 to last."""
+    return F.when(last >= 0, F.sequence(F.lit(0), last.cast("int"))).otherwise(F.array().cast("array<int>"))
+
+
+def products(design_: Column) -> Column:
+    """The products of all pairs of columns, row by row in one array."""
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda u, v: u * v), F.lit(0.0), lambda acc, v: acc + v)
+    return F.flatten(F.transform(design_, lambda x: F.transform(design_, lambda y: dot(x, y))))
+
+
+def eliminated(gram: Column, k: Column) -> Column:
+    """The products of k columns after elimination: row i is as it was when column i was its pivot. A pivot that is
+    nothing but rounding of a column that those before it span is passed over, and is 0."""
+    at = lambda m, i, j: F.get(m, (i * k + j).cast("int"))
+
+    def step(m: Column, p: Column) -> Column:
+        pivot = at(m, p, p)
+        whole = pivot > 1e-10 * at(gram, p, p)
+
+        def entry(v: Column, n: Column) -> Column:
+            i, j = F.floor(n / k), n % k
+            return F.when((i > p) & whole, v - at(m, i, p) * at(m, p, j) / pivot).when((i == p) & ~whole, F.lit(0.0)).otherwise(v)
+
+        return F.transform(m, entry)
+
+    return F.aggregate(up_to(k - 2), gram, step)
+
+
+def explained(u: Column, k: Column, columns: Column) -> Column:
+    """What the first columns take from the sum of squares of the last column."""
+    at = lambda i, j: F.get(u, (i * k + j).cast("int"))
+    return F.aggregate(up_to(columns - 1), F.lit(0.0), lambda acc, i: acc + F.when(at(i, i) > 0, at(i, k - 1) * at(i, k - 1) / at(i, i)).otherwise(0.0))
+
+
+def _by_series(p: DataFrame) -> DataFrame:
+    """series_key, n and e: the values about their mean, by month (one number a month)."""
+    rows = F.array_sort(F.collect_list(F.struct("t", "y")))
+    by = p.groupBy("series_key").agg(rows.alias("rows"), F.avg("y").alias("mean"), F.count("*").cast("int").alias("n"))
+    return by.select("series_key", "n", F.transform("rows", lambda r: r["y"] - F.col("mean")).alias("e"))
+
+
+#: Terms of the normal distribution's series, enough for arguments up to 7.
+NORMAL_TERMS = 90
+
+
+def normal_below(x: Column) -> Column:
+    """The standard normal distribution function."""
+    odd = [1.0]
+    for k in range(1, NORMAL_TERMS):
+        odd.append(odd[-1] / (2 * k + 1))
+    terms = F.aggregate(F.array(*map(F.lit, reversed(odd))), F.lit(0.0), lambda acc, c: acc * x * x + c)
+    return F.when(x < -7, 0.0).when(x > 7, 1.0).otherwise(0.5 + x * terms * F.exp(-x * x / 2) / math.sqrt(2 * math.pi))
+
+
+def unit_roots(p: DataFrame, least: int = 10) -> DataFrame:
+    """series_key, stat, lags, p and critical values (one_pct, five_pct, ten_pct) of the unit-root statistic with a
+    constant. The lags of differences are those with the least AIC over the months that all of them have; all
+    come from one elimination. Series of fewer than least months or of one value give no row."""
+    by = _by_series(p).filter((F.col("n") >= least) & (F.array_max("e") > F.array_min("e")))
+    d = F.transform(up_to(F.col("n") - 2), lambda i: F.get("e", i + 1) - F.get("e", i))
+    by = by.withColumn("d", d).withColumn("most", F.least(F.ceil(12 * F.pow(F.col("n") / 100, F.lit(0.25))), F.floor(F.col("n") / 2) - 2).cast("int"))
+
+    def columns(rows: Column, lags: Column) -> tuple[Column, Column, Column, Column]:
+        """Constant, level, lagged differences and difference, as arrays of columns, for rows (numbers of differences)."""
+        one = lambda c: F.array(c)
+        lagged = F.transform(F.filter(up_to(lags), lambda k: k > 0), lambda k: F.transform(rows, lambda r: F.get("d", r - k)))
+        return one(F.transform(rows, lambda r: F.lit(1.0))), one(F.transform(rows, lambda r: F.get("e", r))), lagged, one(F.transform(rows, lambda r: F.get("d", r)))
+
+    def best(rows: Column) -> Column:
+        const, level, lagged, now = columns(rows, F.col("most"))
+        n, k = F.size(rows).cast("double"), F.col("most") + 3
+        total = lambda g: F.get(g, k * k - 1)
+
+        def score(g: Column, u: Column) -> Column:
+            aic = lambda lags: n * F.log((total(g) - explained(u, k, lags + 2)) / n) + 2 * lags
+            return F.array_min(F.transform(up_to(F.col("most")), lambda lags: F.struct(aic(lags).alias("aic"), lags.alias("lags"))))["lags"]
+
+        return let(products(F.concat(const, level, lagged, now)), lambda g: let(eliminated(g, k), lambda u: score(g, u)))
+
+    after = lambda first: F.filter(up_to(F.col("n") - 2), lambda r: r >= first)
+    by = by.withColumn("lags", let(after(F.col("most")), best))
+
+    def statistic(rows: Column) -> Column:
+        const, level, lagged, now = columns(rows, F.col("lags"))
+        n, k = F.size(rows), F.col("lags") + 3
+
+        def of(g: Column, u: Column) -> Column:
+            rest = F.get(g, k * k - 1) - explained(u, k, k - 1)
+            at = (k - 2) * k
+            return F.try_divide(F.get(u, at + k - 1), F.sqrt(F.get(u, at + k - 2) * rest / (n - k + 1)))
+
+        return let(products(F.concat(const, lagged, level, now)), lambda g: let(eliminated(g, k), lambda u: of(g, u)))
+
+    by = by.withColumn("stat", let(after(F.col("lags")), statistic)).withColumn("used", (F.col("n") - 1 - F.col("lags")).cast("double"))
+    x = F.col("stat")
+    power = lambda c, of: sum((v * F.pow(of, F.lit(float(k))) for k, v in enumerate(c)), F.lit(0.0))
+    tail = F.when(x > UNIT_ROOT_ENDS[1], 1.0).when(x < UNIT_ROOT_ENDS[0], 0.0).when(x <= UNIT_ROOT_BORDER, normal_below(power(UNIT_ROOT_BELOW, x))).when(x.isNotNull(), normal_below(power(UNIT_ROOT_ABOVE, x)))
+    names = {"1pct": "one_pct", "5pct": "five_pct", "10pct": "ten_pct"}
+    return by.select("series_key", "stat", "lags", tail.alias("p"), *[power(c, 1 / F.col("used")).alias(names[at]) for at, c in UNIT_ROOT_POINTS.items()])
+
+
+def chi2_above(q: Column, df: Column, most: int = 12) -> Column:
+    """P(chi2 > q) for 1 to most degrees of freedom: finite sums."""
+    even, odd = F.lit(0.0), 2 * normal_below(-F.sqrt(q))
+    out = F.lit(None).cast("double")
+    for k in range(1, most + 1):
+        half = (k - 2) / 2 if k % 2 == 0 else k / 2 - 1
+        if k % 2 == 0:
+            even = even + F.pow(q / 2, F.lit(half)) / math.gamma(half + 1) * F.exp(-q / 2)
+        elif k > 1:
+            odd = odd + F.pow(q / 2, F.lit(half)) / math.gamma(half + 1) * F.exp(-q / 2)
+        out = F.when(df == k, even if k % 2 == 0 else odd).otherwise(out)
+    return out
+
+
+def white(p: DataFrame, period: int = 12, least: int = 10) -> DataFrame:
+    """series_key, stat, df, p of White's test of the squared residuals of trend and first harmonic: they are
+    explained by the regressors and all their products, of which those that others span don't count. Series of
+    fewer than least months or of one value, and those with no more months than regressors, give no row."""
+    squared = residuals(p).select("series_key", "t", (F.col("e") * F.col("e")).alias("y"))
+    several = p.groupBy("series_key").agg(F.max("y").alias("a"), F.min("y").alias("b")).filter("a > b").select("series_key")
+    by = _by_series(squared).filter(F.col("n") >= least).join(several, "series_key")
+    rows = F.filter(up_to(F.col("n")), lambda t: t > 0)
+    x = [lambda t: F.lit(1.0), lambda t: t.cast("double"), lambda t: F.sin(2 * math.pi * t / period), lambda t: F.cos(2 * math.pi * t / period)]
+    pairs = [(i, j) for i in range(4) for j in range(i, 4)]
+    product = lambda i, j: F.transform(rows, lambda t: x[i](t) * x[j](t))
+    design_ = F.concat(F.array(*[product(i, j) for i, j in pairs]), F.array("e"))
+    k = F.lit(len(pairs) + 1)
+
+    def of(g: Column, u: Column) -> Column:
+        pivots = F.size(F.filter(up_to(k - 2), lambda i: F.get(u, i * k + i) > 0))
+        return F.struct((F.col("n") * F.try_divide(explained(u, k, k - 1), F.get(g, k * k - 1))).alias("stat"), (pivots - 1).alias("df"))
+
+    fitted = by.withColumn("w", let(products(design_), lambda g: let(eliminated(g, k), lambda u: of(g, u)))).filter("n > w.df + 1")
+    return fitted.select("series_key", "w.stat", "w.df", chi2_above(F.col("w.stat"), F.col("w.df")).alias("p"))
 
 
 def diagnostics(p: DataFrame) -> DataFrame:
     """series_key, stat, value: regression, specification and unit-root statistics of every series."""
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t")
-        rows = searched(pdf["y"].to_numpy(float))
-        return pd.DataFrame({"series_key": [pdf["series_key"].iloc[0]] * len(rows), "stat": [r[0] for r in rows], "value": [r[1] for r in rows]}, columns=["series_key", "stat", "value"])
-
     r, rest = regression(p), F.col("n") - 4
     t = ("const", "trend", "sin", "cos")
     tails = {f"ols_{x}_p": f_tail(F.col(f"{x}_t") * F.col(f"{x}_t"), F.lit(1), rest) for x in t} | {"ols_f_p": f_tail("f", F.lit(3), rest), "reset_p": f_tail("reset_f", F.lit(1), rest - 1)}
@@ -382,6 +475,11 @@ def diagnostics(p: DataFrame) -> DataFrame:
     names = [*values, *tails]
     fitted = wide.select("series_key", F.explode(F.array(*[F.struct(F.lit(k).alias("stat"), F.col(k).alias("value")) for k in names])).alias("r")).select("series_key", "r.stat", "r.value")
     partial = partial_autocorrelation(p).select("series_key", F.concat(F.lit("pacf_"), "lag").alias("stat"), F.col("pacf").alias("value"))
-    long = p.select("series_key", "t", "y", (F.count("*").over(of_series()) >= 10).alias("_long"), (F.max("y").over(of_series()) > F.min("y").over(of_series())).alias("_unlike"))
-    tests = long.filter("_long AND _unlike").select("series_key", "t", "y").groupBy("series_key").applyInPandas(one, "series_key string, stat string, value double")
-    return sum_union([fitted, partial, tests])
+    def long(df: DataFrame, names: dict[str, str]) -> DataFrame:
+        return df.select("series_key", F.explode(F.array(*[F.struct(F.lit(k).alias("stat"), F.col(c).cast("double").alias("value")) for k, c in names.items()])).alias("r")).select("series_key", "r.stat", "r.value")
+
+    tests = [long(white(p), {"white": "stat", "white_p": "p"})]
+    steps = p.withColumn("y", F.col("y") - F.lag("y").over(in_order())).filter("t > 1").withColumn("t", F.col("t") - 1)
+    for name, of in (("adf_level", p), ("adf_diff", steps)):
+        tests.append(long(unit_roots(of), {name: "stat", f"{name}_lags": "lags", f"{name}_p": "p", f"{name}_1pct": "one_pct", f"{name}_5pct": "five_pct", f"{name}_10pct": "ten_pct"}))
+    return sum_union([fitted, partial, *tests])

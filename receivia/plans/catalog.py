@@ -623,6 +623,73 @@ RESIDUAL_CHECKS = HARMONIC + """, f AS (SELECT series_key, e, e - lag(e) OVER (P
  SELECT series_key, round(dw, 6) AS durbin_watson, round(jb, 6) AS jarque_bera, round(exp(-jb / 2), 6) AS jb_p, round(s, 6) AS skew, round(k + 3, 6) AS kurtosis FROM j"""
 
 
+def _eliminated(name: str, pivots: list[int]) -> str:
+    """Tables after each step of Gaussian elimination of {name}0 (series_key, i, j, v); the last is {name}."""
+    out, at = "", f"{name}0"
+    for p in pivots:
+        to = name if p == pivots[-1] else f"{name}_{p}"
+        out += f""", {to} AS MATERIALIZED (SELECT x.series_key, x.i, x.j, CASE WHEN x.i > {p} AND w.v > 1e-10 * o.v THEN x.v - a.v * b.v / w.v WHEN x.i = {p} AND w.v <= 1e-10 * o.v THEN 0 ELSE x.v END AS v FROM {at} x
+ LEFT JOIN {at} a ON a.series_key = x.series_key AND a.i = x.i AND a.j = {p} LEFT JOIN {at} b ON b.series_key = x.series_key AND b.i = {p} AND b.j = x.j LEFT JOIN {at} w ON w.series_key = x.series_key AND w.i = {p} AND w.j = {p} LEFT JOIN {name}0 o ON o.series_key = x.series_key AND o.i = {p} AND o.j = {p})"""
+        at = to
+    return out
+
+
+def _normal_sql(x: str) -> str:
+    odd = [1.0]
+    for k in range(1, series.NORMAL_TERMS):
+        odd.append(odd[-1] / (2 * k + 1))
+    terms = repr(odd[-1])
+    for c in reversed(odd[:-1]):
+        terms = f"({c!r} + {x} * {x} * {terms})"
+    return f"CASE WHEN {x} < -7 THEN 0 WHEN {x} > 7 THEN 1 ELSE 0.5 + {x} * {terms} * exp(-{x} * {x} / 2) / sqrt(2 * pi()) END"
+
+
+def _power_sql(c: tuple[float, ...], x: str) -> str:
+    return "(" + " + ".join(f"{v!r} * {x} ** {k}" if k else repr(v) for k, v in enumerate(c)) + ")"
+
+
+#: Lags that the SQL of the unit-root statistic has room for, which are those of 300 months.
+_LAGS = 16
+UNIT_ROOTS = (
+    PANEL + """, ds AS (SELECT series_key, t, e, lead(e) OVER (PARTITION BY series_key ORDER BY t) - e AS d, n, CAST(least(ceil(12 * (n / 100.0) ** 0.25), n // 2 - 2) AS INTEGER) AS most FROM (SELECT series_key, t, y - avg(y) OVER k AS e, count(*) OVER k AS n, max(y) OVER k > min(y) OVER k AS unlike FROM panel WINDOW k AS (PARTITION BY series_key)) WHERE unlike AND n >= 10),
+ lagged AS (SELECT a.series_key, a.t, a.t - b.t AS k, b.d FROM ds a JOIN ds b ON a.series_key = b.series_key AND b.t < a.t AND a.t - b.t <= a.most WHERE a.d IS NOT NULL),
+ x1 AS (SELECT series_key, t, 0 AS i, CAST(1 AS DOUBLE) AS v FROM ds WHERE d IS NOT NULL AND t > most UNION ALL SELECT series_key, t, 1, e FROM ds WHERE d IS NOT NULL AND t > most UNION ALL SELECT series_key, t, 99, d FROM ds WHERE d IS NOT NULL AND t > most UNION ALL SELECT l.series_key, l.t, 1 + k, l.d FROM lagged l JOIN ds USING (series_key, t) WHERE t > most),
+ u0 AS MATERIALIZED (SELECT a.series_key, a.i, b.i AS j, sum(a.v * b.v) AS v FROM x1 a JOIN x1 b USING (series_key, t) GROUP BY 1, 2, 3)"""
+    + _eliminated("u", list(range(_LAGS + 2)))
+    + """, took AS (SELECT a.series_key, a.i, CASE WHEN a.v > 0 THEN b.v * b.v / a.v ELSE 0 END AS v FROM u a JOIN u b ON a.series_key = b.series_key AND a.i = b.i AND a.j = a.i AND b.j = 99 WHERE a.i < 99),
+ nn AS (SELECT series_key, any_value(most) AS most, count(*) FILTER (d IS NOT NULL AND t > most) AS n FROM ds GROUP BY 1), sc AS (SELECT nn.series_key, k.k, any_value(nn.n) * ln((any_value(z.v) - sum(took.v)) / any_value(nn.n)) + 2 * k.k AS aic FROM nn JOIN (SELECT unnest(range(0, 17)) AS k) k ON k.k <= nn.most JOIN took ON took.series_key = nn.series_key AND took.i <= k.k + 1 JOIN u0 z ON z.series_key = nn.series_key AND z.i = 99 AND z.j = 99 GROUP BY 1, 2),
+ best AS MATERIALIZED (SELECT series_key, arg_min(k, {'a': aic, 'k': k}) AS lags FROM sc GROUP BY 1),
+ x2 AS (SELECT series_key, t, 0 AS i, CAST(1 AS DOUBLE) AS v FROM ds JOIN best USING (series_key) WHERE d IS NOT NULL AND t > lags UNION ALL SELECT series_key, t, 98, e FROM ds JOIN best USING (series_key) WHERE d IS NOT NULL AND t > lags UNION ALL SELECT series_key, t, 99, d FROM ds JOIN best USING (series_key) WHERE d IS NOT NULL AND t > lags UNION ALL SELECT series_key, t, k, d FROM lagged JOIN best USING (series_key) WHERE t > lags AND k <= lags),
+ w0 AS MATERIALIZED (SELECT a.series_key, a.i, b.i AS j, sum(a.v * b.v) AS v FROM x2 a JOIN x2 b USING (series_key, t) GROUP BY 1, 2, 3)"""
+    + _eliminated("w", [*range(_LAGS + 1), 98])
+    + """, rest AS (SELECT a.series_key, any_value(z.v) - sum(CASE WHEN a.v > 0 THEN b.v * b.v / a.v ELSE 0 END) AS rest FROM w a JOIN w b ON a.series_key = b.series_key AND a.i = b.i AND a.j = a.i AND b.j = 99 JOIN w0 z ON z.series_key = a.series_key AND z.i = 99 AND z.j = 99 WHERE a.i < 99 GROUP BY 1),
+ st AS (SELECT best.series_key, lags, (SELECT count(*) FROM ds WHERE ds.series_key = best.series_key AND d IS NOT NULL) - lags AS used, b.v / sqrt(a.v * rest / ((SELECT count(*) FROM ds WHERE ds.series_key = best.series_key AND d IS NOT NULL) - lags - lags - 2)) AS x FROM best JOIN rest USING (series_key) JOIN w a ON a.series_key = best.series_key AND a.i = 98 AND a.j = 98 JOIN w b ON b.series_key = best.series_key AND b.i = 98 AND b.j = 99),
+ sx AS (SELECT *, 1.0 / used AS inv, CASE WHEN x <= """ + repr(series.UNIT_ROOT_BORDER) + " THEN " + _power_sql(series.UNIT_ROOT_BELOW, "x") + " ELSE " + _power_sql(series.UNIT_ROOT_ABOVE, "x") + " END AS q FROM st) SELECT series_key, round(x, 6) AS stat, CAST(lags AS INTEGER) AS lags, round(CASE WHEN x > 2.74 THEN 1 WHEN x < -18.83 THEN 0 ELSE " + _normal_sql("q") + " END, 6) AS p, "
+    + ", ".join(f"round({_power_sql(c, 'inv')}, 6) AS {n}" for n, c in zip(("one_pct", "five_pct", "ten_pct"), series.UNIT_ROOT_POINTS.values(), strict=True)) + " FROM sx"
+)
+
+
+@query(UNIT_ROOTS)
+def brand_unit_roots(m: Sales) -> DataFrame:
+    r = series.unit_roots(_panel(m))
+    return r.select("series_key", F.round("stat", 6).alias("stat"), "lags", *[F.round(c, 6).alias(c) for c in ("p", "one_pct", "five_pct", "ten_pct")])
+
+
+_WHITE_PAIRS = [(i, j) for i in range(4) for j in range(i, 4)]
+WHITE = (
+    HARMONIC + ", sq AS (SELECT series_key, t, e * e - avg(e * e) OVER (PARTITION BY series_key) AS y, CAST(1 AS DOUBLE) AS x0, x1, x2, x3 FROM r WHERE n >= 10), wx AS (" + " UNION ALL ".join([f"SELECT series_key, t, {k} AS i, x{i} * x{j} AS v FROM sq" for k, (i, j) in enumerate(_WHITE_PAIRS)] + ["SELECT series_key, t, 99, y FROM sq"])
+    + "), v0 AS MATERIALIZED (SELECT a.series_key, a.i, b.i AS j, sum(a.v * b.v) AS v FROM wx a JOIN wx b USING (series_key, t) GROUP BY 1, 2, 3)" + _eliminated("v", list(range(len(_WHITE_PAIRS))))
+    + """, wt AS (SELECT a.series_key, CAST(count(*) FILTER (a.v > 0) - 1 AS INTEGER) AS df, sum(CASE WHEN a.v > 0 THEN b.v * b.v / a.v ELSE 0 END) AS took FROM v a JOIN v b ON a.series_key = b.series_key AND a.i = b.i AND a.j = a.i AND b.j = 99 WHERE a.i < 99 GROUP BY 1),
+ wq AS (SELECT series_key, df, (SELECT count(*) FROM sq WHERE sq.series_key = wt.series_key) AS n, took / z.v AS r2 FROM wt JOIN v0 z USING (series_key) WHERE z.i = 99 AND z.j = 99), ws AS (SELECT series_key, df, n * r2 / 2 AS h FROM wq WHERE n > df + 1)
+ SELECT series_key, round(2 * h, 6) AS stat, df, round(exp(-h) * (1 + h + h ** 2 / 2 + h ** 3 / 6), 6) AS p FROM ws"""
+)
+
+
+@query(WHITE)
+def brand_white(m: Sales) -> DataFrame:
+    return series.white(_panel(m)).select("series_key", F.round("stat", 6).alias("stat"), "df", F.round("p", 6).alias("p"))
+
+
 @query()
 def brand_diagnostics(m: Sales) -> DataFrame:
     return series.diagnostics(_panel(m))
