@@ -15,15 +15,15 @@ from receivia.operators.sales import most_frequent, total
 
 
 def canonical_codes(df: DataFrame, code: str, aliases: DataFrame) -> DataFrame:
-    """code without commas, replaced where aliases (alias, code) knows it. aliases is a small table."""
+    """code without commas, replaced where aliases (alias, code) knows it."""
     plain = df.withColumn(code, canonical_code(F.col(code)))
-    known = F.broadcast(aliases.select(F.col("alias").alias("_a"), F.col("code").alias("_c")))
+    known = aliases.select(F.col("alias").alias("_a"), F.col("code").alias("_c"))
     return plain.join(known, F.col(code) == F.col("_a"), "left").withColumn(code, F.coalesce("_c", code)).drop("_a", "_c")
 
 
 def overridden(df: DataFrame, key: str, column: str, overrides: DataFrame) -> DataFrame:
-    """column replaced where overrides (key, value) has the key. overrides is a small table."""
-    small = F.broadcast(overrides.select(F.col("key").alias("_k"), F.col("value").alias("_v")))
+    """column replaced where overrides (key, value) has the key."""
+    small = overrides.select(F.col("key").alias("_k"), F.col("value").alias("_v"))
     return df.join(small, F.col(key) == F.col("_k"), "left").withColumn(column, F.coalesce("_v", column)).drop("_k", "_v")
 
 
@@ -54,33 +54,76 @@ def name_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-def _best_contained(items: DataFrame, master: DataFrame, least: int) -> DataFrame:
-    i, m = F.col("_i"), F.col("_m")
-    met = items.join(F.broadcast(master), (F.length(i) > 0) & (F.length(m) > 0) & (i.contains(m) | m.contains(i)))  # master: a fixed reference table
-    n = F.least(F.length(i), F.length(m))
-    return met.filter(n >= least).groupBy("item_code").agg(F.max_by(F.struct("master_name", "brand"), F.struct(n, "master_name")).alias("b"))
+def _parts(c: Column, q: int) -> Column:
+    """All stretches of q characters, each once."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - q + 1), lambda i: F.substring(c, i, F.lit(q))))
+
+
+def contained(names: DataFrame, master: DataFrame, least: int = 6) -> DataFrame:
+    """_i, _m of names (_i) and master (_m) of which one of least characters or more is within the other. The
+    first characters of what is contained are a stretch of what contains it, on which the two are joined."""
+    long = lambda df, c: df.select(c).distinct().filter(F.length(c) >= least)
+    first = lambda df, c: df.withColumn("_q", F.substring(F.col(c), F.lit(1), F.lit(least)))
+    every = lambda df, c: df.withColumn("_q", F.explode(_parts(F.col(c), least)))
+    i, m = long(names, "_i"), long(master, "_m")
+    within = every(i, "_i").join(first(m, "_m"), "_q").filter(F.col("_i").contains(F.col("_m")))
+    around = first(i, "_i").join(every(m, "_m"), "_q").filter(F.col("_m").contains(F.col("_i")))
+    return within.select("_i", "_m").union(around.select("_i", "_m")).distinct()
+
+
+def _numbered(c: Column) -> Column:
+    """The characters of c, each with how often it stood before, those that repeat most often first."""
+
+    def of(i: Column) -> Column:
+        before, own = F.substring(c, F.lit(1), i - 1), F.substring(c, i, F.lit(1))
+        return F.struct((F.length(F.replace(before, own, F.lit(""))) - F.length(before)).alias("n"), own.alias("c"))
+
+    return F.array_sort(F.transform(F.sequence(F.lit(1), F.length(c)), of))
+
+
+def alike(names: DataFrame, master: DataFrame, ratio: float = 0.72) -> DataFrame:
+    """_i, _m, r of names (_i) and master (_m) whose matching-blocks ratio r is at least ratio; empty names are like
+    nothing. A ratio needs that share of common characters, so that the shorter name has ratio / (2 - ratio) of
+    the longer one's length at least, and that both share one of their first numbered characters in one order;
+    they are joined on these. The ratio is computed only where lengths and common characters allow it."""
+    share = ratio / (2 - ratio)
+
+    def side(df: DataFrame, c: str, chars: str) -> DataFrame:
+        own = df.select(c).distinct().filter(F.length(c) > 0).withColumn(chars, _numbered(F.col(c)))
+        return own.withColumn("_c", F.explode(F.slice(chars, F.lit(1), F.length(c) - F.ceil(F.lit(share) * F.length(c) - 1e-9).cast("int") + 1)))
+
+    a, b = F.length("_i"), F.length("_m")
+    bound = F.least(a, b) >= share * F.greatest(a, b) - 1e-9
+    pairs = side(names, "_i", "_x").join(side(master, "_m", "_y"), "_c").filter(bound).select("_i", "_m", "_x", "_y").distinct()
+    near = pairs.filter(2 * F.size(F.array_intersect("_x", "_y")) >= ratio * (a + b) - 1e-9)
+    return near.select("_i", "_m", name_ratio("_i", "_m").alias("r")).filter(F.col("r") >= ratio)
 
 
 def match_items(items: DataFrame, master: DataFrame, keywords: list[tuple[str, str]], overrides: DataFrame | None = None, *, least: int = 6, ratio: float = 0.72) -> DataFrame:
     """item_code, brand, master_name and match_type of items (item_code, item_name).
 
-    In turn: the longest containment with a name of master (name, brand; a small reference table),
-    the best similar name, the first keyword, and "unclassified"; an override goes before all.
+    In turn: the longest containment with a name of master (name, brand), the best similar name, the first
+    keyword, and "unclassified"; an override goes before all. Names are matched once however many items have
+    them; of equally good ones the last by name, then brand, counts. Null and empty names match nothing.
     """
     keyed = items.select("item_code", "item_name", match_key(F.col("item_name")).alias("_i"))
     names = master.select(F.col("name").alias("master_name"), "brand", match_key(F.col("name")).alias("_m"))
-    first = _best_contained(keyed, names, least).select("item_code", F.col("b.brand").alias("brand"), F.col("b.master_name").alias("master_name"), F.lit("master").alias("match_type"))
-    left = keyed.join(first, "item_code", "left_anti")
-    # a fixed reference table against the few items that nothing contains
-    similar = left.crossJoin(F.broadcast(names)).withColumn("r", name_ratio("_i", "_m")).filter(F.col("r") >= ratio)
-    second = similar.groupBy("item_code").agg(F.max_by(F.struct("master_name", "brand"), F.struct("r", "master_name")).alias("b")).select("item_code", F.col("b.brand").alias("brand"), F.col("b.master_name").alias("master_name"), F.lit("fuzzy").alias("match_type"))
-    rest = left.join(second, "item_code", "left_anti").withColumn("brand", first_rule(F.col("item_name"), keywords, "unclassified"))
+    of_key = names.groupBy("_m").agg(F.max(F.struct("master_name", "brand")).alias("b"))
+
+    def best(met: DataFrame, score: Column, kind: str) -> DataFrame:
+        by = met.join(of_key, "_m").groupBy("_i").agg(F.max(F.struct(score.alias("s"), "b")).alias("w"))
+        return by.select("_i", F.col("w.b.brand").alias("brand"), F.col("w.b.master_name").alias("master_name"), F.lit(kind).alias("match_type"))
+
+    first = best(contained(keyed, names, least), F.least(F.length("_i"), F.length("_m")), "master")
+    left = keyed.join(first, "_i", "left_anti")
+    second = best(alike(left, names, ratio), F.col("r"), "fuzzy")
+    rest = left.join(second, "_i", "left_anti").withColumn("brand", first_rule(F.col("item_name"), keywords, "unclassified"))
     third = rest.select("item_code", "brand", F.lit(None).cast("string").alias("master_name"), F.when(F.col("brand") == "unclassified", "unclassified").otherwise("keyword").alias("match_type"))
-    found = first.unionByName(second).unionByName(third)
+    found = keyed.join(first.unionByName(second), "_i").select("item_code", "brand", "master_name", "match_type").unionByName(third)
     if overrides is None:
         return found
-    small = F.broadcast(overrides.select("item_code", F.col("brand").alias("_b")))  # a fixed reference table
-    return found.join(small, "item_code", "left").select("item_code", F.coalesce("_b", "brand").alias("brand"), "master_name", F.when(F.col("_b").isNotNull(), "override").otherwise(F.col("match_type")).alias("match_type"))
+    own = overrides.select("item_code", F.col("brand").alias("_b"))
+    return found.join(own, "item_code", "left").select("item_code", F.coalesce("_b", "brand").alias("brand"), "master_name", F.when(F.col("_b").isNotNull(), "override").otherwise(F.col("match_type")).alias("match_type"))
 
 
 def item_dimension(lines: DataFrame, master: DataFrame, keywords: list[tuple[str, str]], overrides: DataFrame | None = None) -> DataFrame:
@@ -88,7 +131,7 @@ def item_dimension(lines: DataFrame, master: DataFrame, keywords: list[tuple[str
     named = most_frequent(lines, "item_code", "item_name")
     by = lines.groupBy("item_code").agg(total("line_total").alias("total_revenue"), total("qty").alias("total_qty"), F.count("*").alias("n_lines"))
     packs = master.select(F.col("name").alias("master_name"), pack_size(F.col("carton_capacity")).alias("pack")).dropDuplicates(["master_name"])
-    return named.join(match_items(named, master, keywords, overrides), "item_code").join(by, "item_code").join(F.broadcast(packs), "master_name", "left")
+    return named.join(match_items(named, master, keywords, overrides), "item_code").join(by, "item_code").join(packs, "master_name", "left")
 
 
 def customer_dimension(headers: DataFrame, names: DataFrame, snapshot: DataFrame) -> DataFrame:

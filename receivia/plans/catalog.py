@@ -526,6 +526,38 @@ def item_dimension(m: Sales) -> DataFrame:
     return attribution.item_dimension(m.goods, master, [("(?i)a", "with a"), ("(?i)e", "with e")])
 
 
+#: A master of item names as a fixed reference table: some within item names or around them, some misspelt.
+MASTER = [("Red Widget XL", "Ridge", "12 a box"), ("blue-bolt", "Ridge", "24 a box"), ("bolt, blue", "Other", "6"), ("smal rnig", "Ringo", "10 rings"), ("cold anvil", "Forge", None), ("clod anvil No. 2", "Forge", "2"), ("hotgear", "Gearo", "40 / box"), ("old plates", "Plato", "8 a box"), ("lrge gizmo", "Gizmo", "5"), ("nwe rdo", "Rodo", "9"), ("", "Nobody", "1")]
+KEYWORDS = [("(?i)widget", "any widget"), ("(?i)g", "with g")]
+OVERRIDES = [("1", "Own brand"), ("7", "Own brand"), ("no such item", "Nobody")]
+_VALUES = lambda rows: ", ".join("(" + ", ".join("NULL" if v is None else "'" + v + "'" for v in r) + ")" for r in rows)
+MATCHED = f""", ms AS (SELECT *, lower(regexp_replace(name, '[^\\p{{L}}\\p{{N}}_]', '', 'g')) AS m FROM (VALUES {_VALUES(MASTER)}) t(name, brand, cap)), ov AS (SELECT * FROM (VALUES {_VALUES(OVERRIDES)}) t(item_code, b)),
+ it AS MATERIALIZED (SELECT item_code, item_name, lower(regexp_replace(item_name, '[^\\p{{L}}\\p{{N}}_]', '', 'g')) AS i FROM (SELECT item_code, item_name, count(*) AS c FROM lines GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY item_code ORDER BY count(*) DESC, item_name) = 1)),
+ pr AS MATERIALIZED (SELECT row_number() OVER () AS id, i, m FROM (SELECT DISTINCT i, m FROM it CROSS JOIN ms WHERE i <> '' AND m <> '')),
+ rn AS MATERIALIZED (SELECT id, x AS i, y AS j, max(k) AS l FROM (SELECT id, pr.i, pr.m, unnest(range(1, length(pr.i) + 1)) AS x FROM pr) p, range(1, 40) t(y), range(1, 40) u(k) WHERE y + k <= length(p.m) + 1 AND x + k <= length(p.i) + 1 AND substring(p.i, x, k) = substring(p.m, y, k) GROUP BY 1, 2, 3),
+ sg AS (SELECT id, CAST(1 AS BIGINT) AS al, CAST(length(i) + 1 AS BIGINT) AS ah, CAST(1 AS BIGINT) AS bl, CAST(length(m) + 1 AS BIGINT) AS bh, CAST(0 AS BIGINT) AS k FROM pr
+  UNION ALL SELECT id, CASE side WHEN 0 THEN al ELSE w.k - w.i END, CASE side WHEN 0 THEN -w.i ELSE ah END, CASE side WHEN 0 THEN bl ELSE w.k - w.j END, CASE side WHEN 0 THEN -w.j ELSE bh END, CASE side WHEN 0 THEN w.k ELSE 0 END
+  FROM (SELECT sg.id, sg.al, sg.ah, sg.bl, sg.bh, max({{'k': least(rn.l, sg.ah - rn.i, sg.bh - rn.j), 'i': -rn.i, 'j': -rn.j}}) AS w FROM sg JOIN rn ON rn.id = sg.id AND rn.i >= sg.al AND rn.i < sg.ah AND rn.j >= sg.bl AND rn.j < sg.bh GROUP BY 1, 2, 3, 4, 5) CROSS JOIN (VALUES (0), (1)) s(side)),
+ ra AS (SELECT pr.i, pr.m, 2.0 * sum(k) / (length(pr.i) + length(pr.m)) AS r FROM sg JOIN pr USING (id) GROUP BY 1, 2),
+ f1 AS (SELECT i, max({{'s': least(length(i), length(m)), 'n': name, 'b': brand}}) AS w FROM pr JOIN ms USING (m) WHERE least(length(i), length(m)) >= 6 AND (contains(i, m) OR contains(m, i)) GROUP BY 1), f2 AS (SELECT i, max({{'s': r, 'n': name, 'b': brand}}) AS w FROM ra JOIN ms USING (m) WHERE r >= 0.72 AND i NOT IN (SELECT i FROM f1) GROUP BY 1),
+ found AS (SELECT item_code, item_name, coalesce(f1.w.b, f2.w.b, CASE WHEN item_name ILIKE '%widget%' THEN 'any widget' WHEN item_name ILIKE '%g%' THEN 'with g' ELSE 'unclassified' END) AS brand, coalesce(f1.w.n, f2.w.n) AS master_name, CASE WHEN f1.i IS NOT NULL THEN 'master' WHEN f2.i IS NOT NULL THEN 'fuzzy' WHEN item_name ILIKE '%g%' THEN 'keyword' ELSE 'unclassified' END AS match_type FROM it LEFT JOIN f1 USING (i) LEFT JOIN f2 USING (i)),
+ matched AS (SELECT item_code, item_name, coalesce(b, brand) AS brand, master_name, CASE WHEN b IS NOT NULL THEN 'override' ELSE match_type END AS match_type FROM found LEFT JOIN ov USING (item_code))"""
+
+
+def _reference(m: Sales, rows: list, schema: str) -> DataFrame:
+    return m.spark.createDataFrame(rows, schema)
+
+
+@query(MATCHED + r""", tot AS (SELECT item_code, CAST(sum(line_total) AS DOUBLE) AS total_revenue, CAST(sum(qty) AS DOUBLE) AS total_qty, count(*) AS n_lines FROM lines GROUP BY 1)
+ SELECT item_code, item_name, matched.brand, master_name, match_type, CAST(nullif(regexp_extract(cap, '(\d+)', 1), '') AS DOUBLE) AS pack, total_revenue, total_qty, n_lines FROM matched JOIN tot USING (item_code) LEFT JOIN ms ON ms.name = master_name""")
+def matched_items(m: Sales) -> DataFrame:
+    master = _reference(m, MASTER, "name string, brand string, carton_capacity string")
+    overrides = _reference(m, OVERRIDES, "item_code string, brand string")
+    return attribution.item_dimension(m.goods, master, KEYWORDS, overrides)
+
+
+ORACLES["matched_items"] = ORACLES["matched_items"].replace("WITH ", "WITH RECURSIVE ", 1)
+
 # Sets
 
 
