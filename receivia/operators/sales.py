@@ -171,6 +171,42 @@ def tree(df: DataFrame, outer: str, middle: str, inner: str) -> DataFrame:
     return mid.groupBy(outer).agg(F.sum("sales").alias("sales"), F.sum("qty").alias("qty"), nest("sales", middle, "qty", "items").alias("children"))
 
 
+def before_in_order(df: DataFrame, within: list[str], key: str, value: str, weight: str, out: str) -> DataFrame:
+    """df with out, the sum of weight over what stands before it among the rows with its own values of within, by
+    falling value, ties by key. Rows are dealt by classes of value as in ranked(), within by within."""
+    v = F.col(value).cast("double")
+    size = lambda x: F.floor(F.log2(x) * 64) + 100_000
+    classed = df.withColumn("_c", F.when(v > 0, size(v)).when(v < 0, -size(-v)).otherwise(F.lit(0)).cast("long"))
+    above = W.partitionBy(*within).orderBy(F.desc("_c")).rowsBetween(W.unboundedPreceding, -1)
+    shift = classed.groupBy(*within, "_c").agg(F.sum(weight).alias("_s")).withColumn("_v", F.coalesce(F.sum("_s").over(above), F.lit(0))).drop("_s")
+    order = W.partitionBy(*within, "_c").orderBy(F.desc(value), key).rowsBetween(W.unboundedPreceding, -1)
+    met = classed.withColumn("_w", F.coalesce(F.sum(weight).over(order), F.lit(0))).join(shift, [*within, "_c"])
+    return met.withColumn(out, F.col("_v") + F.col("_w")).drop("_c", "_v", "_w")
+
+
+def nested_sets(df: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """A tree of keys, a row per node: its keys (null below its level), level, first and last (the numbers of its
+    first and last node when the tree is walked from the top, by falling sales, ties by key), sales and quantity.
+    What lies under a node are the nodes with numbers from its first to its last."""
+    levels = [df.groupBy(*keys).agg(F.sum("line_total").alias("v"), F.sum("qty").alias("q"), F.lit(1).cast("long").alias("size"))]
+    for k in range(len(keys) - 1, 0, -1):
+        levels.append(levels[-1].groupBy(*keys[:k]).agg(F.sum("v").alias("v"), F.sum("q").alias("q"), (F.sum("size") + 1).alias("size")))
+    out, above = [], None
+    for k, level in enumerate(reversed(levels), 1):
+        placed = before_in_order(level, list(keys[: k - 1]), keys[k - 1], "v", "size", "_b")
+        if above is None:
+            placed = placed.withColumn("first", F.col("_b") + 1)
+        else:
+            placed = placed.join(above, list(keys[: k - 1])).withColumn("first", F.col("_f") + 1 + F.col("_b"))
+        above = placed.select(*keys[:k], F.col("first").alias("_f"))
+        own = [F.col(c) if i < k else F.lit(None).cast("string").alias(c) for i, c in enumerate(keys)]
+        out.append(placed.select(*own, F.lit(k).alias("level"), F.col("first").cast("long").alias("first"), (F.col("first") + F.col("size") - 1).cast("long").alias("last"), F.col("v").cast("double").alias("sales"), F.col("q").cast("double").alias("qty")))
+    found = out[0]
+    for o in out[1:]:
+        found = found.unionByName(o)
+    return found
+
+
 def avg_price(value: Column, qty: Column, where: Column | None = None) -> Column:
     """Sum of values over sum of quantities, of the rows where the condition holds."""
     pick = lambda c: F.sum(c if where is None else F.when(where, c))

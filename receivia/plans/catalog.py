@@ -137,6 +137,13 @@ def hierarchy_tree(m: Sales) -> DataFrame:
     return sales.tree(m.lines, "rep", "brand", "item_code").select("rep", F.to_json(F.struct("sales", "qty", "children")).alias("tree"))
 
 
+@query(""", leaf AS (SELECT rep, brand, item_code, sum(line_total) AS v, sum(qty) AS q FROM lines GROUP BY 1, 2, 3), mid AS (SELECT rep, brand, sum(v) AS v, sum(q) AS q, count(*) + 1 AS size FROM leaf GROUP BY 1, 2), top AS (SELECT rep, sum(v) AS v, sum(q) AS q, sum(size) + 1 AS size FROM mid GROUP BY 1),
+ t AS (SELECT *, 1 + coalesce(sum(size) OVER (ORDER BY v DESC, rep ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS f FROM top), b AS (SELECT mid.*, t.f + 1 + coalesce(sum(mid.size) OVER (PARTITION BY rep ORDER BY mid.v DESC, brand ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS f FROM mid JOIN t USING (rep)), l AS (SELECT leaf.*, b.f + row_number() OVER (PARTITION BY rep, brand ORDER BY leaf.v DESC, item_code) AS f FROM leaf JOIN b USING (rep, brand))
+ SELECT rep, brand, item_code, CAST(level AS INTEGER) AS level, CAST(f AS BIGINT) AS first, CAST(f + size - 1 AS BIGINT) AS last, CAST(v AS DOUBLE) AS sales, CAST(q AS DOUBLE) AS qty FROM (SELECT rep, NULL AS brand, NULL AS item_code, 1 AS level, f, size, v, q FROM t UNION ALL SELECT rep, brand, NULL, 2, f, size, v, q FROM b UNION ALL SELECT rep, brand, item_code, 3, f, 1, v, q FROM l)""")
+def hierarchy_intervals(m: Sales) -> DataFrame:
+    return sales.nested_sets(m.lines, ("rep", "brand", "item_code"))
+
+
 ITEM = """, t AS (SELECT item_code, min(item_name) AS item_name, min(brand) AS brand, sum(line_total) AS v, CAST(sum(qty) AS DOUBLE) AS qty, max(pack) AS pack, count(DISTINCT customer_code) AS n_customers, count(*) AS n_lines,
   CAST(sum(line_total) FILTER (unit_price > 0) AS DOUBLE) / nullif(CAST(sum(qty) FILTER (unit_price > 0) AS DOUBLE), 0) AS price, min(unit_price) FILTER (unit_price > 0) AS lo, max(unit_price) FILTER (unit_price > 0) AS hi FROM lines GROUP BY 1)"""
 
