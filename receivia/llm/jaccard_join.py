@@ -45,7 +45,7 @@ HOT, HOT_OF_TASK, HOT_FROM = 400_000, 100_000, 3
 FRAGMENTS = 8
 #: Stars at most before classes of different components meet each other at their keys, and pairs of these for
 #: each class at a key that are few enough for that.
-STARS, FEW = 2, 8
+STARS, FEW = 4, 8
 _U = np.uint64
 
 
