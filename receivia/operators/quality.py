@@ -97,6 +97,21 @@ def zero_invoices(headers: DataFrame, nulls_too: bool = True) -> DataFrame:
     return headers.filter(F.coalesce(zero, F.lit(nulls_too)))
 
 
+def report(lines: DataFrame, columns: list[str], ranges: tuple[str, ...] = ("qty", "line_total", "disc", "tax"), price: float = 5000, qty: float = 5000) -> DataFrame:
+    """check, dimension, value: one report on lines (missing values of columns, distinct keys, negative, zero, free and
+    abnormal lines, ranges, residuals of the totals) from one pass, the wide row of which is turned."""
+    x = lambda c: F.col(c).cast("double")
+    r = F.abs(x("line_total") - net_value(x("qty"), F.col("unit_price"), x("disc"), x("tax")))
+    free = F.col("is_bonus")
+    found = {("rows", "lines"): F.count("*")} | {("missing", c): F.count_if(blank(F.col(c))) for c in columns}
+    found |= {("lines", k): F.count_if(c) for k, c in {"negative": F.col("qty") < 0, "zero": F.col("line_total") == 0, "free": free, "free_priced": free & (F.col("unit_price") > 0), "high_price": F.col("unit_price") > price, "high_qty": F.col("qty") > qty}.items()}
+    found |= {("share", "free"): ratio(F.count_if(free), F.count("*")), ("residual", "mean"): F.avg(r), ("residual", "max"): F.max(r), ("residual", "within_1"): ratio(F.count_if(r <= 1), F.count("*"))}
+    found |= {(n, c): f(x(c)) for c in ranges for n, f in (("least", F.min), ("most", F.max))}
+    wide = lines.agg(*[F.round(v.cast("double"), 6).alias(f"{a}:{b}") for (a, b), v in found.items()])
+    long = wide.unpivot([], [F.col(f"`{c}`") for c in wide.columns], "name", "value")
+    return long.select(F.split("name", ":")[0].alias("check"), F.split("name", ":")[1].alias("dimension"), "value")
+
+
 def checks(rows: list[tuple[str, DataFrame, Column]]) -> DataFrame:
     """name, passed, detail from (name, one-row table, condition on it)."""
     one = lambda name, df, ok: df.agg(F.coalesce(F.bool_and(ok), F.lit(True)).alias("passed"), F.count_if(~F.coalesce(ok, F.lit(False))).alias("n_failed")).select(F.lit(name).alias("name"), "passed", "n_failed")

@@ -410,6 +410,21 @@ def monthly_bundle(headers: DataFrame, lines: DataFrame) -> DataFrame:
     return named(head).join(named(line), "month", "full")
 
 
+def bundle_tables(lines: DataFrame, keys: tuple[str, ...] = ("brand", "item_code", "rep", "customer_code")) -> DataFrame:
+    """All tables of all months' bundles in one pass: table (the key's name, or "totals"), month ("all" for all of
+    them), key, and the sums. Lines are expanded once for each of the grouping sets and summed before they are moved."""
+    sets = [[F.col(c) for c in s] for k in keys for s in (("month", k), (k,))] + [[F.col("month")], []]
+    by = lines.groupingSets(sets, "month", *keys).agg(total("line_total").alias("sales"), total("qty").alias("qty"), F.count("*").alias("n_lines"), F.count_if("is_bonus").alias("n_free"), *[F.grouping(c).alias(f"_{c}") for c in ("month", *keys)])
+    of = lambda pick, rest: F.coalesce(*[F.when(F.col(f"_{k}") == 0, pick(k)) for k in keys], rest)
+    return by.select(of(F.lit, F.lit("totals")).alias("table"), F.when(F.col("_month") == 0, F.col("month")).otherwise("all").alias("month"), of(lambda k: F.col(k).cast("string"), F.lit("")).alias("key"), "sales", "qty", "n_lines", "n_free")
+
+
+def natural_key(c: Column) -> Column:
+    """To sort texts by: those that are numbers first, by value; then the others, by letters whatever their case; then null."""
+    number = F.regexp_replace(F.trim(c), ",", "").try_cast("double")
+    return F.struct(F.when(number.isNotNull(), 0).when(c.isNotNull(), 1).otherwise(2).alias("kind"), F.coalesce(number, F.lit(0.0)).alias("number"), F.lower(c).alias("folded"), c.alias("text"))
+
+
 def statement(headers: DataFrame, receipts: DataFrame, code: str) -> DataFrame:
     """One customer's invoices and receipts in order of date, with the running balance."""
     bills = headers.filter(F.col("customer_code") == code).select(F.col("invoice_date").alias("date"), F.lit("invoice").alias("kind"), F.col("invoice_no").cast("string").alias("ref"), F.col("reported_total").alias("amount"))

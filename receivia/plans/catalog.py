@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from receivia.functions.scalars import clip, display_name, invoice_status, month_label, parse_date, parse_number, parse_number_or_zero, rate_class, ratio, to_numbers, usable_name
 from receivia.operators import attribution, finance, forecast, quality, receivables, sales, series
 from receivia.plans.view import AS_OF, CUTOFF, Sales, sql
+from receivia.sources import readers, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -1026,3 +1028,181 @@ def portfolio_collection(m: Sales) -> DataFrame:
  FROM s LEFT JOIN u USING (customer_code) FULL JOIN arrears USING (customer_code) LEFT JOIN customers c USING (customer_code)""")
 def customer_360_table(m: Sales) -> DataFrame:
     return receivables.customer_360_table(m.headers, m.sold, m.customers, receivables.arrears(m.customers, m.headers, AS_OF))
+
+
+# Reports and bundles
+
+_REPORT_COLUMNS = ["invoice_no", "item_code", "customer_code", "qty", "unit_price"]
+_REPORT = {("rows", "lines"): "count(*)"} | {("missing", c): f"count(*) FILTER ({c} IS NULL OR trim(CAST({c} AS VARCHAR)) = '')" for c in _REPORT_COLUMNS} | {
+    ("lines", "negative"): "count(*) FILTER (qty < 0)", ("lines", "zero"): "count(*) FILTER (line_total = 0)", ("lines", "free"): "count(*) FILTER (is_bonus)", ("lines", "free_priced"): "count(*) FILTER (is_bonus AND unit_price > 0)",
+    ("lines", "high_price"): "count(*) FILTER (unit_price > 1500)", ("lines", "high_qty"): "count(*) FILTER (qty > 49)", ("share", "free"): "count(*) FILTER (is_bonus) / count(*)", ("residual", "mean"): "avg(r)", ("residual", "max"): "max(r)", ("residual", "within_1"): "count(*) FILTER (r <= 1) / count(*)",
+} | {(n, c): f"{f}({c})" for c in ("qty", "line_total", "disc", "tax") for n, f in (("least", "min"), ("most", "max"))}
+
+
+@query(", x AS (SELECT *, abs(CAST(line_total AS DOUBLE) - CAST(qty AS DOUBLE) * unit_price * (1 - CAST(disc AS DOUBLE)) * (1 - CAST(tax AS DOUBLE))) AS r FROM lines) " + " UNION ALL ".join(f"SELECT '{a}' AS \"check\", '{b}' AS dimension, round(CAST({v} AS DOUBLE), 6) AS value FROM x" for (a, b), v in _REPORT.items()))
+def quality_report(m: Sales) -> DataFrame:
+    return quality.report(m.sold, _REPORT_COLUMNS, price=1500, qty=49)
+
+
+_BUNDLE_KEYS = ("brand", "item_code", "rep", "customer_code")
+
+
+@query(" SELECT " + "CASE " + " ".join(f"WHEN grouping({k}) = 0 THEN '{k}'" for k in _BUNDLE_KEYS) + " ELSE 'totals' END AS \"table\", CASE WHEN grouping(month) = 0 THEN month ELSE 'all' END AS month, CASE " + " ".join(f"WHEN grouping({k}) = 0 THEN {k}" for k in _BUNDLE_KEYS) + " ELSE '' END AS key, CAST(sum(line_total) AS DOUBLE) AS sales, CAST(sum(qty) AS DOUBLE) AS qty, count(*) AS n_lines, count(*) FILTER (is_bonus) AS n_free FROM lines GROUP BY GROUPING SETS (" + ", ".join(f"(month, {k}), ({k})" for k in _BUNDLE_KEYS) + ", (month), ())")
+def bundle_tables(m: Sales) -> DataFrame:
+    return sales.bundle_tables(m.lines)
+
+
+# Files written and read back
+
+
+def _invoice_rows(m: Sales) -> DataFrame:
+    """Lines as an invoice text has them; those without tax leave the second rate out."""
+    return m.lines.join(m.headers.select("invoice_no", "reported_total"), "invoice_no").select("invoice_no", "invoice_date", "customer_code", "customer_name", "reported_total", "seq", "item_code", "item_name", F.lit("box").alias("unit"), "qty", F.col("gross").alias("unit_price"), F.col("disc").alias("discount_pct"), F.when(F.col("tax") > 0, F.col("tax")).alias("tax_pct"), F.col("line_total").cast("decimal(18,4)").alias("line_total"))
+
+
+def _read_back(m: Sales, texts: DataFrame) -> DataFrame:
+    path = sinks.scratch(m.spark)
+    sinks.write_blocks(texts, path)
+    return readers.read_blocks(m.spark, path)
+
+
+_NUMBERS = ("qty", "unit_price", "discount_pct", "tax_pct", "line_total", "invoice_reported_total")
+_AS_READ = "CAST(l.qty AS DOUBLE) AS qty, CAST(gross AS DOUBLE) AS unit_price, CAST(disc AS DOUBLE) AS discount_pct, {tax} AS tax_pct, CAST(round(CAST(line_total AS DECIMAL(20,6)), 4) AS DOUBLE) AS line_total, CAST(h.reported_total AS DOUBLE) AS invoice_reported_total FROM lines l JOIN headers h USING (invoice_no)"
+
+
+def _as_read(found: DataFrame, *names: str) -> DataFrame:
+    return found.select(*names, *[F.col(c).cast("double").alias(c) for c in _NUMBERS])
+
+
+@query(" SELECT CAST(invoice_no AS VARCHAR) AS invoice_no, l.invoice_date, l.customer_code, l.customer_name, CAST(seq AS INTEGER) AS seq, item_code, item_name, " + _AS_READ.format(tax="CASE WHEN tax > 0 THEN CAST(tax AS DOUBLE) END"))
+def fenced_texts_read_back(m: Sales) -> DataFrame:
+    blocks = _read_back(m, sinks.fenced_texts(_invoice_rows(m)))
+    return _as_read(readers.fenced_invoices(blocks, least_numbers=4), "invoice_no", "invoice_date", "customer_code", "customer_name", "seq", "item_code", "item_name")
+
+
+@query(" SELECT CAST(invoice_no AS VARCHAR) AS invoice_no, l.invoice_date, CAST(seq AS INTEGER) AS seq, item_code, item_name, 'box' AS unit, " + _AS_READ.format(tax="CAST(tax AS DOUBLE)"))
+def piped_texts_read_back(m: Sales) -> DataFrame:
+    blocks = _read_back(m, sinks.piped_texts(_invoice_rows(m).fillna(0, ["tax_pct"])))
+    return _as_read(readers.piped_invoices(blocks), "invoice_no", "invoice_date", "seq", "item_code", "item_name", "unit")
+
+
+_CUSTOMER_COLUMNS = "customer_code string, customer_name string, rep string, city string, net decimal(14,2)"
+_CUSTOMERS_BACK = " SELECT customer_code, customer_name, rep, city, CAST(net AS DOUBLE) AS net FROM customers"
+
+
+def _customer_rows(m: Sales) -> DataFrame:
+    return m.customers.select("customer_code", "customer_name", "rep", "city", "net")
+
+
+def _net_as_double(df: DataFrame) -> DataFrame:
+    return df.withColumn("net", F.col("net").cast("double"))
+
+
+@query(_CUSTOMERS_BACK)
+def csv_read_back(m: Sales) -> DataFrame:
+    path = sinks.scratch(m.spark)
+    sinks.write_csv(_customer_rows(m), path)
+    return _net_as_double(readers.read_csv(m.spark, path, _CUSTOMER_COLUMNS))
+
+
+@query(_CUSTOMERS_BACK)
+def csv_texts_read_back(m: Sales) -> DataFrame:
+    path = sinks.scratch(m.spark)
+    sinks.write_csv(_customer_rows(m), path)
+    return readers.read_csv_as_text(m.spark, path, ["customer_code", "customer_name", "rep", "city", "net"]).withColumn("net", parse_number(F.col("net")).cast("double"))
+
+
+@query(_CUSTOMERS_BACK)
+def json_read_back(m: Sales) -> DataFrame:
+    path = sinks.scratch(m.spark)
+    sinks.write_json(_customer_rows(m), path)
+    return _net_as_double(m.spark.read.schema(_CUSTOMER_COLUMNS).json(path))
+
+
+@query(_CUSTOMERS_BACK)
+def optional_read_back(m: Sales) -> DataFrame:
+    """A file that is there, with one that isn't."""
+    path = sinks.scratch(m.spark)
+    sinks.write_csv(_customer_rows(m), path)
+    there, absent = (readers.read_optional(m.spark, p, _CUSTOMER_COLUMNS) for p in (path, f"{path}-absent"))
+    return _net_as_double(there.unionByName(absent))
+
+
+@query(" SELECT month, invoice_no, CAST(reported_total AS DOUBLE) AS reported_total FROM headers")
+def files_with_attribute(m: Sales) -> DataFrame:
+    """A folder of files for each month, which the rows get from their file's name."""
+    path = sinks.scratch(m.spark)
+    rows = m.headers.select("invoice_no", "reported_total", F.col("month").alias("m"))
+    rows.repartition("m").write.partitionBy("m").option("header", True).csv(path)
+    found = readers.read_csv(m.spark, f"{path}/*/*.csv", "invoice_no long, reported_total decimal(12,2)")
+    return found.select(F.regexp_extract(F.col("_metadata.file_path"), r"m=([^/]+)/", 1).alias("month"), "invoice_no", F.col("reported_total").cast("double").alias("reported_total"))
+
+
+@query(" SELECT count(*) AS found, count(*) FILTER (reported_total > 1000 AND status <> 'P') AS parsed, count(*) FILTER (NOT (reported_total > 1000 AND status <> 'P')) AS failed FROM headers")
+def processing_log(m: Sales) -> DataFrame:
+    return sinks.written_with_log(m.headers, sinks.scratch(m.spark), "reported_total > 1000 AND status <> 'P'")
+
+
+@query(" SELECT invoice_no, CASE WHEN status <> 'O' THEN CAST(paid AS DOUBLE) END AS rate, 'x' AS tag, CASE WHEN status <> 'P' THEN CAST(reported_total AS DOUBLE) END AS flat FROM headers")
+def nested_without_nan(m: Sales) -> DataFrame:
+    """NaN and infinity three levels deep and at the top."""
+    x = F.when(F.col("status") == "O", F.lit(float("nan"))).otherwise(F.col("paid").cast("double"))
+    y = F.when(F.col("status") == "P", F.lit(float("inf"))).otherwise(F.col("reported_total").cast("double"))
+    deep = m.headers.select("invoice_no", F.struct(F.array(F.create_map(F.lit("rate"), x)).alias("of"), F.lit("x").alias("tag")).alias("deep"), y.alias("flat"))
+    return sinks.without_nan(deep).select("invoice_no", F.col("deep.of")[0]["rate"].alias("rate"), "deep.tag", "flat")
+
+
+@query(""", t AS (SELECT p_partkey, p_brand AS brand, CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN CAST(p_size AS VARCHAR) WHEN 2 THEN upper(p_name) ELSE '1,' || lpad(CAST(p_size AS VARCHAR), 3, '0') END AS text FROM part), n AS (SELECT *, try_cast(replace(trim(text), ',', '') AS DOUBLE) AS x FROM t)
+ SELECT p_partkey, brand, text, CAST(row_number() OVER (PARTITION BY brand ORDER BY CASE WHEN x IS NULL THEN 1 ELSE 0 END, coalesce(x, 0), lower(text), text, p_partkey) AS INTEGER) AS place FROM n""")
+def naturally_sorted(m: Sales) -> DataFrame:
+    kind, size = F.col("p_partkey") % 4, F.col("p_size").cast("string")
+    text = F.when(kind == 0, F.col("p_name")).when(kind == 1, size).when(kind == 2, F.upper("p_name")).otherwise(F.concat(F.lit("1,"), F.lpad(size, 3, "0")))
+    rows = m.table("part").select("p_partkey", F.col("p_brand").alias("brand"), text.alias("text"))
+    return rows.withColumn("place", F.row_number().over(W.partitionBy("brand").orderBy(sales.natural_key(F.col("text")), "p_partkey")))
+
+
+# Variants of checks, and every filter by itself
+
+
+@query(""", s AS (SELECT h.invoice_no, CAST(h.reported_total AS DOUBLE) AS reported_total, coalesce(CAST(sum(line_total) AS DOUBLE), 0) AS line_sum FROM headers h LEFT JOIN lines l ON h.invoice_no = l.invoice_no GROUP BY 1, 2), d AS (SELECT *, abs(round(reported_total - line_sum, 6)) AS diff FROM s)
+ SELECT 'strict' AS variant, count(*) FILTER (diff < 50) AS n_passed, count(*) AS n FROM d UNION ALL SELECT 'absolute', count(*) FILTER (diff <= 50), count(*) FROM d UNION ALL SELECT 'relative', count(*) FILTER (diff <= greatest(50, abs(reported_total) * 0.01)), count(*) FROM d""")
+def reconciliation_variants(m: Sales) -> DataFrame:
+    one = lambda v: quality.reconcile(m.rows, m.headers, v, 50.0).agg(F.lit(v).alias("variant"), F.count_if("passes").alias("n_passed"), F.count("*").alias("n"))
+    return one("strict").unionByName(one("absolute")).unionByName(one("relative"))
+
+
+@query(" SELECT count(*) FILTER (abs(reported_total - paid - remaining) > 1) AS n_off, count(*) AS n, count(*) FILTER (abs(reported_total - paid - remaining) > 1) <= 0.02 * count(*) AS passes FROM headers")
+def paid_plus_remaining(m: Sales) -> DataFrame:
+    return quality.paid_plus_remaining(m.headers)
+
+
+@query(" SELECT l_orderkey, l_linenumber, l_suppkey % 3 AS k, count(*) OVER (PARTITION BY l_orderkey, l_suppkey % 3) > 1 AS repeated FROM lineitem")
+def marked_repeats(m: Sales) -> DataFrame:
+    lines = m.table("lineitem").select("l_orderkey", "l_linenumber", (F.col("l_suppkey") % 3).alias("k"))
+    return quality.mark_repeats(lines, ["l_orderkey", "k"])
+
+
+_BUCKETED = "CASE WHEN net >= 500000 THEN 'high' WHEN net >= 0 THEN 'low' ELSE 'none' END"
+_FILTERS = {"customer": ("customer_code = '7'", "customer_code = '7'", "customer_code = '7'"), "rep": ("rep = 'CHINA'", None, None), "item": ("item_code IN ('3', '5')", None, None), "bucket": (None, None, "bucket = 'high'"), "status": (None, "status = 'P'", None), "month": ("month = '1998-01'", "month = '1998-01'", None)}
+
+
+def _one_filter(name: str) -> str:
+    """Lines, invoices and customers that one filter leaves, as sets that are cut down in turn."""
+    lines, heads, owed = (f"WHERE {c}" if c else "" for c in _FILTERS[name])
+    by_line, by_owed = name in ("rep", "item"), name == "bucket"
+    h = f"(SELECT * FROM headers {heads})"
+    h = f"(SELECT * FROM {h} WHERE invoice_no IN (SELECT invoice_no FROM lines {lines}))" if by_line else f"(SELECT * FROM {h} WHERE customer_code IN (SELECT customer_code FROM bu {owed}))" if by_owed else h
+    return f"SELECT '{name}' AS filter, (SELECT count(*) FROM (SELECT * FROM lines {lines}) WHERE invoice_no IN (SELECT invoice_no FROM {h})) AS n_lines, (SELECT count(*) FROM {h}) AS n_invoices, (SELECT count(*) FROM (SELECT * FROM bu {owed}) WHERE customer_code IN (SELECT customer_code FROM {h})) AS n_customers"
+
+
+@query(f", bu AS (SELECT customer_code, {_BUCKETED} AS bucket FROM customers) " + " UNION ALL ".join(map(_one_filter, _FILTERS)))
+def each_filter(m: Sales) -> DataFrame:
+    owed = m.customers.withColumn("bucket", F.when(F.col("net") >= 500000, "high").when(F.col("net") >= 0, "low").otherwise("none"))
+    given = {"customer": {"customers": ["7"]}, "rep": {"reps": ["CHINA"]}, "item": {"items": ["3", "5"]}, "bucket": {"buckets": ["high"]}, "status": {"statuses": ["P"]}, "month": {"months": ["1998-01"]}}
+
+    def one(name: str) -> DataFrame:
+        a, b, c = (x.agg(F.count("*").alias(n)) for x, n in zip(sales.cross_filter(m.lines, m.headers, owed, **given[name]), ("n_lines", "n_invoices", "n_customers"), strict=True))
+        return a.crossJoin(b).crossJoin(c).select(F.lit(name).alias("filter"), "*")  # three single rows
+
+    first, *rest = map(one, given)
+    return series.sum_union([first, *rest])

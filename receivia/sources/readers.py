@@ -52,23 +52,38 @@ def union_by_precedence(main: DataFrame, other: DataFrame, owned_by_other: Colum
 
 
 _NUMBER = r"^-?[\d,]+(\.\d+)?-?$"
+#: What the fields of an invoice text are called, as patterns; callers with texts in another language give their own.
+LABELS = {"code": "code", "name": "name|customer", "phone": "phone", "total": "total", "paid": "paid", "remaining": "remaining", "quantity": "quantity", "bonus": "bonus"}
 
 
-def fenced_invoices(blocks: DataFrame, *, least_numbers: int = 5, customer_lines: int = 5) -> DataFrame:
+def read_blocks(spark: SparkSession, path: str, heading: str = "## ") -> DataFrame:
+    """value: the texts from one heading to the next. Files are split at the line ends before headings, so that
+    one very large file is many tasks; a text before the first heading is a block too. Blocks end in Unix lines."""
+    found = spark.read.option("lineSep", f"\n{heading}").text(path)
+    return found.select(F.regexp_replace("value", rf"^\Q{heading}\E", "").alias("value"))
+
+
+def fenced_body(value: Column) -> Column:
+    """What stands between the first pair of code fences; all of it where there is none."""
+    inside = F.regexp_extract(value, r"(?s)(?:^|\n)\s*```[^\n]*\n(.*?)(?:\n\s*```|$)", 1)
+    return F.when(value.contains("```"), inside).otherwise(value)
+
+
+def fenced_invoices(blocks: DataFrame, *, least_numbers: int = 5, customer_lines: int = 5, labels: dict[str, str] = LABELS) -> DataFrame:
     """Item lines of invoice texts in the fenced layout; blocks has one text per "## " heading.
 
-    The heading is `label number — Y/M/D`; the first lines name the customer as `key: value`; an item
-    line is a sequence number, a code, a name and at least least_numbers numbers (quantity, price,
-    two rates, total; with one fewer the second rate is missing and null).
+    The heading is `label number — Y/M/D`; the first lines after it (or of the fenced body) name the customer
+    as `key: value` with the names of labels; an item line is a sequence number, a code, a name and at least
+    least_numbers numbers (quantity, price, two rates, total; with one fewer the second rate is missing and null).
     """
     head = F.regexp_extract("value", r"(?m)^(?:## )?[^\n]*?(\S+)\s+[—-]\s+(\d{4}/\d{1,2}/\d{1,2})", 1)
     date = F.regexp_extract("value", r"(?m)^(?:## )?[^\n]*?\S+\s+[—-]\s+(\d{4}/\d{1,2}/\d{1,2})", 1)
-    first = F.array_join(F.slice(F.split("value", "\n"), 1, customer_lines + 2), "\n")
-    field = lambda names: F.nullif(F.trim(F.regexp_extract(first, rf"(?m)^\s*(?:{names})\s*:\s*([^\n]*)$", 1)), F.lit(""))
-    foot = lambda names: parse_number(F.regexp_extract("value", rf"(?m)^\s*(?:{names})\s*:\s*(-?[\d,.]+)", 1))
-    whole = blocks.filter(head != "").select(
-        head.alias("invoice_no"), parse_date(date).alias("invoice_date"), field("code").alias("customer_code"), field("name|customer").alias("customer_name"), field("phone").alias("phone"),
-        foot("total").alias("invoice_reported_total"), foot("paid").alias("paid"), foot("remaining").alias("remaining"), foot("quantity").alias("qty_total"), F.lower("value").contains("bonus").alias("is_bonus"), F.split("value", "\n").alias("_lines"),
+    first = F.array_join(F.slice(F.split("_body", "\n"), 1, customer_lines + 2), "\n")
+    field = lambda k: F.nullif(F.trim(F.regexp_extract(first, rf"(?m)^\s*(?:{labels[k]})\s*:\s*([^\n]*)$", 1)), F.lit(""))
+    foot = lambda k: parse_number(F.regexp_extract("value", rf"(?m)^\s*(?:{labels[k]})\s*:\s*(-?[\d,.]+)", 1))
+    whole = blocks.withColumn("_body", fenced_body(F.col("value"))).filter(head != "").select(
+        head.alias("invoice_no"), parse_date(date).alias("invoice_date"), field("code").alias("customer_code"), field("name").alias("customer_name"), field("phone").alias("phone"),
+        foot("total").alias("invoice_reported_total"), foot("paid").alias("paid"), foot("remaining").alias("remaining"), foot("quantity").alias("qty_total"), F.lower("value").rlike(labels["bonus"].lower()).alias("is_bonus"), F.split("_body", "\n").alias("_lines"),
     )
     rows = whole.withColumn("_line", F.explode("_lines")).withColumn("_t", F.split(F.trim("_line"), r"\s+"))
     numeric = F.transform("_t", lambda t: t.rlike(_NUMBER))
@@ -83,9 +98,9 @@ def fenced_invoices(blocks: DataFrame, *, least_numbers: int = 5, customer_lines
     )
 
 
-def piped_invoices(blocks: DataFrame) -> DataFrame:
+def piped_invoices(blocks: DataFrame, labels: dict[str, str] = LABELS) -> DataFrame:
     """Item lines of invoice texts whose items are rows of nine cells between pipes."""
-    foot = lambda name: parse_number(F.regexp_extract("value", rf"\*\*{name}\*\*\s*:?\s*(-?[\d,.]+)", 1))
+    foot = lambda k: parse_number(F.regexp_extract("value", rf"\*\*(?:{labels[k]})\*\*\s*:?\s*(-?[\d,.]+)", 1))
     head = blocks.select(
         F.regexp_extract("value", r"(?m)^(?:## )?[^\n]*?(\S+)\s+[—-]\s+\d{4}/", 1).alias("invoice_no"), parse_date(F.regexp_extract("value", r"(\d{4}/\d{1,2}/\d{1,2})", 1)).alias("invoice_date"),
         foot("total").alias("invoice_reported_total"), foot("paid").alias("paid"), foot("remaining").alias("remaining"), F.explode(F.split("value", "\n")).alias("_line"),

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,9 +20,38 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder that driver and executors share: in spark.checkpoint.dir, or, where that is unset in local
+    mode (tests), a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{(base or tempfile.mkdtemp(prefix='spark-')).rstrip('/')}/written-{uuid.uuid4().hex}"
+
+
+def _finite(c: Column, kind: T.DataType) -> Column:
+    """c with NaN and the infinities as null, at any depth of structs, arrays and maps."""
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return finite(c)
+    if isinstance(kind, T.StructType):
+        fields = F.struct(*[_finite(c.getField(f.name), f.dataType).alias(f.name) for f in kind.fields])
+        return F.when(c.isNotNull(), fields)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: _finite(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(c, lambda _, v: _finite(v, kind.valueType))
+    return c
+
+
+def _holds_floats(kind: T.DataType) -> bool:
+    inner = [f.dataType for f in kind.fields] if isinstance(kind, T.StructType) else [kind.elementType] if isinstance(kind, T.ArrayType) else [kind.valueType] if isinstance(kind, T.MapType) else []
+    return isinstance(kind, (T.DoubleType, T.FloatType)) or any(map(_holds_floats, inner))
+
+
 def without_nan(df: DataFrame) -> DataFrame:
-    """NaN and the infinities as null, in every floating-point column."""
-    return df.withColumns({f.name: finite(F.col(f"`{f.name}`")) for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))})
+    """NaN and the infinities as null, in floating-point columns and in structs, arrays and map values, however
+    deep; map keys stay, and so do the nulls of whole structs."""
+    return df.withColumns({f.name: _finite(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields if _holds_floats(f.dataType)})
 
 
 def payload(df: DataFrame, column: str = "payload") -> DataFrame:
@@ -34,6 +66,37 @@ def logged(df: DataFrame, name: str, good: str) -> tuple[DataFrame, Observation]
     return df.observe(seen, F.count(F.lit(1)).alias("found"), F.count_if(F.expr(good)).alias("parsed"), F.count_if(~F.coalesce(F.expr(good), F.lit(False))).alias("failed")), seen
 
 
+def written_with_log(df: DataFrame, path: str, good: str) -> DataFrame:
+    """One row (found, parsed, failed) about df, counted in the pass that writes it as Parquet to path."""
+    seen, counts = logged(df, f"log-{uuid.uuid4().hex}", good)
+    seen.write.mode("overwrite").parquet(path)
+    row = counts.get
+    return df.sparkSession.createDataFrame([(row["found"], row["parsed"], row["failed"])], "found long, parsed long, failed long")
+
+
+def fenced_texts(lines: DataFrame) -> DataFrame:
+    """value: a text per invoice in the fenced layout, of lines (invoice_no, invoice_date, customer_code, customer_name,
+    reported_total, seq, item_code, item_name, qty, unit_price, discount_pct, tax_pct, line_total). A line
+    without a second rate is written without it."""
+    row = F.concat_ws(" ", "seq", "item_code", "item_name", "qty", "unit_price", "discount_pct", "tax_pct", "line_total")
+    by = lines.groupBy("invoice_no", "invoice_date", "customer_code", "customer_name", "reported_total").agg(F.array_sort(F.collect_list(F.struct("seq", row.alias("row")))).alias("rows"))
+    body = F.array_join(F.transform("rows", lambda r: r["row"]), "\n")
+    return by.select(F.concat(F.lit("## invoice "), "invoice_no", F.lit(" — "), F.date_format("invoice_date", "yyyy/M/d"), F.lit("\n```\ncode: "), "customer_code", F.lit("\nname: "), "customer_name", F.lit("\n"), body, F.lit("\n```\ntotal: "), F.format_number("reported_total", 2)).alias("value"))
+
+
+def piped_texts(lines: DataFrame) -> DataFrame:
+    """value: a text per invoice with its items as rows of nine cells; lines as in fenced_texts, and unit."""
+    row = F.concat(F.lit("| "), F.concat_ws(" | ", "seq", "item_code", "item_name", "unit", "qty", "unit_price", "discount_pct", "tax_pct", "line_total"), F.lit(" |"))
+    by = lines.groupBy("invoice_no", "invoice_date", "reported_total").agg(F.array_sort(F.collect_list(F.struct("seq", row.alias("row")))).alias("rows"))
+    body = F.array_join(F.transform("rows", lambda r: r["row"]), "\n")
+    return by.select(F.concat(F.lit("## invoice "), "invoice_no", F.lit(" — "), F.date_format("invoice_date", "yyyy/M/d"), F.lit("\n"), body, F.lit("\n**total**: "), F.format_number("reported_total", 2)).alias("value"))
+
+
+def write_blocks(texts: DataFrame, path: str) -> None:
+    """A text file of blocks per task."""
+    texts.select("value").write.mode("overwrite").text(path)
+
+
 def failed_examples(df: DataFrame, good: str, key: str, most: int = 15) -> DataFrame:
     """A short list of rows for which good doesn't hold."""
     return df.filter(~F.coalesce(F.expr(good), F.lit(False))).orderBy(key).limit(most)
