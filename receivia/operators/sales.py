@@ -27,7 +27,8 @@ def total(c: str | Column) -> Column:
 
 def monthly_series(lines: DataFrame) -> DataFrame:
     """Per month revenue, quantity, invoices, customers, price, changes against 1 and 12 rows before."""
-    by = lines.groupBy("month").agg(total("line_total").alias("revenue"), total("qty").alias("qty"), F.count_distinct("invoice_no").alias("n_invoices"), F.count_distinct("customer_code").alias("n_customers"))
+    bills = lines.groupBy("month", "invoice_no", "customer_code").agg(F.sum("line_total").alias("line_total"), F.sum("qty").alias("qty"))  # several lines each
+    by = bills.groupBy("month").agg(total("line_total").alias("revenue"), total("qty").alias("qty"), F.count_distinct("invoice_no").alias("n_invoices"), F.count_distinct("customer_code").alias("n_customers"))
     w = W.orderBy("month")
     change = lambda k: F.round(F.try_divide(F.col("revenue") - F.lag("revenue", k).over(w), F.lag("revenue", k).over(w)) * 100, 6)
     return by.select("*", F.round(ratio(F.col("revenue"), F.col("n_invoices")), 6).alias("revenue_per_invoice"), F.round(ratio(F.col("revenue"), F.col("qty")), 6).alias("avg_price"), change(1).alias("mom_pct"), change(12).alias("yoy_pct"))
@@ -48,7 +49,8 @@ def ranked(by: DataFrame, key: str, value: str = "v") -> DataFrame:
     size = lambda x: F.floor(F.log2(x) * 64) + 100_000
     classed = by.withColumn("_c", F.when(v > 0, size(v)).when(v < 0, -size(-v)).otherwise(F.lit(0)).cast("long"))
     above = W.orderBy(F.desc("_c")).rowsBetween(W.unboundedPreceding, -1)
-    held = classed.groupBy("_c").agg(F.sum(value).alias("_s"), F.count("*").alias("_k"))
+    # reads all columns, as the join below does, so that Spark makes by once
+    held = classed.groupBy("_c").agg(F.sum(value).alias("_s"), F.count("*").alias("_k"), F.max(F.xxhash64(*by.columns)).alias("_h")).filter("_h IS NOT NULL")
     shift = held.select("_c", F.sum("_s").over(above).alias("_v"), F.coalesce(F.sum("_k").over(above), F.lit(0)).alias("_r"), F.sum("_s").over(everything()).alias("_all"), F.sum("_k").over(everything()).alias("_n"))
     order = W.partitionBy("_c").orderBy(F.desc(value), key)
     cum = F.sum(value).over(order.rowsBetween(W.unboundedPreceding, 0))

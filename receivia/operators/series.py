@@ -40,11 +40,13 @@ def in_order() -> WindowSpec:
 
 
 def panel(df: DataFrame, key: str | None, period: str, value: str) -> DataFrame:
-    """series_key, t, month, y with every period of the data for every key, absent ones as 0."""
+    """series_key, t, month, y with every period of the data for every key, absent ones as 0. Keys, periods and
+    values all come from one table of sums; each reads all its columns, so that Spark makes it once."""
     k = F.lit("all") if key is None else F.col(key)
     by = df.groupBy(k.alias("series_key"), F.col(period).alias("month")).agg(F.sum(value).cast("double").alias("y"))
-    months = df.select(F.col(period).alias("month")).distinct().withColumn("t", F.row_number().over(W.orderBy("month")))
-    grid = by.select("series_key").distinct().crossJoin(F.broadcast(months))  # a few hundred periods at most
+    of = lambda c: by.groupBy(c).agg(F.count("y").alias("_n")).filter("_n >= 0").select(c)
+    months = of("month").withColumn("t", F.row_number().over(W.orderBy("month")))
+    grid = of("series_key").crossJoin(F.broadcast(months))  # a few hundred periods at most
     return grid.join(by, ["series_key", "month"], "left").fillna(0.0, ["y"]).select("series_key", "t", "month", "y")
 
 

@@ -935,8 +935,9 @@ def zero_invoices(m: Sales) -> DataFrame:
 
 @query(MONTHLY + " SELECT month, revenue, CAST(row_number() OVER (ORDER BY revenue DESC, month) AS INTEGER) AS place FROM m")
 def months_by_revenue(m: Sales) -> DataFrame:
-    ordered = sales.sorted_by(sales.monthly_series(m.sold).select("month", "revenue"), "revenue", tie="month")
-    return ordered.agg(F.collect_list(F.struct("month", "revenue")).alias("a")).select(F.posexplode("a").alias("place", "r")).select("r.month", "r.revenue", (F.col("place") + 1).cast("int").alias("place"))
+    months = sales.monthly_series(m.sold).select("month", "revenue")
+    placed = months.withColumn("place", F.row_number().over(W.orderBy(F.desc("revenue"), "month")))  # a few hundred months at most
+    return sales.sorted_by(placed, "revenue", tie="month")
 
 
 @query(MONTHLY + " SELECT month, revenue, 'actual' AS kind FROM m UNION ALL SELECT month, revenue, 'forecast' FROM m WHERE month = (SELECT max(month) FROM m) UNION ALL SELECT 'next', (SELECT revenue FROM m ORDER BY month DESC LIMIT 1), 'forecast'")
