@@ -36,6 +36,14 @@ def month_key(c: Column) -> Column:
     return F.date_format(c, "yyyy-MM")
 
 
+def month_of_text(c: Column) -> Column:
+    """YYYY-MM of a text that starts with a year and a month, with or without a leading zero, parted by a dash, a
+    slash, a dot or nothing but two digits; what is no month gives null."""
+    part = lambda k: F.nullif(F.regexp_extract(F.trim(c), r"^(\d{4})(?:[-/.](\d{1,2})|(\d{2}))(?!\d)", k), F.lit(""))
+    year, number = part(1), F.coalesce(part(2), part(3)).try_cast("int")
+    return F.when(number.between(1, 12), F.concat(year, F.lit("-"), F.lpad(number.cast("string"), 2, "0")))
+
+
 def blank(c: Column) -> Column:
     return c.isNull() | (F.trim(c.cast("string")) == "")
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from receivia.operators.series import PAIRS, design, form, inverse, least_squares
+from receivia.operators.series import PAIRS, design, form, inverse, least_squares, residuals
 
 STEPS = "series_key string, step int, model string, forecast double"
 
@@ -186,6 +186,19 @@ def information(p: DataFrame) -> DataFrame:
     return _grouped(p.select("series_key", "t", "y"), one, "series_key string, model string, aic double, bic double")
 
 
+def closed_information(p: DataFrame) -> DataFrame:
+    """In-sample AIC and BIC of the models that sums alone fit (fourier, difference_ar), as information() has them."""
+    fourier = residuals(p).groupBy("series_key").agg(F.sum(F.col("e") * F.col("e")).alias("sse"), F.count("*").alias("n")).select("series_key", F.lit("fourier").alias("model"), "sse", "n", F.lit(4).alias("k"))
+    o = W.partitionBy("series_key").orderBy("t")
+    d = p.withColumn("d", F.col("y") - F.lag("y").over(o)).withColumn("l", F.lag("d").over(o))
+    both = F.col("d").isNotNull() & F.col("l").isNotNull()
+    sums = d.groupBy("series_key").agg(F.count("*").alias("n"), *[F.sum(F.when(both, F.col(x) * F.col(y))).alias(x + y) for x, y in ("dd", "dl", "ll")]).filter("n > 2")
+    gain = F.when(F.col("ll") > 0, F.col("dl") * F.col("dl") / F.col("ll")).otherwise(0.0)
+    both_models = fourier.unionByName(sums.select("series_key", F.lit("difference_ar").alias("model"), (F.col("dd") - gain).alias("sse"), "n", F.lit(1).alias("k")))
+    base = F.col("n") * F.log(F.greatest(F.col("sse"), F.lit(1e-300)) / F.col("n"))
+    return both_models.select("series_key", "model", (base + 2 * F.col("k")).alias("aic"), (base + F.col("k") * F.log("n")).alias("bic"))
+
+
 FOLDS = "series_key string, fold int, model string, actual double, forecast double"
 
 

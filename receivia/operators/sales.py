@@ -427,6 +427,23 @@ def natural_key(c: Column) -> Column:
     return F.struct(F.when(number.isNotNull(), 0).when(c.isNotNull(), 1).otherwise(2).alias("kind"), F.coalesce(number, F.lit(0.0)).alias("number"), F.lower(c).alias("folded"), c.alias("text"))
 
 
+def ledger(headers: DataFrame, lines: DataFrame, receipts: DataFrame, returns: DataFrame) -> DataFrame:
+    """The statements of all customers: customer_code, date, kind (invoice, item, receipt, return), ref, item_code, qty, amount
+    and balance. Items stand under their invoice and don't change the balance, which runs over a customer's other
+    rows in order of date, kind and ref."""
+    null = lambda c, t: F.lit(None).cast(t).alias(c)
+    plain = (null("item_code", "string"), null("qty", "double"), null("seq", "int"))
+    money = lambda c: c.cast("decimal(20,6)").alias("amount")
+    bills = headers.select("customer_code", F.col("invoice_date").alias("date"), F.lit("invoice").alias("kind"), F.col("invoice_no").cast("string").alias("ref"), *plain, money(F.col("reported_total")))
+    paid = lambda df, kind, value: df.select("customer_code", "date", F.lit(kind).alias("kind"), F.col("doc_ref").cast("string").alias("ref"), *plain, money(-F.col(value)))
+    items = lines.select("customer_code", F.col("invoice_date").alias("date"), F.lit("item").alias("kind"), F.col("invoice_no").cast("string").alias("ref"), "item_code", F.col("qty").cast("double").alias("qty"), F.col("seq").cast("int").alias("seq"), money(F.col("line_total")))
+    rows = bills.unionByName(paid(receipts, "receipt", "amount")).unionByName(paid(returns, "return", "value")).unionByName(items)
+    group = F.when(F.col("kind") == "item", "invoice").otherwise(F.col("kind"))
+    w = W.partitionBy("customer_code").orderBy("date", group, "ref", F.col("seq").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0)
+    moved = F.when(F.col("kind") != "item", F.col("amount"))
+    return rows.select("customer_code", "date", "kind", "ref", "item_code", "qty", "seq", F.col("amount").cast("double").alias("amount"), F.coalesce(F.sum(moved).over(w), F.lit(0)).cast("double").alias("balance"))
+
+
 def statement(headers: DataFrame, receipts: DataFrame, code: str) -> DataFrame:
     """One customer's invoices and receipts in order of date, with the running balance."""
     bills = headers.filter(F.col("customer_code") == code).select(F.col("invoice_date").alias("date"), F.lit("invoice").alias("kind"), F.col("invoice_no").cast("string").alias("ref"), F.col("reported_total").alias("amount"))

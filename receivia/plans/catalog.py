@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from receivia.functions.scalars import clip, display_name, invoice_status, month_label, parse_date, parse_number, parse_number_or_zero, rate_class, ratio, to_numbers, usable_name
+from receivia.functions.scalars import clip, display_name, invoice_status, month_label, month_of_text, parse_date, parse_number, parse_number_or_zero, rate_class, ratio, to_numbers, usable_name
 from receivia.operators import attribution, finance, forecast, quality, receivables, sales, series
 from receivia.plans.view import AS_OF, CUTOFF, Sales, sql
 from receivia.sources import readers, sinks
@@ -1207,3 +1207,55 @@ def each_filter(m: Sales) -> DataFrame:
 
     first, *rest = map(one, given)
     return series.sum_union([first, *rest])
+
+
+@query(""", al AS (SELECT customer_code, invoice_date AS date, 'invoice' AS kind, 'invoice' AS grp, CAST(invoice_no AS VARCHAR) AS ref, NULL AS item_code, CAST(NULL AS DOUBLE) AS qty, CAST(NULL AS INTEGER) AS seq, reported_total AS amount, reported_total AS moved FROM headers UNION ALL SELECT customer_code, date, 'receipt', 'receipt', CAST(doc_ref AS VARCHAR), NULL, NULL, NULL, -amount, -amount FROM receipts UNION ALL SELECT customer_code, date, 'return', 'return', CAST(doc_ref AS VARCHAR), NULL, NULL, NULL, -amount, -amount FROM returns
+  UNION ALL SELECT customer_code, invoice_date, 'item', 'invoice', CAST(invoice_no AS VARCHAR), item_code, CAST(qty AS DOUBLE), CAST(seq AS INTEGER), line_total, NULL FROM lines)
+ SELECT customer_code, date, kind, ref, item_code, qty, seq, CAST(amount AS DOUBLE) AS amount, coalesce(CAST(sum(moved) OVER (PARTITION BY customer_code ORDER BY date, grp, ref, seq NULLS FIRST ROWS UNBOUNDED PRECEDING) AS DOUBLE), 0) AS balance FROM al""")
+def customer_ledgers(m: Sales) -> DataFrame:
+    return sales.ledger(m.headers, m.lines, m.receipts, m.returns)
+
+
+@query(" SELECT invoice_no, month AS padded, month AS plain, month AS slashed, month AS tight, CAST(NULL AS VARCHAR) AS none FROM headers")
+def months_of_texts(m: Sales) -> DataFrame:
+    day = F.col("invoice_date")
+    text = {"padded": F.date_format(day, "yyyy-MM-dd"), "plain": F.date_format(day, "yyyy-M"), "slashed": F.date_format(day, " yyyy/M/d"), "tight": F.date_format(day, "yyyyMM"), "none": F.concat(F.date_format(day, "yyyy"), F.lit("-13"))}
+    return m.headers.select("invoice_no", *[month_of_text(c).alias(k) for k, c in text.items()])
+
+
+@query(""", k AS (SELECT customer_code, customer_name, rep, city, CAST(customer_code AS INTEGER) // 40 AS page FROM customers) SELECT rep AS doc, page, row_number() OVER (PARTITION BY rep, page ORDER BY CAST(customer_code AS INTEGER)) AS "row", split_part(customer_name, '#', 2) || ' Customer' AS name, city, customer_code AS code FROM k""")
+def page_records(m: Sales) -> DataFrame:
+    """Words laid out on pages, as a document has them, and the records that gaps and bands give again."""
+    code = F.col("customer_code").cast("int")
+    placed = m.customers.withColumn("page", F.floor(code / 40).cast("int")).withColumn("y", 20.0 * F.row_number().over(W.partitionBy("rep", "page").orderBy(code)))
+    word = lambda x, dy, c: F.struct(F.lit(float(x)).alias("x0"), F.lit(float(dy)).alias("dy"), c.alias("word"))
+    words = F.array(word(300, 0.4, F.split("customer_name", "#")[0]), word(340, 0, F.split("customer_name", "#")[1]), word(120, 1.1, F.col("city")), word(20, 0.7, F.col("customer_code")))
+    laid = placed.select(F.col("rep").alias("doc"), "page", "y", F.explode(words).alias("w")).select("doc", "page", F.col("w.x0").alias("x0"), (F.col("y") + F.col("w.dy")).alias("y0"), F.col("w.word").alias("word"))
+    return readers.page_table(laid, 5.0, [("name", 250, 1000), ("city", 100, 250), ("code", 0, 100)])
+
+
+_PACF = ACF + ", l0 AS (SELECT series_key, any_value(n) AS n, " + ", ".join(f"max(r * n / (n - lag)) FILTER (lag = {k}) AS r{k}" for k in range(9)) + " FROM acf GROUP BY 1), l1 AS (SELECT *, r1 AS v1, r1 AS f1 FROM l0 WHERE n >= 8)"
+for _k in range(2, 9):
+    _v = f"(r{_k} - (" + " + ".join(f"f{j} * r{_k - j}" for j in range(1, _k)) + ")) / (1 - (" + " + ".join(f"f{j} * r{j}" for j in range(1, _k)) + "))"
+    _PACF += f", w{_k} AS (SELECT *, {_v} AS v{_k} FROM l{_k - 1}), l{_k} AS (SELECT * EXCLUDE (" + ", ".join(f"f{j}" for j in range(1, _k)) + "), " + ", ".join(f"f{j} - v{_k} * f{_k - j} AS f{j}" for j in range(1, _k)) + f", v{_k} AS f{_k} FROM w{_k})"
+
+
+@query(_PACF + " SELECT series_key, CAST(lag AS INTEGER) AS lag, round(v, 6) AS pacf FROM (SELECT series_key, n, unnest(range(0, 9)) AS lag, unnest([1.0, " + ", ".join(f"v{k}" for k in range(1, 9)) + "]) AS v FROM l8) WHERE lag <= least(8, n // 2 - 1)")
+def brand_partial_autocorrelation(m: Sales) -> DataFrame:
+    return series.partial_autocorrelation(_panel(m)).withColumn("pacf", F.round("pacf", 6))
+
+
+@query(HARMONIC + """, ss AS (SELECT series_key, 'fourier' AS model, sum(e * e) AS sse, count(*) AS n, 4 AS k FROM r GROUP BY 1 UNION ALL SELECT series_key, 'difference_ar', sum(d * d) FILTER (l IS NOT NULL) - CASE WHEN sum(l * l) FILTER (d IS NOT NULL) > 0 THEN sum(d * l) ** 2 / sum(l * l) FILTER (d IS NOT NULL) ELSE 0 END, count(*), 1 FROM (SELECT series_key, d, lag(d) OVER (PARTITION BY series_key ORDER BY t) AS l FROM (SELECT series_key, t, y - lag(y) OVER (PARTITION BY series_key ORDER BY t) AS d FROM panel)) GROUP BY 1)
+ SELECT series_key, model, round(n * ln(greatest(sse, 1e-300) / n) + 2 * k, 6) AS aic, round(n * ln(greatest(sse, 1e-300) / n) + k * ln(n), 6) AS bic FROM ss""")
+def brand_closed_information(m: Sales) -> DataFrame:
+    found = forecast.closed_information(_panel(m))
+    return found.select("series_key", "model", F.round("aic", 6).alias("aic"), F.round("bic", 6).alias("bic"))
+
+
+@query(PANEL + """, sh AS (SELECT series_key, t, y, max(t) OVER () AS last FROM panel), f AS (SELECT series_key, arg_max(y, t) AS f, stddev_pop(y) AS s FROM sh WHERE t > last - 5 GROUP BY 1)
+ SELECT series_key, step, 'naive_fallback' AS method, round(f, 4) AS forecast, round(greatest(f - 1.96 * s * sqrt(step), 0), 4) AS lower, round(f + 1.96 * s * sqrt(step), 4) AS upper FROM f CROSS JOIN (SELECT CAST(unnest(range(1, 7)) AS INTEGER) AS step)""")
+def short_panel_forecast(m: Sales) -> DataFrame:
+    """The last five months of every brand: too few for a fit."""
+    p = _panel(m)
+    late = p.crossJoin(p.agg(F.max("t").alias("last"))).filter("t > last - 5").withColumn("t", F.col("t") - F.col("last") + 5)
+    return forecast.panel_forecast(late).select("series_key", "step", "method", *[F.round(c, 4).alias(c) for c in ("forecast", "lower", "upper")])
