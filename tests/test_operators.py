@@ -1,6 +1,7 @@
 """Small cases with results worked out by hand."""
 
 import datetime as dt
+import decimal
 import math
 
 import numpy as np
@@ -215,3 +216,79 @@ def test_fifo_keeps_balance(spark, bills, balance):
     owed = spark.createDataFrame([("a", float(balance))], "customer_code string, balance double")
     total = receivables.fifo(heads, owed, "2026-02-01", "2025-12-01").agg(F.sum("unpaid")).first()[0] or 0
     assert math.isclose(total, max(0, balance), abs_tol=0.01)
+
+
+def test_month_of_text(spark):
+    texts = {"2025-3": "2025-03", "2025-03-09": "2025-03", " 2025/11/2": "2025-11", "2025.1": "2025-01", "202507": "2025-07", "2025-13": None, "2025-0": None, "20250709": None, "x2025-1": None, "": None}
+    found = spark.createDataFrame([(t,) for t in [*texts, None]], "t string").select("t", S.month_of_text(F.col("t")).alias("m")).collect()
+    assert {r["t"]: r["m"] for r in found} == texts | {None: None}
+
+
+def test_blocks_of_one_large_file(spark, tmp_path):
+    """A file is split at headings: several tasks, no block lost or cut."""
+    blocks = [f"## invoice {i} — 2025/1/2\nline {i}\n" + "x" * 300 for i in range(4000)]
+    (tmp_path / "one.txt").write_text("\n".join(blocks) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "128k")
+    try:
+        found = readers.read_blocks(spark, str(tmp_path / "one.txt"))
+        assert found.rdd.getNumPartitions() > 4
+        assert sorted(r["value"].rstrip("\n") for r in found.collect()) == sorted(b.removeprefix("## ") for b in blocks)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_labels_and_fence(spark):
+    text = "## fatura 9 — 2025/3/4\nkod: outside\n```\nkod: C1\nisim: Ada\n1 A7 tin box 2 10 0.1 18\n2 A8 jar 1 5 0 0.1 4.5\n```\ntoplam: 22.5\n3 A9 after 1 1 0 0 1\n"
+    names = readers.LABELS | {"code": "kod", "name": "isim", "total": "toplam"}
+    rows = sorted(readers.fenced_invoices(spark.createDataFrame([(text,)], "value string"), least_numbers=4, labels=names).collect(), key=lambda r: r["seq"])
+    assert [(r["seq"], r["item_name"], r["customer_code"], r["customer_name"], float(r["line_total"]), r["tax_pct"] and float(r["tax_pct"])) for r in rows] == [(1, "tin box", "C1", "Ada", 18, None), (2, "jar", "C1", "Ada", 4.5, 0.1)]
+    assert float(rows[0]["invoice_reported_total"]) == 22.5
+
+
+def test_nested_nan(spark):
+    nan, inf = float("nan"), float("inf")
+    df = spark.createDataFrame([(1, (nan, [{"k": nan, "l": 2.0}, None]), inf, None), (2, None, 1.0, [nan, 3.0])], "i int, s struct<a: double, b: array<map<string, double>>>, x float, y array<double>")
+    one_, two = (r.asDict(True) for r in sinks.without_nan(df).orderBy("i").collect())
+    assert one_ == {"i": 1, "s": {"a": None, "b": [{"k": None, "l": 2.0}, None]}, "x": None, "y": None} and two == {"i": 2, "s": None, "x": 1.0, "y": [None, 3.0]}
+
+
+def test_nested_sets(spark):
+    rows = [("r1", "b1", "i1", 5, 1), ("r1", "b1", "i2", 9, 1), ("r1", "b2", "i1", 20, 1), ("r2", "b1", "i9", 100, 2), ("r3", "b1", "i1", 0, 0), ("r3", "b1", "i2", 0, 0)]
+    df = spark.createDataFrame([(a, b, c, decimal.Decimal(v), q) for a, b, c, v, q in rows], "rep string, brand string, item_code string, line_total decimal(12,2), qty int")
+    got = sorted((r["first"], r["last"], r["level"], r["rep"], r["brand"], r["item_code"], r["sales"]) for r in sales.nested_sets(df, ("rep", "brand", "item_code")).collect())
+    r1 = [(4, 9, 1, "r1", None, None, 34), (5, 6, 2, "r1", "b2", None, 20), (6, 6, 3, "r1", "b2", "i1", 20), (7, 9, 2, "r1", "b1", None, 14), (8, 8, 3, "r1", "b1", "i2", 9), (9, 9, 3, "r1", "b1", "i1", 5)]
+    r2, r3 = [(1, 3, 1, "r2", None, None, 100), (2, 3, 2, "r2", "b1", None, 100), (3, 3, 3, "r2", "b1", "i9", 100)], [(10, 13, 1, "r3", None, None, 0), (11, 13, 2, "r3", "b1", None, 0), (12, 12, 3, "r3", "b1", "i1", 0), (13, 13, 3, "r3", "b1", "i2", 0)]
+    assert got == r2 + r1 + r3
+    assert sales.nested_sets(df.limit(0), ("rep", "brand")).count() == 0
+
+
+def test_unit_roots_against_least_squares(spark):
+    """Statistic and lags as plain least squares give them, with the lags that AIC chooses."""
+    rng = np.random.default_rng(3)
+    made = {"walk": 1e6 + np.cumsum(rng.normal(0, 1e4, 40)), "noise": rng.gamma(2, 100, 60), "sparse": np.where(rng.random(80) < 0.3, rng.gamma(2, 100, 80), 0.0), "short": rng.normal(0, 1, 9), "flat": np.ones(20)}
+    p = spark.createDataFrame([(k, i + 1, "m", float(v)) for k, y in made.items() for i, v in enumerate(y)], "series_key string, t int, month string, y double")
+
+    def plain(y, lags, drop):
+        d, at = np.diff(y), np.arange(drop, len(y) - 1)
+        x = np.column_stack([np.ones(len(at)), *(d[at - k] for k in range(1, lags + 1)), y[at] - y.mean()])
+        b, rest = np.linalg.lstsq(x, d[at], rcond=None)[0], 0
+        rest = d[at] - x @ b
+        s2 = rest @ rest / (len(at) - x.shape[1])
+        return b[-1] / np.sqrt(s2 * np.linalg.pinv(x.T @ x)[-1, -1]), len(at) * np.log(rest @ rest / len(at)) + 2 * lags
+
+    found = {r["series_key"]: r for r in series.unit_roots(p).collect()}
+    assert found.keys() == {"walk", "noise", "sparse"}
+    for k, r in found.items():
+        y = made[k]
+        most = min(math.ceil(12 * (len(y) / 100) ** 0.25), len(y) // 2 - 2)
+        lags = min(range(most + 1), key=lambda n: plain(y, n, most)[1])
+        assert r["lags"] == lags and math.isclose(r["stat"], plain(y, lags, lags)[0], rel_tol=1e-6) and 0 <= r["p"] <= 1
+    tested = {r["series_key"]: r for r in series.white(p).collect()}
+    assert tested.keys() == {"walk", "noise", "sparse"} and all(r["df"] == 8 and 0 < r["p"] < 1 for r in tested.values())
+
+
+def test_smoothing_of_all_origins():
+    y = np.random.default_rng(1).gamma(2, 100, 30) + np.arange(30) * 3
+    for trend, fit in ((True, forecast.fit_holt), (False, forecast.fit_ses)):
+        assert np.allclose(forecast._Smoothing(y, 10, trend).forecasts(), [fit(y[:n], 1)[0][0] for n in range(10, 30)], rtol=1e-3)
