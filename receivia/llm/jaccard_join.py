@@ -184,12 +184,12 @@ def linked_pairs(docs: DataFrame, pairs: DataFrame, classes: DataFrame, n: int,
     return overlap.filter(den * F.col("overlap") >= num * (F.col("su") + F.col("sv") - F.col("overlap"))).select("u", "v")
 
 
-def linked_classes(known: DataFrame, places: DataFrame, classes: DataFrame, *, n: int, num: int, den: int, pruned: Callable[[DataFrame, DataFrame], DataFrame], links: DataFrame | None = None) -> DataFrame:
-    """class, component of the classes that link with others, out of places (key, place, class): classes
+def linked_classes(known: DataFrame, places: DataFrame, most: int, classes: DataFrame, *, n: int, num: int, den: int, pruned: Callable[[DataFrame, DataFrame], DataFrame], links: DataFrame | None = None) -> DataFrame:
+    """class, component of the classes that link with others, out of places (key, place, class; most rows at most): classes
     that link share a key at which their places allow it. The class of a key with the least place leads;
     pruned(pairs, met) may leave out pairs that can't link; links (u, v) are known already."""
     leaders = cut(places.groupBy("key").agg(F.min_by(F.struct("class", "place"), F.struct("place", "class")).alias("lead"), F.min("class").alias("a"), F.max("class").alias("b")).filter("a < b").select("key", "lead.class", "lead.place").toDF("key", "lead", "lead_place"))
-    met = cut(places.join(leaders, "key"))  # as many files as the join has tasks: nothing bounds its rows
+    met = cut(places.join(leaders, "key"), most)  # neither reads nor gives more rows than places has
     rows = met.count()
 
     def to_links(found: DataFrame) -> DataFrame:
@@ -249,6 +249,7 @@ def prefix_links(known: DataFrame, seen: DataFrame, classes: DataFrame, *, n: in
     hot = frequent["gram"].to_numpy(np.int64).view(_U)
     by = np.argsort(hot)
     order = known.sparkSession.sparkContext.broadcast((hot[by], frequent["times"].to_numpy(np.int64)[by]))
+    most = seen.filter("size > 0").agg(F.sum(F.col("size") - F.ceil(num * F.col("size") / F.lit(den)) + 1)).first()[0] or 0  # of all prefixes
     kept: list[DataFrame] = []
 
     def pruned(pairs: DataFrame, met: DataFrame) -> DataFrame:
@@ -262,7 +263,7 @@ def prefix_links(known: DataFrame, seen: DataFrame, classes: DataFrame, *, n: in
         most = F.size(F.array_intersect("ku", "kv")) + F.greatest(rest("su"), rest("sv"))
         return both.filter(most >= _need(F.col("su"), F.col("sv"), num, den)).select("u", "v", "su", "sv")
 
-    return linked_classes(known, _prefixes(known, n, num, den, order), classes, n=n, num=num, den=den, pruned=pruned, links=links)
+    return linked_classes(known, _prefixes(known, n, num, den, order), most, classes, n=n, num=num, den=den, pruned=pruned, links=links)
 
 
 def named(own: DataFrame, classes: DataFrame, linked: DataFrame) -> DataFrame:

@@ -100,7 +100,7 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, num: int = 17, den: int = 20
     classes = cut(own.filter("size > 0 AND doc_id IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
     places = seen.filter("buckets IS NOT NULL").select(F.explode("buckets").alias("key"), "size", "class")
     leaders = cut(places.groupBy("key").agg(F.min_by(F.struct("class", "size"), F.xxhash64("key", "class")).alias("lead"), F.min("class").alias("a"), F.max("class").alias("b")).filter("a < b").select("key", F.col("lead.class").alias("lead"), F.col("lead.size").alias("lead_size")))
-    met = cut(places.join(leaders, "key").filter("class <> lead").select("key", F.least("class", "lead").alias("u"), F.greatest("class", "lead").alias("v"), "class", "size", "lead_size"))
+    met = cut(places.join(leaders, "key").filter("class <> lead").select("key", F.least("class", "lead").alias("u"), F.greatest("class", "lead").alias("v"), "class", "size", "lead_size"), BANDS * seen.count())
     near = met.filter(den * F.least("size", "lead_size") >= num * F.greatest("size", "lead_size"))
     first = F.col("class") == F.col("u")
     pairs = near.select("u", "v", F.when(first, F.col("size")).otherwise(F.col("lead_size")).alias("su"), F.when(first, F.col("lead_size")).otherwise(F.col("size")).alias("sv")).distinct()
@@ -109,7 +109,7 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, num: int = 17, den: int = 20
     open_ = cut(met.join(links, ["u", "v"], "left_anti").select("key").distinct())
     rest = met.join(open_, "key").select(F.explode(F.array("u", "v")).alias("class")).distinct().join(classes, "class").select(F.col("first").alias("doc_id"))
     some = may_be_member(known, F.xxhash64("doc_id"), member_bits(cut(rest), "doc_id")).select("doc_id", F.lit(0).cast("long").alias("tag"), "text")
-    linked = prefix_links(some, summary(some, n), classes, n=n, num=num, den=den, links=links)
+    linked = prefix_links(some, cut(summary(some, n)), classes, n=n, num=num, den=den, links=links)
     return named(own, classes, linked).withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
