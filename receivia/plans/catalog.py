@@ -528,13 +528,6 @@ def customer_dimension(m: Sales) -> DataFrame:
     return attribution.customer_dimension(m.headers, m.customers, m.customers)
 
 
-@query()
-def item_dimension(m: Sales) -> DataFrame:
-    names = m.goods.select(F.regexp_extract("item_name", r"^(\S+)", 1).alias("w")).distinct().orderBy("w").limit(8)  # a reference table out of the data's own words
-    master = names.select(F.concat("w", F.lit(" ware")).alias("name"), F.upper("w").alias("brand"), F.lit("12 a box").alias("carton_capacity"))
-    return attribution.item_dimension(m.goods, master, [("(?i)a", "with a"), ("(?i)e", "with e")])
-
-
 #: A master of item names as a fixed reference table: some within item names or around them, some misspelt.
 MASTER = [("Red Widget XL", "Ridge", "12 a box"), ("blue-bolt", "Ridge", "24 a box"), ("bolt, blue", "Other", "6"), ("smal rnig", "Ringo", "10 rings"), ("cold anvil", "Forge", None), ("clod anvil No. 2", "Forge", "2"), ("hotgear", "Gearo", "40 / box"), ("old plates", "Plato", "8 a box"), ("lrge gizmo", "Gizmo", "5"), ("nwe rdo", "Rodo", "9"), ("", "Nobody", "1")]
 KEYWORDS = [("(?i)widget", "any widget"), ("(?i)g", "with g")]
@@ -557,15 +550,25 @@ def _reference(m: Sales, rows: list, schema: str) -> DataFrame:
     return m.spark.createDataFrame(rows, schema)
 
 
-@query(MATCHED + r""", tot AS (SELECT item_code, CAST(sum(line_total) AS DOUBLE) AS total_revenue, CAST(sum(qty) AS DOUBLE) AS total_qty, count(*) AS n_lines FROM lines GROUP BY 1)
- SELECT item_code, item_name, matched.brand, master_name, match_type, CAST(nullif(regexp_extract(cap, '(\d+)', 1), '') AS DOUBLE) AS pack, total_revenue, total_qty, n_lines FROM matched JOIN tot USING (item_code) LEFT JOIN ms ON ms.name = master_name""")
+_MATCHED_ROWS = r""", tot AS (SELECT item_code, CAST(sum(line_total) AS DOUBLE) AS total_revenue, CAST(sum(qty) AS DOUBLE) AS total_qty, count(*) AS n_lines FROM lines GROUP BY 1)
+ SELECT item_code, item_name, matched.brand, master_name, match_type, CAST(nullif(regexp_extract(cap, '(\d+)', 1), '') AS DOUBLE) AS pack, total_revenue, total_qty, n_lines FROM matched JOIN tot USING (item_code) LEFT JOIN ms ON ms.name = master_name"""
+
+
+@query(MATCHED + _MATCHED_ROWS)
 def matched_items(m: Sales) -> DataFrame:
     master = _reference(m, MASTER, "name string, brand string, carton_capacity string")
     overrides = _reference(m, OVERRIDES, "item_code string, brand string")
     return attribution.item_dimension(m.goods, master, KEYWORDS, overrides)
 
 
-ORACLES["matched_items"] = ORACLES["matched_items"].replace("WITH ", "WITH RECURSIVE ", 1)
+@query(MATCHED + _MATCHED_ROWS.replace("matched.brand", "found.brand").replace("FROM matched JOIN", "FROM found JOIN"))
+def item_dimension(m: Sales) -> DataFrame:
+    """Without overrides."""
+    return attribution.item_dimension(m.goods, _reference(m, MASTER, "name string, brand string, carton_capacity string"), KEYWORDS)
+
+
+for _name in ("matched_items", "item_dimension"):
+    ORACLES[_name] = ORACLES[_name].replace("WITH ", "WITH RECURSIVE ", 1)
 
 # Sets
 
