@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from receivia.llm.common import cut, in_arrow, quoted, table
 
 K, SCALE, PIVOTS, SAMPLE, SCOUTS, QUERY_BLOCK, BLOCK = 20, 64, 16, 512, 32_768, 4096, 4096
+#: Bytes of scouts, as doubles, at most: of wider vectors there are fewer.
+SCOUT_BYTES = 1 << 24
 #: Queries that a task holds against a block at once.
 TILE = 256
 #: Room for rounding in the bounds; scores are whole numbers.
@@ -138,7 +140,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     n, width, most = vectors.agg(F.count("*"), F.max(F.size("v")), F.max(F.array_max(F.transform("v", F.abs)))).first()
     width = width or 1
     kind = np.float32 if width * (most or 0) ** 2 < 1 << 23 else np.float64  # whole numbers that are exact
-    ids, scouts = _first(vectors, SCOUTS, width)
+    ids, scouts = _first(vectors, max(SAMPLE, min(SCOUTS, SCOUT_BYTES // (8 * width))), width)
     pivots = choose_pivots(scouts[:SAMPLE])
     known = vectors.sparkSession.sparkContext.broadcast((ids, scouts.astype(kind)))
     indexed, asked = index(vectors, pivots, width, kind), with_least(cut(index(queries, pivots, width, kind)), known, k, kind)
