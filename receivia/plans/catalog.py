@@ -1124,7 +1124,7 @@ def json_read_back(m: Sales) -> DataFrame:
 
 
 @query(_CUSTOMERS_BACK)
-def optional_read_back(m: Sales) -> DataFrame:
+def absent_file_read_back(m: Sales) -> DataFrame:
     """A file that is there, with one that isn't."""
     path = sinks.scratch(m.spark)
     sinks.write_csv(_customer_rows(m), path)
