@@ -41,13 +41,18 @@ def in_order() -> WindowSpec:
 
 def panel(df: DataFrame, key: str | None, period: str, value: str) -> DataFrame:
     """series_key, t, month, y with every period of the data for every key, absent ones as 0. Keys, periods and
-    values all come from one table of sums; each reads all its columns, so that Spark makes it once."""
+    values all come from one table of sums; each reads all its columns, so that Spark makes it once. A key's periods
+    meet in one row before absent ones are added, so that what follows finds its rows by series_key without moving them."""
     k = F.lit("all") if key is None else F.col(key)
     by = df.groupBy(k.alias("series_key"), F.col(period).alias("month")).agg(F.sum(value).cast("double").alias("y"))
-    of = lambda c: by.groupBy(c).agg(F.count("y").alias("_n")).filter("_n >= 0").select(c)
-    months = of("month").withColumn("t", F.row_number().over(W.orderBy("month")))
-    grid = of("series_key").crossJoin(F.broadcast(months))  # a few hundred periods at most
-    return grid.join(by, ["series_key", "month"], "left").fillna(0.0, ["y"]).select("series_key", "t", "month", "y")
+    months = by.groupBy("month").agg(F.count("y").alias("_n")).filter("_n >= 0").select("month").withColumn("t", F.row_number().over(W.orderBy("month")))
+    dated = by.join(F.broadcast(months), "month", "left")  # a few hundred periods at most
+    known = F.map_from_entries(F.filter(F.collect_list(F.struct("t", "y")), lambda r: r["t"].isNotNull()))
+    keys = dated.groupBy("series_key").agg(F.when(F.col("series_key").isNotNull(), known).alias("_y"))
+    every = months.agg(F.array_sort(F.collect_list(F.struct("t", "month"))).alias("_months"))
+    y = lambda r: F.coalesce(F.try_element_at("_y", r["t"]), F.lit(0.0))
+    rows = F.transform("_months", lambda r: F.struct(r["t"].alias("t"), r["month"].alias("month"), y(r).alias("y")))
+    return keys.crossJoin(F.broadcast(every)).select("series_key", F.inline(rows))
 
 
 def autocorrelation(p: DataFrame, lags: int = 8) -> DataFrame:
