@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -42,11 +43,11 @@ def difference_ar(p: DataFrame, horizon: int) -> DataFrame:
 # Fits of one series.
 
 
-def _holt_errors(y: np.ndarray, a: float, b: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One-step errors for zero initial level and slope, and how they depend on the two."""
+def _holt_errors(y: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One-step errors for zero initial level and slope, and how they depend on the two. y has months by series."""
     out = []
-    for level, slope, own in ((0.0, 0.0, y), (1.0, 0.0, 0 * y), (0.0, 1.0, 0 * y)):
-        errors = np.empty(len(y))
+    for start, trend, own in ((0.0, 0.0, y), (1.0, 0.0, 0 * y), (0.0, 1.0, 0 * y)):
+        errors, level, slope = np.empty(y.shape), start, trend
         for i, v in enumerate(own):
             errors[i] = v - level - slope
             before, level = level, a * v + (1 - a) * (level + slope)
@@ -55,37 +56,52 @@ def _holt_errors(y: np.ndarray, a: float, b: float) -> tuple[np.ndarray, np.ndar
     return out[0], out[1], out[2]
 
 
-def _holt_at(y: np.ndarray, a: float, b: float) -> tuple[float, np.ndarray]:
-    e, by_level, by_slope = _holt_errors(y, a, b)
-    start, rest = least_squares(np.column_stack([-by_level, -by_slope]), e)
-    return float(rest @ rest), start
+def _solved(e: np.ndarray, *by: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sum of squares and best start of each series (a column) from its errors and how they depend on the start."""
+    sse, start = np.empty(e.shape[1]), np.empty((len(by), e.shape[1]))
+    for s in range(e.shape[1]):
+        start[:, s], rest = least_squares(np.column_stack([-g[:, s] for g in by]), np.ascontiguousarray(e[:, s]))
+        sse[s] = rest @ rest
+    return sse, start
 
 
-def _without(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+def _holt_at(y: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sum of squares and best start, of one series or of many (months by series)."""
+    sse, start = _solved(*_holt_errors(y.reshape(len(y), -1), a, b))
+    return sse.reshape(y.shape[1:]), start.reshape(-1, *y.shape[1:])
+
+
+def _without(x: np.ndarray, y: np.ndarray, size: np.ndarray | None = None) -> np.ndarray:
     """Columns of y less their part along those of x."""
-    size = (x * x).sum(axis=0)
-    return y - x * np.divide((x * y).sum(axis=0), size, out=np.zeros_like(size), where=size > 0)
+    product = x * y
+    part = product.sum(axis=0)
+    size = np.multiply(x, x, out=product).sum(axis=0) if size is None else size
+    np.multiply(x, np.divide(part, size, out=np.zeros_like(size), where=size > 0), out=product)
+    return np.subtract(y, product, out=product)
 
 
 def _holt_losses(y: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Sums of squares as _holt_at gives them, for many parameters at once."""
-    level, slope = np.zeros((3, len(a))), np.zeros((3, len(a)))
+    """Sums of squares as _holt_at gives them, for many parameters (and series: months first) at once."""
+    level, slope, step = np.zeros((3, *a.shape)), np.zeros((3, *a.shape)), np.empty((3, *a.shape))
     level[1], slope[2] = 1.0, 1.0
-    errors = np.empty((len(y), 3, len(a)))
+    errors, ab = np.empty((3, len(y), *a.shape)), a * b
     for i, v in enumerate(y):
-        e = -level - slope
+        e = errors[:, i]
+        np.negative(np.add(level, slope, out=step), out=e)
         e[0] += v
-        errors[i] = e
-        level, slope = level + slope + a * e, slope + a * b * e
-    rest, by_level, by_slope = errors[:, 0], errors[:, 1], errors[:, 2]
-    by_slope = _without(by_level, by_slope)
-    rest = _without(by_slope, _without(by_level, rest))
-    return (rest * rest).sum(axis=0)
+        level += slope
+        level += np.multiply(a, e, out=step)
+        slope += np.multiply(ab, e, out=step)
+    rest, by_level, by_slope = errors
+    size = (by_level * by_level).sum(axis=0)
+    by_slope = _without(by_level, by_slope, size)
+    rest = _without(by_slope, _without(by_level, rest, size))
+    return np.multiply(rest, rest, out=by_slope).sum(axis=0)
 
 
 def _ses_losses(y: np.ndarray, a: np.ndarray) -> np.ndarray:
-    e, g = np.empty((len(y), len(a))), np.empty((len(y), len(a)))
-    level, lead = np.zeros(len(a)), np.ones(len(a))
+    e, g = np.empty((len(y), *a.shape)), np.empty((len(y), *a.shape))
+    level, lead = np.zeros(a.shape), np.ones(a.shape)
     for i, v in enumerate(y):
         e[i], g[i] = v - level, lead
         level, lead = level + a * (v - level), lead * (1 - a)
@@ -93,42 +109,74 @@ def _ses_losses(y: np.ndarray, a: np.ndarray) -> np.ndarray:
     return (rest * rest).sum(axis=0)
 
 
-def _search(losses, low: list[float], high: list[float], rounds: int = 7, points: int = 7) -> list[float]:
-    """The best point of a grid that closes in on its best cell; losses takes columns of points."""
-    low, high, best = list(low), list(high), None
+def _search(losses, low: list[float], high: list[float], series: int = 1, rounds: int = 7, points: int = 7) -> np.ndarray:
+    """The best point (axis by series) of a grid of each series that closes in on its best cell; losses takes
+    the grids' coordinates as series by point."""
+    low, high = [np.repeat(np.array(x, float)[:, None], series, axis=1) for x in (low, high)]
     for _ in range(rounds):
-        axes = [np.linspace(lo, hi, points) for lo, hi in zip(low, high, strict=True)]
-        grid = np.stack(np.meshgrid(*axes), -1).reshape(-1, len(axes))
-        best = grid[np.argmin(losses(*grid.T))].tolist()
-        step = [(hi - lo) / (points - 1) for lo, hi in zip(low, high, strict=True)]
-        low, high = [max(b - s, lo) for b, s, lo in zip(best, step, low, strict=True)], [min(b + s, hi) for b, s, hi in zip(best, step, high, strict=True)]
+        axes = np.linspace(low, high, points, axis=-1)
+        n = len(axes)
+        grid = np.stack([np.broadcast_to(x.reshape(series, *[points if j == n - 1 - i else 1 for j in range(n)]), (series, *[points] * n)).reshape(series, -1) for i, x in enumerate(axes)])
+        at = losses(*grid).argmin(axis=1)
+        best = np.take_along_axis(grid, np.broadcast_to(at[None, :, None], (n, series, 1)), axis=2)[..., 0]
+        step = (high - low) / (points - 1)
+        low, high = np.maximum(best - step, low), np.minimum(best + step, high)
     return best
 
 
-def fit_holt(y: np.ndarray, horizon: int) -> tuple[np.ndarray, float, int]:
-    """Linear trend smoothing; forecast, sum of squares, parameters. The start is solved for."""
-    a, b = _search(lambda a, b: _holt_losses(y, a, a * b), [1e-4, 1e-4], [0.9999, 0.9999])
+#: Series that a search takes together, so that its arrays stay in the processor's cache.
+HOLT_TOGETHER, SES_TOGETHER = 16, 128
+
+
+def _together(fit, y: np.ndarray, horizon: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Forecasts and sums of squares of all rows of y (series by months), size series at a time."""
+    f, sse = np.empty((len(y), horizon)), np.empty(len(y))
+    for i in range(0, len(y), size):
+        f[i : i + size], sse[i : i + size] = fit(y[i : i + size].T, horizon)
+    return f, sse
+
+
+def _holt(y: np.ndarray, horizon: int) -> tuple[np.ndarray, np.ndarray]:
+    n = y.shape[1]
+    a, b = _search(lambda a, b: _holt_losses(y[:, :, None], a, a * b), [1e-4, 1e-4], [0.9999, 0.9999], n)
     b = a * b
     sse, (level, slope) = _holt_at(y, a, b)
     for v in y:
         before, level = level, a * v + (1 - a) * (level + slope)
         slope = b * (level - before) + (1 - b) * slope
-    return level + slope * np.arange(1, horizon + 1), sse, 4
+    return level[:, None] + slope[:, None] * np.arange(1, horizon + 1), sse
 
 
-def fit_ses(y: np.ndarray, horizon: int) -> tuple[np.ndarray, float, int]:
-    def at(a: float) -> tuple[float, float]:
-        e, g = np.empty(len(y)), np.empty(len(y))
-        level, lead = 0.0, 1.0
-        for i, v in enumerate(y):
-            e[i], g[i] = v - level, lead
-            level, lead = level + a * (v - level), lead * (1 - a)
-        start, rest = least_squares(g[:, None], e)
-        return float(rest @ rest), float(level + lead * start[0])
+def _ses(y: np.ndarray, horizon: int) -> tuple[np.ndarray, np.ndarray]:
+    n = y.shape[1]
+    (a,) = _search(lambda a: _ses_losses(y[:, :, None], a), [1e-4], [0.9999], n)
+    e, g = np.empty(y.shape), np.empty(y.shape)
+    level, lead = np.zeros(n), np.ones(n)
+    for i, v in enumerate(y):
+        e[i], g[i] = v - level, lead
+        level, lead = level + a * (v - level), lead * (1 - a)
+    sse, (start,) = _solved(e, -g)
+    return np.repeat((level + lead * start)[:, None], horizon, axis=1), sse
+
+
+def fits_holt(y: np.ndarray, horizon: int) -> tuple[np.ndarray, np.ndarray]:
+    """Linear trend smoothing of many series (rows) of one length: forecasts and sums of squares. The start is solved for."""
+    return _together(_holt, y, horizon, HOLT_TOGETHER)
+
 
-    (a,) = _search(lambda a: _ses_losses(y, a), [1e-4], [0.9999])
-    sse, level = at(a)
-    return np.full(horizon, level), sse, 2
+def fits_ses(y: np.ndarray, horizon: int) -> tuple[np.ndarray, np.ndarray]:
+    return _together(_ses, y, horizon, SES_TOGETHER)
+
+
+def fit_holt(y: np.ndarray, horizon: int) -> tuple[np.ndarray, float, int]:
+    """Forecast, sum of squares, parameters of one series."""
+    f, sse = fits_holt(y[None], horizon)
+    return f[0], float(sse[0]), 4
+
+
+def fit_ses(y: np.ndarray, horizon: int) -> tuple[np.ndarray, float, int]:
+    f, sse = fits_ses(y[None], horizon)
+    return f[0], float(sse[0]), 2
 
 
 def fit_fourier(y: np.ndarray, horizon: int) -> tuple[np.ndarray, float, int]:
@@ -153,37 +201,54 @@ def fit_difference_ar(y: np.ndarray, horizon: int) -> tuple[np.ndarray, float, i
 
 
 MODELS = {"naive": fit_naive, "drift": fit_drift, "ses": fit_ses, "holt": fit_holt, "fourier": fit_fourier, "difference_ar": fit_difference_ar}
+#: Those that take many series at once.
+MANY = {"ses": fits_ses, "holt": fits_holt}
 #: A winner among these gives way to Holt.
 PLAIN = ("naive", "drift", "fourier")
 
 
-def _grouped(p: DataFrame, fit, schema: str, keys: tuple[str, ...] = ("series_key",)) -> DataFrame:
-    return p.groupBy(*keys).applyInPandas(fit, schema)
+#: Series of one length that a fit is given at once.
+TOGETHER = 512
+
+
+def _fitted(p: DataFrame, fit: Callable[[np.ndarray, np.ndarray], pd.DataFrame], schema: str) -> DataFrame:
+    """fit over many series at once: it takes keys and values (series by months) of series of one length. A row
+    per series holds its months; batches of such rows are what a task sees."""
+    rows = F.array_sort(F.collect_list(F.struct("t", "y")))  # one number per month
+    whole = p.groupBy("series_key").agg(F.transform(rows, lambda r: r["y"].cast("double")).alias("y"))
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for _, same in pdf.groupby(pdf["y"].map(len)):
+                for i in range(0, len(same), TOGETHER):
+                    some = same.iloc[i : i + TOGETHER]
+                    yield fit(some["series_key"].to_numpy(), np.stack([np.asarray(y, float) for y in some["y"]]))
+
+    return whole.mapInPandas(each, schema)
 
 
 def model_forecast(p: DataFrame, model: str, horizon: int) -> DataFrame:
     """Forecasts of every series by one model of MODELS."""
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        f = MODELS[model](pdf.sort_values("t")["y"].to_numpy(float), horizon)[0]
-        return pd.DataFrame({"series_key": pdf["series_key"].iloc[0], "step": np.arange(1, horizon + 1, dtype=np.int32), "model": model, "forecast": f})
+    def fit(keys: np.ndarray, y: np.ndarray) -> pd.DataFrame:
+        f = MANY[model](y, horizon)[0] if model in MANY else np.array([MODELS[model](v, horizon)[0] for v in y])
+        return pd.DataFrame({"series_key": keys.repeat(horizon), "step": np.tile(np.arange(1, horizon + 1, dtype=np.int32), len(y)), "model": model, "forecast": f.ravel()})
 
-    return _grouped(p.select("series_key", "t", "y"), one, STEPS)
+    return _fitted(p, fit, STEPS)
 
 
 def information(p: DataFrame) -> DataFrame:
     """In-sample AIC and BIC of the fitted models, by their sums of squares."""
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        y = pdf.sort_values("t")["y"].to_numpy(float)
-        rows = []
-        for name in ("ses", "holt", "fourier", "difference_ar"):
-            _, sse, k = MODELS[name](y, 1)
-            base = len(y) * np.log(max(sse, 1e-300) / len(y))
-            rows.append((pdf["series_key"].iloc[0], name, base + 2 * k, base + k * np.log(len(y))))
-        return pd.DataFrame(rows, columns=["series_key", "model", "aic", "bic"])
+    def fit(keys: np.ndarray, y: np.ndarray) -> pd.DataFrame:
+        n, out = y.shape[1], []
+        for name, k in (("ses", 2), ("holt", 4), ("fourier", 4), ("difference_ar", 1)):
+            sse = MANY[name](y, 1)[1] if name in MANY else np.array([MODELS[name](v, 1)[1] for v in y])
+            base = n * np.log(np.maximum(sse, 1e-300) / n)
+            out.append(pd.DataFrame({"series_key": keys, "model": name, "aic": base + 2 * k, "bic": base + k * np.log(n)}))
+        return pd.concat(out)
 
-    return _grouped(p.select("series_key", "t", "y"), one, "series_key string, model string, aic double, bic double")
+    return _fitted(p, fit, "series_key string, model string, aic double, bic double")
 
 
 def closed_information(p: DataFrame) -> DataFrame:
@@ -224,37 +289,83 @@ def expanding(p: DataFrame, least: int = 10, period: int = 12) -> DataFrame:
     return r.select("series_key", F.col("t").cast("int").alias("fold"), F.col("y").alias("actual"), each.alias("m")).select("series_key", "fold", "m.model", "actual", "m.forecast").filter("forecast IS NOT NULL")
 
 
+def _longest_first(of: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places 0 to count - 1, those that the latest origins (columns of of) need first: their order, of in that
+    order, and by origin how many still run."""
+    last = np.zeros(count, int)
+    np.maximum.at(last, of, np.broadcast_to(np.arange(of.shape[1]), of.shape))
+    order = np.argsort(-last, kind="stable")
+    place = np.empty(count, int)
+    place[order] = np.arange(count)
+    return order, place[of], np.searchsorted(-last[order], -np.arange(of.shape[1]), side="right")
+
+
 class _Smoothing:
-    """Trend smoothing (or, without a slope, simple smoothing) of one series from all origins at once. Errors
-    depend linearly on the start; what they give for each column of the start is added up over the months of
-    each origin, so that its best start and loss follow from those sums. Arrays are (origin, point)."""
+    """Trend smoothing (or, without a slope, simple smoothing) from all origins at once, of one series or of many of
+    one length (rows of y). Errors depend linearly on the start; what they give for each column of the start is added
+    up over the months of each origin, so that its best start and loss follow from those sums. Origins that search
+    the same cell of parameters share one run over the months; what parameters alone decide is run once a cell for
+    all series. Arrays are (series, origin, point)."""
 
     def __init__(self, y: np.ndarray, least: int, trend: bool):
-        self.middle = float(y.mean())  # a level's start is free, so that a shift of all values changes no more than it
-        self.y, self.least, self.starts = y - self.middle, least, 2 if trend else 1
-        self.ends = np.arange(least, len(y))
-
-    def run(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Products of the error columns (as 1 + starts by 1 + starts), and each origin's last level and slope by column."""
-        k = 1 + self.starts
-        level, slope = np.zeros((2, k, *a.shape))
-        level[1] = 1.0
-        if k > 2:
-            slope[2] = 1.0
-        products, last = np.zeros((k, k, *a.shape)), [np.zeros((k, *a.shape)) for _ in range(2)]
+        self.shape, y = y.shape[:-1], np.atleast_2d(y)
+        self.middle = y.mean(axis=1)  # a level's start is free, so that a shift of all values changes no more than it
+        self.y, self.least, self.starts = np.ascontiguousarray((y - self.middle[:, None]).T), least, 2 if trend else 1
+        self.origins = y.shape[1] - least
+
+    def run(self, a: np.ndarray, b: np.ndarray, of: np.ndarray, ends: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Products of the error columns (as 1 + starts by 1 + starts) and, if asked for, the sum of each origin's last
+        level and slope by column. a and b are (cell, point), of the cell of each series' origin."""
+        k, starts, points = 1 + self.starts, self.starts, a.shape[1]
+        cells, of, running_cells = _longest_first(of, len(a))
+        a, b = a[cells], b[cells]
+        codes, pair = np.unique(np.arange(len(of))[:, None] * len(a) + of, return_inverse=True)
+        pairs, pair, running = _longest_first(pair.reshape(of.shape), len(codes))
+        series, cell = codes[pairs] // len(a), codes[pairs] % len(a)
+        own_a, own_b = a[cell], (a * b)[cell]
+        ab, level, slope = a * b, np.zeros((starts, *a.shape)), np.zeros((starts, *a.shape))
+        level[0] = 1.0
+        if starts > 1:
+            slope[1] = 1.0
+        own_level, own_slope = np.zeros((2, *own_a.shape))
+        by_start, by_own = np.zeros((starts, starts, *a.shape)), np.zeros((k, *own_a.shape))
+        products, ahead = np.zeros((k, k, *of.shape, points)), np.zeros((k, *of.shape, points) if ends else 0)
+        e, step, more = np.empty_like(level), np.empty_like(level), np.empty_like(a)
+        own_e, own_step, met = np.empty_like(own_a), np.empty_like(own_a), np.empty_like(own_a)
         for i, v in enumerate(self.y[:-1]):
-            lo = max(0, i - self.least + 1)  # origins that end later
-            own = np.s_[..., lo:, :]
-            e = -level[own] - slope[own]
-            e[0] += v
-            for m in range(k):
-                products[m, m:][own] += e[m] * e[m:]
-            level[own] += slope[own] + a[lo:] * e
-            slope[own] += (a * b)[lo:] * e
-            ended = i + 1 - self.least
-            if ended >= 0:
-                last[0][:, ended], last[1][:, ended] = level[:, ended], slope[:, ended]
-        return products, last
+            o = max(0, i + 1 - self.least)  # the first origin that still runs
+            n, m = running_cells[o], running[o]
+            c, mine = np.s_[:, :n], cell[:m]
+            np.add(level[c], slope[c], out=e[c])
+            np.negative(e[c], out=e[c])
+            np.multiply(a[:n], e[c], out=step[c])
+            step[c] += slope[c]
+            level[c] += step[c]
+            if starts > 1:
+                np.multiply(ab[:n], e[c], out=step[c])
+                slope[c] += step[c]
+            for x in range(starts):
+                for z in range(x, starts):
+                    by_start[x, z, :n] += np.multiply(e[x, :n], e[z, :n], out=more[:n])
+            np.add(own_level[:m], own_slope[:m], out=own_e[:m])
+            np.subtract(v[series[:m], None], own_e[:m], out=own_e[:m])
+            np.multiply(own_a[:m], own_e[:m], out=own_step[:m])
+            own_step[:m] += own_slope[:m]
+            own_level[:m] += own_step[:m]
+            if starts > 1:
+                own_slope[:m] += np.multiply(own_b[:m], own_e[:m], out=own_step[:m])
+            by_own[0, :m] += np.multiply(own_e[:m], own_e[:m], out=own_step[:m])
+            for x in range(starts):
+                np.take(e[x], mine, axis=0, out=met[:m], mode="clip")
+                met[:m] *= own_e[:m]
+                by_own[1 + x, :m] += met[:m]
+            if i + 1 >= self.least:
+                products[0, :, :, o] = by_own[:, pair[:, o]]
+                products[1:, 1:, :, o] = by_start[:, :, of[:, o]]
+                if ends:
+                    ahead[0, :, o] = (own_level + own_slope)[pair[:, o]]
+                    ahead[1:, :, o] = (level + slope)[:, of[:, o]]
+        return products, ahead
 
     @staticmethod
     def solved(p: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -271,34 +382,39 @@ class _Smoothing:
 
     def forecasts(self, rounds: int = 7, points: int = 7) -> np.ndarray:
         """One-step forecasts; the parameters of each origin come from a grid that closes in on its best cell."""
-        axes, n = self.starts, len(self.ends)
-        low, high = np.full((axes, n, 1), 1e-4), np.full((axes, n, 1), 0.9999)
+        axes, of = self.starts, np.zeros((self.y.shape[1], self.origins), int)
+        low, high = np.full((axes, 1, 1), 1e-4), np.full((axes, 1, 1), 0.9999)
         steps = np.stack(np.meshgrid(*[np.linspace(0, 1, points)] * axes, indexing="ij")).reshape(axes, 1, -1)
+        of_trend = lambda x: x[1] if axes > 1 else np.zeros_like(x[0])
         for _ in range(rounds):
             grid = low + (high - low) * steps
-            a, b = grid[0], grid[1] if axes > 1 else np.zeros_like(grid[0])
-            at = self.solved(self.run(a, b)[0])[0].argmin(axis=1)
-            best = np.take_along_axis(grid, np.broadcast_to(at[None, :, None], (axes, n, 1)), axis=2)
-            step = (high - low) / (points - 1)
-            low, high = np.maximum(best - step, low), np.minimum(best + step, high)
-        products, (level, slope) = self.run(best[0], best[1] if axes > 1 else np.zeros_like(best[0]))
+            at = self.solved(self.run(grid[0], of_trend(grid), of)[0])[0].argmin(axis=2)
+            # cells of the next round: points of this round's that some origin found best
+            chosen, next_of = np.unique(of * steps.shape[2] + at, return_inverse=True)
+            cell, point = chosen // steps.shape[2], chosen % steps.shape[2]
+            best, step = grid[:, cell, point][..., None], ((high - low) / (points - 1))[:, cell]
+            low, high, of = np.maximum(best - step, low[:, cell]), np.minimum(best + step, high[:, cell]), next_of.reshape(of.shape)
+        products, ahead = self.run(best[0], of_trend(best), of, ends=True)
         start = self.solved(products)[1]
-        ahead = level + slope
-        return (self.middle + ahead[0] + sum(s * ahead[k + 1] for k, s in enumerate(start)))[:, 0]
+        return (self.middle[:, None, None] + ahead[0] + sum(s * ahead[k + 1] for k, s in enumerate(start))).reshape(*self.shape, -1)
+
+
+#: Series whose origins are searched together, so that the arrays of a run stay in the processor's cache.
+ORIGINS_TOGETHER = {"ses": 64, "holt": 48}
 
 
 def smoothed_folds(p: DataFrame, least: int = 10) -> DataFrame:
-    """One-step forecasts of ses and holt from every origin with at least least points: one group a series."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        y = pdf.sort_values("t")["y"].to_numpy(float)
-        out = []
-        for name, trend in (("ses", False), ("holt", True)) if len(y) > least else ():
-            f = _Smoothing(y, least, trend).forecasts()
-            out.append(pd.DataFrame({"series_key": pdf["series_key"].iloc[0], "fold": np.arange(least + 1, len(y) + 1, dtype=np.int32), "model": name, "actual": y[least:], "forecast": f}))
+    """One-step forecasts of ses and holt from every origin with at least least points."""
+
+    def fit(keys: np.ndarray, y: np.ndarray) -> pd.DataFrame:
+        n, out = y.shape[1] - least, []
+        for name, trend in (("ses", False), ("holt", True)) if n > 0 else ():
+            size = ORIGINS_TOGETHER[name]
+            f = np.concatenate([_Smoothing(y[i : i + size], least, trend).forecasts() for i in range(0, len(y), size)])
+            out.append(pd.DataFrame({"series_key": keys.repeat(n), "fold": np.tile(np.arange(least + 1, y.shape[1] + 1, dtype=np.int32), len(y)), "model": name, "actual": y[:, least:].ravel(), "forecast": f.ravel()}))
         return pd.concat(out) if out else pd.DataFrame(columns=["series_key", "fold", "model", "actual", "forecast"])
 
-    return _grouped(p.select("series_key", "t", "y"), one, FOLDS)
+    return _fitted(p, fit, FOLDS)
 
 
 def rolling_origin(p: DataFrame, least: int = 10) -> DataFrame:
@@ -330,15 +446,15 @@ def panel_forecast(p: DataFrame, horizon: int = 6, least: int = 6) -> DataFrame:
     """Holt for every series; short or constant ones repeat their last value, as the method says,
     with the population deviation."""
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        y = pdf.sort_values("t")["y"].to_numpy(float)
+    def fit(keys: np.ndarray, y: np.ndarray) -> pd.DataFrame:
         steps = np.arange(1, horizon + 1, dtype=np.int32)
-        if len(y) < least or not np.ptp(y) > 0:
-            f, sigma, method = np.full(horizon, y[-1]), float(np.std(y)), "naive_fallback"
-        else:
-            f, sse, _ = fit_holt(y, horizon)
-            sigma, method = float(np.sqrt(sse / max(1, len(y) - 1))), "holt"
-        half = 1.96 * sigma * np.sqrt(steps)
-        return pd.DataFrame({"series_key": pdf["series_key"].iloc[0], "step": steps, "method": method, "forecast": np.maximum(f, 0), "lower": np.maximum(f - half, 0), "upper": f + half})
-
-    return _grouped(p.select("series_key", "t", "y"), one, "series_key string, step int, method string, forecast double, lower double, upper double")
+        f, sigma = np.repeat(y[:, -1:], horizon, axis=1), np.array([np.std(v) for v in y])
+        fitted = np.ptp(y, axis=1) > 0 if y.shape[1] >= least else np.zeros(len(y), bool)
+        if fitted.any():
+            f[fitted], sse = fits_holt(y[fitted], horizon)
+            sigma[fitted] = np.sqrt(sse / max(1, y.shape[1] - 1))
+        half = 1.96 * sigma[:, None] * np.sqrt(steps)
+        method = np.where(fitted, "holt", "naive_fallback").repeat(horizon)
+        return pd.DataFrame({"series_key": keys.repeat(horizon), "step": np.tile(steps, len(y)), "method": method, "forecast": np.maximum(f, 0).ravel(), "lower": np.maximum(f - half, 0).ravel(), "upper": (f + half).ravel()})
+
+    return _fitted(p, fit, "series_key string, step int, method string, forecast double, lower double, upper double")

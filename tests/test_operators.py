@@ -292,3 +292,29 @@ def test_smoothing_of_all_origins():
     y = np.random.default_rng(1).gamma(2, 100, 30) + np.arange(30) * 3
     for trend, fit in ((True, forecast.fit_holt), (False, forecast.fit_ses)):
         assert np.allclose(forecast._Smoothing(y, 10, trend).forecasts(), [fit(y[:n], 1)[0][0] for n in range(10, 30)], rtol=1e-3)
+
+
+def test_fits_of_many_series(spark):
+    """Series fitted together get what each gets by itself; no grouped call runs once a series."""
+    y = np.random.default_rng(9).gamma(2, 50, (40, 24))
+    for many, one_fit in ((forecast.fits_holt, forecast.fit_holt), (forecast.fits_ses, forecast.fit_ses)):
+        f, sse = many(y, 3)
+        for i, v in enumerate(y):
+            alone = one_fit(v, 3)
+            assert np.array_equal(f[i], alone[0]) and sse[i] == alone[1]
+    for trend in (False, True):
+        assert np.array_equal(forecast._Smoothing(y, 10, trend).forecasts(), [forecast._Smoothing(v, 10, trend).forecasts() for v in y])
+    p = spark.createDataFrame([(f"s{k}", t + 1, str(t), float(v)) for k in range(3) for t, v in enumerate(y[k][: 24 - k])], "series_key string, t int, month string, y double")
+    for found in (forecast.information(p), forecast.panel_forecast(p), forecast.smoothed_folds(p)):
+        assert "FlatMapGroups" not in found._jdf.queryExecution().executedPlan().toString()
+        assert found.select("series_key").distinct().count() == 3
+    assert forecast.smoothed_folds(p).count() == 2 * (14 + 13 + 12)
+
+
+def test_panel_moves_its_rows_once(spark):
+    """After the sums, a key's periods meet once: neither absent periods nor windows over a series move rows again."""
+    lines = spark.createDataFrame([("a", "1", 2.0), ("a", "3", 4.0), ("b", "2", 5.0), ("b", "2", 1.0), (None, "1", 7.0)], "k string, m string, v double")
+    p = series.panel(lines, "k", "m", "v")
+    assert sorted((r["series_key"] or "", r["t"], r["month"], r["y"]) for r in p.collect()) == [("", t, str(t), 0.0) for t in (1, 2, 3)] + [("a", 1, "1", 2.0), ("a", 2, "2", 0.0), ("a", 3, "3", 4.0), ("b", 1, "1", 0.0), ("b", 2, "2", 6.0), ("b", 3, "3", 0.0)]
+    moved = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(series_key")
+    assert moved(forecast.expanding(series.panel(lines, "k", "m", "v"))) == 1
