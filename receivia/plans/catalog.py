@@ -1001,7 +1001,7 @@ def rate_classes(m: Sales) -> DataFrame:
 
 @query(XYZ + _pareto("item_code") + " SELECT item_code, CAST(rank AS INTEGER) AS rank, cv, round(sqrt(greatest(round(value / whole * 100, 6), 0)), 6) AS size FROM r JOIN z USING (item_code)")
 def rank_against_variation(m: Sales) -> DataFrame:
-    return sales.rank_against_variation(sales.item_table(m.goods), sales.xyz(m.sold, "item_code"), "item_code")
+    return sales.places_and_variation(m.sold, m.items, "item_code")
 
 
 @query(""" SELECT h.customer_code, coalesce(CAST(sum(reported_total) FILTER (reported_total <> 0) AS DOUBLE), 0) AS sales, count(*) AS n_invoices, count(*) FILTER (coalesce(reported_total, 0) = 0) AS n_zero, any_value(customer_name) AS customer_name, round(count(*) FILTER (coalesce(reported_total, 0) = 0) / count(*) * 100, 6) AS zero_pct,

@@ -56,15 +56,22 @@ class Sales:
         """Lines with their invoice's date and customer."""
         return self.rows.join(self.headers.select("invoice_no", "invoice_date", "month", "customer_code"), "invoice_no")
 
+    @property
+    def items(self) -> DataFrame:
+        return self.table("part").select(F.col("p_partkey").cast("string").alias("item_code"), F.col("p_name").alias("item_name"), F.col("p_brand").alias("brand"), F.col("p_size").alias("pack"))
+
     @property
     def goods(self) -> DataFrame:
         """Lines with their invoice and item."""
-        return self.sold.join(self.table("part").select(F.col("p_partkey").cast("string").alias("item_code"), F.col("p_name").alias("item_name"), F.col("p_brand").alias("brand"), F.col("p_size").alias("pack")), "item_code")
+        return self.sold.join(self.items, "item_code")
 
     @property
     def lines(self) -> DataFrame:
-        """Lines with all that is known of them."""
-        return self.goods.join(self.customers.select("customer_code", "customer_name", "rep", "city"), "customer_code")
+        """Lines with all that is known of them. Customers meet invoices before lines do, and items meet lines first:
+        lines move twice, and then lie by invoice, where what is asked of invoices finds them."""
+        invoices = self.headers.select("invoice_no", "invoice_date", "month", "customer_code").join(self.customers.select("customer_code", "customer_name", "rep", "city"), "customer_code")
+        met = self.rows.join(self.items, "item_code").join(invoices, "invoice_no")
+        return met.select("customer_code", "item_code", "invoice_no", "seq", "qty", "gross", "disc", "tax", "is_bonus", "line_total", "unit_price", "invoice_date", "month", "item_name", "brand", "pack", "customer_name", "rep", "city")
 
     def _events(self, kind: str) -> DataFrame:
         return self.table("events").filter(F.col("event_type") == kind).select(

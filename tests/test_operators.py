@@ -329,3 +329,18 @@ def test_quartiles_without_all_values_in_one_task(spark):
     for c, values in (("a", a), ("b", np.append(b, 2.0))):
         assert found[c]["n"] == len(values) and np.allclose([found[c][k] for k in ("p25", "p50", "p75")], np.quantile(values, [0.25, 0.5, 0.75]), atol=1e-6)
     assert sales.profile(df.filter("a > 1e9"), ["a"]).collect()[0]["p50"] is None
+
+
+def test_lines_lie_by_invoice(spark):
+    """Invoice texts group lines where the join with invoices left them; points of a chart come from one pass."""
+    m, plain = view.Sales(spark, "/root/testdata/sf0.001"), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        moved = lambda df, key: df._jdf.queryExecution().executedPlan().toString().count(f"Exchange hashpartitioning({key}#")
+        assert moved(m.lines.groupBy("invoice_no", "customer_code").count(), "invoice_no") == 2  # lines and invoices
+        points = catalog.QUERIES["rank_against_variation"](spark, m.sf_dir)
+        assert "customer" not in points._jdf.queryExecution().executedPlan().toString()  # counts of customers aren't asked for
+        want = sales.rank_against_variation(sales.item_table(m.goods), sales.xyz(m.sold, "item_code"), "item_code")
+        assert sorted(map(tuple, points.collect())) == sorted(map(tuple, want.collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", plain)
