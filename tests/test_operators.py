@@ -351,3 +351,15 @@ def test_nested_sets_read_lines_alike(spark):
     plan = catalog.QUERIES["hierarchy_intervals"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     read = [line.split("FileScan parquet ")[1].split("]")[0] for line in plan.splitlines() if "FileScan parquet [l_" in line]
     assert read and len({",".join(sorted(c.split("#")[0].strip("[") for c in r.split(","))) for r in read}) == 1
+
+
+@pytest.mark.parametrize("name", ["monthly_series"])
+def test_lines_pass_by_their_invoices(spark, name):
+    """No task sorts the lines that meet their invoices: it holds its invoices only."""
+    plain = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", plain)
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan and "Sort [invoice_no" not in plan
