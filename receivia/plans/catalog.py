@@ -158,8 +158,7 @@ def item_table(m: Sales) -> DataFrame:
 @query(""", n AS (SELECT item_code, item_name, count(*) AS c FROM lines GROUP BY 1, 2), nm AS (SELECT item_code, item_name FROM n QUALIFY row_number() OVER (PARTITION BY item_code ORDER BY c DESC, item_name) = 1)
  SELECT item_code, qty, paid_qty, paid_value, n_lines, item_name, round(paid_value / nullif(paid_qty, 0), 6) AS avg_price FROM (SELECT item_code, CAST(sum(qty) AS DOUBLE) AS qty, coalesce(CAST(sum(qty) FILTER (line_total > 0) AS DOUBLE), 0) AS paid_qty, coalesce(CAST(sum(line_total) FILTER (line_total > 0) AS DOUBLE), 0) AS paid_value, count(*) AS n_lines FROM lines WHERE month >= '2000-01' GROUP BY 1) JOIN nm USING (item_code)""")
 def item_summary_of_period(m: Sales) -> DataFrame:
-    lines = m.goods
-    return sales.item_summary(lines.filter(F.col("month") >= "2000-01"), lines)
+    return sales.item_summary(m.sold, m.items, F.col("month") >= "2000-01")
 
 
 @query(""", h AS (SELECT customer_code, sum(reported_total) AS v, CAST(sum(paid) AS DOUBLE) AS paid, count(DISTINCT invoice_no) AS n_invoices FROM headers GROUP BY 1), l AS (SELECT customer_code, count(DISTINCT item_code) AS n_items, CAST(sum(qty) AS DOUBLE) AS units, sum(CASE WHEN pack > 0 THEN CAST(qty AS DOUBLE) / pack END) AS boxes FROM lines GROUP BY 1)

@@ -363,3 +363,13 @@ def test_lines_pass_by_their_invoices(spark, name):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", plain)
     assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan and "Sort [invoice_no" not in plan
+
+
+def test_item_summary_sums_lines_before_names(spark):
+    """Lines are read once and summed by item before names join; an item with several rows counts its lines for each."""
+    plan = catalog.QUERIES["item_summary_of_period"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet [l_") == 1
+    lines = spark.createDataFrame([("a", "1", 2, 6), ("a", "2", 1, 0), ("a", "2", 3, 9), ("b", "1", 5, 5), ("c", "2", 7, 0), ("d", "2", 1, 1)], "item_code string, month string, qty int, line_total int")
+    items = spark.createDataFrame([("a", "y"), ("a", "z"), ("a", "z"), ("b", "x"), ("c", None), (None, "n")], "item_code string, item_name string")
+    found = {r["item_code"]: (r["qty"], r["paid_qty"], r["paid_value"], r["n_lines"], r["item_name"], r["avg_price"]) for r in sales.item_summary(lines, items, F.col("month") == "2").collect()}
+    assert found == {"a": (12.0, 9.0, 27.0, 6, "z", 3.0), "c": (7.0, 0.0, 0.0, 1, None, None)}
