@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from receivia.functions.scalars import canonical_code, first_rule, match_key, name_key, pack_size
-from receivia.operators.sales import most_frequent, total
+from receivia.operators.sales import most_frequent, of_items, total
 
 
 def canonical_codes(df: DataFrame, code: str, aliases: DataFrame) -> DataFrame:
@@ -99,14 +99,14 @@ def alike(names: DataFrame, master: DataFrame, ratio: float = 0.72) -> DataFrame
     return near.select("_i", "_m", name_ratio("_i", "_m").alias("r")).filter(F.col("r") >= ratio)
 
 
-def match_items(items: DataFrame, master: DataFrame, keywords: list[tuple[str, str]], overrides: DataFrame | None = None, *, least: int = 6, ratio: float = 0.72) -> DataFrame:
-    """item_code, brand, master_name and match_type of items (item_code, item_name).
+def match_names(items: DataFrame, master: DataFrame, keywords: list[tuple[str, str]], *, least: int = 6, ratio: float = 0.72) -> DataFrame:
+    """item_name, brand, master_name and match_type, a row per name of items; null is none.
 
     In turn: the longest containment with a name of master (name, brand), the best similar name, the first
-    keyword, and "unclassified"; an override goes before all. Names are matched once however many items have
-    them; of equally good ones the last by name, then brand, counts. Null and empty names match nothing.
+    keyword, and "unclassified"; of equally good ones the last by name, then brand, counts. Empty names match nothing.
     """
-    keyed = items.select("item_code", "item_name", match_key(F.col("item_name")).alias("_i"))
+    # an aggregate, not a distinct: the conditions of the branches below stay above it, so that Spark makes it once
+    keyed = items.filter(F.col("item_name").isNotNull()).groupBy("item_name").agg(F.max(match_key(F.col("item_name"))).alias("_i"))
     names = master.select(F.col("name").alias("master_name"), "brand", match_key(F.col("name")).alias("_m"))
     of_key = names.groupBy("_m").agg(F.max(F.struct("master_name", "brand")).alias("b"))
 
@@ -115,23 +115,39 @@ def match_items(items: DataFrame, master: DataFrame, keywords: list[tuple[str, s
         return by.select("_i", F.col("w.b.brand").alias("brand"), F.col("w.b.master_name").alias("master_name"), F.lit(kind).alias("match_type"))
 
     first = best(contained(keyed, names, least), F.least(F.length("_i"), F.length("_m")), "master")
-    left = keyed.join(first, "_i", "left_anti")
-    second = best(alike(left, names, ratio), F.col("r"), "fuzzy")
-    rest = left.join(second, "_i", "left_anti").withColumn("brand", first_rule(F.col("item_name"), keywords, "unclassified"))
-    third = rest.select("item_code", "brand", F.lit(None).cast("string").alias("master_name"), F.when(F.col("brand") == "unclassified", "unclassified").otherwise("keyword").alias("match_type"))
-    found = keyed.join(first.unionByName(second), "_i").select("item_code", "brand", "master_name", "match_type").unionByName(third)
+    second = best(alike(keyed.join(first, "_i", "left_anti"), names, ratio), F.col("r"), "fuzzy")
+    met, new = keyed.join(first.unionByName(second), "_i", "left"), F.col("match_type").isNull()
+    ruled = first_rule(F.col("item_name"), keywords, "unclassified")
+    return met.select("item_name", F.when(new, ruled).otherwise(F.col("brand")).alias("brand"), "master_name", F.coalesce("match_type", F.when(ruled == "unclassified", "unclassified").otherwise("keyword")).alias("match_type"))
+
+
+def matched(items: DataFrame, of_name: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
+    """items (item_code, item_name, and others) with brand, master_name and match_type of their names as of_name (see
+    match_names) has them; an override goes before all."""
+    own, rest = [F.col(c) for c in items.columns], F.lit("unclassified")
+    brand = F.when(F.col("match_type").isNull(), rest).otherwise(F.col("brand"))
+    found = items.join(of_name, "item_name", "left").select(*own, brand.alias("brand"), "master_name", F.coalesce("match_type", rest).alias("match_type"))
     if overrides is None:
         return found
-    own = overrides.select("item_code", F.col("brand").alias("_b"))
-    return found.join(own, "item_code", "left").select("item_code", F.coalesce("_b", "brand").alias("brand"), "master_name", F.when(F.col("_b").isNotNull(), "override").otherwise(F.col("match_type")).alias("match_type"))
+    given = found.join(overrides.select("item_code", F.col("brand").alias("_b")), "item_code", "left")
+    return given.select(*own, F.coalesce("_b", "brand").alias("brand"), "master_name", F.when(F.col("_b").isNotNull(), "override").otherwise(F.col("match_type")).alias("match_type"))
+
+
+def match_items(items: DataFrame, master: DataFrame, keywords: list[tuple[str, str]], overrides: DataFrame | None = None, *, least: int = 6, ratio: float = 0.72) -> DataFrame:
+    """item_code, brand, master_name and match_type of items (item_code, item_name). Names are matched once however
+    many items have them, see match_names; an override goes before all."""
+    return matched(items.select("item_code", "item_name"), match_names(items, master, keywords, least=least, ratio=ratio), overrides).drop("item_name")
 
 
-def item_dimension(lines: DataFrame, master: DataFrame, keywords: list[tuple[str, str]], overrides: DataFrame | None = None) -> DataFrame:
-    """One row per item code: its commonest name, brand, pack, match and totals."""
-    named = most_frequent(lines, "item_code", "item_name")
-    by = lines.groupBy("item_code").agg(total("line_total").alias("total_revenue"), total("qty").alias("total_qty"), F.count("*").alias("n_lines"))
+def item_dimension(lines: DataFrame, items: DataFrame, master: DataFrame, keywords: list[tuple[str, str]], overrides: DataFrame | None = None) -> DataFrame:
+    """One row per item code of lines that items (item_code, item_name) knows: its commonest name, brand, pack, match
+    and totals."""
+    by = of_items(lines, items, total_revenue=F.sum("line_total"), total_qty=F.sum("qty"))
+    sums = by.select("item_code", "item_name", F.col("total_revenue").cast("double").alias("total_revenue"), F.col("total_qty").cast("double").alias("total_qty"), F.col("n_rows").alias("n_lines"))
     packs = master.select(F.col("name").alias("master_name"), pack_size(F.col("carton_capacity")).alias("pack")).dropDuplicates(["master_name"])
-    return named.join(match_items(named, master, keywords, overrides), "item_code").join(by, "item_code").join(packs, "master_name", "left")
+    # all names that items have, whether sold or not, so that lines are summed for the result only
+    met = matched(sums, match_names(items, master, keywords), overrides).join(packs, "master_name", "left")
+    return met.select("master_name", "item_code", "item_name", "brand", "match_type", "total_revenue", "total_qty", "n_lines", "pack")
 
 
 def customer_dimension(headers: DataFrame, names: DataFrame, snapshot: DataFrame) -> DataFrame:

@@ -557,13 +557,13 @@ _MATCHED_ROWS = r""", tot AS (SELECT item_code, CAST(sum(line_total) AS DOUBLE)
 def matched_items(m: Sales) -> DataFrame:
     master = _reference(m, MASTER, "name string, brand string, carton_capacity string")
     overrides = _reference(m, OVERRIDES, "item_code string, brand string")
-    return attribution.item_dimension(m.goods, master, KEYWORDS, overrides)
+    return attribution.item_dimension(m.sold, m.items, master, KEYWORDS, overrides)
 
 
 @query(MATCHED + _MATCHED_ROWS.replace("matched.brand", "found.brand").replace("FROM matched JOIN", "FROM found JOIN"))
 def item_dimension(m: Sales) -> DataFrame:
     """Without overrides."""
-    return attribution.item_dimension(m.goods, _reference(m, MASTER, "name string, brand string, carton_capacity string"), KEYWORDS)
+    return attribution.item_dimension(m.sold, m.items, _reference(m, MASTER, "name string, brand string, carton_capacity string"), KEYWORDS)
 
 
 for _name in ("matched_items", "item_dimension"):

@@ -57,3 +57,22 @@ def test_match_items_in_turn(spark):
     assert found == {"1": ("B", "blue bolt", "master"), "2": ("B", "blue bolt", "fuzzy"), "3": ("W", None, "keyword"), "4": rest, "5": rest, "6": ("O", None, "override"), "7": rest}
     empty = attribution.match_items(items.limit(0), master.limit(0), [])
     assert empty.count() == 0 and attribution.match_items(items, master.limit(0), []).filter(F.col("match_type") == "unclassified").count() == 7
+
+
+def test_item_dimension_reads_lines_once(spark):
+    """Lines are summed before names join them; matching reads the names of items, not lines."""
+    from receivia.plans import catalog
+
+    plan = catalog.QUERIES["item_dimension"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet [l_") == 1
+    lines = spark.createDataFrame([("1", 2, 6), ("1", 1, 3), ("2", 5, 5), ("3", 1, 1), ("4", 1, 2), ("9", 8, 8)], "item_code string, qty int, line_total int")
+    items = spark.createDataFrame([("1", "bleu bolt"), ("1", "zzz"), ("1", "zzz"), ("2", "Blue-Bolt, large"), ("3", None), ("4", "a widget"), ("5", "blue bolt")], "item_code string, item_name string")
+    master = spark.createDataFrame([("blue bolt", "B", "12 a box")], "name string, brand string, carton_capacity string")
+    own = spark.createDataFrame([("4", "O")], "item_code string, brand string")
+    found = attribution.item_dimension(lines, items, master, [("widget", "W")], own).select("item_code", "item_name", "brand", "master_name", "match_type", "pack", "total_revenue", "total_qty", "n_lines")
+    assert {r[0]: tuple(r[1:]) for r in found.collect()} == {
+        "1": ("zzz", "unclassified", None, "unclassified", None, 27.0, 9.0, 6),
+        "2": ("Blue-Bolt, large", "B", "blue bolt", "master", 12.0, 5.0, 5.0, 1),
+        "3": (None, "unclassified", None, "unclassified", None, 1.0, 1.0, 1),
+        "4": ("a widget", "O", None, "override", None, 2.0, 1.0, 1),
+    }
