@@ -353,7 +353,7 @@ def test_nested_sets_read_lines_alike(spark):
     assert read and len({",".join(sorted(c.split("#")[0].strip("[") for c in r.split(","))) for r in read}) == 1
 
 
-@pytest.mark.parametrize("name", ["monthly_series"])
+@pytest.mark.parametrize("name", ["monthly_series", "mean_of_monthly_ratios"])
 def test_lines_pass_by_their_invoices(spark, name):
     """No task sorts the lines that meet their invoices: it holds its invoices only."""
     plain = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
