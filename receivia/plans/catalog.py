@@ -35,7 +35,7 @@ MONTHLY = """, m AS (SELECT month, CAST(sum(line_total) AS DOUBLE) AS revenue, C
 @query(MONTHLY + """ SELECT month, revenue, qty, n_invoices, n_customers, round(revenue / n_invoices, 6) AS revenue_per_invoice, round(revenue / qty, 6) AS avg_price,
   round((revenue - lag(revenue, 1) OVER w) / lag(revenue, 1) OVER w * 100, 6) AS mom_pct, round((revenue - lag(revenue, 12) OVER w) / lag(revenue, 12) OVER w * 100, 6) AS yoy_pct FROM m WINDOW w AS (ORDER BY month)""")
 def monthly_series(m: Sales) -> DataFrame:
-    return sales.monthly_series(m.sold)
+    return sales.monthly_series(m.dealt)
 
 
 def _pareto(key: str) -> str:
@@ -207,12 +207,12 @@ def revenue_per_active_month(m: Sales) -> DataFrame:
 
 @query(MONTHLY + " SELECT round(avg(revenue), 4) AS mean, round(stddev_samp(revenue), 4) AS std, round(stddev_samp(revenue) / avg(revenue), 6) AS cv FROM m")
 def revenue_variation(m: Sales) -> DataFrame:
-    return sales.variation(sales.monthly_series(m.sold), "revenue")
+    return sales.variation(sales.monthly_series(m.dealt), "revenue")
 
 
 @query(MONTHLY + " SELECT round(avg(round(revenue / n_invoices, 6)), 4) AS mean_revenue_per_invoice FROM m")
 def mean_of_monthly_ratios(m: Sales) -> DataFrame:
-    return sales.mean_of_ratios(sales.monthly_series(m.sold))
+    return sales.mean_of_ratios(sales.monthly_ratios(m.dealt))
 
 
 @query(""", x AS (SELECT CAST(reported_total AS DOUBLE) AS x FROM headers WHERE reported_total > 0), s AS (SELECT min(x) AS lo, max(x) AS hi FROM x) SELECT CAST(least(29, floor((x - lo) / ((hi - lo) / 30))) AS INTEGER) AS bin, count(*) AS n FROM x, s GROUP BY 1""")
@@ -259,7 +259,7 @@ def sales_against_balance(m: Sales) -> DataFrame:
 
 @query(MONTHLY + """ SELECT month, revenue, round(coalesce(sum(revenue) OVER (ORDER BY month ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 4) AS bar_start, round(coalesce(sum(revenue) OVER (ORDER BY month ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + revenue, 4) AS bar_end, round(coalesce(revenue - lag(revenue) OVER (ORDER BY month), 0), 4) AS change FROM m""")
 def revenue_bridge(m: Sales) -> DataFrame:
-    return sales.bridge(sales.monthly_series(m.sold).select("month", "revenue"), "month", "revenue")
+    return sales.bridge(sales.monthly_series(m.dealt).select("month", "revenue"), "month", "revenue")
 
 
 @query(ITEM + ", n AS (SELECT count(DISTINCT month) AS months FROM lines) SELECT t.item_code, t.qty, t.pack, round(CAST(v AS DOUBLE) / t.qty, 6) AS avg_price, CASE WHEN pack > 0 THEN round(t.qty / pack, 6) END AS boxes, CASE WHEN pack > 0 THEN t.qty / pack / months END AS boxes_a_month FROM t, n")
@@ -937,14 +937,14 @@ def zero_invoices(m: Sales) -> DataFrame:
 
 @query(MONTHLY + " SELECT month, revenue, CAST(row_number() OVER (ORDER BY revenue DESC, month) AS INTEGER) AS place FROM m")
 def months_by_revenue(m: Sales) -> DataFrame:
-    months = sales.monthly_series(m.sold).select("month", "revenue")
+    months = sales.monthly_series(m.dealt).select("month", "revenue")
     placed = months.withColumn("place", F.row_number().over(W.orderBy(F.desc("revenue"), "month")))  # a few hundred months at most
     return sales.sorted_by(placed, "revenue", tie="month")
 
 
 @query(MONTHLY + " SELECT month, revenue, 'actual' AS kind FROM m UNION ALL SELECT month, revenue, 'forecast' FROM m WHERE month = (SELECT max(month) FROM m) UNION ALL SELECT 'next', (SELECT revenue FROM m ORDER BY month DESC LIMIT 1), 'forecast'")
 def spliced_forecast(m: Sales) -> DataFrame:
-    actual = sales.monthly_series(m.sold).select("month", "revenue")
+    actual = sales.monthly_series(m.dealt).select("month", "revenue")
     ahead = forecast.naive(_panel(m, None), 1).select(F.lit("next").alias("month"), F.col("forecast").alias("revenue"))
     return sales.spliced(actual, ahead, "month", "revenue")
 

@@ -51,11 +51,26 @@ class Sales:
             F.when(free, F.lit(0)).otherwise(gross * rest(d) * rest(t)).cast("decimal(20,6)").alias("line_total"), F.when(free, F.lit(0.0)).otherwise(gross.cast("double") / qty.cast("double")).alias("unit_price"),
         )
 
+    @property
+    def _dated(self) -> DataFrame:
+        return self.headers.select("invoice_no", "invoice_date", "month", "customer_code")
+
     @property
     def sold(self) -> DataFrame:
         """Lines with their invoice's date and customer. A task holds its invoices, few and narrow, in a hash table that
         lines pass by; to sort both sides it would hold its lines too."""
-        return self.rows.join(self.headers.select("invoice_no", "invoice_date", "month", "customer_code").hint("shuffle_hash"), "invoice_no")
+        return self.rows.join(self._dated.hint("shuffle_hash"), "invoice_no")
+
+    @property
+    def dealt(self) -> DataFrame:
+        """sold, over four tasks at least for each that reads lines: a task holds the invoices of a quarter of a file's split,
+        and no more of them when data grows. A session with as many shuffle partitions deals by these, which Spark joins
+        to pieces of a size (numbers given by hand it would keep). Up to 200 tasks no lines wait in memory to be dealt
+        either; beyond, those of one split do."""
+        n = 4 * self.table("lineitem").rdd.getNumPartitions()
+        if n <= int(self.spark.conf.get("spark.sql.shuffle.partitions")):
+            return self.sold
+        return self.rows.repartition(n, "invoice_no").join(self._dated.repartition(n, "invoice_no").hint("shuffle_hash"), "invoice_no")
 
     @property
     def items(self) -> DataFrame:

@@ -365,6 +365,37 @@ def test_lines_pass_by_their_invoices(spark, name):
     assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan and "Sort [invoice_no" not in plan
 
 
+@pytest.mark.parametrize("name", ["mean_of_monthly_ratios", "monthly_series", "revenue_variation", "revenue_bridge", "months_by_revenue"])
+def test_tasks_of_invoices_grow_with_lines(spark, name):
+    """Twice the splits of the file of lines are met by twice the tasks, whatever the session's number of them."""
+    plain, tasks = spark.conf.get("spark.sql.files.maxPartitionBytes"), []
+    try:
+        for split in ("60000", "30000"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+            plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+            tasks.append({int(line.split("hashpartitioning(")[1].split(")")[0].split(", ")[1]) for line in plan.splitlines() if "Exchange hashpartitioning(invoice_no#" in line})
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", plain)
+    assert tasks == [{8}, {16}]  # 2 and 4 splits of 116,347 bytes
+    if name == "mean_of_monthly_ratios":  # an invoice is held for its sum, in Spark's two steps, and for no distinct count
+        assert sum("HashAggregate(keys=[month#" in line and "invoice_no#" in line.split("]")[0] for line in plan.splitlines()) == 2
+
+
+def test_small_tables_keep_to_the_session(spark):
+    """Where the session has shuffle partitions enough, Spark may join them; by a number of its own each would be a task."""
+    plan = view.Sales(spark, "/root/testdata/sf0.001").dealt._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ENSURE_REQUIREMENTS") == 2 and "REPARTITION_BY_NUM" not in plan  # 1 split, 4 tasks
+
+
+def test_monthly_ratios_are_those_of_the_series(spark):
+    """Also where an invoice has several months or customers, or none of either, and where a month has no invoice."""
+    rows = [("1", "a", "x", 6), ("1", "a", "x", 1), ("1", "a", "y", 2), ("1", "b", "x", 4), ("2", "a", "x", 3), ("2", "a", None, 3), ("2", None, "x", 8), (None, "c", "x", None), ("3", "c", "x", 5), ("3", "d", "x", None)]
+    lines = spark.createDataFrame([(m, i, c, v, 1) for m, i, c, v in rows], "month string, invoice_no string, customer_code string, line_total int, qty int")
+    found = {tuple(r) for r in sales.monthly_ratios(lines).collect()}
+    assert found == {tuple(r) for r in sales.monthly_series(lines).select("month", "revenue_per_invoice").collect()}
+    assert found == {("1", 6.5), ("2", 14.0), ("3", 2.5), (None, None)}
+
+
 def test_item_summary_sums_lines_before_names(spark):
     """Lines are read once and summed by item before names join; an item with several rows counts its lines for each."""
     plan = catalog.QUERIES["item_summary_of_period"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
