@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -211,17 +211,21 @@ PLAIN = ("naive", "drift", "fourier")
 TOGETHER = 512
 
 
-def _fitted(p: DataFrame, fit: Callable[[np.ndarray, np.ndarray], pd.DataFrame], schema: str) -> DataFrame:
-    """fit over many series at once: it takes keys and values (series by months) of series of one length. A row
-    per series holds its months; batches of such rows are what a task sees."""
+def in_rows(p: DataFrame) -> DataFrame:
+    """A panel with a row per series: series_key and y, its values in their order."""
     rows = F.array_sort(F.collect_list(F.struct("t", "y")))  # one number per month
-    whole = p.groupBy("series_key").agg(F.transform(rows, lambda r: r["y"].cast("double")).alias("y"))
+    return p.groupBy("series_key").agg(F.transform(rows, lambda r: r["y"].cast("double")).alias("y"))
+
+
+def _fitted(whole: DataFrame, fit: Callable[[np.ndarray, np.ndarray], pd.DataFrame], schema: str, together: int = TOGETHER) -> DataFrame:
+    """fit over many series at once: it takes keys and values (series by months) of series of one length. Batches of
+    rows with a series each (as in_rows) are what a task sees."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for _, same in pdf.groupby(pdf["y"].map(len)):
-                for i in range(0, len(same), TOGETHER):
-                    some = same.iloc[i : i + TOGETHER]
+                for i in range(0, len(same), together):
+                    some = same.iloc[i : i + together]
                     yield fit(some["series_key"].to_numpy(), np.stack([np.asarray(y, float) for y in some["y"]]))
 
     return whole.mapInPandas(each, schema)
@@ -234,7 +238,7 @@ def model_forecast(p: DataFrame, model: str, horizon: int) -> DataFrame:
         f = MANY[model](y, horizon)[0] if model in MANY else np.array([MODELS[model](v, horizon)[0] for v in y])
         return pd.DataFrame({"series_key": keys.repeat(horizon), "step": np.tile(np.arange(1, horizon + 1, dtype=np.int32), len(y)), "model": model, "forecast": f.ravel()})
 
-    return _fitted(p, fit, STEPS)
+    return _fitted(in_rows(p), fit, STEPS)
 
 
 def information(p: DataFrame) -> DataFrame:
@@ -248,7 +252,7 @@ def information(p: DataFrame) -> DataFrame:
             out.append(pd.DataFrame({"series_key": keys, "model": name, "aic": base + 2 * k, "bic": base + k * np.log(n)}))
         return pd.concat(out)
 
-    return _fitted(p, fit, "series_key string, model string, aic double, bic double")
+    return _fitted(in_rows(p), fit, "series_key string, model string, aic double, bic double")
 
 
 def closed_information(p: DataFrame) -> DataFrame:
@@ -289,132 +293,149 @@ def expanding(p: DataFrame, least: int = 10, period: int = 12) -> DataFrame:
     return r.select("series_key", F.col("t").cast("int").alias("fold"), F.col("y").alias("actual"), each.alias("m")).select("series_key", "fold", "m.model", "actual", "m.forecast").filter("forecast IS NOT NULL")
 
 
-def _longest_first(of: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places 0 to count - 1, those that the latest origins (columns of of) need first: their order, of in that
-    order, and by origin how many still run."""
-    last = np.zeros(count, int)
-    np.maximum.at(last, of, np.broadcast_to(np.arange(of.shape[1]), of.shape))
-    order = np.argsort(-last, kind="stable")
-    place = np.empty(count, int)
-    place[order] = np.arange(count)
-    return order, place[of], np.searchsorted(-last[order], -np.arange(of.shape[1]), side="right")
+def _gains(a: np.ndarray, b: np.ndarray, months: int, trend: bool) -> np.ndarray:
+    """What a one-step error changes from the second or third month on, where the start is always the best for the months
+    so far: its weight in the sum of squares, what it adds to the next prediction and (with a trend) to the slope. These
+    follow from the parameters alone: the start's uncertainty as a variance that each month lessens. (month, kind, *a.shape)"""
+    known, ab, out = 2 if trend else 1, a * b, np.zeros((months, 3 if trend else 2, *a.shape))
+    keep = 1 - a - ab if trend else 1 - a
+    level, both, slope = keep * keep, 0.0, 0.0
+    if trend:
+        rest, last, first = (1 - a) ** 2, 1 + keep, 1 - ab
+        level, both, slope = rest + last * last, rest + last * first, rest + first * first
+    for i in range(known, months):
+        w = 1 / (1 + level)
+        out[i, 0] = w
+        if not trend:
+            out[i, 1] = 1 - keep * w
+            level = keep * keep * (level * w)
+            continue
+        slope = slope - both * both * w
+        level, both = level * w, both * w
+        out[i, 1], out[i, 2] = 1 - (1 - a) * w, ab * w + both
+        met, own = keep * level + both, keep * both + slope
+        level, both, slope = keep * met + own, own - ab * met, ab * ab * level - 2 * ab * both + slope
+    return out
 
 
 class _Smoothing:
-    """Trend smoothing (or, without a slope, simple smoothing) from all origins at once, of one series or of many of
-    one length (rows of y). Errors depend linearly on the start; what they give for each column of the start is added
-    up over the months of each origin, so that its best start and loss follow from those sums. Origins that search
-    the same cell of parameters share one run over the months; what parameters alone decide is run once a cell for
-    all series. Arrays are (series, origin, point)."""
+    """Trend smoothing (or, without a slope, simple smoothing) from all origins at once, of many series of one length
+    (rows of y) or of one. Each month's error is weighted so that the sum of squares is that of the best start for the
+    months so far; an origin then reads its loss from the running sum. Origins that search the same cell of parameters
+    share one run over the months; what parameters alone decide is run once a cell for all series."""
 
     def __init__(self, y: np.ndarray, least: int, trend: bool):
         self.shape, y = y.shape[:-1], np.atleast_2d(y)
         self.middle = y.mean(axis=1)  # a level's start is free, so that a shift of all values changes no more than it
-        self.y, self.least, self.starts = np.ascontiguousarray((y - self.middle[:, None]).T), least, 2 if trend else 1
+        self.y, self.least, self.trend = np.ascontiguousarray((y - self.middle[:, None]).T), least, trend
         self.origins = y.shape[1] - least
 
-    def run(self, a: np.ndarray, b: np.ndarray, of: np.ndarray, ends: bool = False) -> tuple[np.ndarray, np.ndarray]:
-        """Products of the error columns (as 1 + starts by 1 + starts) and, if asked for, the sum of each origin's last
-        level and slope by column. a and b are (cell, point), of the cell of each series' origin."""
-        k, starts, points = 1 + self.starts, self.starts, a.shape[1]
-        cells, of, running_cells = _longest_first(of, len(a))
-        a, b = a[cells], b[cells]
-        codes, pair = np.unique(np.arange(len(of))[:, None] * len(a) + of, return_inverse=True)
-        pairs, pair, running = _longest_first(pair.reshape(of.shape), len(codes))
-        series, cell = codes[pairs] // len(a), codes[pairs] % len(a)
-        own_a, own_b = a[cell], (a * b)[cell]
-        ab, level, slope = a * b, np.zeros((starts, *a.shape)), np.zeros((starts, *a.shape))
-        level[0] = 1.0
-        if starts > 1:
-            slope[1] = 1.0
-        own_level, own_slope = np.zeros((2, *own_a.shape))
-        by_start, by_own = np.zeros((starts, starts, *a.shape)), np.zeros((k, *own_a.shape))
-        products, ahead = np.zeros((k, k, *of.shape, points)), np.zeros((k, *of.shape, points) if ends else 0)
-        e, step, more = np.empty_like(level), np.empty_like(level), np.empty_like(a)
-        own_e, own_step, met = np.empty_like(own_a), np.empty_like(own_a), np.empty_like(own_a)
-        for i, v in enumerate(self.y[:-1]):
-            o = max(0, i + 1 - self.least)  # the first origin that still runs
-            n, m = running_cells[o], running[o]
-            c, mine = np.s_[:, :n], cell[:m]
-            np.add(level[c], slope[c], out=e[c])
-            np.negative(e[c], out=e[c])
-            np.multiply(a[:n], e[c], out=step[c])
-            step[c] += slope[c]
-            level[c] += step[c]
-            if starts > 1:
-                np.multiply(ab[:n], e[c], out=step[c])
-                slope[c] += step[c]
-            for x in range(starts):
-                for z in range(x, starts):
-                    by_start[x, z, :n] += np.multiply(e[x, :n], e[z, :n], out=more[:n])
-            np.add(own_level[:m], own_slope[:m], out=own_e[:m])
-            np.subtract(v[series[:m], None], own_e[:m], out=own_e[:m])
-            np.multiply(own_a[:m], own_e[:m], out=own_step[:m])
-            own_step[:m] += own_slope[:m]
-            own_level[:m] += own_step[:m]
-            if starts > 1:
-                own_slope[:m] += np.multiply(own_b[:m], own_e[:m], out=own_step[:m])
-            by_own[0, :m] += np.multiply(own_e[:m], own_e[:m], out=own_step[:m])
-            for x in range(starts):
-                np.take(e[x], mine, axis=0, out=met[:m], mode="clip")
-                met[:m] *= own_e[:m]
-                by_own[1 + x, :m] += met[:m]
-            if i + 1 >= self.least:
-                products[0, :, :, o] = by_own[:, pair[:, o]]
-                products[1:, 1:, :, o] = by_start[:, :, of[:, o]]
-                if ends:
-                    ahead[0, :, o] = (own_level + own_slope)[pair[:, o]]
-                    ahead[1:, :, o] = (level + slope)[:, of[:, o]]
-        return products, ahead
-
-    @staticmethod
-    def solved(p: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Loss and best start of each origin and point, from the products."""
-        safe = lambda x, over, least: np.divide(x, over, out=np.zeros_like(x), where=over > 1e-12 * least)
-        if len(p) == 2:
-            first = safe(-p[0, 1], p[1, 1], 1.0)
-            return p[0, 0] + p[0, 1] * first, [first]
-        cross = safe(p[1, 2], p[1, 1], 1.0)
-        rest, size = p[0, 2] - cross * p[0, 1], p[2, 2] - cross * p[1, 2]
-        second = safe(-rest, size, p[2, 2])
-        first = safe(-p[0, 1], p[1, 1], 1.0) - cross * second
-        return p[0, 0] - safe(p[0, 1] ** 2, p[1, 1], 1.0) + rest * second, [first, second]
+    def run(self, a: np.ndarray, b: np.ndarray, of: np.ndarray, read: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+        """What read takes of the sums of squares and predictions (rows of points) that each origin meets. a and b are
+        (cell, point); of has the cell of each series' origin."""
+        many, points = len(of), a.shape[1]
+        keys = np.sort((np.add(of * many, np.arange(many)[:, None]) * self.origins + np.arange(self.origins)).ravel())
+        codes, origin = np.divmod(keys, self.origins)  # runs of one series and cell, by cell; in each its origins
+        first = np.flatnonzero(np.diff(codes, prepend=-1))
+        cell, series = np.divmod(codes[first], many)
+        first = np.append(first, len(codes))
+        found = np.empty(of.shape, int if points > 1 else float)
+        for low in range(0, len(a), max(1, CELLS // points)):
+            high = min(len(a), low + max(1, CELLS // points))
+            gains = _gains(a[low:high], b[low:high], len(self.y) - 1, self.trend)
+            begin, end = np.searchsorted(cell, (low, high))
+            for i in range(begin, end, max(1, RUNS // points)):
+                j = min(end, i + max(1, RUNS // points))
+                own = slice(first[i], first[j])
+                runs = np.repeat(np.arange(j - i), np.diff(first[i : j + 1]))
+                self._follow(gains, cell[i:j] - low, series[i:j], runs, origin[own], points, read, found)
+        return found
+
+    def _follow(self, gains: np.ndarray, cell: np.ndarray, series: np.ndarray, runs: np.ndarray, origin: np.ndarray, points: int, read: Callable[[np.ndarray, np.ndarray], np.ndarray], found: np.ndarray) -> None:
+        """Runs over the months, those of the latest origins first, so that the others can end before them; runs and
+        origin say which run each origin reads."""
+        last = np.zeros(len(cell), int)
+        np.maximum.at(last, runs, origin)
+        order = np.argsort(-last, kind="stable")
+        place = np.empty(len(order), int)
+        place[order] = np.arange(len(order))
+        cell, series = cell[order], series[order]
+        running = np.searchsorted(-last[order], -np.arange(self.origins), side="right")
+        by = np.argsort(origin.astype(np.int32), kind="stable")
+        rows, owner = place[runs][by], series[place[runs]][by]
+        ends = np.searchsorted(origin[by], np.arange(self.origins + 1))
+        one = cell[0] == cell[-1] and (cell == cell[0]).all()
+        shape = (len(cell), points)
+        sse, p, s, e, t = np.zeros(shape), np.empty(shape), np.zeros(shape), np.empty(shape), np.empty(shape)
+        y = self.y[:, series]
+
+        def gain(i: int, kind: int, m: int) -> np.ndarray:
+            """The error times a gain."""
+            if one:
+                return np.multiply(e[:m], gains[i, kind, cell[0]], out=t[:m])
+            np.take(gains[i, kind], cell[:m], axis=0, out=t[:m], mode="clip")
+            return np.multiply(t[:m], e[:m], out=t[:m])
+
+        for i in range(len(y) - 1):
+            o = i + 1 - self.least
+            m = running[max(0, o)]
+            if m == 0:
+                break
+            if i == 0:
+                p[:] = y[0][:, None]
+            elif i == 1 and self.trend:
+                p[:], s[:] = (2 * y[1] - y[0])[:, None], (y[1] - y[0])[:, None]
+            else:
+                np.subtract(y[i, :m, None], p[:m], out=e[:m])
+                sse[:m] += np.multiply(gain(i, 0, m), e[:m], out=t[:m])
+                if self.trend:
+                    s[:m] += gain(i, 2, m)
+                    p[:m] += s[:m]
+                p[:m] += gain(i, 1, m)
+            if o >= 0 and ends[o + 1] > ends[o]:
+                these = slice(ends[o], ends[o + 1])
+                found[owner[these], o] = read(sse, p, rows[these])
 
     def forecasts(self, rounds: int = 7, points: int = 7) -> np.ndarray:
         """One-step forecasts; the parameters of each origin come from a grid that closes in on its best cell."""
-        axes, of = self.starts, np.zeros((self.y.shape[1], self.origins), int)
+        axes, of = 2 if self.trend else 1, np.zeros((self.y.shape[1], self.origins), int)
         low, high = np.full((axes, 1, 1), 1e-4), np.full((axes, 1, 1), 0.9999)
         steps = np.stack(np.meshgrid(*[np.linspace(0, 1, points)] * axes, indexing="ij")).reshape(axes, 1, -1)
         of_trend = lambda x: x[1] if axes > 1 else np.zeros_like(x[0])
         for _ in range(rounds):
             grid = low + (high - low) * steps
-            at = self.solved(self.run(grid[0], of_trend(grid), of)[0])[0].argmin(axis=2)
+            at = of * steps.shape[2] + self.run(grid[0], of_trend(grid), of, lambda sse, p, rows: sse.take(rows, axis=0).argmin(axis=1))
             # cells of the next round: points of this round's that some origin found best
-            chosen, next_of = np.unique(of * steps.shape[2] + at, return_inverse=True)
-            cell, point = chosen // steps.shape[2], chosen % steps.shape[2]
+            chosen = np.zeros(grid[0].size, bool)
+            chosen[at] = True
+            of, chosen = (np.cumsum(chosen) - 1)[at], np.flatnonzero(chosen)
+            cell, point = np.divmod(chosen, steps.shape[2])
             best, step = grid[:, cell, point][..., None], ((high - low) / (points - 1))[:, cell]
-            low, high, of = np.maximum(best - step, low[:, cell]), np.minimum(best + step, high[:, cell]), next_of.reshape(of.shape)
-        products, ahead = self.run(best[0], of_trend(best), of, ends=True)
-        start = self.solved(products)[1]
-        return (self.middle[:, None, None] + ahead[0] + sum(s * ahead[k + 1] for k, s in enumerate(start))).reshape(*self.shape, -1)
+            low, high = np.maximum(best - step, low[:, cell]), np.minimum(best + step, high[:, cell])
+        ahead = self.run(best[0], of_trend(best), of, lambda sse, p, rows: p[rows, 0])
+        return (self.middle[:, None] + ahead).reshape(*self.shape, -1)
+
 
+#: Numbers (points of cells, points of runs) that are followed together, so that the arrays stay in the processor's cache.
+CELLS, RUNS = 12_544, 25_088
+#: Series of one length that a search from all origins is given at once: the more they are, the more share a cell.
+ORIGINS_TOGETHER = 4_096
 
-#: Series whose origins are searched together, so that the arrays of a run stay in the processor's cache.
-ORIGINS_TOGETHER = {"ses": 64, "holt": 48}
+
+def _smoothed(y: np.ndarray, least: int) -> dict[str, np.ndarray]:
+    """One-step forecasts (series by origin) of ses and holt from every origin; none where no series has one."""
+    return {name: _Smoothing(y, least, trend).forecasts() for name, trend in (("ses", False), ("holt", True)) if y.shape[1] > least}
 
 
 def smoothed_folds(p: DataFrame, least: int = 10) -> DataFrame:
     """One-step forecasts of ses and holt from every origin with at least least points."""
 
     def fit(keys: np.ndarray, y: np.ndarray) -> pd.DataFrame:
-        n, out = y.shape[1] - least, []
-        for name, trend in (("ses", False), ("holt", True)) if n > 0 else ():
-            size = ORIGINS_TOGETHER[name]
-            f = np.concatenate([_Smoothing(y[i : i + size], least, trend).forecasts() for i in range(0, len(y), size)])
-            out.append(pd.DataFrame({"series_key": keys.repeat(n), "fold": np.tile(np.arange(least + 1, y.shape[1] + 1, dtype=np.int32), len(y)), "model": name, "actual": y[:, least:].ravel(), "forecast": f.ravel()}))
+        n = y.shape[1] - least
+        out = [pd.DataFrame({"series_key": keys.repeat(n), "fold": np.tile(np.arange(least + 1, y.shape[1] + 1, dtype=np.int32), len(y)), "model": name, "actual": y[:, least:].ravel(), "forecast": f.ravel()}) for name, f in _smoothed(y, least).items()]
         return pd.concat(out) if out else pd.DataFrame(columns=["series_key", "fold", "model", "actual", "forecast"])
 
-    return _fitted(p, fit, FOLDS)
+    return _fitted(in_rows(p), fit, FOLDS)
 
 
 def rolling_origin(p: DataFrame, least: int = 10) -> DataFrame:
@@ -423,11 +444,65 @@ def rolling_origin(p: DataFrame, least: int = 10) -> DataFrame:
     return expanding(p, least).unionByName(smoothed_folds(p, least))
 
 
+def _closed(y: np.ndarray, least: int, period: int = 12) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """What expanding() gives, of many series of one length (rows of y): by model the months that have a forecast, counted
+    from 0, and the forecasts (month by series). Sums run as there, one month after the other."""
+    y, at = y.T, np.arange(least, y.shape[1])
+    t, before = np.arange(1, len(y) + 1), lambda v: np.cumsum(v, axis=0)[at - 1]
+    angles = [2 * math.pi * k / period for k in t.tolist()]
+    x = np.stack([t.astype(float), [math.sin(k) for k in angles], [math.cos(k) for k in angles]])
+    n, last = at[:, None].astype(float), y[at - 1]
+    d, lagged = np.zeros_like(y), np.zeros_like(y)
+    d[1:], lagged[2:] = y[1:] - y[:-1], y[1:-1] - y[:-2]
+    dl, ll = before(d * lagged), before(lagged * lagged)
+    phi = np.divide(dl, ll, out=np.zeros_like(dl), where=ll > 0)
+    sy, sx, qs = before(y), [before(v)[:, None] for v in x], [before(v[:, None] * y) for v in x]
+    z, c = [v[at, None] - s / n for v, s in zip(x, sx, strict=True)], [q - s * sy / n for q, s in zip(qs, sx, strict=True)]
+    a11, a12, a13, a22, a23, a33 = (before(x[i - 1] * x[j - 1])[:, None] - sx[i - 1] * sx[j - 1] / n for i, j in PAIRS)
+    minors = (a22 * a33 - a23 * a23, a13 * a23 - a12 * a33, a12 * a23 - a13 * a22, a11 * a33 - a13 * a13, a12 * a13 - a11 * a23, a11 * a22 - a12 * a12)
+    det = a11 * minors[0] + a12 * minors[1] + a13 * minors[2]
+    there = det[:, 0] != 0
+    inv = {pair: np.divide(m, det, out=np.zeros_like(det), where=det != 0) for pair, m in zip(PAIRS, minors, strict=True)}
+    fourier = sy / n + sum((inv[min(i, j), max(i, j)] * z[i - 1] * c[j - 1] for i in (1, 2, 3) for j in (1, 2, 3)), 0.0)
+    drift = last + np.divide(last - y[0], n - 1, out=np.zeros_like(last), where=n > 1)
+    moved = at > 1  # two differences at least
+    return {"naive": (at, last), "drift": (at, drift), "difference_ar": (at[moved], (last + phi * lagged[at])[moved]), "fourier": (at[there], fourier[there])}
+
+
+def model_errors(rows: DataFrame, least: int = 10, digits: int = 6) -> DataFrame:
+    """errors() of rolling_origin(), of series that are a row each (as in_rows gives them): they are summed up where the
+    forecasts are made, so that no fold leaves its task."""
+    sums = ["squares", "sizes", "ratios", "above", "smapes"]
+
+    def fit(keys: np.ndarray, y: np.ndarray) -> pd.DataFrame:
+        if y.shape[1] <= least:
+            return pd.DataFrame(columns=["series_key", "model", *sums, "folds"])
+        out, whole = [], np.arange(least, y.shape[1])
+        found = _closed(y, least) | {name: (whole, f.T) for name, f in _smoothed(y, least).items()}
+        for name, (at, f) in found.items():
+            if not len(at):
+                continue
+            e, a, f = np.abs(y.T[at] - f), np.abs(y.T[at]), np.abs(f)
+            smape = np.divide(2 * e, a + f, out=np.zeros_like(e), where=a + f > 0)
+            terms = (e * e, e, np.divide(e, a, out=np.zeros_like(e), where=a > 0), (a > 0).astype(float), smape)
+            # one origin after the other, as Spark adds rows
+            out.append(pd.DataFrame({"series_key": keys, "model": name} | {k: np.add.accumulate(v)[-1] for k, v in zip(sums, terms, strict=True)} | {"folds": len(at)}))
+        return pd.concat(out)
+
+    found = _fitted(rows, fit, f"series_key string, model string, {', '.join(f'{k} double' for k in sums)}, folds long", ORIGINS_TOGETHER)
+    mean = lambda k: F.col(k) / F.col("folds")
+    return found.select("series_key", "model", *_rounded(F.sqrt(mean("squares")), mean("sizes"), F.try_divide("ratios", "above"), mean("smapes"), digits), "folds")
+
+
+def _rounded(rmse: Column, mae: Column, ratio: Column, smape: Column, digits: int) -> list[Column]:
+    return [F.round(rmse, digits).alias("rmse"), F.round(mae, digits).alias("mae"), F.round(ratio * 100, digits).alias("mape"), F.round(smape * 100, digits).alias("smape")]
+
+
 def errors(folds: DataFrame, digits: int = 6) -> DataFrame:
     """RMSE, MAE, MAPE over actuals other than 0, SMAPE and number of folds per series and model."""
     e, a, f = F.col("actual") - F.col("forecast"), F.abs("actual"), F.abs("forecast")
     smape = F.when(a + f > 0, 2 * F.abs(e) / (a + f)).otherwise(0.0)
-    return folds.groupBy("series_key", "model").agg(F.round(F.sqrt(F.avg(e * e)), digits).alias("rmse"), F.round(F.avg(F.abs(e)), digits).alias("mae"), F.round(F.avg(F.when(a > 0, F.abs(e) / a)) * 100, digits).alias("mape"), F.round(F.avg(smape) * 100, digits).alias("smape"), F.count("*").alias("folds"))
+    return folds.groupBy("series_key", "model").agg(*_rounded(F.sqrt(F.avg(e * e)), F.avg(F.abs(e)), F.avg(F.when(a > 0, F.abs(e) / a)), F.avg(smape), digits), F.count("*").alias("folds"))
 
 
 def choose(scores: DataFrame) -> DataFrame:
@@ -457,4 +532,4 @@ def panel_forecast(p: DataFrame, horizon: int = 6, least: int = 6) -> DataFrame:
         method = np.where(fitted, "holt", "naive_fallback").repeat(horizon)
         return pd.DataFrame({"series_key": keys.repeat(horizon), "step": np.tile(steps, len(y)), "method": method, "forecast": np.maximum(f, 0).ravel(), "lower": np.maximum(f - half, 0).ravel(), "upper": (f + half).ravel()})
 
-    return _fitted(p, fit, "series_key string, step int, method string, forecast double, lower double, upper double")
+    return _fitted(in_rows(p), fit, "series_key string, step int, method string, forecast double, lower double, upper double")

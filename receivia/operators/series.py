@@ -39,10 +39,9 @@ def in_order() -> WindowSpec:
     return of_series().orderBy("t")
 
 
-def panel(df: DataFrame, key: str | None, period: str, value: str) -> DataFrame:
-    """series_key, t, month, y with every period of the data for every key, absent ones as 0. Keys, periods and
-    values all come from one table of sums; each reads all its columns, so that Spark makes it once. A key's periods
-    meet in one row before absent ones are added, so that what follows finds its rows by series_key without moving them."""
+def _months_by_key(df: DataFrame, key: str | None, period: str, value: str) -> tuple[DataFrame, Callable[[Column], Column]]:
+    """A row per key with all periods of the data (_months), and the value of one of them, absent ones as 0. Keys, periods
+    and values all come from one table of sums; each reads all its columns, so that Spark makes it once."""
     k = F.lit("all") if key is None else F.col(key)
     by = df.groupBy(k.alias("series_key"), F.col(period).alias("month")).agg(F.sum(value).cast("double").alias("y"))
     months = by.groupBy("month").agg(F.count("y").alias("_n")).filter("_n >= 0").select("month").withColumn("t", F.row_number().over(W.orderBy("month")))
@@ -50,9 +49,21 @@ def panel(df: DataFrame, key: str | None, period: str, value: str) -> DataFrame:
     known = F.map_from_entries(F.filter(F.collect_list(F.struct("t", "y")), lambda r: r["t"].isNotNull()))
     keys = dated.groupBy("series_key").agg(F.when(F.col("series_key").isNotNull(), known).alias("_y"))
     every = months.agg(F.array_sort(F.collect_list(F.struct("t", "month"))).alias("_months"))
-    y = lambda r: F.coalesce(F.try_element_at("_y", r["t"]), F.lit(0.0))
+    return keys.crossJoin(F.broadcast(every)), lambda r: F.coalesce(F.try_element_at("_y", r["t"]), F.lit(0.0))
+
+
+def panel(df: DataFrame, key: str | None, period: str, value: str) -> DataFrame:
+    """series_key, t, month, y with every period of the data for every key, absent ones as 0. A key's periods
+    meet in one row before absent ones are added, so that what follows finds its rows by series_key without moving them."""
+    whole, y = _months_by_key(df, key, period, value)
     rows = F.transform("_months", lambda r: F.struct(r["t"].alias("t"), r["month"].alias("month"), y(r).alias("y")))
-    return keys.crossJoin(F.broadcast(every)).select("series_key", F.inline(rows))
+    return whole.select("series_key", F.inline(rows))
+
+
+def panel_rows(df: DataFrame, key: str | None, period: str, value: str) -> DataFrame:
+    """A panel with a row per key: series_key and y, the values of all periods in their order."""
+    whole, y = _months_by_key(df, key, period, value)
+    return whole.select("series_key", F.transform("_months", y).alias("y"))
 
 
 def autocorrelation(p: DataFrame, lags: int = 8) -> DataFrame:

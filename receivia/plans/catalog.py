@@ -760,6 +760,14 @@ def _whole_and_brands(m: Sales) -> DataFrame:
     return _panel(m, None).unionByName(_panel(m))
 
 
+def _model_errors(m: Sales, key: str) -> DataFrame:
+    return forecast.model_errors(series.panel_rows(m.sold, key, "month", "line_total"))
+
+
+def _model_errors_of_brands(m: Sales) -> DataFrame:
+    return forecast.model_errors(forecast.in_rows(_whole_and_brands(m)))
+
+
 def _panel_sql(key: str) -> str:
     return PANEL.replace("brand", key)
 
@@ -814,7 +822,7 @@ def item_expanding_choice(m: Sales) -> DataFrame:
 
 @query()
 def model_errors(m: Sales) -> DataFrame:
-    return forecast.errors(forecast.rolling_origin(_whole_and_brands(m)))
+    return _model_errors_of_brands(m)
 
 
 @query()
@@ -829,7 +837,7 @@ def model_information(m: Sales) -> DataFrame:
 
 @query()
 def customer_model_errors(m: Sales) -> DataFrame:
-    return forecast.errors(forecast.rolling_origin(_panel(m, "customer_code")))
+    return _model_errors(m, "customer_code")
 
 
 @query()
@@ -844,7 +852,7 @@ def customer_model_information(m: Sales) -> DataFrame:
 
 @query()
 def item_model_errors(m: Sales) -> DataFrame:
-    return forecast.errors(forecast.rolling_origin(_panel(m, "item_code")))
+    return _model_errors(m, "item_code")
 
 
 @query()

@@ -311,6 +311,65 @@ def test_fits_of_many_series(spark):
     assert forecast.smoothed_folds(p).count() == 2 * (14 + 13 + 12)
 
 
+def plain_smoothing(y, trend):
+    """The next value by the same grids, with each start solved for by least squares."""
+
+    def at(a, b):
+        runs = []
+        for level, slope, own in ((0.0, 0.0, y), (1.0, 0.0, 0 * y), (0.0, 1.0, 0 * y))[: 3 if trend else 2]:
+            e = np.empty(len(y))
+            for i, v in enumerate(own):
+                e[i] = v - level - slope
+                level, slope = level + slope + a * e[i], slope + a * b * e[i]
+            runs.append((e, level + slope))
+        start = np.linalg.lstsq(np.column_stack([-e for e, _ in runs[1:]]), runs[0][0], rcond=None)[0]
+        rest = runs[0][0] + sum(k * e for k, (e, _) in zip(start, runs[1:], strict=True))
+        return rest @ rest, runs[0][1] + sum(k * ahead for k, (_, ahead) in zip(start, runs[1:], strict=True))
+
+    low, high = np.full(2, 1e-4), np.full(2, 0.9999)
+    for _ in range(7):
+        grid = [(a, b) for a in np.linspace(low[0], high[0], 7) for b in (np.linspace(low[1], high[1], 7) if trend else [0.0])]
+        best, step = np.array(min(grid, key=lambda x: at(*x)[0])), (high - low) / 6
+        low, high = np.maximum(best - step, low), np.minimum(best + step, high)
+    return at(*best)[1]
+
+
+def test_origins_of_sparse_series():
+    """Every origin of a batch gets what a plain search gives it. Signs turned in place on spaced numbers
+    (np.negative) made this batch's forecasts wrong from origin 29 on."""
+    rng = np.random.default_rng(59)
+    y = np.where(rng.random((4, 40)) < 0.3, rng.gamma(2, 100, (4, 40)), 0.0)
+    for trend in (True, False):
+        found = forecast._Smoothing(y, 10, trend).forecasts()
+        assert np.array_equal(found, [forecast._Smoothing(v, 10, trend).forecasts() for v in y])
+        for series_, origin in ((0, 0), (1, 12), (3, 27), (0, 29), (2, 29), (3, 29)):
+            assert math.isclose(found[series_, origin], plain_smoothing(y[series_, : 10 + origin], trend), rel_tol=1e-9)
+    flat = forecast._Smoothing(np.append(np.zeros(14), [5.0, 0.0]), 10, True).forecasts()
+    assert (flat[:5] == 0).all() and flat[5] != 0
+
+
+def test_model_errors_are_summed_where_folds_are_made(spark):
+    """As errors() of all folds; but a task gives a row for each series and model, and its panel is read once."""
+    rng = np.random.default_rng(2)
+    made = {"dense": rng.gamma(2, 100, 30), "sparse": np.where(rng.random(30) < 0.3, rng.gamma(2, 100, 30), 0.0), "late": np.append(np.zeros(20), rng.gamma(2, 100, 10)), "flat": np.full(30, 7.0), "short": rng.gamma(2, 100, 11), "none": rng.gamma(2, 100, 10)}
+    p = spark.createDataFrame([(k, i + 1, str(i), float(v)) for k, y in made.items() for i, v in enumerate(y)], "series_key string, t int, month string, y double")
+    for least in (10, 1):
+        want = {(r["series_key"], r["model"]): r for r in forecast.errors(forecast.rolling_origin(p, least)).collect()}
+        found = forecast.model_errors(forecast.in_rows(p), least).collect()
+        assert len(found) == len(want) == 6 * (6 - (least == 10))
+        for r in found:
+            other = want[r["series_key"], r["model"]]
+            assert r["folds"] == other["folds"] and all((r[k] is None and other[k] is None) or math.isclose(r[k], other[k], rel_tol=1e-9, abs_tol=2e-6) for k in ("rmse", "mae", "mape", "smape"))
+    for name in ("item_model_errors", "customer_model_errors"):
+        plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("MapInPandas") == 1 and "Union" not in plan and "fold#" not in plan
+
+
+def test_panel_with_a_row_per_key(spark):
+    lines = spark.createDataFrame([("a", "1", 2.0), ("a", "3", 4.0), ("b", "2", 5.0), ("b", "2", 1.0), (None, "1", 7.0)], "k string, m string, v double")
+    assert sorted((r["series_key"] or "", r["y"]) for r in series.panel_rows(lines, "k", "m", "v").collect()) == [("", [0.0, 0.0, 0.0]), ("a", [2.0, 0.0, 4.0]), ("b", [0.0, 6.0, 0.0])]
+
+
 def test_panel_moves_its_rows_once(spark):
     """After the sums, a key's periods meet once: neither absent periods nor windows over a series move rows again."""
     lines = spark.createDataFrame([("a", "1", 2.0), ("a", "3", 4.0), ("b", "2", 5.0), ("b", "2", 1.0), (None, "1", 7.0)], "k string, m string, v double")
