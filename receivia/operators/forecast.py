@@ -217,13 +217,15 @@ def in_rows(p: DataFrame) -> DataFrame:
     return p.groupBy("series_key").agg(F.transform(rows, lambda r: r["y"].cast("double")).alias("y"))
 
 
-def _fitted(whole: DataFrame, fit: Callable[[np.ndarray, np.ndarray], pd.DataFrame], schema: str, together: int = TOGETHER) -> DataFrame:
-    """fit over many series at once: it takes keys and values (series by months) of series of one length. Batches of
-    rows with a series each (as in_rows) are what a task sees."""
+def _fitted(whole: DataFrame, fit: Callable[[np.ndarray, np.ndarray], pd.DataFrame], schema: str, values: int = 0) -> DataFrame:
+    """fit over many series at once: it takes keys and values (series by months) of series of one length, TOGETHER of them
+    or, where values is given, as many as hold so many values. Batches of rows with a series each (as in_rows) are what a
+    task sees."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for _, same in pdf.groupby(pdf["y"].map(len)):
+            for months, same in pdf.groupby(pdf["y"].map(len)):
+                together = max(1, values // max(1, months)) if values else TOGETHER
                 for i in range(0, len(same), together):
                     some = same.iloc[i : i + together]
                     yield fit(some["series_key"].to_numpy(), np.stack([np.asarray(y, float) for y in some["y"]]))
@@ -340,8 +342,9 @@ class _Smoothing:
         cell, series = np.divmod(codes[first], many)
         first = np.append(first, len(codes))
         found = np.empty(of.shape, int if points > 1 else float)
-        for low in range(0, len(a), max(1, CELLS // points)):
-            high = min(len(a), low + max(1, CELLS // points))
+        size = max(1, GAINS // (points * len(self.y)))
+        for low in range(0, len(a), size):
+            high = min(len(a), low + size)
             gains = _gains(a[low:high], b[low:high], len(self.y) - 1, self.trend)
             begin, end = np.searchsorted(cell, (low, high))
             for i in range(begin, end, max(1, RUNS // points)):
@@ -416,10 +419,11 @@ class _Smoothing:
         return (self.middle[:, None] + ahead).reshape(*self.shape, -1)
 
 
-#: Numbers (points of cells, points of runs) that are followed together, so that the arrays stay in the processor's cache.
-CELLS, RUNS = 12_544, 25_088
-#: Series of one length that a search from all origins is given at once: the more they are, the more share a cell.
-ORIGINS_TOGETHER = 4_096
+#: Points of cells, by months, whose gains are made together, and points of runs that are followed together, so that the
+#: arrays stay in the processor's cache.
+GAINS, RUNS = 1_000_000, 25_088
+#: Values of series that a search from all origins is given at once: the more series, the more share a cell.
+SEARCHED = 327_680
 
 
 def _smoothed(y: np.ndarray, least: int) -> dict[str, np.ndarray]:
@@ -489,7 +493,7 @@ def model_errors(rows: DataFrame, least: int = 10, digits: int = 6) -> DataFrame
             out.append(pd.DataFrame({"series_key": keys, "model": name} | {k: np.add.accumulate(v)[-1] for k, v in zip(sums, terms, strict=True)} | {"folds": len(at)}))
         return pd.concat(out)
 
-    found = _fitted(rows, fit, f"series_key string, model string, {', '.join(f'{k} double' for k in sums)}, folds long", ORIGINS_TOGETHER)
+    found = _fitted(rows, fit, f"series_key string, model string, {', '.join(f'{k} double' for k in sums)}, folds long", SEARCHED)
     mean = lambda k: F.col(k) / F.col("folds")
     return found.select("series_key", "model", *_rounded(F.sqrt(mean("squares")), mean("sizes"), F.try_divide("ratios", "above"), mean("smapes"), digits), "folds")
 

@@ -827,7 +827,7 @@ def model_errors(m: Sales) -> DataFrame:
 
 @query()
 def model_choice(m: Sales) -> DataFrame:
-    return forecast.choose(forecast.errors(forecast.rolling_origin(_whole_and_brands(m))))
+    return forecast.choose(_model_errors_of_brands(m))
 
 
 @query()
@@ -842,7 +842,7 @@ def customer_model_errors(m: Sales) -> DataFrame:
 
 @query()
 def customer_model_choice(m: Sales) -> DataFrame:
-    return forecast.choose(forecast.errors(forecast.rolling_origin(_panel(m, "customer_code"))))
+    return forecast.choose(_model_errors(m, "customer_code"))
 
 
 @query()
@@ -857,7 +857,7 @@ def item_model_errors(m: Sales) -> DataFrame:
 
 @query()
 def item_model_choice(m: Sales) -> DataFrame:
-    return forecast.choose(forecast.errors(forecast.rolling_origin(_panel(m, "item_code"))))
+    return forecast.choose(_model_errors(m, "item_code"))
 
 
 @query()
