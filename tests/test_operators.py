@@ -360,7 +360,7 @@ def test_model_errors_are_summed_where_folds_are_made(spark):
         for r in found:
             other = want[r["series_key"], r["model"]]
             assert r["folds"] == other["folds"] and all((r[k] is None and other[k] is None) or math.isclose(r[k], other[k], rel_tol=1e-9, abs_tol=2e-6) for k in ("rmse", "mae", "mape", "smape"))
-    for name in ("item_model_errors", "customer_model_errors"):
+    for name in ("item_model_errors", "customer_model_errors", "item_model_choice", "customer_model_choice"):
         plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("MapInPandas") == 1 and "Union" not in plan and "fold#" not in plan
 
